@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing}
-ORACLES = {"op1_source_mixing": mixing.ORACLE}
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_report(warc.write_and_assemble(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions)}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE}
