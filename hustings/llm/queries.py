@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import classifier, mixing, secrets, warc
 from .common import table
 
 
@@ -16,5 +16,14 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_report(warc.write_and_assemble(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions)}
+def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op7_quality_gam)}
 ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE}
