@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, mixing, ngram_join, secrets, warc
+from . import chat, classifier, mixing, ngram_join, secrets, warc, wfst
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.reconstruct(chat.events_of_turns(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op7_quality_gam, op9_ngram_join, op10_chat_events)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
 ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op10_chat_events": chat.ORACLE}

@@ -22,6 +22,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +35,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Chunks of up to so many characters are solved together, all of one length at a time.
+TOGETHER = 32
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_model() -> str:
@@ -128,7 +132,8 @@ class Transducer:
         solo = "".join(c for c in "\n\t\r" if c not in inner)
         self.cut = re.compile(rf"[{solo}]|{MARK}*[^{MARK}{solo}]+|{MARK}+" if solo else rf"{MARK}*[^{MARK}]+|{MARK}+") if not mark_inside else re.compile(r"[\s\S]+")
         self.rewrite = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self._tabulate()
 
     def normalise(self, text: str) -> str:
         if self.rewrite:
@@ -169,19 +174,94 @@ class Transducer:
             n = i
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for chunk in self.cut.findall(self.normalise(text)):
-            ids = memo.get(chunk)
-            if ids is None:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                ids = self.shortest(chunk)
-                if len(chunk) <= 64:
-                    memo[chunk] = ids
-            out += ids
+    def _tabulate(self) -> None:
+        """A hash table of the pieces' arcs for whole columns of substrings at once."""
+        known = [(p, i, k) for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER) and p]
+        self.longest = max((len(p) for p, *_ in known), default=0)
+        hashes = np.zeros(len(known), np.uint64)
+        for at, (p, _, _) in enumerate(known):
+            h = 0
+            for c in p:
+                h = (h * int(_MULTIPLIER) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            hashes[at] = h
+        weights = np.array([-self.pieces[i][1] if k == NORMAL else 0.1 - 0.1 * len(p) for p, i, k in known])
+        ids = np.array([i for _, i, _ in known], np.int32)
+        #: Levels of (multiplier, shift, hashes, weights, pieces); what finds its slot taken goes to the next level.
+        self.levels: list[tuple] = []
+        _, left = np.unique(hashes, return_index=True)
+        factor = 0xBF58476D1CE4E5B9
+        while len(left):
+            bits = max(12, (8 * len(left)).bit_length())
+            slots = ((hashes[left] * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+            _, first = np.unique(slots, return_index=True)
+            table = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.inf), np.full(1 << bits, -1, np.int32)
+            for column, values in zip(table, (hashes, weights, ids)):
+                column[slots[first]] = values[left[first]]
+            self.levels.append((np.uint64(factor), np.uint64(64 - bits), *table))
+            left = np.delete(left, first)
+            factor = (factor * 0x94D049BB133111EB + 2) & 0xFFFFFFFFFFFFFFFF | 1
+
+    def solve_together(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """``shortest`` for chunks of one length: each step of the path search is done for all of them at once."""
+        n, m = len(chunks[0]), len(chunks)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+        cost, start, piece = np.full((n + 1, m), np.inf), np.zeros((n + 1, m), np.int8), np.full((n + 1, m), -1, np.int32)
+        cost[0] = 0
+        none, no_piece = np.full(m, np.inf), np.full(m, -1, np.int32)
+        for i in range(n):
+            h, here = np.zeros(m, np.uint64), cost[i]
+            for j in range(i, min(n, i + self.longest)):
+                h = h * _MULTIPLIER + codes[j]
+                weight, found = none, no_piece
+                for factor, shift, hashes, weights, pieces in self.levels:
+                    slot = (h * factor) >> shift
+                    hit = np.flatnonzero(hashes[slot] == h)
+                    if len(hit):
+                        if weight is none:
+                            weight, found = none.copy(), no_piece.copy()
+                        weight[hit], found[hit] = weights[slot[hit]], pieces[slot[hit]]
+                if j == i:
+                    weight = np.where(np.isinf(weight), self.fallback, weight)
+                elif weight is none:
+                    continue
+                total = here + weight
+                better = np.flatnonzero(total < cost[j + 1])
+                cost[j + 1][better], start[j + 1][better], piece[j + 1][better] = total[better], i, found[better]
+        out = []
+        for chunk, at, ids in zip(chunks, start.T.tolist(), piece.T.tolist()):
+            path, k = [], n
+            while k and path is not None:
+                path = path + [ids[k]] if ids[k] >= 0 else None
+                k = at[k]
+            out.append(tuple(path[::-1]) if path is not None else tuple(self.shortest(chunk)))
         return out
 
+    def solve(self, chunks: list[str]) -> None:
+        """Remember the ids of ``chunks``."""
+        by_length: dict[int, list[str]] = {}
+        for c in chunks:
+            by_length.setdefault(len(c), []).append(c)
+        for n, same in by_length.items():
+            for k in range(0, len(same), 1 << 15):
+                some = same[k : k + (1 << 15)]
+                if n > TOGETHER or len(some) < 64:
+                    self.memo.update((c, tuple(self.shortest(c))) for c in some)
+                    continue
+                self.memo.update(zip(some, self.solve_together(some)))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        memo = self.memo
+        if len(memo) >= REMEMBERED:
+            memo.clear()
+        cut = [self.cut.findall(self.normalise(t)) for t in texts]
+        missing = set(chain.from_iterable(cut)).difference(memo)
+        if missing:
+            self.solve(list(missing))
+        return [list(chain.from_iterable(map(memo.__getitem__, chunks))) for chunks in cut]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
         if self.escape:
@@ -226,22 +306,33 @@ class _Shared:
 
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens, decoded (the text that the ids decode to) and round_trip for each row of ``docs``."""
+    """doc_id, ids, n_tokens and round_trip (the ids decode to the very text) for each row of ``docs``."""
     small_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, model_path or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _on_worker(shared)
         for batch in batches:
-            ids, same, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                got = fst.encode(text or "")
-                ids.append(np.array(got, np.int32))
-                decoded.append(fst.decode(got))
-                same.append(decoded[-1] == (text or ""))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = fst.encode_all(texts)
             counts = np.array([len(x) for x in ids], np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(counts, pa.int32()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decoded", "round_trip"])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32)), pa.array(flat))
+            same = [fst.decode(x) == t for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
+
+
+def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
+    """doc_id and text for rows of doc_id and ids; null ids give an empty text."""
+    small_batches(encoded.sparkSession)
+    shared = _Shared(encoded.sparkSession, model_path or default_model())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = _on_worker(shared)
+        for batch in batches:
+            texts = [fst.decode(x or []) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, decoded string, round_trip boolean")
+    return encoded.selectExpr("cast(doc_id as long) as doc_id", "ids").mapInArrow(run, "doc_id long, text string")
