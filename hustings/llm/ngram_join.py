@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, small_batches
-from .setjoin import components, link_sets, lookup
+from .setjoin import class_table, link_sets, lookup
 from .shingles import mixed, set_digest, shingle_set
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -62,11 +62,11 @@ def band_hashes(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
+def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def lists(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int64()))
 
@@ -80,9 +80,9 @@ def signatures(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
         for batch in batches:
             sets = [shingle_set(t or "", words) for t in batch.column("text").to_pylist()]
             marks = [set_digest(s) for s in sets]
-            keys = [_signed(band_hashes(s, bands, rows)) if len(s) else np.zeros(0, np.int64) for s in sets]
+            keys = [signed(band_hashes(s, bands, rows)) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(keys)], names=["doc_id", "d1", "d2", "n", "keys"]
+                [batch.column("doc_id"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(keys)], names=["doc_id", "d1", "d2", "n", "keys"]
             )
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, keys array<long>")
@@ -93,7 +93,7 @@ def ngram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([_signed(shingle_set(t or "", words)) for t in batch.column("text").to_pylist()])], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([signed(shingle_set(t or "", words)) for t in batch.column("text").to_pylist()])], names=["node", "items"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "node long, items array<long>")
 
@@ -107,8 +107,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     with_keys = filled.join(sets, ["d1", "d2"]).where("doc_id = node").groupBy("d1", "d2").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("keys").alias("keys"))
     keyed = durable(with_keys.select("node", "n", "copies", "keys"), "keyed")
     links, edges = link_sets(keyed, lambda nodes: ngram_sets(lookup(docs, nodes), words), threshold)
-    of_set = durable(sets.join(links, "node", "left").join(components(edges), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return sig.join(of_set, ["d1", "d2"], "left").select("doc_id", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return class_table(sig, sets, links, edges)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -184,3 +184,14 @@ def link_sets(keyed: DataFrame, items_of: Callable[[DataFrame], DataFrame], thre
 def lookup(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is a node: a broadcast where the ids are counted few, else a shuffle join."""
     return docs.join(broadcast_if_small(nodes.withColumnRenamed("node", id_col)), id_col, "left_semi")
+
+
+def class_table(sig: DataFrame, sets: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links for each row of ``sig`` (doc_id, d1, d2, n), given its distinct ``sets`` (d1, d2,
+    node, copies) and what ``link_sets`` found between them. Empty sets have no links and a class of their own."""
+    found = sets.join(links, "node", "left").join(components(edges), "node", "left")
+    of_set = durable(found.select("d1", "d2", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    filled = F.col("n") > 0
+    return sig.join(of_set, ["d1", "d2"], "left").select(
+        "doc_id", F.when(filled, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(filled, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")
+    )
