@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, mixing, ngram_join, secrets, spotsigs, warc, wfst
+from . import chat, chroma, classifier, mixing, ngram_join, secrets, spotsigs, warc, wfst
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tunes = chroma.melodies(table(spark, sf_dir, "embeddings"))
+    return chroma.search(tunes.withColumnRenamed("rec_id", "vec_id"), "vec_id")
+
+
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -42,5 +47,5 @@ def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.reconstruct(chat.events_of_turns(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op5_spotsigs, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
 ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op10_chat_events": chat.ORACLE}
