@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chroma, classifier, mixing, ngram_join, secrets, spotsigs, warc, wfst
+from . import chat, chroma, classifier, licenses, mixing, ngram_join, secrets, spotsigs, warc, wfst
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_license_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.reconstruct(chat.events_of_turns(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op10_chat_events": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE}
