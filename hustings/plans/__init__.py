@@ -1,0 +1,30 @@
+"""Registered queries by name, each with the DuckDB SQL it must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> tuple[dict[str, Query], dict[str, str]]:
+    from . import explorer, guide, identity, ingest, text, streams, votes  # noqa: F401
+
+    return QUERIES, ORACLES
