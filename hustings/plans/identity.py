@@ -1 +1,160 @@
-"""Queries."""
+"""Queries of the identity and ranking operators: names are built from the keys of the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import identity as I
+from ..operators import ranking
+from ..sources import driver_tables as T
+from . import query
+
+FIRST = ["Alexander", "Maria", "José", "Ann", "Thomas", "Alex", "Tom", "Zoë", "Li", "Mar"]
+LAST = ["Smith", "Núñez", "O'Neil", "Garcia Lopez", "Young", "King", "Stone", "Wood", "Hill", "Lake", "Ford", "Bell", "Cole"]
+SQL_FIRST, SQL_LAST = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + "]" for v in (FIRST, LAST))
+
+
+def _name(k, first_step: int, last_step: int):
+    pick = lambda v, i: F.element_at(F.array(*map(F.lit, v)), (i % len(v) + 1).cast("int"))
+    return F.concat(pick(FIRST, F.floor(k / first_step)), F.when(k % 4 == 0, " B. ").otherwise(" "), pick(LAST, F.floor(k / last_step)), F.when(k % 6 == 0, F.lit(", Jr.")).otherwise(F.lit("")))
+
+
+def _sql_name(k: str, first_step: int, last_step: int) -> str:
+    return f"{SQL_FIRST}[{k} // {first_step} % {len(FIRST)} + 1] || CASE WHEN {k} % 4 = 0 THEN ' B. ' ELSE ' ' END || {SQL_LAST}[{k} // {last_step} % {len(LAST)} + 1] || CASE WHEN {k} % 6 = 0 THEN ', Jr.' ELSE '' END"
+
+
+def officials(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return T.read(spark, d, "supplier").select(k.alias("official_key"), _name(k, 1, 3).alias("name"), (F.col("s_nationkey") % 5).alias("state"), F.when(k % 11 == 0, F.concat(F.lit("B"), k.cast("string"))).alias("bioguide"), F.array(F.concat(F.lit("seat-"), (k % 40).cast("string"))).alias("seats"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    seats = F.array(F.concat(F.lit("seat-"), (k % 45).cast("string")), F.concat(F.lit("seat-"), (k % 38).cast("string")))
+    return T.read(spark, d, "customer").select(k.alias("cand_key"), _name(k, 2, 5).alias("name"), (F.col("c_nationkey") % 5).alias("state"), F.when(k % 50 == 0, F.concat(F.lit("B"), (k % 200).cast("string"))).alias("bioguide"), (k % 3 == 0).alias("incumbent"), seats.alias("seats"))
+
+
+WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents({0})), '[^a-z0-9 ]+', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN ('jr', 'sr', 'ii', 'iii', 'iv'))"
+PEOPLE = f"""
+o AS (SELECT s_suppkey AS official_key, {WORDS.format(_sql_name('s_suppkey', 1, 3))} AS w, s_nationkey % 5 AS state, CASE WHEN s_suppkey % 11 = 0 THEN 'B' || s_suppkey END AS bioguide, 'seat-' || s_suppkey % 40 AS seat FROM supplier),
+c AS (SELECT c_custkey AS cand_key, {WORDS.format(_sql_name('c_custkey', 2, 5))} AS w, c_nationkey % 5 AS state, CASE WHEN c_custkey % 50 = 0 THEN 'B' || c_custkey % 200 END AS bioguide, c_custkey % 3 = 0 AS incumbent, ['seat-' || c_custkey % 45, 'seat-' || c_custkey % 38] AS seats FROM customer),
+t1 AS (SELECT cand_key, official_key AS a FROM c JOIN o USING (bioguide)),
+t2 AS (SELECT cand_key, arg_min(m, pos) AS a FROM (
+  SELECT cand_key, pos, min(official_key) AS m FROM (SELECT cand_key, w, unnest(seats) AS seat, unnest([0, 1]) AS pos FROM c WHERE incumbent) s JOIN o ON o.seat = s.seat AND o.w[-1] = s.w[-1] GROUP BY cand_key, pos HAVING count(DISTINCT official_key) = 1) GROUP BY cand_key),
+t3 AS (SELECT cand_key, count(DISTINCT official_key) AS n, min(official_key) AS a FROM c JOIN o ON c.state = o.state AND c.w = o.w GROUP BY 1),
+t4 AS (SELECT cand_key, count(DISTINCT official_key) AS n, min(official_key) AS a FROM c JOIN o ON c.state = o.state AND c.w[-1] = o.w[-1] AND c.w[2:] = o.w[2:]
+  AND least(length(c.w[1]), length(o.w[1])) >= 3 AND (starts_with(c.w[1], o.w[1]) OR starts_with(o.w[1], c.w[1])) GROUP BY 1),
+m AS (SELECT c.cand_key, coalesce(t1.a, t2.a, CASE WHEN t3.n = 1 THEN t3.a END, CASE WHEN t3.n IS NULL AND t4.n = 1 THEN t4.a END) AS official_key,
+  CASE WHEN t1.a IS NOT NULL THEN 'id' WHEN t2.a IS NOT NULL THEN 'seat' WHEN t3.n = 1 THEN 'name' WHEN t3.n > 1 THEN 'ambiguous' WHEN t4.n = 1 THEN 'short' ELSE 'none' END AS tier
+  FROM c LEFT JOIN t1 USING (cand_key) LEFT JOIN t2 USING (cand_key) LEFT JOIN t3 USING (cand_key) LEFT JOIN t4 USING (cand_key))"""
+
+
+@query(f"WITH {PEOPLE} SELECT * FROM m")
+def unique_match_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return I.match_officials(candidates(spark, d), officials(spark, d))
+
+
+@query(f"WITH {PEOPLE} SELECT cand_key, cand_key % 10 AS race_id, CASE WHEN row_number() OVER (PARTITION BY official_key, cand_key % 10 ORDER BY cand_key) = 1 THEN official_key END AS official_key, tier FROM m")
+def one_per_race(spark: SparkSession, d: str) -> DataFrame:
+    races = candidates(spark, d).select("cand_key", (F.col("cand_key") % 10).alias("race_id"))
+    return I.one_per_race(I.match_officials(candidates(spark, d), officials(spark, d)), races)
+
+
+SLUG = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '[''’`]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'person')"
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS key, {_sql_name('c_custkey', 2, 5)} AS name, c_nationkey AS state, c_mktsegment AS tag FROM customer),
+l AS (SELECT key, {SLUG.format("name")} AS s1, {SLUG.format("name || ' ' || state")} AS s2, {SLUG.format("name || ' ' || state || ' ' || tag")} AS s3 FROM p WHERE key % 97 <> 0),
+old AS (SELECT key, 'kept-' || key AS slug FROM p WHERE key % 97 = 0),
+a AS (SELECT * FROM l), f1 AS (SELECT min(key) AS key, s1 AS slug FROM a GROUP BY s1 HAVING count(*) = 1 AND s1 NOT IN ('maria-smith')),
+b AS (SELECT * FROM a ANTI JOIN f1 USING (key)), f2 AS (SELECT min(key) AS key, s2 AS slug FROM b GROUP BY s2 HAVING count(*) = 1 AND s2 NOT IN (SELECT slug FROM f1)),
+e AS (SELECT * FROM b ANTI JOIN f2 USING (key)), f3 AS (SELECT min(key) AS key, s3 AS slug FROM e GROUP BY s3 HAVING count(*) = 1 AND s3 NOT IN (SELECT slug FROM f1 UNION ALL SELECT slug FROM f2)),
+g AS (SELECT key, s3, row_number() OVER (PARTITION BY s3 ORDER BY key) AS n FROM e ANTI JOIN f3 USING (key))
+SELECT * FROM old UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT key, CASE WHEN n = 1 THEN s3 ELSE s3 || '-' || n END FROM g"""
+)
+def slug_assign(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    people = T.read(spark, d, "customer").select(k.alias("key"), _name(k, 2, 5).alias("name"), F.col("c_nationkey").alias("state"), F.col("c_mktsegment").alias("tag"))
+    old = people.where("key % 97 = 0").select(F.concat(F.lit("kept-"), F.col("key").cast("string")).alias("slug"), "key")
+    gone = spark.range(1).select(F.lit("maria-smith").alias("slug"), F.lit(None).cast("long").alias("key"))
+    return I.assign_slugs(people, old.unionByName(gone))
+
+
+@query(
+    """WITH m AS (SELECT s_suppkey AS member_key, 'n' || s_suppkey % 60 AS surname, 'C' || s_suppkey % 2 AS chamber, s_suppkey % 3 <> 0 AS cur FROM supplier),
+n AS (SELECT c_custkey AS name_id, 'n' || c_custkey % 70 AS surname, 'C' || c_custkey % 2 AS chamber FROM customer),
+h AS (SELECT name_id, CASE WHEN n.chamber = m.chamber AND cur THEN 1 WHEN n.chamber = m.chamber THEN 2 WHEN cur THEN 3 END AS stage, member_key FROM n JOIN m USING (surname)),
+g AS (SELECT name_id, stage, count(DISTINCT member_key) AS k, min(member_key) AS a FROM h WHERE stage IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY stage) AS r FROM g) WHERE r = 1)
+SELECT n.name_id, CASE WHEN k = 1 THEN a END AS member_key, stage, CASE WHEN stage IS NULL THEN 'unknown' WHEN k = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM n LEFT JOIN f USING (name_id)"""
+)
+def staged_resolution(spark: SparkSession, d: str) -> DataFrame:
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    members = T.read(spark, d, "supplier").select(s.alias("member_key"), text("n", s % 60).alias("surname"), text("C", s % 2).alias("chamber"), (s % 3 != 0).alias("current"))
+    names = T.read(spark, d, "customer").select(c.alias("name_id"), text("n", c % 70).alias("surname"), text("C", c % 2).alias("chamber"))
+    return I.staged(names, members)
+
+
+DISTRICT_SQL = "regexp_replace(regexp_replace(lower({0}), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[^a-z0-9]+', '', 'g')"
+
+
+@query(
+    f"""WITH c AS (SELECT n_nationkey AS census_id, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS basename FROM nation),
+l AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 30 AS VARCHAR) ELSE CAST(s_suppkey % 30 AS VARCHAR) || chr(CAST(65 + s_suppkey % 3 AS INTEGER)) END AS label FROM supplier UNION SELECT 'At-Large'),
+k AS (SELECT label, {DISTRICT_SQL.format('label')} AS k FROM l), x AS (SELECT census_id, {DISTRICT_SQL.format('basename')} AS k FROM c),
+e AS (SELECT DISTINCT census_id, label FROM x JOIN k USING (k)),
+r AS (SELECT * FROM x ANTI JOIN e USING (census_id)),
+f AS (SELECT census_id, label FROM r JOIN k ON k.k = r.k || 'a' OR k.k = r.k || 'b' OR k.k = r.k || 'c')
+SELECT * FROM e UNION SELECT * FROM f UNION SELECT census_id, 'At-Large' FROM c"""
+)
+def district_match(spark: SparkSession, d: str) -> DataFrame:
+    n, s = F.col("n_nationkey"), F.col("s_suppkey")
+    census = T.read(spark, d, "nation").select(n.alias("census_id"), F.lpad(n.cast("string"), 3, "0").alias("basename"), F.lit(None).cast("string").alias("name"))
+    number = (s % 30).cast("string")
+    label = F.when(s % 2 == 0, number).otherwise(F.concat(number, F.char((65 + s % 3).cast("long"))))
+    labels = T.read(spark, d, "supplier").select(label.alias("label")).unionByName(spark.range(1).select(F.lit("At-Large").alias("label")))
+    return I.match_chamber(census, labels)
+
+
+@query("WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 4 <> 0) SELECT coalesce(a.k, b.k) AS custkey, CASE WHEN a.k IS NULL THEN 'no district' ELSE 'no member' END AS gap FROM a FULL JOIN b USING (k) WHERE a.k IS NULL OR b.k IS NULL")
+def coverage_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    a = T.read(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
+    b = T.read(spark, d, "orders").where("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("custkey"))
+    return I.seat_coverage(a, b, "custkey")
+
+
+@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 20 = 0), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 30 = 0) SELECT k AS l_partkey, 'missing' AS status FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'extra' FROM b ANTI JOIN a USING (k)")
+def set_differences(spark: SparkSession, d: str) -> DataFrame:
+    line = T.read(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    return I.set_differences(line.where("l_suppkey % 20 = 0"), line.where("l_suppkey % 30 = 0"), ["l_partkey"])
+
+
+@query()
+def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for a typed address among streets built from the customers; tests hold it against plain Python."""
+    k = F.col("c_custkey")
+    street = F.concat((k % 60).cast("string"), F.when(k % 3 == 0, " Street").when(k % 3 == 1, " Avenue").otherwise(" Place"))
+    city = F.element_at(F.array(*map(F.lit, ("Albany", "Troy", "Alba"))), (k % 3 + 1).cast("int"))
+    rows = T.read(spark, d, "customer").select(k.alias("position"), (k % 150).cast("string").alias("house"), street.alias("street"), city.alias("city"), F.lit("NY").alias("state"), (12200 + k % 9).cast("string").alias("zip"), F.lit(None).cast("string").alias("detail"), F.element_at(F.array(*map(F.lit, ("nyc", "nys", "osm"))), (k % 3 + 1).cast("int")).alias("source"), F.lit(None).cast("string").alias("point_key"))
+    return ranking.rank(rows, ranking.Typed("12", ("12th", "st", "alb"), "", "NY")).select("position", "house", "street", "city", "score", "house_match")
+
+
+@query("SELECT file, member_key, min_by(party, ordinal) AS party FROM (SELECT s_suppkey % 4 AS file, s_suppkey AS member_key, s_nationkey % 3 AS ordinal, CASE WHEN s_nationkey % 2 = 0 THEN 'D' ELSE 'R' END AS party FROM supplier UNION ALL SELECT s_suppkey % 4, s_suppkey, 1 - s_nationkey % 2 * 2 + 3, 'I' FROM supplier) JOIN (SELECT DISTINCT l_suppkey AS member_key FROM lineitem WHERE l_suppkey % 5 <> 0) USING (member_key) GROUP BY ALL")
+def party_roster(spark: SparkSession, d: str) -> DataFrame:
+    s = T.read(spark, d, "supplier")
+    file = (F.col("s_suppkey") % 4).alias("file")
+    one = s.select(file, F.col("s_suppkey").alias("member_key"), (F.col("s_nationkey") % 3).alias("ordinal"), F.when(F.col("s_nationkey") % 2 == 0, "D").otherwise("R").alias("party"))
+    two = s.select(file, F.col("s_suppkey").alias("member_key"), (4 - F.col("s_nationkey") % 2 * 2).alias("ordinal"), F.lit("I").alias("party"))
+    votes = T.read(spark, d, "lineitem").where("l_suppkey % 5 <> 0").select((F.col("l_suppkey") % 4).alias("file"), F.col("l_suppkey").alias("member_key"))
+    return I.party_roster(one.unionByName(two), votes)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['ann lee', 'king', 'van der berg'] WHEN doc_id % 3 = 1 THEN ['king', 'king'] END AS names FROM documents")
+def name_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, "Ann Lee King  Van der Berg").when(k == 1, "KING King").otherwise("King Nobody")
+    known = F.array(*map(F.lit, ("ann lee", "ann", "king", "van der berg")))
+    return T.read(spark, d, "documents").select("doc_id", I.segment_names(text, known).alias("names"))
