@@ -76,7 +76,7 @@ def _cross(rows: DataFrame, keys: list[str], step: str) -> DataFrame:
     """Of the histogram ``rows`` (a row for each source and ``step``), the one in which the budget runs out."""
     order = W.partitionBy("source").orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     at = rows.withColumn("below", F.coalesce(F.sum("words").over(order), F.lit(0)))
-    return at.where((F.col("budget") > 0) & (F.col("below") <= F.col("budget")) & (F.col("below") + F.col("words") > F.col("budget"))).select(
+    return at.where((F.col("below") <= F.col("budget")) & (F.col("below") + F.col("words") > F.col("budget"))).select(
         "source", step, *keys, (F.col("budget") - F.col("below")).alias("budget"), "words"
     )
 
@@ -106,7 +106,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     first = F.shiftright("hash", HASH_BITS - low)
     second = F.shiftright("hash", HASH_BITS - 2 * low)
     h1 = rows.groupBy("source", first.alias("b1")).agg(F.sum("size").alias("words"))
-    c1 = _cross(_match(h1, plan.select("source", "budget"), ["source"]), [], "b1").drop("words")
+    c1 = _cross(_match(h1, plan.where("budget > 0").select("source", "budget"), ["source"]), [], "b1").drop("words")
     r1 = _match(rows.withColumn("b1", first), c1, ["source", "b1"])
     h2 = r1.groupBy("source", "b1", "budget", second.alias("b2")).agg(F.sum("size").alias("words"))
     c2 = _cross(h2, ["b1"], "b2").drop("words", "b1")
