@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, forget
+from .common import broadcast_if_small, durable, forget, salted_lookup
 
 #: Sets and items that one side of a task holds on average (items take 8 bytes).
 BLOCK_SETS, BLOCK_ITEMS = 2048, 1 << 21
@@ -146,7 +146,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each ``key`` over blocks of bounded mean size and pair the blocks: key, low, high, side, node."""
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("items"))
     n_blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
-    dealt = members.join(size.select("key", n_blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = salted_lookup(members, size.select("key", n_blocks.alias("blocks")), "key", "node", how="inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side"), "node")
 
