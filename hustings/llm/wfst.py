@@ -257,7 +257,9 @@ class Transducer:
         missing = set(chain.from_iterable(cut)).difference(memo)
         if missing:
             self.solve(list(missing))
-        return [list(chain.from_iterable(map(memo.__getitem__, chunks))) for chunks in cut]
+        out = [list(chain.from_iterable(map(memo.__getitem__, chunks))) for chunks in cut]
+        # One unknown stands for a run of them, also where the run goes on in the next chunk.
+        return out if self.fall_back_to_bytes else [[i for k, i in enumerate(ids) if not k or i != self.unknown_id or ids[k - 1] != i] for ids in out]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
