@@ -216,3 +216,38 @@ def link_status(status: Column, error: Column) -> Column:
 def party_code(label: Column) -> Column:
     low = F.lower(F.trim(label))
     return F.when(low.startswith("dem"), "D").when(low.startswith("rep"), "R").when(low.startswith("ind"), "I").otherwise(F.lit(None).cast("string"))
+
+
+# Prefixes of federal bills as printed, and as written.
+BILL_PREFIXES = {"H CON RES": "H.Con.Res.", "H J RES": "H.J.Res.", "H RES": "H.Res.", "H R": "H.R.", "S CON RES": "S.Con.Res.", "S J RES": "S.J.Res.", "S RES": "S.Res.", "S": "S."}
+
+
+def format_bill(bill: Column) -> Column:
+    """'H R 12' as 'H.R. 12', 'S CON RES 3' as 'S.Con.Res. 3'; others stay."""
+    return F.coalesce(*[F.when(bill.rlike(f"^{old} [0-9]"), F.concat(F.lit(new), F.substring(bill, len(old) + 1, 1000))) for old, new in BILL_PREFIXES.items()], bill)
+
+
+def condense(text: Column, enough: int = 180, most: int = 320) -> Column:
+    """Sentences until more than ``enough`` characters are taken; one that would pass ``most`` is left out."""
+    sentences = F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("done"))
+
+    def step(a: Column, s: Column) -> Column:
+        over = (a["out"] != "") & (F.length(a["out"]) + F.length(s) > most)
+        out = F.when(a["done"] | over, a["out"]).otherwise(F.concat(a["out"], s))
+        return F.struct(out.alias("out"), (a["done"] | over | (F.length(out) > enough)).alias("done"))
+
+    return F.trim(F.when(F.size(sentences) == 0, text).otherwise(F.aggregate(sentences, start, step, lambda a: a["out"])))
+
+
+def nominee(title: Column) -> Column:
+    """Name in the title of a nomination vote; null for other titles and votes en bloc."""
+    name = F.regexp_extract(F.coalesce(title, F.lit("")), r"(?i)^(?:Motion to Invoke Cloture|Confirmation)\s*:\s*(.+?)(?:,| to be | to the )", 1)
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\s+of\s+[A-Z][\w. ]*$", ""), r"\.", ""), r"\s+", " ")))
+    return F.when((name != "") & ~name.rlike("(?i)en bloc|executive calendar"), plain)
+
+
+def chamber_state(chamber: Column) -> Column:
+    """'us' for Congress, else the postal code in lower case; a city's council counts as its state."""
+    first = F.substring_index(chamber, " ", 1)
+    return F.when(first == "U.S.", "us").when(first == "NYC", "ny").otherwise(F.lower(first))
