@@ -3,8 +3,8 @@ directory with a licence file (DataFrame functions only).
 
 Terms are runs of letters and digits in lower case. The weight of a template's term is its count times its inverse
 document frequency over all documents; other terms weigh their count. A passage is a line of a file, or the whole
-file. Lines are scored only if they hold a cue, one of the heaviest terms of some template: a passage that shares
-only a template's lighter terms can't reach the threshold (their part of the template's norm is an upper bound of
+file. Lines are scored only if they hold a cue, one of the rarest terms of some template: a passage that shares
+only a template's other terms can't reach the threshold (their part of the template's norm is an upper bound of
 the cosine), so no match is lost. Each distinct text is scored once.
 
 A licence file is a file a quarter of whose words are in its best passage. It sets the licence of its directory;
@@ -29,7 +29,7 @@ from .common import broadcast_if_small, durable, salted_lookup
 THRESHOLD = 0.7
 #: Share of a file's words that its best passage must have for a licence file.
 FILE_SHARE = 0.25
-SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+LETTER, SEPARATORS = r"[a-z0-9\x{80}-\x{10FFFF}]", r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 # Notices and short texts of well-known licences.
 TEMPLATES: list[tuple[str, str]] = [
@@ -81,12 +81,12 @@ def weigh(templates: list[tuple[str, str]], n: int, df: dict[str, int]) -> tuple
     return idf, rows
 
 
-def cues(vectors: list[tuple[int, str, str, float]], threshold: float) -> list[str]:
-    """Of each template its heaviest terms, so many that the rest is less than ``threshold`` of its norm."""
+def cues(vectors: list[tuple[int, str, str, float]], idf: dict[str, float], threshold: float) -> list[str]:
+    """Of each template its rarest terms, so many that the rest is less than ``threshold`` of its norm."""
     found = set()
     for k in {v[0] for v in vectors}:
         rest = 1.0
-        for w, t in sorted(((w, t) for n, _, t, w in vectors if n == k), reverse=True):
+        for _, t, w in sorted((-idf[t], t, w) for n, _, t, w in vectors if n == k):
             if rest < threshold**2 - 1e-9:
                 break
             found.add(t)
@@ -99,7 +99,7 @@ def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     spark = docs.sparkSession
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
     idf, vectors = weigh(templates, *document_frequencies(docs, vocabulary))
-    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(cues(vectors, threshold)) + ")"
+    cue = rf"(?i)(?<!{LETTER})(?:" + "|".join(cues(vectors, idf, threshold)) + rf")(?!{LETTER})"
     maybe = F.coalesce("text", F.lit("")).rlike(cue)
     texts = docs.where(maybe).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.first("text").alias("text"))
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("text").alias("part")))

@@ -91,7 +91,7 @@ def test_cues_keep_every_match():
     docs = [(i, None, t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
     df = Counter(t for _, _, x in docs for t in licenses.terms_of(x))
     idf, vectors = licenses.weigh(licenses.TEMPLATES, len(docs), df)
-    chosen = set(licenses.cues(vectors, licenses.THRESHOLD))
+    chosen = set(licenses.cues(vectors, idf, licenses.THRESHOLD))
     for k in {v[0] for v in vectors}:
         assert math.sqrt(sum(w * w for n, _, t, w in vectors if n == k and t not in chosen)) < licenses.THRESHOLD
 
