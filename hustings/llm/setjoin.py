@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, durable, forget, salted_lookup
 
 #: Sets and items that one side of a task holds on average (items take 8 bytes).
-BLOCK_SETS, BLOCK_ITEMS = 2048, 1 << 21
+BLOCK_SETS, BLOCK_ITEMS = 1024, 1 << 19
 #: Columns of an incidence matrix that are multiplied at once.
 _COLUMNS = 4096
 
