@@ -34,7 +34,7 @@ from .common import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Chunks of up to so many characters are solved together, all of one length at a time.
 TOGETHER = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
