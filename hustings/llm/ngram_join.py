@@ -8,8 +8,9 @@ Recall: a pair at the threshold itself shares a band with probability ``RECALL``
 every candidate is verified, so no reported link is wrong. There is no cap on buckets, candidates or partners.
 
 Cases: a text of fewer than five words is one n-gram of all its words; null and empty texts have none, no links and
-a class of their own; a repeated id is one document whose links are those of any of its texts; repeated rows count
-as copies; an empty table gives no rows; further columns are ignored.
+a class of their own; a row with a null id adds no link and has the class of an equal text; a repeated id is one
+document whose links are those of any of its texts; repeated rows count as copies; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations

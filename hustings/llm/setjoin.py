@@ -21,12 +21,24 @@ from .common import broadcast_if_small, durable, forget, salted_lookup
 
 #: Sets and items that one side of a task holds on average (items take 8 bytes).
 BLOCK_SETS, BLOCK_ITEMS = 1024, 1 << 19
+#: Edges from which a node is a hub, and the tasks that a hub's edges are dealt to.
+HUB_EDGES, SALTS = 2000, 32
 #: Columns of an incidence matrix that are multiplied at once.
 _COLUMNS = 4096
 
 _FOUND = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
+def _with_minimum(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the m of their u (minima: u, m, n edges). The edges of a hub, which may have a third of all
+    nodes as neighbours, are dealt to ``SALTS`` tasks. Hubs are at most one in ``HUB_EDGES`` edges, so few to broadcast."""
+    hubs = minima.where(F.col("n") > HUB_EDGES).select("u", F.lit(True).alias("__hub"))
+    salt = F.when(F.col("__hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = edges.join(F.broadcast(hubs), "u", "left").withColumn("__salt", salt).drop("__hub")
+    right = minima.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HUB_EDGES, SALTS - 1).otherwise(0)))).drop("n")
+    return left.join(right, ["u", "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of ``edges`` (a, b), by alternating star contraction.
 
@@ -37,11 +49,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # A hub may have a third of all nodes as neighbours: the look-ups of its minimum are salted.
-        large = salted_lookup(both, least, "u", "v", how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_lookup(large, lower, "u", "v", how="inner").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_minimum(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_minimum(large, lower).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         new = durable(small.where("u <> v").distinct(), "edges")
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(e)

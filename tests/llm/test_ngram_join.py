@@ -123,7 +123,7 @@ def test_shingles_are_those_of_the_words(a, b):
     assert len(np.unique(mixed(np.arange(100, dtype=np.uint64)))) == 100
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
     root = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -135,6 +135,13 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in setjoin.components(df).collect()} == root
 
 
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HUB_EDGES", 3)
+    edges = [(500, k) for k in range(40)] + [(k, 600 + k) for k in range(40)] + [(1000, 1001), (1001, 1002)]
+    got = {r.node: r.component for r in setjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 1000} and len(got) == 84
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
