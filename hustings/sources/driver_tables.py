@@ -16,9 +16,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roll_id, member_key, choice (yes / no / absent), vote_date: one row for each roll and member.
 
-    A member's first line item decides. The minimum of a struct combines before the shuffle, unlike a window.
+    A member's first line item decides. Line items are dealt by roll call, which serves this grouping and every later
+    one by roll call: with few members (a broadcast) a split is one shuffle of the line items.
     """
-    line = read(spark, sf_dir, "lineitem")
+    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag").repartition("l_partkey")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     first = line.groupBy(F.col("l_partkey").alias("roll_id"), F.col("l_suppkey").alias("member_key")).agg(F.min(order).alias("f"))
     flag = F.col("f.l_returnflag")
