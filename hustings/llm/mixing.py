@@ -6,9 +6,10 @@ nested histograms: the bucket in which the budget runs out is refined into finer
 at last by the single hash values of what is left. Documents are never sorted; each is kept or left by comparing
 its own hash with its source's threshold. A larger budget keeps a superset (nested thresholds).
 
-Cases: a null text has size 0; a null source is a source of its own, ranked last; sources of size 0 get target 0;
-an empty table gives no rows; rows that repeat a document id share a hash and so cross a threshold together, each
-taking the same part of what is left; further columns of the input are ignored.
+Cases: a null text has size 0; a document of no words stays or goes by its hash like any other; a null source is a
+source of its own, ranked last; sources of size 0 get target 0; an empty table gives no rows; rows that repeat a
+document id share a hash and so cross a threshold together, each taking the same part of what is left; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@ from __future__ import annotations
 import corpus_pipeline
 from hustings.llm import classifier, mixing, ngram_join, secrets, wfst
 
+from .helpers import documents
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -37,3 +39,20 @@ def test_stages_in_order(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and out.count() > 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing further columns, empty tables."""
+    rows = [(1, None, None), (2, "", "a"), (3, "the cat sat on the mat. " * 9000, "a"), (4, "password=abcdefgh12345", "b"), (4, "password=abcdefgh12345", "b"), (None, "a row without an id", "b"), (6, "tie tie tie", None), (7, "tie tie tie", None)]
+    for data in (rows, []):
+        for extra in (False, True):
+            docs = documents(spark, data, extra=extra)
+            kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+            assert sorted(kept.select("doc_id").collect(), key=str) == sorted([(d,) for d in ([1, 2, 3, 4, None, 6] if data else [])], key=str)
+            clean = corpus_pipeline.redact_secrets(spark, docs, SF)
+            assert clean.count() == len(data) and clean.where("text like '%abcdefgh%'").count() == 0
+            mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+            assert mixed.columns == kept.columns == clean.columns == docs.columns
+            assert all(r["count"] <= 3 * sum(d == r.doc_id for d, *_ in data) for r in mixed.groupBy("doc_id").count().collect())
+            assert corpus_pipeline.tokenise(spark, docs, SF).count() == len(data)
+            assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
