@@ -30,8 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+# A name may have further parts: prefixes and suffixes joined by _ or -, or by a change of case. Only letters and
+# digits bar a short word (compass, author); the words of ASSIGN may end any name. A quoted value ends at its quote.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|bearer)\b["']?[\x20\t]*(?:[:=]|\bis\b)[\x20\t]*["']?([^\s"'|]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)|secret|token|api[_-]?key|(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass|pwd|auth|credentials?|bearer|"""
+    r"""(?:access|private|secret|encryption|signing|master|account|client|session|shared|storage|service|deploy|app|ssh|hmac|aes|jwt)[_-]?key))"""
+    r"""(?:[0-9]++|(?-i:(?<=[a-z])(?=[A-Z])[A-Za-z0-9]++)|s)?(?![A-Za-z0-9])(?:[_-]++[A-Za-z0-9]++)*+["']?[\x20\t]*+(?:[:=]|\bis\b)[\x20\t]*+"""
+    r"""(?:"((?:[^"\\\r\n]|\\.){6,}+)"|'((?:[^'\\\r\n]|\\.){6,}+)'|["']?([^\s"'|]{6,}))""",
     re.A | re.I,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "auth", "credential", "key", "bearer")
@@ -76,13 +81,7 @@ def _runs(v: str, joined) -> Iterator[tuple[int, int]]:
 
 
 def alphabet(v: str) -> float:
-    """log10 of the number of characters that brute force must try at each place.
-
-    Letters alone in one case read as a word of some language: about four likely letters at each place.
-    """
-    word = v.rstrip(".,;:!?)")
-    if word.isalpha() and word[1:] == word[1:].lower():
-        return log10(4)
+    """log10 of the number of characters that brute force must try at each place."""
     n = 26 * any(c.islower() for c in v) + 26 * any(c.isupper() for c in v) + 10 * any(c.isdigit() for c in v) + 33 * any(not c.isalnum() for c in v)
     return log10(16 if all(c in "0123456789abcdef" for c in v) else max(n, 10))
 
@@ -141,8 +140,8 @@ def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int,
     if any(w in low for w in CONTEXT_WORDS):
         covered = sorted((s, e) for _, _, _, s, e in found)
         for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
-            if not any(a < e and s < b for a, b in covered) and guess_cost(m[1])[0] >= min_log10:
+            s, e = m.span(m.lastindex)
+            if not any(a < e and s < b for a, b in covered) and guess_cost(text[s:e])[0] >= min_log10:
                 found.append((s, e, "guess", s, e))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

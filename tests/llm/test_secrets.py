@@ -90,3 +90,21 @@ def test_edges(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
     done = secrets.redact(documents(spark, rows, extra=True))
     assert {r.doc_id: (r.text, r.n_chars) for r in done.collect()}[3] == ("password=[SECRET]", 17) and done.columns[-1] == "copies"
+
+
+def test_names_with_prefixes_and_suffixes_open_a_context():
+    value = "x9$Lq2!vT8#z"
+    for name in ("AWS_SECRET_ACCESS_KEY", "secret_key", "db_pwd", "encryption_key", "DB_PASSWORD", "auth_token_v2", "dbPassword", "PGPASSWORD", "clientSecret1", "x-auth"):
+        for text in (f"{name}={value}", f'"{name}": "{value}"', f"{name} = '{value}' # note"):
+            assert secrets.redact_text(text) == text.replace(value, "[SECRET]"), text
+    assert secrets.redact_text('client_secret="p@ss-w0rd!x"') == 'client_secret="[SECRET]"'
+    assert secrets.redact_text("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == "AWS_SECRET_ACCESS_KEY=[SECRET]"
+    for text in ("compass: x9$Lq2!vT8#z", "author: x9$Lq2!vT8#z", "password_hint: welcome"):
+        assert secrets.find_spans(text) == []
+
+
+def test_quoted_values_and_letters_are_priced_whole():
+    assert secrets.redact_text('passphrase: "correct horse battery staple" # ours') == 'passphrase: "[SECRET]" # ours'
+    assert secrets.redact_text("pwd = 'a \\' quoted b' x") == "pwd = '[SECRET]' x"
+    assert secrets.redact_text("pwd: qzkvwmtrbh") == "pwd: [SECRET]"
+    assert secrets.redact_text('pwd: "x9$Lq2!vT8#z') == 'pwd: "[SECRET]'  # no closing quote
