@@ -2,7 +2,7 @@
 
 A value that follows a credential word (``pwd = ...``, ``"auth": "..."``) is cut into words, dates, repeats,
 keyboard walks and brute-force characters so that the sum of log10 guesses is least. A value that costs at least
-``MIN_LOG10`` is a secret even where no fixed pattern names it. The segmentation takes time in proportion to the
+``MIN_LOG10`` is a secret even where no fixed pattern names it, or one names only a part of it. The segmentation takes time in proportion to the
 value: words are bounded in length, and repeats and walks are maximal runs.
 
 Cases: a null text is empty and has no spans; texts are scanned whole, however long; spans are code points with
@@ -141,7 +141,7 @@ def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int,
         covered = sorted((s, e) for _, _, _, s, e in found)
         for m in CONTEXT.finditer(text):
             s, e = m.span(m.lastindex)
-            if not any(a < e and s < b for a, b in covered) and guess_cost(text[s:e])[0] >= min_log10:
+            if not any(a <= s and e <= b for a, b in covered) and guess_cost(text[s:e])[0] >= min_log10:
                 found.append((s, e, "guess", s, e))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

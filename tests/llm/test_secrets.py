@@ -108,3 +108,10 @@ def test_quoted_values_and_letters_are_priced_whole():
     assert secrets.redact_text("pwd = 'a \\' quoted b' x") == "pwd = '[SECRET]' x"
     assert secrets.redact_text("pwd: qzkvwmtrbh") == "pwd: [SECRET]"
     assert secrets.redact_text('pwd: "x9$Lq2!vT8#z') == 'pwd: "[SECRET]'  # no closing quote
+
+
+def test_a_value_beyond_its_base_span_is_costed_whole():
+    text = "password = Tr0ub4dor&3-horse; token=abcdefgh1234"
+    assert [(k, text[s:e]) for *_, k, s, e in secrets.find_spans(text)] == [("assign", "Tr0ub4dor"), ("guess", "Tr0ub4dor&3-horse;"), ("assign", "abcdefgh1234")]
+    assert secrets.redact_text(text) == "password = [SECRET] token=[SECRET]"
+    assert secrets.redact_text('"password": "Tr0ub4dor&3 horse", x') == '"password": "[SECRET]", x'
