@@ -7,7 +7,8 @@ equal integers vote for their offset; the offset with the most votes is verified
 the whole overlap.
 
 A search compares a stated set of queries with all recordings in blocks: tasks hold a bounded number of integers of
-either side, and each recording keeps its best alignment. No recording, query or integer is left out.
+either side. Recordings with equal integers are one class, and every verified link between a class and a class of
+queries is kept; each recording also tells its best alignment. No recording, query, link or integer is left out.
 
 Cases: null or empty samples, and recordings shorter than a frame and the filters, have no integers and no
 alignment; silence has the integers of silence; a recording is not aligned with a query of its own id; repeated rows
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import broadcast_if_small, durable, salted_lookup, small_batches
 
 #: Frames that the widest filter covers.
 WIDTH = 16
@@ -176,20 +177,17 @@ def histogram_offsets(rows: list[np.ndarray], queries: list[np.ndarray], min_vot
     return out
 
 
-_ALIGNED = pa.schema([("rec_id", pa.int64()), ("bit_error", pa.float64()), ("votes", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64())])
+_LINKED = pa.schema([("key", pa.string()), ("query_key", pa.string()), ("bit_error", pa.float64()), ("votes", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64())])
 
 
-def align(prints: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
-    """The best alignment of each recording of ``prints`` with a query (rec_id, codes; durable tables both): rec_id,
-    query_id, offset (frames by which the query starts later), votes, overlap, bit_error. Others have no row."""
-    distinct = queries.where(F.size("codes") > 0).groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.max("rec_id").alias("other"))
-    # Of queries with equal integers the smallest id answers, and to that recording itself the largest.
-    r = prints.where(F.size("codes") > 0)
+def links(classes: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
+    """Every verified link of a class with a class of queries (key and codes, one row a key; durable tables both): key,
+    query_key, offset (frames by which the query starts later), votes, overlap, bit_error. A class links to itself too."""
     total = lambda df: int(df.agg(F.coalesce(F.sum(F.size("codes").cast("long")), F.lit(0))).first()[0])
-    blocks, chunks = max(1, -(-total(queries) // QUERY_CODES)), max(1, -(-total(r) // ROW_CODES))
+    blocks, chunks = max(1, -(-total(queries) // QUERY_CODES)), max(1, -(-total(classes) // ROW_CODES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = r.withColumn("chunk", F.pmod(F.xxhash64("rec_id", F.lit(3)), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))
-    right = distinct.withColumn("block", F.pmod(F.xxhash64("rec_id", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
+    left = classes.select("key", "codes", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
+    right = queries.select("key", "codes", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         def arrays(t: pa.Table) -> list[np.ndarray]:
@@ -198,29 +196,52 @@ def align(prints: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES, max
             return [flat[at[i] : at[i + 1]] for i in range(len(c))]
 
         if not a.num_rows or not b.num_rows:
-            return _ALIGNED.empty_table()
+            return _LINKED.empty_table()
         rows, asked = arrays(a), arrays(b)
-        ids, qids, others = a.column("rec_id").to_pylist(), b.column("rec_id").to_pylist(), b.column("other").to_pylist()
-        best: dict[int, tuple] = {}
+        keys, query_keys = a.column("key").to_pylist(), b.column("key").to_pylist()
+        found = []
         for i, j, offset, votes in histogram_offsets(rows, asked, min_votes):
-            query = qids[j] if qids[j] != ids[i] else others[j]
             error, overlap = bit_error(rows[i], asked[j], offset)
-            if query != ids[i] and error <= max_bit_error:
-                found = (error, -votes, query, offset, overlap)
-                best[i] = min(best.get(i, found), found)
-        cols = [[ids[i] for i in best], *([f[k] * (-1 if k == 1 else 1) for f in best.values()] for k in range(5))]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _ALIGNED.types)], schema=_ALIGNED)
+            if error <= max_bit_error:
+                found.append((keys[i], query_keys[j], error, votes, offset, overlap))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 6, _LINKED.types)], schema=_LINKED)
 
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, "rec_id long, bit_error double, votes long, query_id long, offset long, overlap long")
-    least = found.groupBy("rec_id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("v"), "query_id", "offset", "overlap")).alias("m"))
-    return least.select("rec_id", "m.query_id", "m.offset", (-F.col("m.v")).alias("votes"), "m.overlap", "m.bit_error")
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, "key string, query_key string, bit_error double, votes long, offset long, overlap long")
+
+
+def _best(id_col: str | None) -> Column:
+    """The best of ``links``: of a class of queries the smallest id answers, and to that recording itself the largest."""
+    query = lambda x: x["query_id"] if id_col is None else F.when(x["query_id"] == F.col(id_col), x["other"]).otherwise(x["query_id"])
+    each = F.transform("links", lambda x: F.struct(x["bit_error"].alias("bit_error"), (-x["votes"]).alias("v"), query(x).alias("query_id"), x["offset"].alias("offset"), x["overlap"].alias("overlap")))
+    return F.array_min(each if id_col is None else F.filter(each, lambda x: x["query_id"] != F.col(id_col)))
 
 
 def search(media: DataFrame, id_col: str, every: int = 100, sound: Sound = Sound()) -> DataFrame:
-    """Fingerprints of all recordings (rec_id, pcm) and the best alignment of each with the queries, the recordings
-    whose id ``every`` divides: one row a recording, with nulls where no query aligns."""
-    prints = durable(fingerprints(media, id_col, sound=sound), "prints")
-    asked = durable(prints.where(F.pmod("rec_id", F.lit(every)) == 0), "queries")
-    found = align(prints, asked)
+    """Fingerprints of all recordings (rec_id, pcm) and their alignments with the queries, the recordings whose id
+    ``every`` divides: one row a recording.
+
+    class_id is the smallest id of the recordings with the same fingerprint. The row of that id has in ``links`` every
+    verified link of its class: class_id, number (n_queries) and smallest id of the queries of the other class, and how
+    they align. The queries that a recording meets are the members, among the queries and besides itself, of the
+    classes linked to its class. Its best alignment stands in the columns query_id to bit_error, null if there is none.
+    """
     hexed = F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.hex(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-    return prints.join(found, "rec_id", "left").select(F.col("rec_id").alias(id_col), F.size("codes").cast("long").alias("n_codes"), hexed.alias("fingerprint"), "query_id", "offset", "votes", "overlap", "bit_error")
+    printed = fingerprints(media, id_col, sound=sound).withColumn("fingerprint", hexed)
+    prints = durable(printed.withColumn("key", F.when(F.size("codes") > 0, F.sha2("fingerprint", 256))), "prints")
+    heard = prints.where(F.col("key").isNotNull())
+    asked = durable(heard.where(F.pmod("rec_id", F.lit(every)) == 0).select("key", "rec_id").distinct(), "queries")
+    classes = durable(heard.groupBy("key").agg(F.min("codes").alias("codes"), F.min("rec_id").alias("class_id")), "classes")
+    groups = durable(asked.groupBy("key").agg(F.min("rec_id").alias("query_id"), F.max("rec_id").alias("other"), F.count(F.lit(1)).alias("n_queries")).join(classes, "key"), "groups")
+    found = durable(links(classes, groups), "links")
+    ends = broadcast_if_small(groups.select(F.col("key").alias("query_key"), F.col("class_id").alias("query_class"), "query_id", "other", "n_queries"))
+    one = F.struct("query_class", "query_id", "n_queries", "other", "offset", "votes", "overlap", "bit_error")
+    linked = durable(found.join(ends, "query_key").groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("links")), "linked")
+    narrow = durable(classes.select("key", "class_id").join(linked.select("key", _best(None).alias("best")), "key", "left"), "best")
+    own = salted_lookup(asked, linked.join(groups.select("key"), "key", "left_semi"), "key", "rec_id", how="inner").select("key", "rec_id", _best("rec_id").alias("own"), F.lit(True).alias("asks"))
+    shown = F.transform("links", lambda x: x.dropFields("other"))
+    tops = linked.join(classes.select("key", "class_id"), "key").select("key", F.col("class_id").alias("rec_id"), shown.alias("links"))
+    rows = salted_lookup(prints.withColumn("n_codes", F.size("codes").cast("long")).drop("codes"), narrow, "key", "rec_id")
+    rows = rows.join(own, ["key", "rec_id"], "left").join(tops, ["key", "rec_id"], "left").withColumn("m", F.when(F.col("asks"), F.col("own")).otherwise(F.col("best")))
+    return rows.select(
+        F.col("rec_id").alias(id_col), "n_codes", "fingerprint", "m.query_id", "m.offset", (-F.col("m.v")).alias("votes"), "m.overlap", "m.bit_error", "class_id", "links"
+    )

@@ -96,3 +96,27 @@ def test_bit_error(offset):
     pairs = [(a[p + offset], b[p]) for p in range(25) if 0 <= p + offset < 20]
     want = sum(bin(int(x ^ y)).count("1") for x, y in pairs) / 32 / len(pairs) if pairs else 1.0
     assert C.bit_error(a, b, offset) == (pytest.approx(want), len(pairs))
+
+
+def test_every_verified_link_is_returned(spark):
+    """Links and classes, spread over their members, are the verified pairs of all recordings with all queries."""
+    hop = C.Sound().hop
+    song, other = tune(1, 90), tune(2, 90)
+    noisy = (song + np.random.default_rng(5).normal(0, 400, len(song))).astype("<i2")
+    sounds = [(100, song), (200, song[10 * hop :]), (300, song), (400, noisy), (500, other), (7, song[20 * hop :]), (8, song), (9, other), (10, np.concatenate([song, other])), (11, tune(3, 90)), (12, None), (8, song)]
+    rows = C.search(media(spark, sounds), "rec").collect()
+    codes = {k: C.packed(C.chroma(s)) for k, s in sounds if s is not None}
+    want = set()
+    for k, a in codes.items():
+        for q in (x for x in codes if x % 100 == 0 and x != k):
+            for *_, offset, _ in C.histogram_offsets([a], [codes[q]]):
+                if C.bit_error(a, codes[q], offset)[0] <= C.MAX_BIT_ERROR:
+                    want.add((k, q, offset))
+    members = {}
+    for r in rows:
+        members.setdefault(r.class_id, set()).add(r.rec)
+    got = {(k, q, x.offset) for r in rows for x in r.links or [] for k in members[r.class_id] for q in members[x.query_class] if q % 100 == 0 and q != k}
+    assert got == want and len(rows) == len(sounds)
+    assert {q for k, q, _ in got if k == 7} == {100, 200, 300, 400} and {q for k, q, _ in got if k == 100} == {200, 300, 400}
+    assert {q for k, q, _ in got if k == 10} > {500} and all(x.n_queries == sum(q % 100 == 0 for q in members[x.query_class]) for r in rows for x in r.links or [])
+    assert {(r.rec, r.query_id) for r in rows} <= {(k, q) for k, q, _ in want} | {(500, None), (11, None), (12, None)}
