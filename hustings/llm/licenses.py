@@ -2,8 +2,9 @@
 directory with a licence file (DataFrame functions only).
 
 Terms are runs of letters and digits in lower case. The weight of a template's term is its count times its inverse
-document frequency over all documents; other terms weigh their count. A passage is a line of a file, or the whole
-file. Lines are scored only if they hold a cue, one of the rarest terms of some template: a passage that shares
+document frequency over all documents; other terms weigh their count. A passage is a line of a file, the whole
+file, or a run of adjacent lines (those without terms aside) that ends where it has as many terms as some template:
+a notice wrapped over lines. Lines and runs are scored only if they hold a cue, one of the rarest terms of some template: a passage that shares
 only a template's other terms can't reach the threshold (their part of the template's norm is an upper bound of
 the cosine), so no match is lost. Each distinct text is scored once.
 
@@ -21,7 +22,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, salted_lookup
@@ -94,6 +95,25 @@ def cues(vectors: list[tuple[int, str, str, float]], idf: dict[str, float], thre
     return sorted(found)
 
 
+def _runs(lines: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
+    """The passages (digest, k, more, part) of several of ``lines`` (digest, k, part) that hold a cue: from each line on,
+    as many more lines as it takes to have each of ``lengths`` terms."""
+    order, far = Window.partitionBy("digest").orderBy("k"), max(lengths) - 1
+    told = lines.withColumn("n", F.size(terms(F.col("part")))).where("n > 0").withColumn("cued", F.col("part").rlike(cue))
+    near = told.withColumn("near", F.max("cued").over(order.rowsBetween(-far, far))).where("near")
+    ahead = near.withColumn("ahead", F.collect_list(F.struct("n", "cued", "part")).over(order.rowsBetween(0, far))).where(F.exists("ahead", lambda x: x["cued"]))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+
+    def step(state: Column, x: Column) -> Column:
+        n = state["n"] + x["n"]
+        ends = F.exists(F.array(*map(F.lit, lengths)), lambda l: (state["n"] < l) & (n >= l))
+        return F.struct((state["i"] + 1).alias("i"), n.alias("n"), F.when(ends & (state["i"] > 0), F.array_append(state["ends"], state["i"])).otherwise(state["ends"]).alias("ends"))
+
+    runs = ahead.select("digest", "k", "ahead", F.explode(F.aggregate("ahead", start, step)["ends"]).alias("more"))
+    run = runs.select("digest", "k", "more", F.slice("ahead", F.lit(1), F.col("more") + 1).alias("run"))
+    return run.where(F.exists("run", lambda x: x["cued"])).select("digest", "k", "more", F.array_join("run.part", "\n").alias("part"))
+
+
 def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[DataFrame, Column]:
     """(digest, licence, similarity, share) for each distinct text that matches, and the test for texts that may."""
     spark = docs.sparkSession
@@ -101,18 +121,21 @@ def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     idf, vectors = weigh(templates, *document_frequencies(docs, vocabulary))
     cue = rf"(?i)(?<!{LETTER})(?:" + "|".join(cues(vectors, idf, threshold)) + rf")(?!{LETTER})"
     maybe = F.coalesce("text", F.lit("")).rlike(cue)
+    lengths = sorted({sum(terms_of(text).values()) for _, text in templates})
     texts = docs.where(maybe).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.first("text").alias("text"))
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("text").alias("part")))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("k"), x.alias("part")))
-    parts = texts.select("digest", F.explode(F.concat(whole, F.filter(lines, lambda x: x["part"].rlike(cue)))).alias("p")).select("digest", "p.k", "p.part")
-    counted = parts.select("digest", "k", F.explode(terms(F.col("part"))).alias("term")).groupBy("digest", "k", "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = texts.select("digest", F.explode(F.concat(whole, F.filter(lines, lambda x: x["part"].rlike(cue)))).alias("p")).select("digest", "p.k", F.lit(0).alias("more"), "p.part")
+    parts = parts.unionByName(_runs(texts.select("digest", F.explode(lines).alias("p")).select("digest", "p.k", "p.part"), cue, lengths))
+    passage = ["digest", "k", "more"]
+    counted = parts.select(*passage, F.explode(terms(F.col("part"))).alias("term")).groupBy(*passage, "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {x!r}D)" for t, x in idf.items()) + " AS t(term, idf)"))
     counted = durable(counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0))).drop("idf"), "terms")
-    norms = counted.groupBy("digest", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
+    norms = counted.groupBy(*passage).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
     units = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', '{t}', {u!r}D)" for k, name, t, u in vectors) + " AS t(n, licence, term, u)"))
-    dots = counted.join(units, "term").groupBy("digest", "k", "n", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    scored = dots.join(norms, ["digest", "k"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence", "k", "words")).alias("b"))
+    dots = counted.join(units, "term").groupBy(*passage, "n", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    scored = dots.join(norms, passage).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence", "k", "more", "words")).alias("b"))
     all_words = norms.where("k = -1").select("digest", F.col("words").alias("all_words"))
     return best.join(all_words, "digest").select("digest", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), (F.col("b.words") / F.col("all_words")).alias("share")), maybe
 

@@ -103,3 +103,15 @@ def test_agrees_with_oracle(spark):
 def test_plan_has_no_python(spark):
     plan = QUERIES["op4_license_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_notices_atop_long_files_are_found(spark):
+    """Comment blocks, wrapped at 72 columns, above 300 lines of code."""
+    import textwrap
+
+    code = "\n".join(f"    value_{i} = compute(alpha_{i}, beta_{i})" for i in range(300))
+    notices = [(k, name, text) for k, (name, text) in enumerate(licenses.TEMPLATES) if len(text) > 150]
+    rows = [(k, f"src/{k}.py", f"# {name} file\n#\n" + "\n#\n".join(textwrap.fill(x, 72, initial_indent="# ", subsequent_indent="# ") for x in (text[: len(text) // 2 + text[len(text) // 2 :].index(" ")], text[len(text) // 2 + text[len(text) // 2 :].index(" ") :])) + "\n" + code) for k, name, text in notices]
+    got = {r.doc_id: r for r in scan(spark, rows + [(99, "src/x.py", code)]).collect()}
+    assert {k: got[k].licence for k, _, _ in notices} == {k: name for k, name, _ in notices} and len(notices) >= 5
+    assert all(got[k].similarity > 0.9 and not got[k].licence_file for k, _, _ in notices) and got[99].licence is None
