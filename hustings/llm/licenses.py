@@ -8,8 +8,8 @@ a notice wrapped over lines. Lines and runs are scored only if they hold a cue,
 only a template's other terms can't reach the threshold (their part of the template's norm is an upper bound of
 the cosine), so no match is lost. Each distinct text is scored once.
 
-A licence file is a file a quarter of whose words are in its best passage. It sets the licence of its directory;
-where several do, the most similar one does. A file without a licence of its own takes that of its nearest ancestor.
+A licence file is a file a quarter of whose words are in one matching passage. It sets that passage's licence for its
+directory (the whole file's before a part's, then the most similar one's); where several do, the most similar one does. A file without a licence of its own takes that of its nearest ancestor.
 
 Cases: null and empty texts have no licence of their own; null paths lie in the root directory; ties go to the
 template first by name, then to the whole file and the first line; rows that repeat give repeated results; an empty
@@ -114,8 +114,8 @@ def _runs(lines: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
     return run.where(F.exists("run", lambda x: x["cued"])).select("digest", "k", "more", F.array_join("run.part", "\n").alias("part"))
 
 
-def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[DataFrame, Column]:
-    """(digest, licence, similarity, share) for each distinct text that matches, and the test for texts that may."""
+def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, file_share: float) -> tuple[DataFrame, Column]:
+    """(digest, licence, similarity, file_licence, file_similarity) for each distinct text that matches, and the test for texts that may."""
     spark = docs.sparkSession
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
     idf, vectors = weigh(templates, *document_frequencies(docs, vocabulary))
@@ -135,9 +135,11 @@ def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     units = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', '{t}', {u!r}D)" for k, name, t, u in vectors) + " AS t(n, licence, term, u)"))
     dots = counted.join(units, "term").groupBy(*passage, "n", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     scored = dots.join(norms, passage).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence", "k", "more", "words")).alias("b"))
     all_words = norms.where("k = -1").select("digest", F.col("words").alias("all_words"))
-    return best.join(all_words, "digest").select("digest", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), (F.col("b.words") / F.col("all_words")).alias("share")), maybe
+    order = [(-F.col("similarity")).alias("s"), "licence", "k", "more"]
+    large = F.when(F.col("words") / F.col("all_words") >= file_share, F.struct((F.col("k") >= 0).alias("part"), *order))
+    best = scored.join(all_words, "digest").groupBy("digest").agg(F.min(F.struct(*order)).alias("b"), F.min(large).alias("f"))
+    return best.select("digest", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("f.licence").alias("file_licence"), (-F.col("f.s")).alias("file_similarity")), maybe
 
 
 def parent(path: Column) -> Column:
@@ -145,10 +147,10 @@ def parent(path: Column) -> Column:
 
 
 def nearest_licences(files: DataFrame) -> DataFrame:
-    """dir, from_dir, dir_licence for each directory of ``files`` (path, licence, similarity, licence_file) that has a
+    """dir, from_dir, dir_licence for each directory of ``files`` (path, file_licence, file_similarity) that has a
     licence or lies below one that has."""
     placed = files.withColumn("dir", parent(F.coalesce("path", F.lit(""))))
-    set_by = placed.where("licence_file").groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence", "path")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.licence").alias("dir_licence"))
+    set_by = placed.where("file_licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("file_similarity")).alias("s"), "file_licence", "path")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.file_licence").alias("dir_licence"))
     steps = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), i), "/"))))
     dirs = placed.select("dir").distinct().select("dir", F.posexplode(steps).alias("depth", "from_dir"))
     found = salted_lookup(dirs, set_by, "from_dir", "dir", how="inner")
@@ -158,11 +160,11 @@ def nearest_licences(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """One row for each row of ``files`` (doc_id, path, text): doc_id, path, licence (its own), similarity,
     licence_file, effective_licence (its own or the nearest directory's), from_dir (null: its own or none)."""
-    matches, maybe = _matches(files, templates or TEMPLATES, threshold)
+    matches, maybe = _matches(files, templates or TEMPLATES, threshold, file_share)
     digest = F.when(maybe, F.md5(F.col("text").cast("binary")))
     rows = files.select("doc_id", "path", digest.alias("digest"))
     found = broadcast_if_small(durable(matches, "licences"))
-    own = durable(rows.join(found, "digest", "left").withColumn("licence_file", F.coalesce(F.col("share") >= file_share, F.lit(False))).drop("digest", "share"), "files")
+    own = durable(rows.join(found, "digest", "left").withColumn("licence_file", F.col("file_licence").isNotNull()).drop("digest"), "files")
     near = durable(nearest_licences(own), "dirs")
     placed = own.withColumn("dir", parent(F.coalesce("path", F.lit(""))))
     joined = salted_lookup(placed, near, "dir", "path")

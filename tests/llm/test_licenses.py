@@ -115,3 +115,12 @@ def test_wrapped_notices_atop_long_files_are_found(spark):
     got = {r.doc_id: r for r in scan(spark, rows + [(99, "src/x.py", code)]).collect()}
     assert {k: got[k].licence for k, _, _ in notices} == {k: name for k, name, _ in notices} and len(notices) >= 5
     assert all(got[k].similarity > 0.9 and not got[k].licence_file for k, _, _ in notices) and got[99].licence is None
+
+
+def test_any_large_passage_makes_a_licence_file(spark):
+    """A short line that matches better than the whole text leaves the file a licence file."""
+    bsd = max((x for name, x in licenses.TEMPLATES if name == "BSD-3-Clause"), key=len)
+    rows = [(1, "b/LICENSE", "Copyright 2020 A. Uthor\nAll rights reserved.\n" + bsd), (2, "b/c/x.py", "print(1)"), (3, "m/LICENSE", "Released under the MIT License.\n" + MIT.replace(" sell ", " vend ")), (4, "m/x.py", "print(2)"), (5, "n/x.py", "All rights reserved.\n" + "code " * 50), (6, "n/y.py", "print(3)")]
+    got = {r.doc_id: r for r in scan(spark, rows).collect()}
+    assert got[1].licence == "All-Rights-Reserved" and [got[k].licence_file for k in (1, 3, 5)] == [True, True, False]
+    assert (got[2].effective_licence, got[2].from_dir) == ("BSD-3-Clause", "b") and (got[4].effective_licence, got[4].from_dir) == ("MIT", "m") and got[6].effective_licence is None
