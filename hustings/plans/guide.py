@@ -212,6 +212,18 @@ def race_order(spark: SparkSession, d: str) -> DataFrame:
     return first.select("race_id", F.row_number().over(W.orderBy(*G.race_order())).alias("position"))
 
 
+@query()
+def race_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every race of the guide with its position: its place within the state, after the races of the states before."""
+    from pyspark.sql import Window as W
+
+    every = races(spark, d)
+    within = every.select("race_id", "state", F.row_number().over(W.partitionBy("state").orderBy(*G.race_order())).alias("place"))
+    counts = every.groupBy("state").agg(F.count(F.lit(1)).alias("n"))  # one row a state
+    before = counts.select(F.col("state").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("state").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
+    return within.join(F.broadcast(before), F.col("state").eqNullSafe(F.col("of"))).select("race_id", (F.col("place") + F.col("skip")).cast("int").alias("position"))
+
+
 @query("SELECT s_nationkey % 3 AS chamber, CAST(sum(coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 5 END, 1)) AS BIGINT) AS seats, count(*) AS contests, count(DISTINCT s_nationkey) AS states FROM supplier GROUP BY 1")
 def slate_stats(spark: SparkSession, d: str) -> DataFrame:
     s = T.read(spark, d, "supplier").select((F.col("s_nationkey") % 3).alias("chamber"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 5).alias("seats"), F.col("s_nationkey").alias("state"))

@@ -156,3 +156,14 @@ def test_claims_of_sponsorship(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "roll_id long, member_key long, party string, choice string")
     assert split.party_split(none).count() == 0 and split.broke_with_party(none).count() == 0 and split.roll_tally(none).count() == 0
+
+
+def test_every_race_has_its_position(spark):
+    from hustings.operators import guide as G
+    from hustings.plans import guide, load
+
+    sf = "/root/testdata/sf0.001"
+    queries, _ = load()
+    want = [r.race_id for r in guide.races(spark, sf).orderBy(*G.race_order()).collect()]
+    got = sorted((r.position, r.race_id) for r in queries["race_order_all"](spark, sf).collect())
+    assert got == list(enumerate(want, 1)) and len(got) > 60
