@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 #: Code points in one streamed delta of ``events_of_turns``.
 DELTA_CHARS = 512
@@ -127,7 +127,6 @@ def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 1000) -> Iterato
 
 def reconstruct(events: DataFrame, template: Template = Template()) -> DataFrame:
     """The final messages of a log (conv_id, position, message, seq, event, role, text) with their rendered segments."""
-    small_batches(events.sparkSession)
     schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("message", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, salted_lookup, small_batches
+from .common import broadcast_if_small, durable, salted_lookup, slices
 
 #: Frames that the widest filter covers.
 WIDTH = 16
@@ -103,10 +103,9 @@ def packed(image: np.ndarray) -> np.ndarray:
 
 def fingerprints(media: DataFrame, id_col: str, pcm_col: str = "pcm", sound: Sound = Sound()) -> DataFrame:
     """rec_id and codes (packed integers) of each recording: little-endian 16-bit mono samples in ``pcm_col``."""
-    small_batches(media.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             codes = [packed(chroma(np.frombuffer(x[: len(x) // 2 * 2], "<i2"), sound)).view(np.int32) if x else np.zeros(0, np.int32) for x in batch.column("pcm").to_pylist()]
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(flat, pa.int32()))
@@ -118,10 +117,9 @@ def fingerprints(media: DataFrame, id_col: str, pcm_col: str = "pcm", sound: Sou
 def melodies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 0.0625, sound: Sound = Sound()) -> DataFrame:
     """Recordings for tables that hold vectors only: each component is one note of ``hop`` samples, ``scale`` of
     value a semitone around the middle of the octave above 440 Hz; what lies beyond is the lowest or highest note."""
-    small_batches(vectors.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sounds = []
             for v in batch.column("v").to_pylist():
                 steps = np.nan_to_num(np.array([0.0 if x is None else x for x in v or []], float)) / scale

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 #: Most labelled rows the model is fitted on; their features are all that reaches the driver (about 3 MB).
 MAX_TRAIN = 20_000
@@ -182,10 +182,9 @@ def held_out(doc_id: Column) -> Column:
 
 def feature_rows(docs: DataFrame) -> DataFrame:
     """doc_id and the array ``x`` of its text's features."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -208,10 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, **optio
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = predict(model, np.array([features(t or "") for t in batch.column("text").to_pylist()], float))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -221,10 +219,9 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = predict(model, np.array([features(t or "") for t in batch.column("text").to_pylist()], float))
             yield batch.filter(pa.array(s >= threshold))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (an id and a hash, under 64 bytes a row) up to which it is broadcast after being counted.
@@ -63,15 +64,43 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salt
 
     ``spread`` is a column of ``left`` whose hash deals a key's rows out. ``right`` is repeated ``salts`` times.
     """
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
-    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, "__salt"], how).drop("__salt")
+    salt = fresh("salt", left, right)
+    l = left.withColumn(salt, F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
+    r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return l.join(r, [key, salt], how).drop(salt)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def weighed_lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right`` (durable, one row a key), whose column ``rows`` tells how many rows of ``left`` have the key.
+
+    A key with more rows than a quarter of a mean partition is hot. At most four times as many keys as there are
+    partitions can be, so the table of them may be broadcast at any size of the input; each is dealt out by ``spread``
+    over as many tasks as bring it down to that size, and only its row of ``right`` is repeated.
+    """
+    parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    share = max(1, -(-total // parts))
+    salt, salts = fresh("salt", left, right), fresh("salts", left, right)
+    n = F.ceil(F.col(rows) / F.lit(share)).cast("int")
+    hot = right.where(F.col(rows) > share).select(*keys, n.alias(salts))
+    l = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(salts) > 1, F.pmod(F.xxhash64(spread), F.col(salts)).cast("int")).otherwise(0)).drop(salts)
+    r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > share, n - 1).otherwise(0))))
+    return l.join(r, [*keys, salt], how).drop(salt)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of ``tables`` has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (which Spark bounds in bytes) in views of few rows, so that a task turns few texts to Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

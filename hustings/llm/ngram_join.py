@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, small_batches
-from .setjoin import class_table, link_sets, lookup
+from .common import broadcast_if_small, durable, fresh, slices
+from .setjoin import class_table, distinct_sets, link_sets, lookup
 from .shingles import mixed, set_digest, shingle_set
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -74,11 +74,10 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 def signatures(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, d1, d2 (digest of the n-gram set), n (its size), keys (band hashes; null if the set is empty)."""
-    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t or "", words) for t in batch.column("text").to_pylist()]
             marks = [set_digest(s) for s in sets]
             keys = [signed(band_hashes(s, bands, rows)) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -90,40 +89,40 @@ def signatures(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
 
 
 def ngram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node (the document's id) and items, the hashes of its n-grams."""
+    """d1, d2, node (the document's id) and items, the hashes of its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([signed(shingle_set(t or "", words)) for t in batch.column("text").to_pylist()])], names=["node", "items"])
+        for batch in slices(batches):
+            sets = [shingle_set(t or "", words) for t in batch.column("text").to_pylist()]
+            marks = [set_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), batch.column("doc_id"), lists([signed(s) for s in sets])], names=["d1", "d2", "node", "items"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "node long, items array<long>")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "d1 long, d2 long, node long, items array<long>")
 
 
 def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest id that links lead to; else its own) and
     n_links (documents, copies among them, whose sets are at least ``threshold`` alike)."""
     sig = durable(signatures(docs, words, threshold, recall), "signatures")
-    filled = sig.where("n > 0 and doc_id is not null")
-    sets = durable(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-    with_keys = filled.join(sets, ["d1", "d2"]).where("doc_id = node").groupBy("d1", "d2").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("keys").alias("keys"))
-    keyed = durable(with_keys.select("node", "n", "copies", "keys"), "keyed")
-    links, edges = link_sets(keyed, lambda nodes: ngram_sets(lookup(docs, nodes), words), threshold)
+    sets = distinct_sets(sig)
+    links, edges = link_sets(sets, lambda nodes: ngram_sets(lookup(docs, nodes), words), threshold)
     return class_table(sig, sets, links, edges)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` without the documents of a class but the one with its smallest id; all columns stay.
 
-    Rows with a null id stay. Of rows that repeat an id and belong to one class, one stays.
+    Rows with a null id stay. Of rows that repeat an id, one stays (they are one document).
     """
     classes = durable(link(docs, words, threshold, recall), "classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = durable(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
     twice = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rest = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if twice.isEmpty():
         return rest
-    named = rest.withColumn("__row", F.monotonically_increasing_id())
-    extra = named.join(twice, "doc_id", "left_semi")
-    first = extra.groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
-    return named.join(twice, "doc_id", "left_anti").unionByName(extra.join(first, "__row", "left_semi"), allowMissingColumns=False).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    # Numbers are written down before they are compared: another run of the same rows may number them otherwise.
+    row = fresh("row", docs)
+    named = durable(rest.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = named.where("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias(row)).select(row)
+    none = named.where("doc_id is null")
+    return named.join(first, row, "left_semi").unionByName(none).select(*[F.col(f"`{c}`") for c in docs.columns])

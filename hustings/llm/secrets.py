@@ -20,7 +20,7 @@ from math import log10
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses (log10) from which a context value counts as a secret.
@@ -155,10 +155,9 @@ SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha25
 
 def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): counts, digest of the base spans, all spans."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 spans = find_spans(text or "", min_log10)
@@ -186,10 +185,9 @@ def redact_text(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]")
 
 def redact(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     """``docs`` with secret values replaced in ``text`` and ``n_chars`` counted anew where a text changed."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column("text").to_pylist()
             new = [t and redact_text(t, min_log10) for t in old]
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))

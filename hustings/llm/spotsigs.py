@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import broadcast_if_small, durable, slices
 from .ngram_join import lists
-from .setjoin import class_table, link_sets, lookup
+from .setjoin import class_table, distinct_sets, link_sets
 from .shingles import chained, set_digest, word_hashes
 
 # Anchors and further function words of English, German, French and Spanish.
@@ -114,7 +114,6 @@ _REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like the text is to that and to the next document."""
-    small_batches(docs.sparkSession)
 
     def report(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
         edited = edited_text(text, following)
@@ -125,7 +124,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         names = [x.split()[0] for x in _REPORT.split(", ")]
         last: tuple | None = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for own, doc_id, text, bucket in zip(*(batch.column(c).to_pylist() for c in ("own", "doc_id", "text", "bucket"))):
                 found = spots(text)
@@ -144,26 +143,22 @@ def join(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFra
     Partition of a set: the logarithm of its length to the base 1 / threshold; alike sets are at most one apart.
     Index: of a set of n spots, the n - ceil(threshold n) + 1 rarest; alike sets share one of them.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [spots(t or "", chain) for t in batch.column("text").to_pylist()]
             marks = [set_digest(f.astype(np.uint64)) for f in found]
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([len(f) for f in found], pa.int64()), lists([f.astype(np.int64) for f in found])], names=["doc_id", "d1", "d2", "n", "items"])
 
     rows = durable(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, items array<long>"), "spots")
-    filled = rows.where("n > 0 and doc_id is not null")
-    sets = durable(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-    held = filled.join(sets, ["d1", "d2"]).where("doc_id = node").groupBy("d1", "d2").agg(F.first("node").alias("node"), F.first("copies").alias("copies"), F.first("n").alias("n"), F.first("items").alias("items"))
-    held = durable(held.select("node", "copies", "n", "items"), "held")
+    held = distinct_sets(rows)
     each = held.select("node", "n", F.explode("items").alias("item"))
     counted = each.join(each.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "item")
     ranked = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "item"))).alias("r"))
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + F.lit(1e-9))
     prefix = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"))
     keys = F.array_distinct(F.flatten(F.transform(prefix, lambda s: F.array(F.xxhash64(s["item"], part), F.xxhash64(s["item"], part + 1)))))
-    keyed = durable(ranked.select("node", keys.alias("keys")).join(held.select("node", "n", "copies"), "node"), "keyed")
-    links, edges = link_sets(keyed, lambda nodes: lookup(held.withColumnRenamed("node", "doc_id"), nodes).select(F.col("doc_id").alias("node"), "items"), threshold)
-    return class_table(rows, sets, links, edges)
+    keyed = durable(ranked.select("node", keys.alias("keys")).join(held.select("d1", "d2", "node", "n", "copies"), "node"), "keyed")
+    links, edges = link_sets(keyed, lambda nodes: held.join(broadcast_if_small(nodes), "node", "left_semi").select("d1", "d2", "node", "items"), threshold)
+    return class_table(rows, held, links, edges)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, new_path, salted_lookup, small_batches
+from .common import durable, new_path, salted_lookup, slices
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -173,7 +173,7 @@ _ARROW = pa.schema([(n, pa.string()) for n in ("type", "record_id", "concurrent_
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         for content in batch.column("content"):
             out = []
             for r in parse_archive(content.as_py()):
@@ -187,7 +187,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``."""
-    small_batches(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(_parse, RECORD_SCHEMA)
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -309,12 +309,11 @@ class _Shared:
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens and round_trip (the ids decode to the very text) for each row of ``docs``."""
-    small_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, model_path or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _on_worker(shared)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = fst.encode_all(texts)
             counts = np.array([len(x) for x in ids], np.int32)
@@ -328,12 +327,11 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id and text for rows of doc_id and ids; null ids give an empty text."""
-    small_batches(encoded.sparkSession)
     shared = _Shared(encoded.sparkSession, model_path or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _on_worker(shared)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [fst.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hustings.llm import ngram_join as J
 from hustings.llm import setjoin
+from hustings.llm.common import weighed_lookup
 from hustings.llm.queries import QUERIES
 from hustings.llm.shingles import mixed, shingle_set, word_hashes
 
@@ -135,11 +137,24 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in setjoin.components(df).collect()} == root
 
 
-def test_hubs_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "HUB_EDGES", 3)
-    edges = [(500, k) for k in range(40)] + [(k, 600 + k) for k in range(40)] + [(1000, 1001), (1001, 1002)]
+def test_components_of_hot_nodes_and_long_chains(spark):
+    edges = [(500, k) for k in range(40)] + [(k, 600 + k) for k in range(40)] + [(k, k + 1) for k in range(1000, 1050)]
     got = {r.node: r.component for r in setjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(got.values()) == {0, 1000} and len(got) == 84
+    assert set(got.values()) == {0, 1000} and len(got) == 81 + 51
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    rows = [(1, words(50)), (2, words(50)), (2, words(50, 900)), (3, words(50, 900)), (4, words(9, 70))]
+    assert [(d, c) for d, c, _ in result(spark, rows)] == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+    docs = documents(spark, rows + [(5, words(60, 300)), (5, words(60, 400))]).withColumn("row", F.lit("mine"))
+    assert sorted((r.doc_id, r.row) for r in J.keep_one(docs).collect()) == [(1, "mine"), (4, "mine"), (5, "mine")]
+
+
+def test_lookups_deal_out_hot_keys(spark):
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (None, 4), (3, 1)) for i in range(n)], "k long, i long")
+    right = spark.createDataFrame([(1, 500, "a"), (2, 3, "b"), (9, 1, "c")], "k long, n long, v string")
+    got = weighed_lookup(left, right, ["k"], "n", F.col("i"), "left")
+    assert got.columns == ["k", "i", "n", "v"] and got.count() == 508 and got.where("v = 'a'").count() == 500 and got.where("v is null").count() == 5
 
 
 def test_whole_table(spark):
