@@ -1,9 +1,10 @@
 """Secret scanning: fixed patterns, and guess-cost dynamic programming over values in credential contexts.
 
 A value that follows a credential word (``pwd = ...``, ``"auth": "..."``) is cut into words, dates, repeats,
-keyboard walks and brute-force characters so that the sum of log10 guesses is least. A value that costs at least
-``MIN_LOG10`` is a secret even where no fixed pattern names it, or one names only a part of it. The segmentation takes time in proportion to the
-value: words are bounded in length, and repeats and walks are maximal runs.
+keyboard walks and brute-force characters so that the sum of log10 guesses is least over all ways to cut it. A value
+that costs at least ``MIN_LOG10`` is a secret even where no fixed pattern names it, or one names only a part of it.
+Words are those of a ranked vocabulary, whose path is a parameter. The time is in proportion to the value: words and
+dates are bounded in length, and of the starts of a run only those are kept that can still win.
 
 Cases: a null text is empty and has no spans; texts are scanned whole, however long; spans are code points with
 exclusive ends; repeated rows give repeated results; an empty table gives no rows; further columns are ignored by
@@ -12,10 +13,16 @@ exclusive ends; repeated rows give repeated results; an empty table gives no row
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from collections.abc import Iterator
-from math import log10
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache
+from itertools import accumulate
+from math import inf, log10
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,14 +56,18 @@ daniel thomas robert andrew joshua george maggie buster soccer hockey ranger har
 server system user root test guest demo sample default example changeme temp token pass word key data base home
 work office money power magic star angel black white green blue red hot cool cat dog fish bird house horse correct
 battery staple the and with from this that your mine open close start stop yes""".split()
-RANK = {w: log10(i + 2) for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Shortest word of the dictionary.
+SHORTEST = 3
 LEET = str.maketrans("013457@$!", "oieastasi")
 # Rows of a keyboard, then the alphabet and the digits as further walks.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _AT = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-YEAR = re.compile(r"(?:19|20)\d\d")
+LINES = [x for row in ROWS for x in (row, row[::-1])]
+_YEAR, _MONTH, _DAY, _GAP = "(?:19|20)[0-9][0-9]", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "[-/._]?"
+#: Patterns of dates with their guesses: year first, year last in both orders of day and month, and a year alone.
+DATES = [(re.compile(p), n) for p, n in ((_YEAR + _GAP + _MONTH + _GAP + _DAY, 366 * 150), (_DAY + _GAP + _MONTH + _GAP + _YEAR, 366 * 150), (_MONTH + _GAP + _DAY + _GAP + _YEAR, 366 * 150), (_YEAR, 150))]
+#: log10 of the places where a repeat or a walk may start.
+RUN = log10(40)
 #: Each further segment doubles the guesses: the attacker must also guess where it starts.
 SEGMENT = log10(2)
 
@@ -68,16 +79,66 @@ def _near(a: str, b: str) -> bool:
     return a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1
 
 
-def _runs(v: str, joined) -> Iterator[tuple[int, int]]:
-    """Maximal runs of three characters or more of which each neighbouring pair is ``joined``."""
-    i = 0
-    while i < len(v):
-        j = i + 1
-        while j < len(v) and joined(v[j - 1], v[j]):
-            j += 1
-        if j - i >= 3:
-            yield i, j
-        i = max(j - 1, i + 1)
+@dataclass(frozen=True)
+class Dictionary:
+    """log10 of each word's rank, the first letters that words have, and the length of the longest word."""
+
+    ranks: dict[str, float]
+    starts: frozenset[str]
+    longest: int
+
+    @classmethod
+    def of(cls, words: Iterable[str]) -> Dictionary:
+        ranks: dict[str, float] = {}
+        for w in words:
+            if len(w) >= SHORTEST and w not in ranks:
+                ranks[w] = log10(len(ranks) + 2)
+        return cls(ranks, frozenset(w[:SHORTEST] for w in ranks), max(map(len, ranks), default=0))
+
+
+def vocabulary_words(path: str) -> Iterator[str]:
+    """Whole words in the order of their frequency, from a file of base64 tokens and ranks: the tokens that a space opens."""
+    for line in Path(path).read_bytes().splitlines():
+        token = base64.b64decode(line.split()[0])
+        if token[:1] == b" " and token[1:].isalpha():
+            yield token[1:].decode().lower()
+
+
+@cache
+def dictionary(path: str | None = None) -> Dictionary:
+    """The frequent words of passwords, then the words of a ranked vocabulary, by default a public one of 50,000 tokens."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return Dictionary.of([*WORDS, *vocabulary_words(path)])
+
+
+class _Runs:
+    """Segments (i, j) inside maximal runs whose cost is a level of i, plus log10(j - i), plus a level of j.
+
+    A start that is behind an earlier one stays behind: the logarithms draw closer. So a start is dropped as soon as an
+    earlier one is as good, and what is left to compare at each place is a handful.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+
+    def best(self, j: int, start: int | None, level: float) -> tuple[float, int]:
+        """The least level plus logarithm at j, and its start; first the run takes in ``start``, or begins anew (None)."""
+        if start is None:
+            self.starts = []
+        else:
+            while self.starts and self.starts[-1][1] >= level:
+                self.starts.pop()
+            self.starts.append((start, level))
+        found, kept = (inf, -1), []
+        for i, at in self.starts:
+            if (now := at + log10(j - i)) < found[0]:
+                found = now, i
+                kept.append((i, at))
+        self.starts = kept
+        return found
 
 
 def alphabet(v: str) -> float:
@@ -86,37 +147,56 @@ def alphabet(v: str) -> float:
     return log10(16 if all(c in "0123456789abcdef" for c in v) else max(n, 10))
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """Least log10 guesses and the segments (start, end, kind) that give it."""
+def guess_cost(value: str, words: Dictionary | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """Least log10 guesses and the segments (start, end, kind) that give it: the minimum over all segmentations."""
+    words = words or dictionary()
     low, n = value.lower(), len(value)
     if len(low) != n:  # a character whose lower case is longer
         low = "".join(c.lower()[0] for c in value)
     plain = low.translate(LEET)
-    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            cost = RANK.get(low[i:j])
-            if cost is None and (cost := RANK.get(plain[i:j])) is not None:
-                cost += SEGMENT
-            if cost is not None:
-                ends[j].append((i, cost + SEGMENT * (value[i:j] != low[i:j]), "word"))
-    for m in DATE.finditer(value):
-        ends[m.end()].append((m.start(), log10(366 * 150), "date"))
-    for m in YEAR.finditer(value):
-        ends[m.end()].append((m.start(), log10(150), "date"))
-    for i, j in _runs(low, lambda a, b: a == b):
-        ends[j].append((i, log10(40) + log10(j - i), "repeat"))
-    for i, j in _runs(low, _near):
-        turns = sum(ord(low[k]) - ord(low[k - 1]) != ord(low[k + 1]) - ord(low[k]) for k in range(i + 1, j - 1))
-        flat = all(low[i:j] in row or low[i:j] in row[::-1] for row in ROWS[:1]) or any(low[i:j] in r or low[i:j] in r[::-1] for r in ROWS)
-        ends[j].append((i, log10(40) + log10(j - i) + (0 if flat else turns * log10(3)), "walk"))
     brute = alphabet(value)
-    best, back = [0.0] * (n + 1), [(0, "")] * (n + 1)
-    for j in range(1, n + 1):
-        best[j], back[j] = best[j - 1] + brute, (j - 1, "brute")
-        for i, cost, kind in ends[j]:
-            if (total := best[i] + cost + (SEGMENT if i else 0)) < best[j]:
-                best[j], back[j] = total, (i, kind)
+    best, back = [0.0] + [inf] * n, [(0, "")] * (n + 1)
+    runs = {"repeat": _Runs(), "walk": _Runs()}
+    turns = [0] * (n + 1)  # changes of step up to a place
+    for k in range(1, n - 1):
+        turns[k + 1] = turns[k] + (ord(low[k]) - ord(low[k - 1]) != ord(low[k + 1]) - ord(low[k]))
+    joined = {"repeat": lambda k: low[k - 1] == low[k], "walk": lambda k: _near(low[k - 1], low[k])}
+
+    def offer(j: int, i: int, total: float, kind: str) -> None:
+        if total < best[j]:
+            best[j], back[j] = total, (i, kind)
+
+    for i in range(n + 1):
+        # What ends here: runs of three characters at least, whose starts are known by now.
+        for kind, run in runs.items():
+            if i >= 2 and not joined[kind](i - 1):
+                run.best(i, None, 0.0)
+            elif i >= 3 and joined[kind](i - 2):
+                s = i - 3
+                turned = kind == "walk"
+                level, at = run.best(i, s, best[s] + (SEGMENT if s else 0) - turned * turns[s + 1] * log10(3))
+                offer(i, at, level + RUN + turned * turns[i - 1] * log10(3), kind)
+        if i == n:
+            break
+        here = best[i] + (SEGMENT if i else 0)
+        offer(i + 1, i, best[i] + brute, "brute")
+        if low[i : i + SHORTEST] in words.starts or plain[i : i + SHORTEST] in words.starts:
+            for j in range(i + SHORTEST, min(n, i + words.longest) + 1):
+                cost = words.ranks.get(low[i:j])
+                if cost is None and (cost := words.ranks.get(plain[i:j])) is not None:
+                    cost += SEGMENT
+                if cost is not None:
+                    offer(j, i, here + cost + SEGMENT * (value[i:j] != low[i:j]), "word")
+        if value[i].isdigit():
+            for pattern, guesses in DATES:
+                if m := pattern.match(value, i):
+                    offer(m.end(), i, here + log10(guesses), "date")
+        for row in LINES:  # a walk along one row has no turns
+            j = i
+            while j < n and low[i : j + 1] in row:
+                j += 1
+                if j - i >= 3:
+                    offer(j, i, here + RUN + log10(j - i), "walk")
     out: list[tuple[int, int, str]] = []
     j = n
     while j:
@@ -129,7 +209,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], out[::-1]
 
 
-def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, str, int, int]]:
+def find_spans(text: str, min_log10: float = MIN_LOG10, words: Dictionary | None = None) -> list[tuple[int, int, str, int, int]]:
     """(start, end, kind, start and end of the value), by start, then by the order of ``KINDS``."""
     low = text.lower()
     found = [(m.start(), m.end(), "hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -138,10 +218,13 @@ def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int,
     if any(w in low for w in ASSIGN_WORDS):
         found += [(m.start(), m.end(), "assign", m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if any(w in low for w in CONTEXT_WORDS):
-        covered = sorted((s, e) for _, _, _, s, e in found)
+        # The furthest end of the base values that start at or before a place tells whether one of them covers a value.
+        covered = sorted((s, e) for *_, s, e in found)
+        starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
         for m in CONTEXT.finditer(text):
             s, e = m.span(m.lastindex)
-            if not any(a <= s and e <= b for a, b in covered) and guess_cost(text[s:e])[0] >= min_log10:
+            k = bisect_right(starts, s)
+            if not (k and ends[k - 1] >= e) and guess_cost(text[s:e], words)[0] >= min_log10:
                 found.append((s, e, "guess", s, e))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -153,14 +236,16 @@ def join_spans(spans: list[tuple]) -> str:
 SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
 
-def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): counts, digest of the base spans, all spans."""
+def scan(docs: DataFrame, min_log10: float = MIN_LOG10, vocabulary: str | None = None) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): counts, digest of the base spans, all spans. ``vocabulary`` is
+    the path of a ranked vocabulary; its words go to the tasks as a broadcast as large as that file."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                spans = find_spans(text or "", min_log10)
+                spans = find_spans(text or "", min_log10, shared.value)
                 base = [x for x in spans if x[2] != "guess"]
                 n = [sum(x[2] == k for x in spans) for k in KINDS]
                 rows.append((*n[:3], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans), n[3]))
@@ -173,23 +258,24 @@ def scan(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCAN_SCHEMA)
 
 
-def redact_text(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]") -> str:
+def redact_text(text: str, min_log10: float = MIN_LOG10, words: Dictionary | None = None, mark: str = "[SECRET]") -> str:
     """The text with the value of each span replaced; values that overlap become one mark."""
     out, at = [], 0
-    for s, e in sorted((s, e) for *_, s, e in find_spans(text, min_log10)):
+    for s, e in sorted((s, e) for *_, s, e in find_spans(text, min_log10, words)):
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join(out) + text[at:] if out else text
 
 
-def redact(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
+def redact(docs: DataFrame, min_log10: float = MIN_LOG10, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with secret values replaced in ``text`` and ``n_chars`` counted anew where a text changed."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             old = batch.column("text").to_pylist()
-            new = [t and redact_text(t, min_log10) for t in old]
+            new = [t and redact_text(t, min_log10, shared.value) for t in old]
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
             if (k := batch.schema.get_field_index("n_chars")) >= 0:
                 counts = [c if a is b or a == b else len(b) for a, b, c in zip(old, new, batch.column(k).to_pylist())]

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from itertools import combinations
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,23 +26,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, k) for s, _, e, k in sorted(found)]
 
 
-def least_cost(value: str) -> float:
-    """The cheapest segmentation by trying every set of cuts."""
-    whole = lambda a, b: secrets.guess_cost(value[a:b])[0]
-    brute = secrets.alphabet(value)
-    n = len(value)
+def segment_costs(value: str, a: int, b: int) -> list[float]:
+    """What the span (a, b) costs as one segment of each kind that it can be, from the definitions alone."""
+    words, low = secrets.dictionary(), value.lower()
+    part, n, out = low[a:b], b - a, []
+    plain = part.translate(secrets.LEET)
+    if part in words.ranks:
+        out.append(words.ranks[part] + secrets.SEGMENT * (part != value[a:b]))
+    elif plain in words.ranks:
+        out.append(words.ranks[plain] + secrets.SEGMENT + secrets.SEGMENT * (part != value[a:b]))
+    out += [math.log10(guesses) for pattern, guesses in secrets.DATES if pattern.fullmatch(value[a:b])]
+    if n >= 3 and len(set(part)) == 1:
+        out.append(math.log10(40) + math.log10(n))
+    if n >= 3 and all(map(secrets._near, part, part[1:])):
+        steps = [ord(y) - ord(x) for x, y in zip(part, part[1:])]
+        flat = any(part in row or part in row[::-1] for row in secrets.ROWS)
+        out.append(math.log10(40) + math.log10(n) + (0 if flat else math.log10(3) * sum(x != y for x, y in zip(steps, steps[1:]))))
+    return out
 
-    def single(a: int, b: int) -> float:
-        """Least cost of one segment: a lone pattern, or brute force of the value's own alphabet."""
-        cost, parts = secrets.guess_cost(value[a:b])
-        return cost if len(parts) == 1 and parts[0][2] != "brute" else brute * (b - a)
 
-    best = float("inf")
-    for k in range(n):
-        for cuts in combinations(range(1, n), k):
-            at = [0, *cuts, n]
-            best = min(best, sum(single(a, b) + (secrets.SEGMENT if a and single(a, b) < brute * (b - a) else 0) for a, b in zip(at, at[1:])))
-    return min(best, whole(0, n)) if n else 0.0
+def least_cost(value: str) -> float:
+    """The cheapest segmentation, trying every span of every kind at every place."""
+    brute = secrets.alphabet(value)
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min([best[b - 1] + brute, *(best[a] + c + (secrets.SEGMENT if a else 0) for a in range(b) for c in segment_costs(value, a, b))]))
+    return best[-1]
 
 
 def test_every_document_matches_the_patterns(spark):
@@ -71,10 +81,27 @@ def test_guess_costs_order_values():
     assert [k for *_, k in secrets.guess_cost("qwerty2024-01-31aaaa")[1]] == ["word", "date", "repeat"]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab1qwe", max_size=7))
-def test_segmentation_is_no_dearer_than_any_other(value):
-    assert secrets.guess_cost(value)[0] <= least_cost(value) + 1e-9
+PARTS = ["password", "pass", "d", "dd", "dddddd", "qwertyuiop", "poiuy", "qaz", "asdfdsa", "2024", "01", "31", "-", "1999", "123", "321", "aaa", "P@ss", "x9$", "zz", "Dragon", "tr0ub4dor", "é"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.lists(st.sampled_from(PARTS), max_size=6).map("".join), st.text("abqwesd129-0$Q", max_size=16)))
+def test_segmentation_is_the_cheapest_of_all(value):
+    cost, parts = secrets.guess_cost(value)
+    assert abs(cost - least_cost(value)) < 1e-9
+    assert [b for _, b, _ in parts[:-1]] == [a for a, *_ in parts[1:]] and (not value or (parts[0][0], parts[-1][1]) == (0, len(value)))
+
+
+def test_runs_give_up_characters_to_words():
+    assert abs(secrets.guess_cost("password" + "d" * 14)[0] - (math.log10(2) * 2 + math.log10(40) + math.log10(14))) < 1e-9
+
+
+def test_long_values_and_many_contexts_take_time_in_proportion():
+    secrets.dictionary()
+    for text in ("password=" + "ab1" * 60_000 + "!", "pwd: " + "a" * 200_000, "token = abcdefgh1;" * 30_000):
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 20
 
 
 def test_context_values_become_spans():
