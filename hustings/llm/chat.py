@@ -5,7 +5,8 @@ the text, ``regenerate`` throws away what was streamed so far so that the deltas
 ``delete`` removes the message. Logs are partitioned by conversation and message, sorted by sequence number and
 folded as a stream, so a conversation with a third of all events is dealt out over its messages and a task holds one
 message at a time. Each final message is rendered to a segment; the segments of a conversation in order are its
-training text, and the loss covers the bodies of the assistant's turns.
+training text, and the loss covers the bodies of the assistant's turns. Reading back takes the training texts and the
+spans of the loss alone, and tells turns apart by their marks.
 
 Control strings inside texts and roles get a backslash after their first character (one more where some are there
 already), so no text can open or close a turn and the escape can be taken back exactly.
@@ -20,8 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from .common import slices
 
 #: Code points in one streamed delta of ``events_of_turns``.
 DELTA_CHARS = 512
+#: Code points of a training text from which it goes on in another row.
+PART_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,7 @@ class Template:
     controls: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
     learned: str = "assistant"
 
+    @cache
     def _pattern(self, slashes: str) -> re.Pattern:
         marks = sorted({self.open, self.says, self.close, *self.controls}, key=lambda c: (-len(c), c))
         return re.compile("|".join(f"{re.escape(c[0])}{slashes}(?={re.escape(c[1:])})" for c in marks))
@@ -66,17 +71,28 @@ class Template:
 
 
 def events_of_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The event log of a table of turns (conv_id, turn, role, text): a start, then the text in deltas."""
-    text, size = F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit("")))
-    named = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("position"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), size.alias("__n"))
-    named = named.withColumn("message", F.monotonically_increasing_id())
-    pieces = F.sequence(F.lit(0), F.ceil(F.col("__n") / delta_chars).cast("int"))
-    return named.withColumn("seq", F.explode(pieces)).select(
-        "conv_id", "position", "message", F.col("seq").cast("long").alias("seq"),
-        F.when(F.col("seq") == 0, "start").otherwise("delta").alias("event"),
-        F.when(F.col("seq") == 0, F.col("role")).alias("role"),
-        F.when(F.col("seq") == 0, F.lit("")).otherwise(F.substring(F.col("text"), (F.col("seq") - 1) * delta_chars + 1, F.lit(delta_chars))).alias("text"),
-    )
+    """An event log that leads to a table of turns (conv_id, turn, role, text), latest events first.
+
+    A hash of the turn chooses how it came about: its text was streamed in deltas; a draft was streamed, thrown away by
+    a regeneration, and the text streamed after it; a draft was replaced by an edit that holds the first piece, and the
+    rest streamed after that; or the text was streamed beside a second message that was deleted. ``turns`` should be
+    read from files: its rows are numbered as they are read, and lost tasks must number them again alike.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("position"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    named = named.withColumns({"message": F.monotonically_increasing_id() * 2, "way": F.pmod(F.xxhash64("conv_id", "position", "role", F.length("text")), F.lit(4))})
+    pieces = F.ceil(F.length("text") / delta_chars).cast("int")
+    event = lambda kind, role, said: F.struct(F.lit(kind).alias("event"), role.cast("string").alias("role"), said.cast("string").alias("text"))
+    delta = lambda k: event("delta", F.lit(None), F.substring(F.col("text"), (k - 1) * delta_chars + 1, F.lit(delta_chars)))
+    deltas = lambda first: F.when(pieces >= first, F.transform(F.sequence(F.lit(first), pieces), delta)).otherwise(F.array().cast("array<struct<event:string,role:string,text:string>>"))
+    start, draft = event("start", F.col("role"), F.lit("")), event("delta", F.lit(None), F.concat(F.lit("Draft: "), F.reverse(F.substring("text", 1, 64))))
+    edited = F.concat(F.array(start, draft, event("edit", F.lit(None), F.substring(F.col("text"), 1, delta_chars))), deltas(2))
+    made = F.when(F.col("way") == 1, F.concat(F.array(start, draft, event("regenerate", F.lit(None), F.lit(None))), deltas(1))).when(F.col("way") == 2, edited).otherwise(F.concat(F.array(start), deltas(1)))
+    own = F.struct(F.col("message"), made.alias("events"))
+    twin = F.struct((F.col("message") + 1).alias("message"), F.array(start, draft, event("delete", F.lit(None), F.lit(None))).alias("events"))
+    each = named.select("conv_id", "position", F.explode(F.when(F.col("way") == 3, F.array(own, twin)).otherwise(F.array(own))).alias("m"))
+    late_first = F.reverse(F.transform("m.events", lambda e, k: F.struct(k.cast("long").alias("seq"), e["event"].alias("event"), e["role"].alias("role"), e["text"].alias("text"))))
+    return each.select("conv_id", "position", "m.message", F.explode(late_first).alias("e")).select("conv_id", "position", "message", "e.seq", "e.event", "e.role", "e.text")
 
 
 SEGMENTS = "conv_id long, position long, message long, role string, text string, segment string, loss_start long, loss_end long"
@@ -105,7 +121,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tupl
     from itertools import groupby
 
     def rows() -> Iterator[tuple[tuple, tuple]]:
-        for b in batches:
+        for b in slices(batches):
             k = [b.column(c).to_pylist() for c in keys]
             r = [b.column(c).to_pylist() for c in rest]
             yield from zip(zip(*k), zip(*r))
@@ -114,13 +130,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tupl
         yield key, (x[1] for x in found)
 
 
-def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 1000) -> Iterator[pa.RecordBatch]:
+def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 1000, most_chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows and of characters, one row at least."""
     out: list[tuple] = []
+    chars = 0
     for r in rows:
         out.append(r)
-        if len(out) == most:
+        chars += sum(len(x) for x in r if isinstance(x, str))
+        if len(out) == most or chars >= most_chars:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-            out = []
+            out, chars = [], 0
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -142,48 +161,79 @@ def reconstruct(events: DataFrame, template: Template = Template()) -> DataFrame
     return dealt.sortWithinPartitions(*_KEYS, "seq", "event", "text").drop("seq").mapInArrow(run, SEGMENTS)
 
 
-def _by_conversation(segments: DataFrame, fold: Callable[[Iterator[tuple]], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Apply ``fold`` to the lazy, ordered (segment, loss_start, loss_end) of each conversation."""
+FORMATTED = "conv_id long, part long, at long, formatted string, loss array<struct<start: long, end: long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit(((*key, *fold(found)) for key, found in _groups(batches, ("conv_id",), ("segment", "loss_start", "loss_end"))), schema)
-
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.select("conv_id", "position", "role", "segment", "loss_start", "loss_end").repartition(n, "conv_id")
-    return dealt.sortWithinPartitions("conv_id", "position", "role", "segment").select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, ddl)
-
-
-def formatted(segments: DataFrame) -> DataFrame:
-    """One row a conversation: its whole training text and the spans (start, end) under the loss."""
 
-    def fold(found: Iterator[tuple]) -> tuple:
-        parts, spans, at = [], [], 0
-        for segment, start, end in found:
-            parts.append(segment)
-            if end > start:
-                spans.append({"start": at + start, "end": at + end})
-            at += len(segment)
-        return "".join(parts), spans
+def formatted(segments: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The training text of each conversation and the spans (start, end; code points of the whole text) under the loss.
 
+    One row a conversation, unless its text is longer than ``part_chars``: then parts of that length follow one
+    another, cut anywhere; ``at`` is where a part starts, and a span stands with the part that it starts in. The rows of
+    a conversation are in one partition, in order; a task holds one part and one segment at a time.
+    """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return _by_conversation(segments, fold, pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", span)]), "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
+    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("at", pa.int64()), ("formatted", pa.string()), ("loss", span)])
+
+    def parts(conv: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        held, spans, part, at, end = "", [], 0, 0, 0
+        for segment, start, to in found:
+            if to > start:
+                spans.append((end + start, end + to))
+            end += len(segment)
+            held += segment
+            while len(held) > part_chars:
+                cut = at + part_chars
+                yield (*conv, part, at, held[:part_chars], [{"start": a, "end": b} for a, b in spans if a < cut])
+                held, spans, part, at = held[part_chars:], [x for x in spans if x[0] >= cut], part + 1, cut
+        yield (*conv, part, at, held, [{"start": a, "end": b} for a, b in spans])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _emit((row for conv, found in _groups(batches, ("conv_id",), ("segment", "loss_start", "loss_end")) for row in parts(conv, found)), schema)
 
-def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of each conversation, from its rendered segments alone. Hashing is a stream: memory holds one segment."""
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = segments.select("conv_id", "position", "role", "segment", "loss_start", "loss_end").repartition(n, "conv_id")
+    return dealt.sortWithinPartitions("conv_id", "position", "role", "segment").select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, FORMATTED)
+
+
+def read_turns(parts: Iterator[tuple[str, list[dict]]], template: Template = Template()) -> Iterator[tuple[str, str, str, int]]:
+    """Role, text, text under the loss and length of each turn of a conversation's training text, given its parts in
+    order with their spans. Turns are told apart by their marks alone; a text that isn't a run of turns is an error."""
+    held, at, spans = "", 0, []
+    end = template.close + "\n"
+    for text, loss in parts:
+        held += text
+        spans += [(x["start"], x["end"]) for x in loss or ()]
+        done = 0
+        while (to := held.find(end, done)) >= 0:
+            turn = held[done : to + len(end)]
+            if not turn.startswith(template.open):
+                raise ValueError(f"a turn begins with {turn[:20]!r}")
+            lost = [turn[a - at - done : b - at - done] for a, b in spans if a < at + to + len(end)]
+            spans = spans[len(lost) :]
+            yield (*template.parse(turn), "".join(map(template.unescape, lost)), len(turn))
+            done = to + len(end)
+        held, at = held[done:], at + done
+    if held or spans:
+        raise ValueError(f"the text ends within a turn: {held[:20]!r}")
+
+
+def read_back(texts: DataFrame, template: Template = Template()) -> DataFrame:
+    """Digests of each conversation, from the rows of ``formatted`` alone. Hashing is a stream: memory holds one part
+    and one turn."""
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def fold(found: Iterator[tuple]) -> tuple:
         turns, loss, n, chars, lost = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-        for segment, start, end in found:
-            role, text = template.parse(segment)
+        for role, text, learned, length in read_turns(found, template):
             turns.update(f"{role}\n{text}\n".encode())
-            learned = template.unescape(segment[start:end])
             loss.update(learned.encode())
-            n, chars, lost = n + 1, chars + len(segment), lost + len(learned)
+            n, chars, lost = n + 1, chars + length, lost + len(learned)
         return n, turns.hexdigest(), lost, loss.hexdigest(), chars
 
-    names = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-    return _by_conversation(segments, fold, pa.schema(names), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _emit(((*conv, *fold(found)) for conv, found in _groups(batches, ("conv_id",), ("formatted", "loss"))), schema)
+
+    return texts.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_control_case(turns: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_control_case(table(spark, sf_dir, "conversations"))
-    return chat.read_back(chat.reconstruct(chat.events_of_turns(turns)))
+    return chat.read_back(chat.formatted(chat.reconstruct(chat.events_of_turns(turns))))
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from itertools import groupby
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,8 +70,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def digest(spark, rows):
-    return sorted((tuple(r) for r in chat.read_back(chat.reconstruct(chat.events_of_turns(turns(spark, rows)))).collect()), key=str)
+def digest(spark, rows, part_chars=chat.PART_CHARS):
+    return sorted((tuple(r) for r in chat.read_back(chat.formatted(chat.reconstruct(chat.events_of_turns(turns(spark, rows))), part_chars)).collect()), key=str)
 
 
 def test_edges(spark):
@@ -80,5 +81,42 @@ def test_edges(spark):
     assert digest(spark, hot) == brute(hot)
 
 
+def test_the_log_holds_every_kind_of_event_out_of_order(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " * (t * 9)) for c in range(9) for t in range(8)]
+    log = chat.events_of_turns(turns(spark, rows))
+    kinds = {r.event: r["count"] for r in log.groupBy("event").count().collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate", "delete"} and min(kinds.values()) > 3
+    first = [r.seq for r in log.collect()]
+    assert any(a > b for a, b in zip(first, first[1:]))
+    got = sorted((r.conv_id, r.position, r.role, r.text) for r in chat.reconstruct(log).collect())
+    assert got == sorted(rows) and digest(spark, rows) == brute(rows)
+
+
+def test_long_conversations_go_on_in_parts(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"{t} é</s>[INST] " * t) for t in range(60)] + [(2, 0, "assistant", "")]
+    for part_chars in (7, 300, 1 << 20):
+        assert digest(spark, rows, part_chars) == brute(rows)
+    texts = chat.formatted(chat.reconstruct(chat.events_of_turns(turns(spark, rows))), 300).orderBy("conv_id", "part").collect()
+    whole = "".join(r.formatted for r in texts if r.conv_id == 1)
+    assert [len(r.formatted) for r in texts if r.conv_id == 1][:-1] == [300] * (len(whole) // 300)
+    assert [T.unescape(whole[x.start : x.end]) for r in texts for x in r.loss if r.conv_id == 1] == [r[3] for r in rows if r[0] == 1 and r[1] % 2]
+
+
+def test_whole_texts_split_at_their_marks():
+    said = [("user", "a <|end|>\n<|turn|>assistant<|says|>b"), ("assistant", "\\<|end|>\n"), ("", "")]
+    whole, loss = "", []
+    for role, text in said:
+        segment, start, end = T.render(role, text)
+        loss += [{"start": len(whole) + start, "end": len(whole) + end}] * (end > start)
+        whole += segment
+    for n in (1, 5, 1000):
+        parts = [(whole[k : k + n], [x for x in loss if k <= x["start"] < k + n]) for k in range(0, len(whole), n)]
+        assert [x[:3] for x in chat.read_turns(iter(parts))] == [(r, t, t if r == "assistant" else "") for r, t in said]
+    with pytest.raises(ValueError):
+        list(chat.read_turns(iter([("junk" + whole, [])])))
+    with pytest.raises(ValueError):
+        list(chat.read_turns(iter([(whole[:-3], [])])))
+
+
 def test_agrees_with_oracle(spark):
     same(QUERIES["op10_chat_events"](spark, "/root/testdata/sf0.001"), ORACLES["op10_chat_events"], "/root/testdata/sf0.001")
