@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hustings.llm import wfst
+from hustings.llm.queries import QUERIES
 
 from .helpers import documents, words
 
@@ -69,12 +70,60 @@ def test_no_segmentation_is_cheaper(text):
     assert got == pytest.approx(least(whole))
 
 
-def test_solving_together_is_solving_alone():
-    fst = wfst.load(open(wfst.default_model(), "rb").read())
-    chunks = list({f"▁{a}{b}{c}" for a in ("An", "éç", "x", "Wh") for b in ("tion", "ß", "$$$", "blew") for c in ("ed", "😀", "", "ing,", "qq", "ё")})
-    for n in {len(c) for c in chunks}:
-        same = [c for c in chunks if len(c) == n]
-        assert fst.solve_together(same) == [tuple(fst.shortest(c)) for c in same]
+def plain_path(fst: wfst.Transducer, text: str) -> list[int]:
+    """The shortest path of one text by a plain table over its places, from the model's pieces alone."""
+    score = {p: (-w, i) for i, (p, w, k) in enumerate(fst.pieces) if k == wfst.NORMAL}
+    s, longest = fst.normalise(text), max(map(len, score))
+    cost, back = [0.0] + [float("inf")] * len(s), [(0, -1)] * (len(s) + 1)
+    for i in range(len(s)):
+        for n in range(1, min(longest, len(s) - i) + 1):
+            w, piece = score.get(s[i : i + n], (fst.fallback if n == 1 else float("inf"), -1))
+            if cost[i] + w < cost[i + n]:
+                cost[i + n], back[i + n] = cost[i] + w, (i, piece)
+    out, at = [], len(s)
+    while at:
+        i, piece = back[at]
+        out[:0] = [piece] if piece >= 0 else fst.byte_ids[list(s[i:at].encode())].tolist()
+        at = i
+    return out
+
+
+def test_the_querys_model_on_its_table_against_a_plain_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op8_sentencepiece_wfst"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:120]:
+        assert got[r.doc_id].ids == plain_path(_public(), r.text or "") and got[r.doc_id].round_trip
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("the cat ▁é😀\n12", max_size=40))
+def test_the_public_model_against_a_plain_table(text):
+    assert _public().encode(text) == plain_path(_public(), text)
+
+
+def test_windows_and_long_parts_change_nothing(monkeypatch):
+    fst = wfst.load(model(PIECES, True))
+    texts = ["ab c thé the" * 9, "", "a" * 3000 + "bc" * 700, "cab" * 50, "😀x" * 80, " "]
+    want = [fst.encode(t) for t in texts]
+    assert want == [plain_path(fst, t) for t in texts] == fst.encode_all(texts)
+    for window, steps in ((16, 1000), (40, 5), (1 << 19, 3)):
+        monkeypatch.setattr(wfst, "WINDOW", window)
+        monkeypatch.setattr(wfst, "MANY_STEPS", steps)
+        assert fst.encode_all(texts) == want
+
+
+def test_rules_rewrite_leftmost_and_longest():
+    pieces = [("<unk>", 0.0, wfst.UNKNOWN)] + [(c, -1.0, wfst.NORMAL) for c in "▁abcfixyz"]
+    rules = {"ﬁ": "fi", "xy": "a", "xyz": "bc", "yz": "c", "q": "", "\t": " "}
+    fst = wfst.Transducer(pieces, rules)
+    for text, want in (("ﬁxyz", "▁fibc"), ("xyyz", "▁ac"), ("qq", ""), ("xyxyz q x", "▁abc▁x"), ("\t a\t\tb ", "▁a▁b")):
+        assert fst.normalise(text) == want and "".join(pieces[i][0] for i in fst.encode(text)) == want
+
+
+def test_a_megabyte_without_spaces_is_encoded():
+    text = "abcdefghijkl" * 90_000
+    assert _public().decode(_public().encode(text)) == text
 
 
 @settings(max_examples=150, deadline=None)
@@ -88,11 +137,13 @@ _cache: dict = {}
 
 
 def _public() -> wfst.Transducer:
-    return _cache.setdefault("fst", wfst.load(open(wfst.default_model(), "rb").read()))
+    return wfst.compiled(wfst.default_model())
 
 
 def _library() -> sentencepiece.SentencePieceProcessor:
-    return _cache.setdefault("sp", sentencepiece.SentencePieceProcessor(model_file=wfst.default_model()))
+    if "sp" not in _cache:
+        _cache["sp"] = sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
+    return _cache["sp"]
 
 
 def test_tables(spark):
@@ -103,11 +154,3 @@ def test_tables(spark):
     assert {r.doc_id: r.text for r in back.collect() if r.doc_id != 6} == {d: t or "" for d, t in texts if d != 6}
     assert wfst.encode(documents(spark, [])).count() == 0
     assert {r.doc_id: r.ids for r in rows}[4] == _public().encode(texts[4][1]) and min(i for r in rows for i in r.ids) > 2
-
-
-def test_memory_of_chunks_is_bounded(monkeypatch):
-    monkeypatch.setattr(wfst, "REMEMBERED", 10)
-    fst = wfst.load(model(PIECES, True))
-    fresh = wfst.load(model(PIECES, True))
-    texts = [f"ab{'c' * i} the{'a' * i}" for i in range(40)]
-    assert [fst.encode(t) for t in texts] == fresh.encode_all(texts) and len(fst.memo) <= 12
