@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, durable
+from .common import WORD, broadcast_if_small, durable, fresh
 
 #: Bits of a document's hash, and of one histogram level.
 HASH_BITS = 48
@@ -91,29 +91,34 @@ def _match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> D
 
 def sized(docs: DataFrame, seed: str = "") -> DataFrame:
     """Id, source, size and hash of each document, written once so that no later pass reads texts."""
-    narrow = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("hash"))
+    text_hash = F.shiftrightunsigned(F.xxhash64("text"), 64 - HASH_BITS)
+    narrow = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("hash"), text_hash.alias("text_hash"))
     return durable(narrow, "sized")
 
 
+def _boundary(rows: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
+    """Nested histograms over ``key`` (48 bits): for each source of ``budgets`` (source, budget) the value at which the
+    budget runs out, the words that rows of that value still owe (``owed``) and those they have (``words``)."""
+    first, second = F.shiftright(key, HASH_BITS - LEVEL_BITS), F.shiftright(key, HASH_BITS - 2 * LEVEL_BITS)
+    h1 = rows.groupBy("source", first.alias("b1")).agg(F.sum("size").alias("words"))
+    c1 = _cross(_match(h1, budgets, ["source"]), [], "b1").drop("words")
+    r1 = _match(rows.withColumn("b1", first), c1, ["source", "b1"])
+    h2 = r1.groupBy("source", "b1", "budget", second.alias("b2")).agg(F.sum("size").alias("words"))
+    c2 = _cross(h2, ["b1"], "b2").drop("words", "b1")
+    r2 = _match(rows.withColumn("b2", second), c2, ["source", "b2"])
+    h3 = r2.groupBy("source", "budget", key).agg(F.sum("size").alias("words"))
+    return _cross(h3, [], key).select("source", key, F.col("budget").alias("owed"), "words")
+
+
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """For each source: ``passes`` over all of it, the boundary ``hash`` (null: none is needed), the words that the
     documents of that hash still owe (``owed``) and the words they have (``words``)."""
-    low = LEVEL_BITS
     plan = targets.select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("passes"),
         F.when(F.col("source_size") > 0, F.round("target").cast("long") % F.col("source_size")).otherwise(F.lit(0)).cast("long").alias("budget"),
     )
-    first = F.shiftright("hash", HASH_BITS - low)
-    second = F.shiftright("hash", HASH_BITS - 2 * low)
-    h1 = rows.groupBy("source", first.alias("b1")).agg(F.sum("size").alias("words"))
-    c1 = _cross(_match(h1, plan.where("budget > 0").select("source", "budget"), ["source"]), [], "b1").drop("words")
-    r1 = _match(rows.withColumn("b1", first), c1, ["source", "b1"])
-    h2 = r1.groupBy("source", "b1", "budget", second.alias("b2")).agg(F.sum("size").alias("words"))
-    c2 = _cross(h2, ["b1"], "b2").drop("words", "b1")
-    r2 = _match(rows.withColumn("b2", second), c2, ["source", "b2"])
-    h3 = r2.groupBy("source", "budget", "hash").agg(F.sum("size").alias("words"))
-    c3 = _cross(h3, [], "hash").select("source", "hash", F.col("budget").alias("owed"), "words")
+    c3 = _boundary(rows, plan.where("budget > 0").select("source", "budget"), "hash")
     return _match(plan.drop("budget"), c3, ["source"], "left")
 
 
@@ -146,16 +151,29 @@ def mix(docs: DataFrame, weights=cycle_weights, cap: int = CAP, seed: str = "")
 def apply_mix(docs: DataFrame, weights=cycle_weights, cap: int = CAP, seed: str = "") -> DataFrame:
     """The mixed rows themselves, with all columns of ``docs``: each document as often as the mix takes it.
 
-    Documents stay whole here: the one at the boundary is taken if its source still owes at least half of it.
+    Documents stay whole here: the one at the boundary is taken if its source still owes at least half of it. Documents
+    that share the boundary's hash, as null and repeated ids do, are told apart by the hashes of their texts in the same
+    way; rows equal in id and text go together.
     """
     rows = sized(docs, seed)
-    at = broadcast_if_small(decided(rows, weights, cap).select("source", "passes", "edge", (2 * F.col("owed") >= F.col("words")).alias("take_edge")))
-    at = at.withColumnsRenamed({c: f"__{c}" for c in at.columns})
-    hashed = docs.withColumn("__hash", document_hash(F.col("doc_id"), seed))
-    joined = hashed.join(at, F.col("source").eqNullSafe(F.col("__source")))
-    once = F.when((F.col("__hash") < F.col("__edge")) | ((F.col("__hash") == F.col("__edge")) & F.col("__take_edge")), F.lit(1)).otherwise(F.lit(0))
-    copies = F.least(F.col("__passes") + once, F.lit(cap)).cast("int")
-    return joined.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = decided(rows, weights, cap).select("source", "passes", "edge", "owed", "words")
+    tied = _match(rows.withColumnRenamed("hash", "edge").select("source", "edge", "text_hash", "size"), at.where("edge is not null").select("source", "edge", "owed"), ["source", "edge"])
+    several = durable(tied.groupBy("source").agg(F.first("owed").alias("budget"), F.count(F.lit(1)).alias("n")).where("n > 1 and budget > 0").drop("n"), "tied")
+    if several.isEmpty():
+        at = at.withColumns({"text_edge": F.lit(None).cast("long"), "take_edge": 2 * F.col("owed") >= F.col("words")})
+    else:
+        inner = _boundary(tied.drop("edge", "owed"), several, "text_hash").select("source", F.col("text_hash").alias("text_edge"), (2 * F.col("owed") >= F.col("words")).alias("take_text"))
+        at = _match(at, inner, ["source"], "left").withColumn("take_edge", F.coalesce("take_text", 2 * F.col("owed") >= F.col("words")))
+    at = broadcast_if_small(durable(at.select("source", "passes", "edge", "text_edge", "take_edge"), "edges"))
+    name = {c: fresh(c, docs) for c in (*at.columns, "hash", "text_hash", "copy")}
+    new = {c: F.col(name[c]) for c in name}
+    key = fresh("mixed_source", docs)
+    hashed = docs.withColumns({name["hash"]: document_hash(F.col("doc_id"), seed), name["text_hash"]: F.shiftrightunsigned(F.xxhash64("text"), 64 - HASH_BITS)})
+    joined = hashed.join(at.select(F.col("source").alias(key), *[F.col(c).alias(name[c]) for c in at.columns if c != "source"]), F.col("source").eqNullSafe(F.col(key)))
+    at_edge = F.when(new["text_edge"].isNull() | (new["text_hash"] == new["text_edge"]), new["take_edge"]).otherwise(new["text_hash"] < new["text_edge"])
+    once = F.when((new["hash"] < new["edge"]) | ((new["hash"] == new["edge"]) & at_edge), F.lit(1)).otherwise(F.lit(0))
+    copies = F.least(new["passes"] + once, F.lit(cap)).cast("int")
+    return joined.where(copies > 0).withColumn(name["copy"], F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same mix in DuckDB: a running sum over each source in the order of the hash.

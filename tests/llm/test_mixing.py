@@ -6,6 +6,7 @@ from collections import defaultdict
 
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hustings.llm import mixing
 from hustings.llm.queries import ORACLES, QUERIES
@@ -89,3 +90,12 @@ def test_applied_rows_follow_the_copies(spark):
 
 def test_agrees_with_oracle(spark):
     same(QUERIES["op1_source_mixing"](spark, "/root/testdata/sf0.001"), ORACLES["op1_source_mixing"], "/root/testdata/sf0.001")
+
+
+def test_documents_that_share_a_hash_are_split(spark):
+    rows = [(None, f"{words(10, 10 * i)}", "a") for i in range(20)] + [(i, words(20, 5 * i), "b") for i in range(10)] + [(100 + i, words(10), "c") for i in range(20)]
+    targets = {r.source: (r.source_size, r.target) for r in mixing.decided(mixing.sized(documents(spark, rows))).collect()}
+    docs = documents(spark, rows).withColumns({"hash": F.lit("mine"), "copy": F.lit(1), "edge": F.lit(2)})
+    taken = {r.source: r.n for r in mixing.apply_mix(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert mixing.apply_mix(docs).columns == docs.columns
+    assert all(abs(taken.get(s, 0) - t) <= 10 for s, (_, t) in targets.items()), (taken, targets)
