@@ -106,6 +106,6 @@ def coverage(rolls: DataFrame, by: str = "chamber") -> DataFrame:
 def local_positions(records: DataFrame, votes: DataFrame, officials: DataFrame) -> DataFrame:
     """``records`` with the positions of the chosen ``officials`` (member_key, name) as ``reps``; only records that at
     least one of them voted on."""
-    seen = votes.join(F.broadcast(officials.select("member_key", "name")), "member_key")
+    seen = votes.join(officials.select("member_key", "name"), "member_key")
     reps = seen.groupBy("roll_id").agg(F.array_sort(F.collect_list(F.struct("member_key", "name", F.col("choice").alias("vote")))).alias("reps"))
     return records.join(reps, "roll_id")

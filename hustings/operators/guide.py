@@ -25,7 +25,7 @@ def vote_positions(key_votes: DataFrame, votes: DataFrame, issues: DataFrame, st
     stated: CAND, issue, stance. One line for each bill and vote, however often it was taken; a stated stance stays
     beside the votes. The result is stance ``not_inferred``.
     """
-    cast = key_votes.where(F.col("vote").isin("yes", "no")).join(votes, "vote_id").join(F.broadcast(issues), "vote_id")
+    cast = key_votes.where(F.col("vote").isin("yes", "no")).join(votes, "vote_id").join(issues, "vote_id")
     line = cast.groupBy(*CAND, "issue", "bill", "vote").agg(
         F.min(F.struct("vote_date", "vote_id", "title", "why", "yes_means")).alias("f"),
         F.array_sort(F.collect_set(F.col("vote_date").cast("string"))).alias("dates"),
@@ -45,7 +45,7 @@ def bill_positions(sponsors: DataFrame, bills: DataFrame, positions: DataFrame)
     """Positions from sponsored bills on the issues that a candidate has said nothing about: mixed if the bills point
     both ways. sponsors: CAND, bill, role; bills: bill, issue, supports; positions: CAND, issue, basis."""
     spoken = positions.where("basis <> 'votes'").select(*CAND, "issue").distinct()
-    per = sponsors.join(F.broadcast(bills), "bill").groupBy(*CAND, "issue").agg(F.bool_and("supports").alias("all"), F.bool_or("supports").alias("any"), F.array_sort(F.collect_set(F.concat(F.lit("bill-"), "bill"))).alias("sources"))
+    per = sponsors.join(bills, "bill").groupBy(*CAND, "issue").agg(F.bool_and("supports").alias("all"), F.bool_or("supports").alias("any"), F.array_sort(F.collect_set(F.concat(F.lit("bill-"), "bill"))).alias("sources"))
     stance = F.when(F.col("all") != F.col("any"), "mixed").when(F.col("all"), "supports").otherwise("opposes")
     return per.join(spoken, [*CAND, "issue"], "left_anti").select(*CAND, "issue", stance.alias("stance"), "sources")
 

@@ -199,6 +199,7 @@ def fix_subjects(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def party_roster(lists: DataFrame, votes: DataFrame) -> DataFrame:
-    """Party of each member that occurs in votes: the first list that has it wins. ``lists``: ordinal, file, member_key, party."""
-    first = lists.where("party is not null").groupBy("file", "member_key").agg(F.min_by("party", "ordinal").alias("party"))
+    """Party of each member that occurs in votes: the first list that has it wins, of lists of one
+    ordinal the party first by name. ``lists``: ordinal, file, member_key, party."""
+    first = lists.where("party is not null").groupBy("file", "member_key").agg(F.min(F.struct("ordinal", "party")).alias("f")).select("file", "member_key", "f.party")
     return first.join(votes.select("file", "member_key").distinct(), ["file", "member_key"], "left_semi")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that the rolls of one chamber are dealt to.
+SALTS = 16
 FAR_PAST, FAR_FUTURE = "0001-01-01", "9999-12-31"
 
 
@@ -21,13 +23,16 @@ def spans(votes: DataFrame, open_days: int | None = None) -> DataFrame:
     edge = s.groupBy("chamber").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     start = F.when(F.col("start") <= F.date_add("first", open_days), F.lit(FAR_PAST).cast("date")).otherwise(F.col("start"))
     end = F.when(F.col("end") >= F.date_sub("last", open_days), F.lit(FAR_FUTURE).cast("date")).otherwise(F.col("end"))
-    return s.join(F.broadcast(edge), "chamber").select("chamber", "member_key", start.alias("start"), end.alias("end"))
+    return s.join(edge, "chamber").select("chamber", "member_key", start.alias("start"), end.alias("end"))
 
 
 def seated(rolls: DataFrame, roster: DataFrame) -> DataFrame:
     """Roll calls with each member of the chamber seated that day (roster: chamber, member_key, start, end)."""
+    # A chamber is few keys for many rolls: rolls are dealt out, and the roster of a chamber goes to each of its tasks.
+    salt = F.pmod(F.xxhash64("roll_id"), F.lit(SALTS)).cast("int")
+    dealt, each = rolls.withColumn("__salt", salt), roster.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = F.col("roll_date").between(F.coalesce("start", F.lit(FAR_PAST).cast("date")), F.coalesce("end", F.lit(FAR_FUTURE).cast("date")))
-    return rolls.join(roster, "chamber").where(on).select("chamber", "roll_id", "roll_date", "member_key")
+    return dealt.join(each, ["chamber", "__salt"]).where(on).select("chamber", "roll_id", "roll_date", "member_key")
 
 
 def complete(rolls: DataFrame, roster: DataFrame, votes: DataFrame, choice: str = "absent") -> DataFrame:
@@ -57,10 +62,10 @@ def presiding(named: DataFrame, presiders: DataFrame) -> DataFrame:
     """The one known presider of the chamber not named on a roll; rolls with none or several get null.
     ``named``: chamber, roll_id, members (array); ``presiders``: chamber, members (array)."""
     rest = F.array_except(F.col("__p"), F.col("members"))
-    return named.join(F.broadcast(presiders.select("chamber", F.col("members").alias("__p"))), "chamber", "left").select("chamber", "roll_id", F.when(F.size(rest) == 1, rest[0]).alias("presider"))
+    return named.join(presiders.select("chamber", F.col("members").alias("__p")), "chamber", "left").select("chamber", "roll_id", F.when(F.size(rest) == 1, rest[0]).alias("presider"))
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
     """A hand-checked value wins over a computed one."""
     o = overrides.select(key, F.col(value).alias("__o"))
-    return rows.join(F.broadcast(o), key, "left").withColumn(value, F.coalesce("__o", value)).drop("__o")
+    return rows.join(o, key, "left").withColumn(value, F.coalesce("__o", value)).drop("__o")

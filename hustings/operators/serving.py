@@ -143,7 +143,7 @@ def relink_by_items(rolls: DataFrame, history: DataFrame) -> DataFrame:
 
 def nearest_column(marks: DataFrame, headers: DataFrame) -> DataFrame:
     """Each mark (page, mark_id, x) belongs to the header (page, column, hx) with the least horizontal distance."""
-    near = marks.join(F.broadcast(headers), "page").groupBy("page", "mark_id").agg(F.min(F.struct(F.abs(F.col("x") - F.col("hx")).alias("d"), "column")).alias("m"))
+    near = marks.join(headers, "page").groupBy("page", "mark_id").agg(F.min(F.struct(F.abs(F.col("x") - F.col("hx")).alias("d"), "column")).alias("m"))
     return near.select("page", "mark_id", F.col("m.column").alias("column"))
 
 

@@ -81,7 +81,7 @@ def local_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topic_sql() -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches(t, ' ({'|'.join(w)}) ') THEN '{k}' END" for k, w in topics.terms().items())
+    cases = ", ".join(f"CASE WHEN regexp_matches(t, ' ({'|'.join(w)}) ') THEN '{k}' END" for k, w in topics.TOPICS.items())
     return f"""WITH x AS (SELECT doc_id, regexp_replace(lower(' ' || coalesce(text, '') || ' '), '[^a-z0-9]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS topics FROM x"""
 

@@ -15,13 +15,13 @@ V = T.VIEWS
 
 
 def crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    p = T.read(spark, d, "part").where("p_partkey % 20 = 0")
+    p = T.read(spark, d, "part")
     yes = F.when(F.col("p_size") % 3 == 0, "supports").when(F.col("p_size") % 3 == 1, "opposes")
     return p.select(F.col("p_partkey").alias("vote_id"), F.lower("p_type").alias("issue"), yes.alias("yes_means"), F.when(F.col("p_size") % 4 == 0, F.lit("on record")).alias("why"))
 
 
 def key_votes(spark: SparkSession, d: str) -> DataFrame:
-    b = T.ballots(spark, d).where("roll_id % 20 = 0")
+    b = T.ballots(spark, d)
     m = T.members(spark, d).select("member_key", F.col("state").alias("race_id"), "name")
     return b.join(m, "member_key").select("race_id", F.col("member_key").alias("cand_id"), "name", F.col("roll_id").alias("vote_id"), F.col("choice").alias("vote"))
 
@@ -34,8 +34,8 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("stance", F.when(k == 0, "supports").when(k == 1, "opposes").when(k == 2, "mixed").otherwise("not_inferred")).withColumn("basis", F.lit("statements"))
 
 
-KEYED = f"""WITH {V}, kv AS (SELECT state AS race_id, member_key AS cand_id, name, roll_id AS vote_id, choice AS vote FROM ballots JOIN members USING (member_key) WHERE roll_id % 20 = 0),
-cw AS (SELECT p_partkey AS vote_id, lower(p_type) AS issue, CASE p_size % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'opposes' END AS yes_means, CASE WHEN p_size % 4 = 0 THEN 'on record' END AS why FROM part WHERE p_partkey % 20 = 0),
+KEYED = f"""WITH {V}, kv AS (SELECT state AS race_id, member_key AS cand_id, name, roll_id AS vote_id, choice AS vote FROM ballots JOIN members USING (member_key)),
+cw AS (SELECT p_partkey AS vote_id, lower(p_type) AS issue, CASE p_size % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'opposes' END AS yes_means, CASE WHEN p_size % 4 = 0 THEN 'on record' END AS why FROM part),
 st AS (SELECT race_id, cand_id, issue, CASE (cand_id + length(issue)) % 4 WHEN 0 THEN 'supports' WHEN 1 THEN 'opposes' WHEN 2 THEN 'mixed' ELSE 'not_inferred' END AS stance FROM (SELECT state AS race_id, member_key AS cand_id, unnest(['economy', 'small', 'promo']) AS issue FROM members))"""
 
 
@@ -129,17 +129,17 @@ def alignment_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.alignment_counts(candidates, stand, statements(spark, d), votes.select("race_id", "cand_id", "issue", "vote", "yes_means"))
 
 
-@query(KEYED + ", x AS (SELECT issue, cand_id, stance FROM st WHERE race_id = 'NATION_3') SELECT issue, min(stance) FILTER (cand_id % 3 = 0) AS a, min(stance) FILTER (cand_id % 3 = 1) AS b, min(stance) FILTER (cand_id % 3 = 2) AS c FROM x GROUP BY issue")
+@query(KEYED + ", x AS (SELECT race_id || '/' || issue AS issue, cand_id, stance FROM st) SELECT issue, min(stance) FILTER (cand_id % 3 = 0) AS a, min(stance) FILTER (cand_id % 3 = 1) AS b, min(stance) FILTER (cand_id % 3 = 2) AS c FROM x GROUP BY issue")
 def comparison_pivot(spark: SparkSession, d: str) -> DataFrame:
-    s = statements(spark, d).where("race_id = 'NATION_3'")
+    s = statements(spark, d)
     side = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("cand_id") % 3 + 1).cast("int"))
-    return G.comparison_pivot(s.select("issue", side.alias("cand_id"), "stance"), ["a", "b", "c"])
+    return G.comparison_pivot(s.select(F.concat_ws("/", "race_id", "issue").alias("issue"), side.alias("cand_id"), "stance"), ["a", "b", "c"])
 
 
-@query(KEYED + ", x AS (SELECT vote_id, CASE cand_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS k, vote FROM kv WHERE race_id = 'NATION_3') SELECT vote_id, min(vote) FILTER (k = 'a') AS a, min(vote) FILTER (k = 'b') AS b, min(vote) FILTER (k = 'c') AS c FROM x GROUP BY vote_id HAVING count(DISTINCT k) >= 2")
+@query(KEYED + ", x AS (SELECT race_id || '/' || vote_id AS vote_id, CASE cand_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS k, vote FROM kv) SELECT vote_id, min(vote) FILTER (k = 'a') AS a, min(vote) FILTER (k = 'b') AS b, min(vote) FILTER (k = 'c') AS c FROM x GROUP BY vote_id HAVING count(DISTINCT k) >= 2")
 def vote_pivot(spark: SparkSession, d: str) -> DataFrame:
     side = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("cand_id") % 3 + 1).cast("int"))
-    return G.vote_pivot(key_votes(spark, d).where("race_id = 'NATION_3'").select("vote_id", side.alias("cand_id"), "vote"), ["a", "b", "c"])
+    return G.vote_pivot(key_votes(spark, d).select(F.concat_ws("/", "race_id", F.col("vote_id").cast("string")).alias("vote_id"), side.alias("cand_id"), "vote"), ["a", "b", "c"])
 
 
 @query(KEYED + " SELECT vote_id, vote, string_agg(DISTINCT name, ', ' ORDER BY name) AS names, count(*) AS voters FROM kv GROUP BY 1, 2")

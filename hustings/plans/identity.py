@@ -126,23 +126,29 @@ def coverage_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return I.seat_coverage(a, b, "custkey")
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 20 = 0), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 30 = 0) SELECT k AS l_partkey, 'missing' AS status FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'extra' FROM b ANTI JOIN a USING (k)")
+@query("WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag <> 'N') SELECT k AS l_orderkey, 'missing' AS status FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'extra' FROM b ANTI JOIN a USING (k)")
 def set_differences(spark: SparkSession, d: str) -> DataFrame:
-    line = T.read(spark, d, "lineitem").select("l_partkey", "l_suppkey")
-    return I.set_differences(line.where("l_suppkey % 20 = 0"), line.where("l_suppkey % 30 = 0"), ["l_partkey"])
+    line = T.read(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
+    return I.set_differences(line.where("l_returnflag <> 'R'"), line.where("l_returnflag <> 'N'"), ["l_orderkey"])
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS position, c_custkey % 60 = 12 AS number, ['st', 'ave', 'pl'][c_custkey % 3 + 1] AS kind, ['albany', 'troy', 'alba'][c_custkey % 3 + 1] AS city, [4, 3, 0][c_custkey % 3 + 1] AS bonus,
+  CASE WHEN c_custkey % 150 = 12 THEN 'exact' WHEN starts_with(CAST(c_custkey % 150 AS VARCHAR), '12') THEN 'prefix' ELSE 'none' END AS house_match FROM customer),
+p AS (SELECT *, CASE house_match WHEN 'exact' THEN 40 WHEN 'prefix' THEN 12 ELSE -50 END + CASE WHEN number THEN 10 ELSE -10 END + CASE WHEN kind = 'st' THEN 10 ELSE -10 END + CASE WHEN starts_with(city, 'alb') THEN 6 ELSE -8 END + bonus AS score,
+  (CASE WHEN number THEN 1 ELSE 0 END + CASE WHEN kind = 'st' THEN 1 ELSE 0 END + CASE WHEN starts_with(city, 'alb') THEN 1 ELSE 0 END) / 3.0 AS coverage FROM c)
+SELECT position, score, coverage, house_match, house_match <> 'none' AND number AND kind = 'st' AND starts_with(city, 'alb') AND coverage >= 0.5 AS keep FROM p"""
+)
 def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Suggestions for a typed address among streets built from the customers; tests hold it against plain Python."""
+    """How every address built from the customers scores against '12 12th St, Alb'."""
     k = F.col("c_custkey")
     street = F.concat((k % 60).cast("string"), F.when(k % 3 == 0, " Street").when(k % 3 == 1, " Avenue").otherwise(" Place"))
     city = F.element_at(F.array(*map(F.lit, ("Albany", "Troy", "Alba"))), (k % 3 + 1).cast("int"))
-    rows = T.read(spark, d, "customer").select(k.alias("position"), (k % 150).cast("string").alias("house"), street.alias("street"), city.alias("city"), F.lit("NY").alias("state"), (12200 + k % 9).cast("string").alias("zip"), F.lit(None).cast("string").alias("detail"), F.element_at(F.array(*map(F.lit, ("nyc", "nys", "osm"))), (k % 3 + 1).cast("int")).alias("source"), F.lit(None).cast("string").alias("point_key"))
-    return ranking.rank(rows, ranking.Typed("12", ("12th", "st", "alb"), "", "NY")).select("position", "house", "street", "city", "score", "house_match")
+    rows = T.read(spark, d, "customer").select(k.alias("position"), (k % 150).cast("string").alias("house"), street.alias("street"), city.alias("city"), F.lit("NY").alias("state"), (12200 + k % 9).cast("string").alias("zip"), F.lit(None).cast("string").alias("detail"), F.element_at(F.array(*map(F.lit, ("nyc", "nys", "osm"))), (k % 3 + 1).cast("int")).alias("source"))
+    return ranking.score(rows, ranking.Typed("12", ("12th", "st", "alb"), "", "NY")).select("position", "score", "coverage", "house_match", "keep")
 
 
-@query("SELECT file, member_key, min_by(party, ordinal) AS party FROM (SELECT s_suppkey % 4 AS file, s_suppkey AS member_key, s_nationkey % 3 AS ordinal, CASE WHEN s_nationkey % 2 = 0 THEN 'D' ELSE 'R' END AS party FROM supplier UNION ALL SELECT s_suppkey % 4, s_suppkey, 1 - s_nationkey % 2 * 2 + 3, 'I' FROM supplier) JOIN (SELECT DISTINCT l_suppkey AS member_key FROM lineitem WHERE l_suppkey % 5 <> 0) USING (member_key) GROUP BY ALL")
+@query("SELECT file, member_key, arg_min(party, (ordinal, party)) AS party FROM (SELECT s_suppkey % 4 AS file, s_suppkey AS member_key, s_nationkey % 3 AS ordinal, CASE WHEN s_nationkey % 2 = 0 THEN 'D' ELSE 'R' END AS party FROM supplier UNION ALL SELECT s_suppkey % 4, s_suppkey, 4 - s_nationkey % 2 * 2, 'I' FROM supplier) JOIN (SELECT DISTINCT l_suppkey AS member_key FROM lineitem WHERE l_suppkey % 5 <> 0) USING (member_key) GROUP BY ALL")
 def party_roster(spark: SparkSession, d: str) -> DataFrame:
     s = T.read(spark, d, "supplier")
     file = (F.col("s_suppkey") % 4).alias("file")

@@ -74,12 +74,12 @@ def senator_seniority(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {V}, v AS (SELECT bill, roll_date AS d, min(title) AS title FROM rolls WHERE roll_id % 7 = 0 GROUP BY 1, 2)
+    f"""WITH {V}, v AS (SELECT bill, roll_date + CAST(roll_id % 5 AS INTEGER) AS d, min(title) AS title FROM rolls GROUP BY 1, 2)
 SELECT roll_id, bill, roll_date, coalesce((SELECT v.title FROM v WHERE v.bill = r.bill AND v.d <= r.roll_date ORDER BY v.d DESC LIMIT 1), (SELECT v.title FROM v WHERE v.bill = r.bill AND v.d > r.roll_date ORDER BY v.d LIMIT 1)) AS as_of_title FROM rolls r"""
 )
 def asof_title(spark: SparkSession, d: str) -> DataFrame:
     r = T.rolls(spark, d)
-    versions = r.where("roll_id % 7 = 0").select("bill", F.col("roll_date").alias("stamp"), F.col("title").alias("as_of_title"))
+    versions = r.select("bill", F.date_add("roll_date", (F.col("roll_id") % 5).cast("int")).alias("stamp"), F.col("title").alias("as_of_title"))
     return asof.as_of(r.select("roll_id", "bill", "roll_date"), versions, "bill", "roll_date", "stamp", "as_of_title")
 
 
@@ -278,13 +278,15 @@ def absence_same_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {V}, n AS (SELECT roll_id, list(member_key ORDER BY member_key) AS m FROM ballots WHERE member_key < 5 GROUP BY 1)
-SELECT roll_id, CASE WHEN len(list_filter([0, 1, 2, 3, 4], lambda x: NOT list_contains(m, x))) = 1 THEN CAST(list_filter([0, 1, 2, 3, 4], lambda x: NOT list_contains(m, x))[1] AS BIGINT) END AS presider FROM n"""
+    f"""WITH {V}, n AS (SELECT roll_id, 'C' || member_key % 3 AS chamber, list(DISTINCT choice) AS m FROM ballots GROUP BY 1, 2), k AS (SELECT ['absent', 'no', 'yes'] AS p)
+SELECT roll_id, chamber, CASE WHEN len(list_filter(p, lambda x: NOT list_contains(m, x))) = 1 THEN list_filter(p, lambda x: NOT list_contains(m, x))[1] END AS presider FROM n, k"""
 )
 def presiding_officer(spark: SparkSession, d: str) -> DataFrame:
-    named = T.ballots(spark, d).where("member_key < 5").groupBy("roll_id").agg(F.collect_set("member_key").alias("members")).withColumn("chamber", F.lit("C"))
-    known = spark.range(5).groupBy(F.lit("C").alias("chamber")).agg(F.collect_set("id").alias("members"))
-    return impute.presiding(named, known).select("roll_id", "presider")
+    """Names here are the positions taken in a third of the members: the one position that nobody took presides."""
+    chamber = F.concat(F.lit("C"), (F.col("member_key") % 3).cast("string")).alias("chamber")
+    named = T.ballots(spark, d).groupBy("roll_id", chamber).agg(F.collect_set("choice").alias("members"))
+    known = spark.range(3).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("chamber"), F.array(*map(F.lit, ("absent", "no", "yes"))).alias("members"))
+    return impute.presiding(named, known)
 
 
 TALLY = ", t AS (SELECT roll_id, count(*) FILTER (choice = 'yes') AS yes, count(*) FILTER (choice = 'no') AS no FROM ballots GROUP BY 1)"

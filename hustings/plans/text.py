@@ -9,16 +9,16 @@ from ..functions import text as X
 from ..sources import driver_tables as T
 from . import query
 
-LINE = "string_split(coalesce(text, ''), chr(10))[1]"
+LINE = "coalesce(text, '')"
 
 
-def first_line():
-    return F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+def whole_text():
+    return F.coalesce("text", F.lit(""))
 
 
 @query(f"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({LINE})), '[''’`]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'person') AS slug FROM documents")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return T.read(spark, d, "documents").select("doc_id", X.slugify(first_line()).alias("slug"))
+    return T.read(spark, d, "documents").select("doc_id", X.slugify(whole_text()).alias("slug"))
 
 
 @query(
@@ -27,7 +27,7 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, array_to_string(w, ' ') AS name, coalesce(w[-1], '') AS surname FROM w"""
 )
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
-    line = first_line()
+    line = whole_text()
     return T.read(spark, d, "documents").select("doc_id", X.norm_name(line).alias("name"), X.surname(line).alias("surname"))
 
 

@@ -16,13 +16,16 @@ from ..operators import quality
 @dataclass(frozen=True)
 class Source:
     """Codes of a source's words, the policy for rolls whose count differs (drop, warn, count; none: no tally is
-    printed), whether an unknown word fails the run, and what a word that is not listed means otherwise."""
+    printed), whether an unknown word fails the run (strict) or drops its roll (whole), what a word that is not listed
+    means otherwise, and prefixes of words that share a meaning."""
 
     codes: dict[str, str] = field(default_factory=dict)
     policy: str = "none"
     kind: str = "HTML"
     strict: bool = False
     other: str | None = None
+    whole: bool = False
+    prefixes: dict[str, str] = field(default_factory=dict)
 
 
 def _codes(yes: str = "", no: str = "", absent: str = "", present: str = "") -> dict[str, str]:
@@ -55,7 +58,7 @@ SOURCES: dict[str, Source] = {
     "nv": Source(_codes("yea", "nay", "excused|not voting|absent"), "drop", "HTML"),
     "ar": Source(_codes("Yeas", "Nays", "Non Voting|Excused", "Present"), "drop", "HTML"),
     "ak": Source(_codes("yeas", "nays", "excused|absent"), "drop", "HTML"),
-    "al": Source(_codes("Y", "N", "A|P|E", "X"), "drop", "JSON"),
+    "al": Source(_codes("Y", "N", "A|P|E", "X"), "drop", "JSON", strict=True),
     "wi": Source(_codes("Y|AYES", "N|NAYS"), "drop", "HTML", other="absent"),
     "mi": Source(_codes("Yeas", "Nays", "Excused|Not Voting", "Present"), "drop", "HTML"),
     "nc": Source(_codes("Ayes", "Noes", "Not Voting|Excused Absence|Excused Vote"), "drop", "HTML"),
@@ -66,17 +69,19 @@ SOURCES: dict[str, Source] = {
     "ky": Source(_codes("YEAS", "NAYS", "NOT VOTING", "ABSTAINED|PASSES"), "drop", "PDF"),
     "ma": Source(_codes("Y", "N", "X", "P"), "drop", "PDF"),
     "md": Source(_codes("Voting Yea", "Voting Nay", "Not Voting|Excused from Voting|Excused (Absent)"), "drop", "PDF"),
-    "ct": Source(_codes("Y", "N", "X|A"), "drop", "PDF"),
+    "ct": Source(_codes("Y", "N", "X|A"), "drop", "PDF", whole=True),
     "wv": Source(_codes("Y", "N", "A|E|P"), "drop", "PDF"),
     "tn": Source(_codes("ayes", "noes", "", "present"), "drop", "HTML"),
-    "nh": Source(_codes("Yea", "Nay", "Not Voting/Excused|Not Voting/Not Excused"), "drop", "HTML"),
+    "nh": Source(_codes("Yea", "Nay"), "drop", "HTML", prefixes={"Not Voting": "absent"}),
 }
 
 
 def coded(raw: Column, source: str) -> Column:
     """A source's word as a choice; null where it is no position."""
     s = SOURCES[source]
-    found = vote_code(raw, s.codes, s.strict)
+    found = vote_code(raw, s.codes, s.strict and not s.prefixes)
+    for prefix, choice in s.prefixes.items():
+        found = F.coalesce(found, F.when(F.startswith(raw, F.lit(prefix)), F.lit(choice)))
     return found if s.other is None else F.coalesce(found, F.lit(s.other))
 
 
@@ -93,7 +98,11 @@ def ingest(rolls: DataFrame, printed: DataFrame, roster: DataFrame, source: str)
     ``drop`` a roll whose recount differs goes with its positions; under ``warn`` and ``count`` all stay, ``agrees``
     telling which differ; without a printed tally ``agrees`` is null.
     """
-    votes = printed.withColumn("choice", coded(F.col("raw"), source)).where("choice is not null").join(roster, "name", "left")
+    marked = printed.withColumn("choice", coded(F.col("raw"), source))
+    if SOURCES[source].whole:
+        broken = marked.where("choice is null").select("roll_id").distinct()
+        marked, rolls = marked.join(broken, "roll_id", "left_anti"), rolls.join(broken, "roll_id", "left_anti")
+    votes = marked.where("choice is not null").join(roster, "name", "left")
     policy = SOURCES[source].policy
     if policy == "none":
         return rolls.withColumn("agrees", F.lit(None).cast("boolean")), votes.select("roll_id", "member_key", "choice")

@@ -65,12 +65,14 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 # Words that a neutral text leaves out, hosts that may not be cited, kinds of source.
 LOADED = r"\b(common[- ]sense|extreme|radical|controversial|far-left|far-right|disgraced|hypocrit\w*|flip-flop\w*|beloved|tireless|champion of|staunch)\b"
+GUIDE_LOADED = r"(?i)\b(extreme|radical|common[- ]sense|controversial|far-left|far-right|disgraced|hypocrit\w*|flip-flop\w*)\b"
 BAD_HOST = r"(?i)ballotbrief|isidewith|predictionedge"
 KINDS = ["official", "candidate", "news", "reference"]
 
 
-def loaded(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(LOADED)
+def loaded(text: Column, words: str = LOADED) -> Column:
+    """Whether a text holds loaded words: those of biographies as they are written, those of the guide in any case."""
+    return F.coalesce(text, F.lit("")).rlike(words)
 
 
 def bio_violations(bios: DataFrame) -> DataFrame:

@@ -16,10 +16,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roll_id, member_key, choice (yes / no / absent), vote_date: one row for each roll and member.
 
-    A member's first line item decides. Line items are dealt by roll call, which serves this grouping and every later
-    one by roll call: with few members (a broadcast) a split is one shuffle of the line items.
+    A member's first line item decides, found by a partial aggregation before the shuffle.
     """
-    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag").repartition("l_partkey")
+    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     first = line.groupBy(F.col("l_partkey").alias("roll_id"), F.col("l_suppkey").alias("member_key")).agg(F.min(order).alias("f"))
     flag = F.col("f.l_returnflag")
@@ -44,12 +43,6 @@ def rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(last, "roll_id")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records with a title (first line) and a summary (the rest of the first 500 characters)."""
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.substring("text", 1, 500).alias("summary"))
-
-
 #: The same view as the start of a DuckDB query.
 VIEWS = """
 ballots AS (

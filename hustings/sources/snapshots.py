@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,20 +54,20 @@ def decode(compact: DataFrame) -> DataFrame:
 def encode(votes: DataFrame, group: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The compact form of positions (group, roll_id, member_key, choice): roll_id, member_index, codes.
 
-    The members of a group (a file) are listed once in numeric, then text order and are a bounded roster; a roll's
-    letters are filled from its own positions, so nothing the size of members times rolls is ever built.
+    ``member_index`` has the members of a group (a file: a bounded roster) in numeric, then text order, and ``codes`` a
+    letter for each. A repeated position of a member counts once, the first by choice.
     """
-    keys = [*group] or [F.lit(0).alias("__all")]
+    one, many = F.lit(0).alias("__all"), [*group]
+    flat = votes.select(*many, *([] if group else [one]), "roll_id", F.col("member_key").cast("string").alias("k"), "choice")
+    names = many or ["__all"]
+    number = F.coalesce(F.col("k").try_cast("bigint"), F.lit(2**62))
+    roster = flat.select(*names, "k").distinct()
+    index = roster.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), "k"))), lambda s: s["k"]).alias("member_index"))
     letter = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (v, k)])
-    number = lambda k: k.cast("string").try_cast("bigint")
-    order = F.array_sort(F.collect_set(F.struct(F.coalesce(number(F.col("member_key")), F.lit(2**62)).alias("n"), F.col("member_key").cast("string").alias("k"))))
-    flat = votes.select("*", *([] if group else keys))
-    names = [*group] or ["__all"]
-    index = flat.groupBy(*names).agg(F.transform(order, lambda s: s["k"]).alias("member_index"))
-    cast = flat.groupBy(*names, "roll_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("member_key").cast("string"), F.try_element_at(letter, F.col("choice"))))).alias("m"))
-    coded = cast.join(F.broadcast(index) if not group else index, names)
+    first = flat.groupBy(*names, "roll_id", "k").agg(F.min("choice").alias("choice"))
+    cast = first.groupBy(*names, "roll_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.try_element_at(letter, F.col("choice"))))).alias("m"))
     codes = F.array_join(F.transform("member_index", lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit("-"))), "")
-    return coded.select(*group, "roll_id", "member_index", codes.alias("codes"))
+    return cast.join(index, names).select(*group, "roll_id", "member_index", codes.alias("codes"))
 
 
 def add_summaries(rolls: DataFrame, notes: DataFrame) -> DataFrame:
@@ -106,16 +108,33 @@ def carry_forward(new: DataFrame, old: DataFrame, key: str = "roll_id") -> DataF
     return out.withColumns({"summary": F.coalesce("summary", "__s"), "summary_source": F.when(lacking & F.col("__s").isNotNull(), F.col("__p")).otherwise(F.col("summary_source"))}).drop("__s", "__p")
 
 
-def publish(rows: DataFrame, path: str) -> None:
-    """Write to a staging folder beside ``path`` and move it there, so readers see the old rows or the new ones."""
+def publish(rows: DataFrame, path: str) -> str:
+    """Write ``rows`` as a new version below ``path`` and point to it last, so readers see the old rows or the new ones,
+    and a failed run leaves the old ones in place. The pointer is one small file, replaced by a rename; the version
+    before it stays for readers that have begun. Returns the version's folder; ``published`` reads the current one."""
     spark = rows.sparkSession
-    staged = f"{path.rstrip('/')}.staged"
-    rows.write.mode("overwrite").parquet(staged)
-    p, s = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, staged))
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p, True)
-    if not fs.rename(s, p):
-        raise OSError(f"could not move {staged} to {path}")
+    version = f"v-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path.rstrip('/')}/{version}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    out = fs.create(at(f"{version}.pointer"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context.rename(fs.makeQualified(at(f"{version}.pointer")), fs.makeQualified(at("current.pointer")), options)
+    return f"{path.rstrip('/')}/{version}"
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that ``path`` points to."""
+    version = spark.read.text(f"{path.rstrip('/')}/current.pointer", wholetext=True).first()
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version[0].strip()}")
 
 
 def csv_rows(spark: SparkSession, path: str, strict: bool = False, **options: str) -> DataFrame:

@@ -58,11 +58,30 @@ def test_xml_records(spark, tmp_path):
 def test_publish_swaps_whole_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
-        snapshots.publish(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        version = snapshots.publish(spark.range(n), path)
+        assert snapshots.published(spark, path).count() == n
     with pytest.raises(Exception):
         snapshots.publish(spark.range(1).select(F.raise_error(F.lit("bad")).alias("x")), path)
-    assert spark.read.parquet(path).count() == 5  # a failed refresh leaves the old table
+    assert snapshots.published(spark, path).count() == 5  # a failed refresh leaves the old table
+    assert spark.read.parquet(version).count() == 5 and len(list((tmp_path / "t").glob("v-*"))) >= 2
+
+
+def test_sources_that_drop_or_fail_on_unknown_words(spark):
+    rolls = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "roll_id long, printed_yes long, printed_no long")
+    printed = spark.createDataFrame([(1, "a", "Y"), (2, "a", "Y"), (2, "b", "?")], "roll_id long, name string, raw string")
+    roster = spark.createDataFrame([("a", 1), ("b", 2)], "name string, member_key long")
+    for source, kept in (("ct", [1]), ("ma", [1, 2])):
+        got, votes = connectors.ingest(rolls, printed, roster, source)
+        assert sorted(r.roll_id for r in got.collect()) == kept and sorted(r.roll_id for r in votes.collect()) == kept
+    with pytest.raises(Exception):
+        connectors.ingest(rolls, printed, roster, "al")[1].collect()
+    words = spark.createDataFrame([("Yea",), ("Not Voting/Excused",), ("Not Voting",), ("Maybe",)], "raw string")
+    assert [r[0] for r in words.select(connectors.coded(F.col("raw"), "nh")).collect()] == ["yes", "absent", "absent", None]
+
+
+def test_codes_count_a_repeated_member_once(spark):
+    votes = spark.createDataFrame([(1, "7", "yes"), (1, "7", "yes"), (1, "x", "no"), (2, "10", "absent")], "roll_id long, member_key string, choice string")
+    assert sorted((r.roll_id, r.member_index, r.codes) for r in snapshots.encode(votes).collect()) == [(1, ["7", "10", "x"], "Y-N"), (2, ["7", "10", "x"], "-A-")]
 
 
 def test_connectors(spark):
