@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stands after each text; no symbol of any machine.
 END = np.uint32(0x110000)
 #: Code points that are composed at once, and steps up to which the parts of a window are solved side by side.
-WINDOW, MANY_STEPS = 1 << 19, 1000
+WINDOW, MANY_STEPS = 1 << 17, 1000
 NOTHING = -2
 
 
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 100):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, counts = fst.encode_arrays(texts)
             ends = np.concatenate([[0], counts.cumsum()])
