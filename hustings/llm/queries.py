@@ -28,6 +28,11 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 5: all documents whose spots are alike, through length partitions and pruned Jaccard."""
+    return spotsigs.join(table(spark, sf_dir, "documents"))
+
+
 def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     tunes = chroma.melodies(table(spark, sf_dir, "embeddings"))
     return chroma.search(tunes.withColumnRenamed("rec_id", "vec_id"), "vec_id")
@@ -51,5 +56,5 @@ def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.reconstruct(chat.events_of_turns(turns))))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events, spotsigs_join)}
 ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE}

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, slices
@@ -32,8 +33,8 @@ ANCHORS = """the a is was that with for this der die ist und das ein le la les e
 STOP = """of and to in it as be by on not he his are at have from or an they which nicht mit von zu den eine im auf für
 als auch sich dem des et un que pour qui sur par pas au aux en du y con para del se lo como su al de""".split()
 CHAIN = 2
-#: Buckets of the document order for each shuffle partition, and at most.
-BUCKETS_A_PARTITION, MOST_BUCKETS = 3, 4096
+#: Rows of a bucket of the document order at most, and buckets for each shuffle partition at least.
+BUCKET_ROWS, BUCKETS_A_PARTITION = 1 << 15, 3
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -88,23 +89,53 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _constant(values: list, ddl: str) -> Column:
+    """A Python list as one constant of a plan, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), ddl)
+
+
+def _place(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are less than ``value``: equal cells over their range tell how many lie before a
+    cell and which few lie inside, so the work for a row doesn't grow with their number."""
+    if not cuts:
+        return F.lit(0)
+    low = cuts[0] >> 1  # halves, so that no difference overflows
+    width = ((cuts[-1] >> 1) - low) // len(cuts) + 1
+    cells: list[dict] = [{"n": 0, "c": []} for _ in range(((cuts[-1] >> 1) - low) // width + 1)]
+    for c in cuts:
+        cells[((c >> 1) - low) // width]["c"].append(c)
+    for a, b in zip(cells, cells[1:]):
+        b["n"] = a["n"] + len(a["c"])
+    # The cell of a value below or above the cuts is the first or the last.
+    clamped = F.least(F.greatest(value, F.lit(cuts[0])), F.lit(cuts[-1]))
+    at = F.shiftright(clamped, 1) - F.lit(low)
+    cell = F.get(_constant(cells, "array<struct<n: int, c: array<bigint>>>"), F.round((at - at % F.lit(width)) / F.lit(width)).cast("int"))
+    return cell["n"] + F.size(F.filter(cell["c"], lambda c: c < value))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) by descending id within buckets of an equal number of rows. The first document of the
-    bucket that follows comes last in each bucket with ``own`` false, so every document meets its next one."""
-    n = min(MOST_BUCKETS, BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    bucket that follows comes last in each bucket with ``own`` false, so every document meets its next one.
+
+    The number of buckets grows with the rows. What reaches the driver is a cut and a first id for each bucket, one in
+    ``BUCKET_ROWS`` documents."""
+    rows = docs.agg(F.count("doc_id")).first()[0]
+    n = max(-(-rows // BUCKET_ROWS), BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = _constant([k / n for k in range(1, n)], "array<double>")
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(max(10_000, 10 * n)))).first()[0] if n > 1 else []
+    bucket = _place(sorted(set(cuts or [])), F.col("doc_id").cast("long"))
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket), F.lit(-1)).alias("bucket"))
     heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy(F.desc("bucket")).collect()  # one row a bucket
     if not heads:
         return placed.select(F.lit(True).alias("own"), "doc_id", "text", "bucket")
-    # The head of each bucket is shown to the one before it, that of the first to the last.
-    before = {heads[k]["bucket"]: heads[k - 1]["bucket"] for k in range(len(heads))}
-    pairs = F.create_map(*[F.lit(x) for h in heads for x in (h["bucket"], F.struct(F.lit(h["head"]).cast("long").alias("head"), F.lit(before[h["bucket"]]).alias("to")))])
-    mine = F.element_at(pairs, F.col("bucket"))
-    shown = F.when(F.col("doc_id").eqNullSafe(mine["head"]), F.array(F.struct(F.lit(True).alias("own"), F.col("bucket").alias("at")), F.struct(F.lit(False).alias("own"), mine["to"].alias("at"))))
-    spread = placed.withColumn("__s", F.explode(F.coalesce(shown, F.array(F.struct(F.lit(True).alias("own"), F.col("bucket").alias("at"))))))
+    # The head of each bucket is shown to the one before it, that of the first to the last. Bucket -1 has place 0.
+    first, to = [[None] * (heads[0]["bucket"] + 2) for _ in range(2)]
+    for k, h in enumerate(heads):
+        first[h["bucket"] + 1], to[h["bucket"] + 1] = h["head"], heads[k - 1]["bucket"]
+    mine = lambda values: F.get(_constant(values, "array<bigint>"), F.col("bucket") + 1)
+    stay = F.struct(F.lit(True).alias("own"), F.col("bucket").alias("at"))
+    shown = F.when(F.col("doc_id").eqNullSafe(mine(first)), F.array(stay, F.struct(F.lit(False).alias("own"), mine(to).cast("int").alias("at")))).otherwise(F.array(stay))
+    spread = placed.withColumn("__s", F.explode(shown))
     dealt = spread.select("__s.own", "doc_id", "text", F.col("__s.at").alias("bucket")).repartition(max(1, len(heads)), "bucket")
     return dealt.sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
 
