@@ -7,8 +7,9 @@ takes each archive as bytes and walks it record by record by Content-Length, so
 record separators included.
 
 Cases: a null payload is empty (0 bytes); a null URL becomes an empty target and its capture has no request line
-host; control characters in a URL are percent-encoded; rows that repeat an id and payload all become captures, and
-those with the largest id are all responses; a null id never wins a group over a number; an empty table gives an
+host; control characters in a URL are percent-encoded; rows that repeat an id and payload all become captures with
+records of their own, and those with the largest id are all responses; a payload longer than an archive's bound is
+alone in its file; a null id never wins a group over a number; an empty table gives an
 empty archive and no rows; further columns of the input are ignored.
 """
 
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, new_path, salted_lookup, slices
+from .common import BROADCAST_ROWS, durable, new_path, salted_lookup, slices
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
-#: Records in one archive file at most; with the size of a shuffled partition this bounds a file.
-RECORDS_A_FILE = 20_000
+#: Bytes of one archive file at most before compression, and of a capture's records beside its payload.
+ARCHIVE_BYTES, RECORD_BYTES = 1 << 28, 1 << 13
+#: Largest payloads of the size classes; larger payloads are a class of their own.
+SIZE_CLASSES = (1 << 16, 1 << 22)
 #: The record's date when a capture has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -55,25 +58,33 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from: int = 0) -> DataFrame:
-    """id, url, payload, digest, bytes and ``first`` (the id that this payload is stored under; null: its own).
+    """id, row (a number of its own), url, payload, digest, bytes, ``first`` (the id that this payload is stored under;
+    null: its own) and ``again`` (some id occurs twice with this payload).
 
-    Of equal payloads of at least ``dedup_from`` bytes the one with the largest id is stored. Only payloads that
-    occur twice are looked up, and the lookup is salted: one payload may be a third of all rows.
+    Of equal payloads of at least ``dedup_from`` bytes one with the largest id is stored. Only digests that occur twice
+    are kept, in a table of their own; where it is counted small it is broadcast and no payload is shuffled, else the
+    look-up is salted: one payload may be a third of all rows.
     """
     base = pages.select(
         F.col(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     )
     base = base.withColumns({"digest": base32_sha1(F.encode("payload", "UTF-8")), "bytes": F.octet_length("payload").cast("long")})
-    repeated = base.where(F.col("bytes") >= dedup_from).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = base.groupBy("digest").agg(F.max("id").alias("last"), F.max("bytes").alias("size"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).where("n > 1")
+    repeated = durable(twice.select("digest", F.when(F.col("size") >= dedup_from, F.col("last")).alias("first"), (F.col("n") > F.col("ids")).alias("again")), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        return base.join(F.broadcast(repeated), "digest", "left")
     return salted_lookup(base, repeated, "digest", "id")
 
 
 def records(caps: DataFrame) -> DataFrame:
     """Three records (a column ``value``) for each capture: response or revisit, its request, its metadata."""
     revisit = F.col("id") < F.col("first")
-    rid, first_rid = _urn(F.lit("response"), F.col("id"), F.col("digest")), _urn(F.lit("response"), F.col("first"), F.col("digest"))
+    # Where an id occurs twice with one payload its records are told apart by row, and revisits name the digest alone.
+    row = F.when(F.col("again"), F.col("row"))
+    rid, first_rid = _urn(F.lit("response"), F.col("id"), F.col("digest"), row), F.when(~F.col("again"), _urn(F.lit("response"), F.col("first"), F.col("digest"), row))
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("bytes").cast("string"), F.lit(SEPARATOR))
@@ -86,14 +97,23 @@ def records(caps: DataFrame) -> DataFrame:
         http,
     )
     ask = F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(SEPARATOR))
-    request = _record("request", [("WARC-Record-ID", _urn(F.lit("request"), F.col("id"), F.col("digest"))), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
+    request = _record("request", [("WARC-Record-ID", _urn(F.lit("request"), F.col("id"), F.col("digest"), row)), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
     notes = F.concat_ws(CRLF, F.concat(F.lit("capture-id: "), F.col("id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")))
-    meta = _record("metadata", [("WARC-Record-ID", _urn(F.lit("metadata"), F.col("id"), F.col("digest"))), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))], notes)
+    meta = _record("metadata", [("WARC-Record-ID", _urn(F.lit("metadata"), F.col("id"), F.col("digest"), row)), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))], notes)
     return caps.select(F.explode(F.array(request, F.when(revisit, again).otherwise(full), meta)).alias("value"))
 
 
 def write_archives(caps: DataFrame, path: str, compression: str = "gzip") -> None:
-    records(caps).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Archives below ``path``, a folder for each class of payload sizes. A file of a class holds so many captures that
+    it can't exceed ``ARCHIVE_BYTES`` (but for a single larger capture), however long or many the payloads are."""
+    most = caps.agg(F.max("bytes")).first()[0] or 0
+    low = -1
+    for high in (*SIZE_CLASSES, most):
+        if low < max(most, 0) and high > low:
+            held = caps.where((F.col("bytes") > low) & (F.col("bytes") <= high))
+            in_file = max(1, ARCHIVE_BYTES // (high + RECORD_BYTES))
+            records(held).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", 3 * in_file).text(f"{path}/upto-{high}")
+            low = high
 
 
 RECORD_SCHEMA = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, digest string, payload_bytes long, fields map<string,string>"
@@ -187,7 +207,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(_parse, RECORD_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(_parse, RECORD_SCHEMA)
 
 
 def assemble(recs: DataFrame) -> DataFrame:
@@ -231,13 +251,15 @@ def capture_report(caps: DataFrame) -> DataFrame:
             F.col("response.digest").alias("payload_digest"),
             F.col("response.type").alias("record_type"),
             F.col("response.record_id").alias("record_id"),
-            F.col("response.refers_to").alias("to_record"),
+            F.when(F.col("response.type") == "revisit", F.coalesce(F.col("response.refers_to"), F.col("response.digest"))).alias("to_record"),
         ),
         "captures",
     )
     revisits = flat.where("record_type = 'revisit'")
     wanted = revisits.groupBy("to_record").agg(F.lit(1).alias("one")).drop("one")
-    stored = flat.where("record_type = 'response'").groupBy(F.col("record_id").alias("to_record")).agg(F.max("page_id").alias("refers_to"))
+    # A revisit names the record it refers to, or else only its payload's digest.
+    named = flat.where("record_type = 'response'").select(F.explode(F.array("record_id", "payload_digest")).alias("to_record"), "page_id")
+    stored = named.groupBy("to_record").agg(F.max("page_id").alias("refers_to"))
     found = salted_lookup(revisits, stored.join(wanted, "to_record", "left_semi"), "to_record", "page_id")
     rest = flat.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

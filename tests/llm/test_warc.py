@@ -47,6 +47,34 @@ def test_repeated_rows_and_empty_table(spark):
     assert warc.capture_report(warc.write_and_assemble(pages(spark, []))).count() == 0
 
 
+def test_every_record_has_an_id_of_its_own_and_revisits_find_theirs(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "b"), (3, "v", "a"), (3, "v", "a"), (None, "w", "b")]
+    path = warc.new_path(spark, "warc")
+    warc.write_archives(warc.captures(pages(spark, rows)), path)
+    found = warc.read_archives(spark, path).collect()
+    ids = [r.record_id for r in found]
+    assert len(ids) == len(set(ids)) == 18 and {r.refers_to for r in found if r.refers_to} <= set(ids)
+    assert warc.leftovers(warc.read_archives(spark, path)).count() == 0
+
+
+def test_archives_are_bounded_in_bytes(spark, monkeypatch, tmp_path):
+    rows = [(i, f"http://h/{i}", f"{i:04d}" * (1 + i % 7) * 100) for i in range(200)] + [(900, "http://long", "x" * 90_000), (901, "http://longer", "y" * 300_000)]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (1000, 5000))
+    warc.write_archives(warc.captures(pages(spark, rows)), str(tmp_path / "w"), "none")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").rglob("part-*")]
+    assert sum(s > 40_000 for s in sizes) == 2 and len(sizes) > 10
+    got = warc.capture_report(warc.assemble(warc.read_archives(spark, str(tmp_path / "w")))).collect()
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=str) == brute(rows)
+
+
+def test_many_repeated_payloads_are_looked_up_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    rows = [(i, f"http://h/{i}", f"text {i % 20}") for i in range(60)]
+    got = warc.capture_report(warc.write_and_assemble(pages(spark, rows))).collect()
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=str) == brute(rows)
+
+
 def test_captures_nest_their_records(spark):
     caps = warc.write_and_assemble(pages(spark, [(1, "http://a.example/p", "x"), (2, "http://a.example/q", "y")])).collect()
     assert {r.response.target_uri: r.request.fields["request-line"] for r in caps} == {"http://a.example/p": "GET /p HTTP/1.1", "http://a.example/q": "GET /q HTTP/1.1"}
