@@ -114,15 +114,25 @@ def _runs(lines: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
     return run.where(F.exists("run", lambda x: x["cued"])).select("digest", "k", "more", F.array_join("run.part", "\n").alias("part"))
 
 
-def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, file_share: float) -> tuple[DataFrame, Column]:
-    """(digest, licence, similarity, file_licence, file_similarity) for each distinct text that matches, and the test for texts that may."""
-    spark = docs.sparkSession
+def _candidates(files: DataFrame, found: list[str]) -> DataFrame:
+    """doc_id and path of all files; digest and text of those with a cue, the only ones that can match. Durable, so that
+    texts are tokenised once here and never read again."""
+    text = F.coalesce("text", F.lit(""))
+    maybe = F.arrays_overlap(F.split(F.lower(text), SEPARATORS), F.array(*map(F.lit, found)))
+    return durable(files.select("doc_id", "path", F.when(maybe, F.md5(F.col("text").cast("binary"))).alias("digest"), F.when(maybe, F.col("text")).alias("text")), "candidates")
+
+
+def _matches(files: DataFrame, templates: list[tuple[str, str]], threshold: float, file_share: float) -> tuple[DataFrame, DataFrame]:
+    """(digest, licence, similarity, file_licence, file_similarity) for each distinct text that matches, and doc_id,
+    path and digest of all files."""
+    spark = files.sparkSession
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    idf, vectors = weigh(templates, *document_frequencies(docs, vocabulary))
-    cue = rf"(?i)(?<!{LETTER})(?:" + "|".join(cues(vectors, idf, threshold)) + rf")(?!{LETTER})"
-    maybe = F.coalesce("text", F.lit("")).rlike(cue)
+    idf, vectors = weigh(templates, *document_frequencies(files, vocabulary))
+    rarest = cues(vectors, idf, threshold)
+    cue = rf"(?i)(?<!{LETTER})(?:" + "|".join(rarest) + rf")(?!{LETTER})"
+    rows = _candidates(files, rarest)
     lengths = sorted({sum(terms_of(text).values()) for _, text in templates})
-    texts = docs.where(maybe).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.first("text").alias("text"))
+    texts = rows.where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"))
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("text").alias("part")))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("k"), x.alias("part")))
     parts = texts.select("digest", F.explode(F.concat(whole, F.filter(lines, lambda x: x["part"].rlike(cue)))).alias("p")).select("digest", "p.k", F.lit(0).alias("more"), "p.part")
@@ -139,7 +149,7 @@ def _matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     order = [(-F.col("similarity")).alias("s"), "licence", "k", "more"]
     large = F.when(F.col("words") / F.col("all_words") >= file_share, F.struct((F.col("k") >= 0).alias("part"), *order))
     best = scored.join(all_words, "digest").groupBy("digest").agg(F.min(F.struct(*order)).alias("b"), F.min(large).alias("f"))
-    return best.select("digest", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("f.licence").alias("file_licence"), (-F.col("f.s")).alias("file_similarity")), maybe
+    return best.select("digest", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("f.licence").alias("file_licence"), (-F.col("f.s")).alias("file_similarity")), rows.drop("text")
 
 
 def parent(path: Column) -> Column:
@@ -160,11 +170,11 @@ def nearest_licences(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """One row for each row of ``files`` (doc_id, path, text): doc_id, path, licence (its own), similarity,
     licence_file, effective_licence (its own or the nearest directory's), from_dir (null: its own or none)."""
-    matches, maybe = _matches(files, templates or TEMPLATES, threshold, file_share)
-    digest = F.when(maybe, F.md5(F.col("text").cast("binary")))
-    rows = files.select("doc_id", "path", digest.alias("digest"))
+    matches, rows = _matches(files, templates or TEMPLATES, threshold, file_share)
     found = broadcast_if_small(durable(matches, "licences"))
-    own = durable(rows.join(found, "digest", "left").withColumn("licence_file", F.col("file_licence").isNotNull()).drop("digest"), "files")
+    # Files without a cue have no digest: they pass by the join, in which they would be one hot key.
+    scored = rows.where("digest is not null").join(found, "digest", "left").unionByName(rows.where("digest is null"), allowMissingColumns=True)
+    own = durable(scored.withColumn("licence_file", F.col("file_licence").isNotNull()).drop("digest"), "files")
     near = durable(nearest_licences(own), "dirs")
     placed = own.withColumn("dir", parent(F.coalesce("path", F.lit(""))))
     joined = salted_lookup(placed, near, "dir", "path")
