@@ -25,6 +25,23 @@ class Typed:
     state: str = ""
 
 
+# Postal codes of states.
+STATES = """al ak az ar ca co ct de dc fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or
+pa ri sc sd tn tx ut vt va wa wv wi wy""".split()
+
+
+def looks_complete(typed: Column) -> Column:
+    """A house number with three words after it, or with one and a ZIP; a state at the end is no word."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(typed, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    last = lambda t: F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(""))
+    less = lambda t, test: F.when(test, F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(t)
+    house = F.coalesce(F.try_element_at(tokens, F.lit(1)), F.lit("")).rlike("^[0-9]+[a-z]?$")
+    zipped = last(tokens).rlike("^[0-9]{5}$") & (F.size(tokens) > 1)
+    words = less(tokens, zipped)
+    n = F.size(less(words, last(words).isin(STATES))) - 1
+    return house & ((n >= 3) | ((n >= 1) & zipped))
+
+
 def _starts(tokens: Column, word: str) -> Column:
     return F.exists(tokens, lambda t: F.startswith(t, F.lit(word)))
 

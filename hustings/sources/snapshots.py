@@ -145,6 +145,18 @@ def csv_rows(spark: SparkSession, path: str, strict: bool = False, **options: st
     return rows if strict else rows.fillna("")
 
 
+def delimited(lines: DataFrame, column: str, names: list[str], strict: bool = False, pad: str | None = "", **options: str) -> DataFrame:
+    """The fields ``names`` of delimited lines in a column, beside the other columns; options as for ``csv_rows``. Short
+    lines are padded with ``pad`` (null: not), or under ``strict`` go like all of another width."""
+    odd = "_corrupt_record"
+    schema = ", ".join(f"`{n}` string" for n in (*names, odd))
+    parsed = F.from_csv(F.col(column), schema, {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": odd, **options})
+    rows = lines.withColumn("__f", parsed)
+    rows = rows.where(F.col(f"__f.{odd}").isNull()) if strict else rows
+    value = lambda n: F.col(f"__f.`{n}`") if pad is None else F.coalesce(F.col(f"__f.`{n}`"), F.lit(pad))
+    return rows.select(*[c for c in lines.columns if c != column], *[value(n).alias(n) for n in names])
+
+
 def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Elements ``tag`` of XML files as rows."""
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)

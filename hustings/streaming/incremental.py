@@ -39,7 +39,8 @@ def within_budget(sources: DataFrame, budget: int, pages: int) -> DataFrame:
 
 
 def fresh(cached: DataFrame, now: str, seconds: int, stamp: str = "loaded_at") -> DataFrame:
-    return cached.where(F.col(stamp) > F.lit(now).cast("timestamp") - F.make_interval(secs=F.lit(seconds)))
+    at = F.lit(now).cast("timestamp")
+    return cached.where((F.col(stamp) > at - F.make_interval(secs=F.lit(seconds))) & (F.col(stamp) <= at))
 
 
 def upsert_stream(stream: DataFrame, path: str, key: list[str], stamp: str, checkpoint: str):
