@@ -193,6 +193,46 @@ def any_token(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "documents").where(V.any_token(F.coalesce("text", F.lit("")), "then ring")).select("doc_id")
 
 
+#: Sources of the query below, of every kind and policy; the roll call's number chooses one.
+FORMATS = ["us-house", "us-senate", "wa", "va", "nj", "az", "al", "mn", "ut", "mi", "ga", "tn"]
+
+
+@query(
+    f"""WITH {VIEWS}, t AS (SELECT roll_id, {FORMATS}[roll_id % 12 + 1] AS source, count(*) FILTER (choice = 'yes') AS yes, count(*) FILTER (choice = 'no') AS no, count(*) FILTER (choice = 'absent') AS a FROM ballots GROUP BY 1),
+p AS (SELECT *, roll_id % 24 < 12 AS wrong FROM t)
+SELECT source, roll_id, yes, no, CASE WHEN source IN ('mn', 'tn') THEN 0 ELSE a END AS absent, CASE WHEN source IN ('us-house', 'us-senate', 'nj') THEN NULL ELSE NOT wrong END AS agrees FROM p
+WHERE NOT (wrong AND source IN ('va', 'al', 'mn', 'mi', 'tn'))"""
+)
+def connector_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Roll calls printed in XML, CSV, JSON and HTML as twelve sources do, parsed, resolved and counted; every second
+    dozen prints a wrong tally."""
+    b = T.ballots(spark, d)
+    roster = T.members(spark, d).select(F.concat(F.lit("Lee & Fox, "), F.col("member_key").cast("string")).alias("name"), "member_key")
+    named = b.join(roster, "member_key")
+    count = lambda c: F.count(F.when(F.col("choice") == c, 1))
+    tally = b.groupBy("roll_id").agg((count("yes") + F.when(F.col("roll_id") % 24 < 12, 1).otherwise(0)).alias("printed_yes"), count("no").alias("printed_no"))
+    out = None
+    for i, source in enumerate(FORMATS):
+        s = connectors.SOURCES[source]
+        say = {c: w for w, c in reversed(s.codes.items()) if w}
+        word = F.when(F.col("choice") == "yes", say["yes"]).when(F.col("choice") == "no", say["no"]).otherwise(say.get("absent", "no position"))
+        mine = named.where(F.col("roll_id") % 12 == i).select("roll_id", F.col("name").alias("n"), word.alias("w"))
+        safe = F.replace("n", F.lit("&"), F.lit("&amp;"))
+        line = {
+            "JSON": F.to_json(F.struct(F.col("n").alias("name"), F.col("w").alias("vote"))),
+            "CSV": F.concat(F.lit('"'), "n", F.lit('",'), "w"),
+            "XML": F.concat(F.lit("<member><name>"), safe, F.lit("</name><vote>"), "w", F.lit("</vote></member>")),
+            "HTML": F.concat(F.lit("<tr><td>"), safe, F.lit("</td><td><b>"), "w", F.lit("</b></td></tr>")),
+        }[s.kind]
+        start, between, end = {"JSON": ("[", ",", "]"), "CSV": ("name,vote\r\n", "\r\n", "\r\n"), "XML": ("<roll>", "", "</roll>"), "HTML": ("<table>", "\n", "</table>")}[s.kind]
+        bodies = mine.groupBy("roll_id").agg(F.concat(F.lit(start), F.array_join(F.collect_list(line), between), F.lit(end)).alias("body"))
+        rolls, votes = connectors.ingest(tally.where(F.col("roll_id") % 12 == i), connectors.printed_positions(bodies, s.kind), roster, source)
+        counts = votes.groupBy("roll_id").agg(count("yes").alias("yes"), count("no").alias("no"), count("absent").alias("absent"))
+        got = rolls.select("roll_id", "agrees").join(counts, "roll_id").select(F.lit(source).alias("source"), "roll_id", "yes", "no", "absent", "agrees")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query(
     f"""WITH {VIEWS}, p AS (SELECT roll_id, member_key, CASE choice WHEN 'yes' THEN 'Y' WHEN 'no' THEN 'N' ELSE 'X' END AS raw FROM ballots),
 t AS (SELECT roll_id, count(*) FILTER (raw = 'Y') AS yes, count(*) FILTER (raw = 'N') AS no FROM p GROUP BY 1)

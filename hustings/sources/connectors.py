@@ -108,3 +108,40 @@ def ingest(rolls: DataFrame, printed: DataFrame, roster: DataFrame, source: str)
         return rolls.withColumn("agrees", F.lit(None).cast("boolean")), votes.select("roll_id", "member_key", "choice")
     checked = quality.reconcile(rolls, votes, "drop" if policy == "drop" else "warn")
     return checked, votes.join(checked.select("roll_id"), "roll_id", "left_semi").select("roll_id", "member_key", "choice")
+
+
+def printed_positions(bodies: DataFrame, kind: str, name: str = "name", vote: str = "vote", row: str = "member") -> DataFrame:
+    """roll_id, name, raw of the positions in official files (roll_id, body), by kind.
+
+    JSON: an array of objects, or one below ``row``; CSV: a header, then a line a member; XML: elements ``row`` with
+    elements ``name`` and ``vote``; HTML: table rows of two cells. One row a position leaves the parser, so a large file
+    is read by one task but never grows into one.
+    """
+    if kind == "JSON":
+        each = F.from_json("body", f"array<struct<`{name}`: string, `{vote}`: string>>")
+        found = F.transform(each, lambda x: F.struct(x[name].alias("name"), x[vote].alias("raw")))
+    elif kind == "CSV":
+        lines = F.filter(F.split(F.regexp_replace("body", "^\\ufeff", ""), "\\r\\n|\\r|\\n"), lambda x: F.trim(x) != "")
+        head = F.transform(F.split(lines[0], ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+        cells = lambda x: F.transform(F.split(x, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+        at = lambda c: F.array_position(head, c).cast("int")
+        found = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.struct(F.try_element_at(cells(x), at(name)).alias("name"), F.try_element_at(cells(x), at(vote)).alias("raw")))
+    else:
+        cell = r"<td[^>]*>(.*?)</td>"
+        outer, inner = (rf"(?is)<tr[^>]*>\s*{cell}\s*{cell}\s*</tr>",) * 2 if kind == "HTML" else (rf"(?is)<{row}(?:\s[^>]*)?>(.*?)</{row}>", None)
+        blocks = F.regexp_extract_all("body", F.lit(outer), F.lit(0))
+        if inner:
+            found = F.transform(blocks, lambda x: F.struct(F.regexp_extract(x, inner, 1).alias("name"), F.regexp_extract(x, inner, 2).alias("raw")))
+        else:
+            field = lambda x, f: F.regexp_extract(x, rf"(?is)<{f}(?:\s[^>]*)?>(.*?)</{f}>", 1)
+            found = F.transform(blocks, lambda x: F.struct(field(x, name).alias("name"), field(x, vote).alias("raw")))
+        found = F.transform(found, lambda p: F.struct(plain_text(p["name"]).alias("name"), plain_text(p["raw"]).alias("raw")))
+    return bodies.select("roll_id", F.explode(found).alias("p")).select("roll_id", F.trim("p.name").alias("name"), F.trim("p.raw").alias("raw"))
+
+
+def plain_text(markup: Column) -> Column:
+    """Text of a cell: tags go, the five entities of XML are characters again."""
+    out = F.regexp_replace(markup, "<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
