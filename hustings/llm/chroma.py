@@ -6,7 +6,8 @@ Gray code. Together they are one packed 32-bit integer for each position. To ali
 equal integers vote for their offset; the offset with the most votes is verified by the share of differing bits over
 the whole overlap.
 
-A search compares a stated set of queries with all recordings through an equi-join on the integers. Recordings with equal integers are one class, and every verified link between a class and a class of
+A search compares a stated set of queries with all recordings that share an integer with one, in blocks: tasks hold a
+bounded number of integers of either side. Recordings with equal integers are one class, and every verified link between a class and a class of
 queries is kept; each recording also tells its best alignment. No recording, query, link or integer is left out.
 
 Cases: null or empty samples, and recordings shorter than a frame and the filters, have no integers and no
@@ -23,7 +24,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, salted_lookup, slices
@@ -34,6 +34,8 @@ WIDTH = 16
 MIN_VOTES, MAX_BIT_ERROR = 3, 0.35
 #: Frames that are transformed at once.
 FRAMES = 4096
+#: Integers of recordings and of queries in one task on average; pairs of runs that are expanded at once.
+ROW_CODES, QUERY_CODES, AT_ONCE = 1 << 17, 1 << 17, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -145,66 +147,109 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float((_BITS[x & 0xFFFF] + _BITS[x >> 16]).mean()) / 32, to - at
 
 
-def runs(table: DataFrame) -> DataFrame:
-    """number, code, at and length of each run of one integer in the codes of ``table`` (number, codes)."""
+def _runs(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Integer, list, place and length of each run of one integer in the lists."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+    of = np.repeat(np.arange(len(lists)), sizes)
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+    start = np.flatnonzero(new)
+    return flat[start], of[start], start - (sizes.cumsum() - sizes)[of[start]], np.diff(np.append(start, len(flat)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lists = batch.column("codes")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            ends, flat = offsets - offsets[0], flat[offsets[0] : offsets[-1]]
-            new = np.ones(len(flat), bool)
-            new[1:] = flat[1:] != flat[:-1]
-            new[ends[:-1][ends[:-1] < len(flat)]] = True
-            start = np.flatnonzero(new)
-            row = np.searchsorted(ends, start, "right") - 1
-            length = np.diff(np.append(start, len(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column("number").take(pa.array(row)), pa.array(flat[start], pa.int32()), pa.array(start - ends[row], pa.int64()), pa.array(length, pa.int64())], names=["number", "code", "at", "length"])
-
-    return table.select("number", "codes").mapInArrow(run, "number long, code int, at long, length long")
-
-
-def offset_votes(rows: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """number, query, offset, votes for each of ``rows`` and ``queries`` (number, codes) that have at least ``min_votes``
-    equal integers at one offset; of several best offsets the one nearest to 0, then the smaller.
-
-    An equi-join on the integer meets runs, not positions, and a hot integer is dealt to several tasks. Two runs give
-    each offset as many votes as they overlap there: a line up, a level and a line down. Only the four places where it
-    bends are kept, summed by offset before they are shuffled; running sums over the bends of a pair, at most four for
-    each run of either side, give the votes wherever their number can be largest.
+
+def best_offsets(rows: list[np.ndarray], queries: list[np.ndarray], min_votes: int = MIN_VOTES) -> list[tuple[int, int, int, int]]:
+    """(row, query, offset, votes) for the pairs that have at least ``min_votes`` equal integers at one offset; of
+    several best offsets the one nearest to 0, then the smaller.
+
+    Runs meet, not positions: two runs give each offset as many votes as they overlap there, a line up, a level and a
+    line down. The places where these lines bend are summed by offset, and running sums over the bends of a pair, at
+    most four for each run of either side, give the votes wherever their number can be largest. ``AT_ONCE`` runs meet at
+    once, so a long silence costs no more than a note.
     """
-    theirs = durable(runs(queries).withColumnsRenamed({"number": "query", "at": "query_at", "length": "query_length"}), "query-runs")
-    ours = durable(runs(rows).join(theirs.select("code").distinct(), "code", "left_semi"), "runs")
-    counted = durable(ours.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "counts")
-    # Codes with over a quarter of a mean partition's runs are hot: at most four a partition, so they may be broadcast.
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // parts))
-    hot = F.broadcast(counted.where(F.col("n") > share).select("code", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("salts")))
-    salted = ours.join(hot, "code", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("number", "at"), F.col("salts")).cast("int"))).drop("salts")
-    spread = theirs.join(hot, "code", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
-    met = salted.join(spread, ["code", "salt"])
-    first = F.col("at") - F.col("query_at") - F.col("query_length") + 1
-    bend = lambda at, by: F.struct(at.alias("bend"), F.lit(by).cast("long").alias("by"))
-    bends = F.array(bend(first, 1), bend(first + F.col("length"), -1), bend(first + F.col("query_length"), -1), bend(first + F.col("length") + F.col("query_length"), 1), bend(F.lit(1).cast("long"), 0))
-    each = met.select("number", "query", F.explode(bends).alias("b")).groupBy("number", "query", "b.bend").agg(F.sum("b.by").alias("by"))
-    before = W.partitionBy("number", "query").orderBy("bend").rowsBetween(W.unboundedPreceding, -1)
-    votes = F.col("bend") * F.coalesce(F.sum("by").over(before), F.lit(0)) - F.coalesce(F.sum(F.col("by") * F.col("bend")).over(before), F.lit(0))
-    told = each.select("number", "query", (F.col("bend") - 1).alias("offset"), votes.alias("votes"))
-    best = told.groupBy("number", "query").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("d"), "offset")).alias("b"))
-    return best.select("number", "query", "b.offset", (-F.col("b.v")).alias("votes")).where(F.col("votes") >= min_votes)
+    qc, qi, qp, ql = _runs(queries)
+    order = np.argsort(qc, kind="stable")
+    qc, qi, qp, ql = qc[order], qi[order], qp[order], ql[order]
+    rc, ri, rp, rl = _runs(rows)
+    low, high = np.searchsorted(qc, rc, "left"), np.searchsorted(qc, rc, "right")
+    met = np.flatnonzero(high > low)
+    low, n, ri, rp, rl = low[met], (high - low)[met], ri[met], rp[met], rl[met]
+    span = 2 * (max(map(len, rows), default=0) + max(map(len, queries), default=0)) + 8
+    half, out = span // 2, []
+
+    def summed(keys: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, at = np.unique(keys, return_inverse=True)
+        return seen, np.bincount(at, by, len(seen)).astype(np.int64)
+
+    def settle(keys: np.ndarray, by: np.ndarray) -> None:
+        pairs = np.unique(keys // span)
+        keys, by = summed(np.concatenate([keys, pairs * span + half + 1]), np.concatenate([by, np.zeros(len(pairs), np.int64)]))
+        pair, bend = keys // span, keys % span - half
+        # The bends of a pair and their moments sum to 0, so one running sum serves all pairs.
+        votes = bend * (by.cumsum() - by) - ((by * bend).cumsum() - by * bend)
+        rank = np.lexsort((bend - 1, np.abs(bend - 1), -votes, pair))
+        first = rank[np.flatnonzero(np.diff(pair[rank], prepend=-1))]
+        first = first[votes[first] >= min_votes]
+        out.extend(zip((pair[first] // len(queries)).tolist(), (pair[first] % len(queries)).tolist(), (bend[first] - 1).tolist(), votes[first].tolist()))
+
+    held, at = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+    load = np.concatenate([[0], n.cumsum()])
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(load, load[at] + AT_ONCE, "right")) - 1)
+        k = n[at:to]
+        who = np.repeat(np.arange(at, to), k)
+        hit = np.repeat(low[at:to], k) + np.arange(k.sum()) - np.repeat(k.cumsum() - k, k)
+        pair = (ri[who] * len(queries) + qi[hit]) * span + half
+        first = rp[who] - qp[hit] - ql[hit] + 1
+        bends = np.concatenate([pair + first, pair + first + rl[who], pair + first + ql[hit], pair + first + rl[who] + ql[hit]])
+        one = np.ones(len(who), np.int64)
+        new = summed(bends, np.concatenate([one, -one, -one, one]))
+        keys, by = summed(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+        # Rows before the next run's row are done.
+        cut = np.searchsorted(keys, int(ri[to]) * len(queries) * span) if to < len(n) else len(keys)
+        if cut:
+            settle(keys[:cut], by[:cut])
+        held, at = (keys[cut:], by[cut:]), to
+    return out
+
+
+_LINKED = pa.schema([("key", pa.string()), ("query_key", pa.string()), ("bit_error", pa.float64()), ("votes", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64())])
 
 
 def links(classes: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
-    """Every verified link of a class with a class of queries (number, key and codes, one row a key; durable tables both):
-    key, query_key, offset (frames by which the query starts later), votes, overlap, bit_error. A class links to itself too."""
-    best = durable(offset_votes(classes, queries, min_votes), "votes")
-    both = best.join(classes.select("number", "key", F.col("codes").alias("a")), "number").join(queries.select(F.col("number").alias("query"), F.col("key").alias("query_key"), F.col("codes").alias("b")), "query")
-    o = F.col("offset")
-    at, overlap = F.greatest(o, F.lit(0)), F.least(F.size("a"), F.size("b") + o) - F.greatest(o, F.lit(0))
-    laid = both.withColumns({"overlap": overlap.cast("long"), "x": F.slice("a", (at + 1).cast("int"), overlap.cast("int")), "y": F.slice("b", (at - o + 1).cast("int"), overlap.cast("int"))})
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0).cast("long"), lambda n, k: n + k)
-    found = laid.withColumn("bit_error", differ / (F.lit(32) * F.col("overlap"))).where(F.col("bit_error") <= max_bit_error)
-    return found.select("key", "query_key", "bit_error", "votes", "offset", "overlap")
+    """Every verified link of a class with a class of queries (key and codes, one row a key; durable tables both): key,
+    query_key, offset (frames by which the query starts later), votes, overlap, bit_error. A class links to itself too.
+
+    Only classes that share an integer with a query are compared (an equi-join on the integers), the stated queries
+    against all of them in blocks of a bounded number of integers of either side.
+    """
+    total = lambda df: int(df.agg(F.coalesce(F.sum(F.size("codes").cast("long")), F.lit(0))).first()[0])
+    asked = queries.select(F.explode("codes").alias("code")).distinct()
+    hits = classes.select("key", F.explode(F.array_distinct("codes")).alias("code")).join(asked, "code", "left_semi").select("key").distinct()
+    near = durable(classes.join(hits, "key", "left_semi").select("key", "codes"), "near")
+    blocks, chunks = max(1, -(-total(queries) // QUERY_CODES)), max(1, -(-total(near) // ROW_CODES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = near.select("key", "codes", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
+    right = queries.select("key", "codes", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        def arrays(t: pa.Table) -> list[np.ndarray]:
+            c = t.column("codes").combine_chunks()
+            at, flat = c.offsets.to_numpy(), c.values.to_numpy().view(np.uint32)
+            return [flat[at[i] : at[i + 1]] for i in range(len(c))]
+
+        if not a.num_rows or not b.num_rows:
+            return _LINKED.empty_table()
+        rows, others = arrays(a), arrays(b)
+        keys, query_keys = a.column("key").to_pylist(), b.column("key").to_pylist()
+        found = []
+        for i, j, offset, votes in best_offsets(rows, others, min_votes):
+            error, overlap = bit_error(rows[i], others[j], offset)
+            if error <= max_bit_error:
+                found.append((keys[i], query_keys[j], error, votes, offset, overlap))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 6, _LINKED.types)], schema=_LINKED)
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, "key string, query_key string, bit_error double, votes long, offset long, overlap long")
 
 
 def _best(id_col: str | None) -> Column:
@@ -228,8 +273,7 @@ def search(media: DataFrame, id_col: str, every: int = 100, sound: Sound = Sound
     prints = durable(printed.withColumn("key", F.when(F.size("codes") > 0, F.sha2("fingerprint", 256))), "prints")
     heard = prints.where(F.col("key").isNotNull())
     asked = durable(heard.where(F.pmod("rec_id", F.lit(every)) == 0).select("key", "rec_id").distinct(), "queries")
-    alike = heard.groupBy("key").agg(F.first("codes").alias("codes"), F.min("rec_id").alias("class_id"))
-    classes = durable(alike.withColumn("number", F.monotonically_increasing_id()), "classes")
+    classes = durable(heard.groupBy("key").agg(F.first("codes").alias("codes"), F.min("rec_id").alias("class_id")), "classes")
     groups = durable(asked.groupBy("key").agg(F.min("rec_id").alias("query_id"), F.max("rec_id").alias("other"), F.count(F.lit(1)).alias("n_queries")).join(classes, "key"), "groups")
     found = durable(links(classes, groups), "links")
     ends = broadcast_if_small(groups.select(F.col("key").alias("query_key"), F.col("class_id").alias("query_class"), "query_id", "other", "n_queries"))

@@ -68,22 +68,28 @@ def best_offset(a, b):
     return (-min(good)[0], min(good)[2]) if good else None
 
 
-def coded(spark, lists):
-    return spark.createDataFrame([(k, [int(x) for x in v]) for k, v in enumerate(lists)], "number long, codes array<int>").repartition(2)
-
-
-def test_votes_are_those_of_all_pairs(spark):
+def test_votes_are_those_of_all_pairs(monkeypatch):
     r = np.random.default_rng(4)
-    for spread in (12, 3, 2):
-        rows, queries = ([r.integers(0, spread, n) for n in (9, 0, 14, 30, 5)] + [np.repeat(r.integers(0, 3, 6), r.integers(1, 9, 6)), np.zeros(20, int)] for _ in range(2))
-        want = {(i, j): best_offset(a, b) for i, a in enumerate(rows) for j, b in enumerate(queries) if best_offset(a, b)}
-        assert {(x.number, x.query): (x.votes, x.offset) for x in C.offset_votes(coded(spark, rows), coded(spark, queries)).collect()} == want
-
-
-def test_long_silence_is_one_run(spark):
-    rows = [np.zeros(20_000, int), np.concatenate([np.zeros(9000, int), np.arange(9000)])]
-    got = {(x.number, x.query): (x.votes, x.offset) for x in C.offset_votes(coded(spark, rows), coded(spark, rows)).collect()}
-    assert got == {(0, 0): (20_000, 0), (0, 1): (9001, 0), (1, 0): (9001, 0), (1, 1): (18_000, 0)}
+    for at_once in (1 << 20, 25, 1):
+        monkeypatch.setattr(C, "AT_ONCE", at_once)
+        for spread in (12, 3, 2):
+            rows, queries = ([r.integers(0, spread, n).astype(np.uint32) for n in (9, 0, 14, 30, 5)] + [np.repeat(r.integers(0, 3, 6), r.integers(1, 9, 6)).astype(np.uint32), np.zeros(20, np.uint32)] for _ in range(2))
+            want = {(i, j): best_offset(a, b) for i, a in enumerate(rows) for j, b in enumerate(queries) if best_offset(a, b)}
+            assert {(i, j): (v, o) for i, j, o, v in C.best_offsets(rows, queries)} == want
+    assert C.best_offsets([], []) == [] == C.best_offsets([np.zeros(0, np.uint32)], [np.zeros(3, np.uint32)])
+
+
+def test_long_silence_is_one_run():
+    rows = [np.zeros(200_000, np.uint32), np.concatenate([np.zeros(90_000), np.arange(90_000)]).astype(np.uint32)]
+    assert {(i, j): (v, o) for i, j, o, v in C.best_offsets(rows, rows)} == {(0, 0): (200_000, 0), (0, 1): (90_001, 0), (1, 0): (90_001, 0), (1, 1): (180_000, 0)}
+
+
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    sounds = [(k, tune(k % 9, 40)) for k in range(0, 700, 25)]
+    once = sorted(map(tuple, C.search(media(spark, sounds), "rec").collect()), key=str)
+    for name, size in (("ROW_CODES", 50), ("QUERY_CODES", 40), ("AT_ONCE", 10)):
+        monkeypatch.setattr(C, name, size)
+    assert sorted(map(tuple, C.search(media(spark, sounds), "rec").collect()), key=str) == once
 
 
 def test_windows_of_frames_change_nothing():
