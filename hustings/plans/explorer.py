@@ -96,7 +96,7 @@ def topic_classify(spark: SparkSession, d: str) -> DataFrame:
 def topics_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Topics on file, unknown ones dropped and an empty list kept, else keywords (here one topic's)."""
     known = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("health"), F.lit("unknown"))).when(F.col("doc_id") % 3 == 1, F.array().cast("array<string>"))
-    words = topics.classify(F.col("text"), topics={"transport": "rail, railroad, road"})
+    words = topics.classify(F.col("text"), topics={"transport": ["rail", "railroad", "road"]})
     allowed = F.array(*[F.lit(t) for t in topics.TOPICS])
     return T.read(spark, d, "documents").select("doc_id", F.array_join(F.coalesce(F.array_intersect(known, allowed), words), ",").alias("topics"))
 
