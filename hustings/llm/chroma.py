@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +70,23 @@ CUTS = np.array([-0.3, 0.0, 0.3])
 GRAY = np.array([0, 1, 3, 2], np.uint64)
 
 
+@cache
+def _folding(sound: Sound) -> tuple[np.ndarray, np.ndarray]:
+    """The window over a frame, and which pitch class each of its frequencies from 55 Hz on belongs to."""
+    hertz = np.fft.rfftfreq(sound.frame, 1 / sound.rate)
+    heard = np.flatnonzero(hertz >= 55)
+    fold = np.zeros((len(hertz), 12))
+    fold[heard, np.rint(12 * np.log2(hertz[heard] / 440)).astype(int) % 12] = 1
+    return np.hanning(sound.frame).astype(np.float32), fold
+
+
 def chroma(samples: np.ndarray, sound: Sound = Sound(), window: int = FRAMES) -> np.ndarray:
     """Frames by twelve pitch classes, each frame of unit length (or zero in silence). ``window`` frames at once are
     transformed, so beside the result memory is that of a window."""
     if len(samples) < sound.frame:
         return np.zeros((0, 12))
-    hertz = np.fft.rfftfreq(sound.frame, 1 / sound.rate)
-    heard = np.flatnonzero(hertz >= 55)
-    fold = np.zeros((len(hertz), 12))
-    fold[heard, np.rint(12 * np.log2(hertz[heard] / 440)).astype(int) % 12] = 1
+    shape, fold = _folding(sound)
     frames = np.lib.stride_tricks.sliding_window_view(samples, sound.frame)[:: sound.hop]
-    shape = np.hanning(sound.frame).astype(np.float32)
     parts = [np.abs(np.fft.rfft(frames[k : k + window].astype(np.float32) * shape, axis=1)) ** 2 @ fold for k in range(0, len(frames), window)]
     out = np.concatenate(parts)
     norm = np.sqrt((out**2).sum(1, keepdims=True))
