@@ -171,7 +171,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     """One row for each row of ``files`` (doc_id, path, text): doc_id, path, licence (its own), similarity,
     licence_file, effective_licence (its own or the nearest directory's), from_dir (null: its own or none)."""
     matches, rows = _matches(files, templates or TEMPLATES, threshold, file_share)
-    found = broadcast_if_small(durable(matches, "licences"))
+    found = broadcast_if_small(durable(matches, "licences"), 200_000)  # rows of up to 200 bytes
     # Files without a cue have no digest: they pass by the join, in which they would be one hot key.
     scored = rows.where("digest is not null").join(found, "digest", "left").unionByName(rows.where("digest is null"), allowMissingColumns=True)
     own = durable(scored.withColumn("licence_file", F.col("file_licence").isNotNull()).drop("digest"), "files")
