@@ -55,4 +55,5 @@ def test_stages_take_odd_rows(spark):
             assert mixed.columns == kept.columns == clean.columns == docs.columns
             assert all(r["count"] <= 3 * sum(d == r.doc_id for d, *_ in data) for r in mixed.groupBy("doc_id").count().collect())
             assert corpus_pipeline.tokenise(spark, docs, SF).count() == len(data)
-            assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
+            good = corpus_pipeline.quality(spark, docs, SF)
+            assert good.columns == docs.columns and set(r.doc_id for r in good.collect()) <= {d for d, *_ in data}
