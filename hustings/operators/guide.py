@@ -97,7 +97,9 @@ def alignment_counts(candidates: DataFrame, stand: DataFrame, statements: DataFr
 
     stand: issue, answer; statements: CAND, issue, stance; votes: CAND, issue, vote, yes_means.
     """
-    items = candidates.select(*CAND).join(F.broadcast(stand))
+    # One voter's answers, at most one an issue, in one row.
+    answers = stand.agg(F.collect_list(F.struct("issue", "answer")).alias("__a"))
+    items = candidates.select(*CAND).join(F.broadcast(answers)).select(*CAND, F.explode("__a").alias("__x")).select(*CAND, "__x.issue", "__x.answer")
     said = statements.where("stance <> 'not_inferred'").select(*CAND, "issue", "stance")
     match = compare_vote(F.col("vote"), F.col("yes_means"), F.col("answer"))
     cast = votes.join(F.broadcast(stand), "issue").withColumn("m", match).groupBy(*CAND, "issue").agg(F.count(F.lit(1)).alias("n"), _count(F.col("m") == "in_line").alias("in_line"), _count(F.col("m") == "not_in_line").alias("not_in_line"))

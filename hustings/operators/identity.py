@@ -111,7 +111,9 @@ def match_districts(census: DataFrame, labels: DataFrame) -> DataFrame:
 def match_chamber(census: DataFrame, labels: DataFrame) -> DataFrame:
     """Matches, the labels that apply in the whole chamber, and a row with a null label for each district with none."""
     found = match_districts(census, labels)
-    wide = census.select("census_id").join(F.broadcast(labels.where(is_at_large(F.col("label"))).select("label").distinct()))
+    # The spellings of at-large are a handful: one row with all of them, spread over the districts.
+    spellings = labels.where(is_at_large(F.col("label"))).agg(F.collect_set("label").alias("__l"))
+    wide = census.select("census_id").join(F.broadcast(spellings)).select("census_id", F.explode("__l").alias("label"))
     every = found.unionByName(wide).distinct()
     gaps = census.join(every.select("census_id").distinct(), "census_id", "left_anti").select("census_id", F.lit(None).cast("string").alias("label"))
     return every.unionByName(gaps)
