@@ -212,7 +212,7 @@ def race_order(spark: SparkSession, d: str) -> DataFrame:
     return first.select("race_id", F.row_number().over(W.orderBy(*G.race_order())).alias("position"))
 
 
-@query()
+@query(f"WITH {RACES}, o AS (SELECT *, coalesce(list_position(['governor', 'comptroller', 'attorney-general', 'us-senate', 'us-house', 'state-senate', 'state-assembly', 'ballot-measure', 'other'], office), 0) AS place FROM races) SELECT race_id, CAST(row_number() OVER (ORDER BY state, place, coalesce(CAST(district AS INTEGER), 0), race_id) AS INTEGER) AS position FROM o")
 def race_order_all(spark: SparkSession, d: str) -> DataFrame:
     """Every race of the guide with its position: its place within the state, after the races of the states before."""
     from pyspark.sql import Window as W
