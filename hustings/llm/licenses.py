@@ -188,7 +188,8 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> str:
-    """The scan of ``document_files`` in DuckDB: every line is scored, without cues."""
+    """The scan of ``document_files`` in DuckDB: every line, run of lines and file is scored, without cues."""
+    lengths = sorted({sum(terms_of(text).values()) for _, text in templates})
     rows = ", ".join(f"({k}, '{name}', '{t}', {c})" for k, (name, text) in enumerate(templates) for t, c in terms_of(text).items())
     return rf"""
 WITH f AS (
@@ -199,23 +200,33 @@ t(n, licence, term, c) AS (VALUES {rows}),
 parts AS (
   SELECT r, -1 AS k, text AS part FROM f
   UNION ALL SELECT r, unnest(range(len(s))) AS k, unnest(s) AS part FROM (SELECT r, string_split(text, chr(10)) AS s FROM f)),
-counted AS (
+single AS (
   SELECT r, k, term, count(*) AS tf FROM (SELECT r, k, unnest(regexp_split_to_array(lower(part), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS term FROM parts) WHERE term <> '' GROUP BY 1, 2, 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS p, sum(n) OVER (PARTITION BY r ORDER BY k) AS upto FROM (SELECT r, k, sum(tf) AS n FROM single WHERE k >= 0 GROUP BY 1, 2)),
+runs AS (
+  SELECT DISTINCT r, k, p, q FROM (
+    SELECT a.r, a.k, a.p, l, min(b.p) AS q FROM placed a CROSS JOIN (SELECT unnest({lengths}) AS l) JOIN placed b ON b.r = a.r AND b.p BETWEEN a.p AND a.p + {max(lengths) - 1} AND b.upto >= a.upto - a.n + l GROUP BY ALL) WHERE q > p),
+counted AS (
+  SELECT r, k, 0 AS more, term, tf FROM single
+  UNION ALL SELECT x.r, x.k, x.q - x.p AS more, term, CAST(sum(tf) AS BIGINT) FROM runs x JOIN placed b ON b.r = x.r AND b.p BETWEEN x.p AND x.q JOIN single c ON c.r = b.r AND c.k = b.k GROUP BY ALL),
 idf AS (
   SELECT term, ln((SELECT count(*) + 1 FROM f) / (count(c.r) + 1)) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM t) LEFT JOIN (SELECT r, term FROM counted WHERE k = -1) c USING (term) GROUP BY term),
+  FROM (SELECT DISTINCT term FROM t) LEFT JOIN (SELECT r, term FROM single WHERE k = -1) c USING (term) GROUP BY term),
 v AS (SELECT n, licence, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY n)) AS u FROM t JOIN idf USING (term)),
-w AS (SELECT r, k, term, tf, tf * coalesce(idf, 1.0) AS w FROM counted LEFT JOIN idf USING (term)),
-norms AS (SELECT r, k, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM w GROUP BY 1, 2),
+w AS (SELECT r, k, more, term, tf, tf * coalesce(idf, 1.0) AS w FROM counted LEFT JOIN idf USING (term)),
+norms AS (SELECT r, k, more, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM w GROUP BY 1, 2, 3),
 scored AS (
-  SELECT r, k, licence, round(sum(w * u) / any_value(norm), 6) AS similarity, any_value(words) AS words
-  FROM w JOIN v USING (term) JOIN norms USING (r, k) GROUP BY r, k, n, licence),
+  SELECT r, k, more, licence, round(sum(w * u) / any_value(norm), 6) AS similarity, any_value(words) AS words
+  FROM w JOIN v USING (term) JOIN norms USING (r, k, more) GROUP BY r, k, more, n, licence),
 best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY similarity DESC, licence, k) AS o FROM scored WHERE similarity >= {threshold}) WHERE o = 1),
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY similarity DESC, licence, k, more) AS o FROM scored WHERE similarity >= {threshold}) WHERE o = 1),
+filed AS (
+  SELECT * FROM (SELECT s.r, s.licence AS file_licence, s.similarity AS file_similarity, row_number() OVER (PARTITION BY s.r ORDER BY s.k >= 0, s.similarity DESC, s.licence, s.k, s.more) AS o
+    FROM scored s JOIN norms a ON a.r = s.r AND a.k = -1 WHERE s.similarity >= {threshold} AND s.words / a.words >= {file_share}) WHERE o = 1),
 own AS (
-  SELECT f.r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, b.licence, b.similarity, coalesce(b.words / a.words >= {file_share}, false) AS licence_file
-  FROM f LEFT JOIN best b USING (r) LEFT JOIN norms a ON a.r = f.r AND a.k = -1),
-set_by AS (SELECT dir AS from_dir, licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, licence, path) AS o FROM own WHERE licence_file) WHERE o = 1),
+  SELECT f.r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, b.licence, b.similarity, t.r IS NOT NULL AS licence_file, file_licence, file_similarity
+  FROM f LEFT JOIN best b USING (r) LEFT JOIN filed t USING (r)),
+set_by AS (SELECT dir AS from_dir, file_licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY file_similarity DESC, file_licence, path) AS o FROM own WHERE licence_file) WHERE o = 1),
 near AS (
   SELECT dir, from_dir, dir_licence FROM (
     SELECT d.dir, s.*, row_number() OVER (PARTITION BY d.dir ORDER BY length(s.from_dir) DESC) AS o
