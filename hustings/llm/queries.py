@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chroma, classifier, filter_audit, licenses, mixing, ngram_join, secrets, spotsigs, warc, wfst
+from . import chat, chroma, classifier, filter_audit, licenses, mixing, ngram_join, secrets, sharding, spotsigs, warc, wfst
 from .common import table
 
 
@@ -56,9 +56,13 @@ def op10_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.reconstruct(chat.events_of_turns(turns))))
 
 
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events, op12_filter_audit, spotsigs_join)}
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events, op11_sampled_splitters, op12_filter_audit, spotsigs_join)}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE, "op11_sampled_splitters": sharding.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
