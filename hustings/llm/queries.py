@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chroma, classifier, filter_audit, licenses, mixing, ngram_join, secrets, sharding, spotsigs, warc, wfst
+from . import chat, chroma, classifier, filter_audit, licenses, mixing, ngram_join, prefix_trie, secrets, sharding, spotsigs, warc, wfst
 from .common import table
 
 
@@ -64,5 +64,9 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events, op11_sampled_splitters, op12_filter_audit, spotsigs_join)}
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE, "op11_sampled_splitters": sharding.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc_transactions, op3_secret_guess_cost, op4_license_cosine, op5_spotsigs, op6_chroma_prints, op7_quality_gam, op8_sentencepiece_wfst, op9_ngram_join, op10_chat_events, op11_sampled_splitters, op12_filter_audit, op13_prefix_trie, spotsigs_join)}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op2_warc_transactions": warc.ORACLE, "op4_license_cosine": licenses.oracle(), "op10_chat_events": chat.ORACLE, "op11_sampled_splitters": sharding.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
