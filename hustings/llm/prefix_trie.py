@@ -34,7 +34,7 @@ from .common import BROADCAST_ROWS, durable, pick, slices, weighed_lookup
 #: Digits of a sequence in one row.
 BLOCK = 64
 #: Conversations and turns of a bucket up to which one task finishes it.
-LOCAL = 4096
+LOCAL = 1024
 #: Characters of conversation numbers that are joined before they are hashed, and nodes of a path made at once.
 CHUNK, PATH = 1 << 20, 4096
 
@@ -304,7 +304,7 @@ def trie(steps: DataFrame, lengths: DataFrame, limit: int = BROADCAST_ROWS) -> D
     none = F.array().cast("array<long>")
     live = lengths.join(blocks.where("block = 0"), "conv_id", "left").select(F.lit(root).alias("bucket"), F.lit(0).cast("long").alias("depth"), "conv_id", "length", F.coalesce("ids", none).alias("ids"), F.coalesce("words", none).alias("words"))
     live = durable(live, "live")
-    tops = spark.range(1).select(F.lit(root).alias("bucket"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(n).cast("long").alias("n"), F.lit(0).cast("long").alias("top_words"))
+    tops = live.groupBy("bucket").agg(F.min("depth").alias("depth"), F.lit(None).cast("long").alias("parent"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("top_words"))
     passes, ended, childs, locals_ = [], [], [], []
     while True:
         paths, ends, children, going = _pass(live, tops, blocks, limit)
