@@ -108,24 +108,110 @@ def carry_forward(new: DataFrame, old: DataFrame, key: str = "roll_id") -> DataF
     return out.withColumns({"summary": F.coalesce("summary", "__s"), "summary_source": F.when(lacking & F.col("__s").isNotNull(), F.col("__p")).otherwise(F.col("summary_source"))}).drop("__s", "__p")
 
 
-def publish(rows: DataFrame, path: str) -> str:
-    """Write ``rows`` as a new version below ``path`` and point to it last, so readers see the old rows or the new ones,
-    and a failed run leaves the old ones in place. The pointer is one small file, replaced by a rename; the version
-    before it stays for readers that have begun. Returns the version's folder; ``published`` reads the current one."""
-    spark = rows.sparkSession
+def _files(spark: SparkSession, path: str):
+    """Hadoop's Path below ``path`` and the file system it is in."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name), root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _write_version(rows: DataFrame, path: str) -> str:
     version = f"v-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path.rstrip('/')}/{version}")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    return version
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Let the pointer of ``path`` name ``version``; one rename."""
+    at, fs = _files(spark, path)
     out = fs.create(at(f"{version}.pointer"), True)
     out.write(bytearray(version.encode()))
     out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(version).toUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(fs.makeQualified(at(f"{version}.pointer")), fs.makeQualified(at("current.pointer")), options)
+
+
+def publish(rows: DataFrame, path: str) -> str:
+    """Write ``rows`` as a new version below ``path`` and point to it last, so readers see the old rows or the new ones,
+    and a failed run leaves the old ones in place. The pointer is one small file, replaced by a rename; the version
+    before it stays for readers that have begun. Returns the version's folder; ``published`` reads the current one."""
+    version = _write_version(rows, path)
+    _point(rows.sparkSession, path, version)
+    return f"{path.rstrip('/')}/{version}"
+
+
+class Refused(ValueError):
+    """A publication that broke rules; ``counts`` has the number of rows for each broken rule."""
+
+    def __init__(self, counts: dict[str, int]):
+        super().__init__("not published: " + ", ".join(f"{rule} ({n})" for rule, n in sorted(counts.items())))
+        self.counts = counts
+
+
+# Kinds of rolls, legal positions, provenances of a summary and hosts of the federal and New York sources.
+ROLL_KINDS = ["substantive", "procedural"]
+CHOICES = ["yes", "no", "absent", "present"]
+PROVENANCE = ["official", "ai"]
+OFFICIAL_HOST = r"(^|\.)(house\.gov|senate\.gov|nysenate\.gov|nyassembly\.gov|council\.nyc\.gov)$"
+
+
+def snapshot_rules() -> dict[str, Column]:
+    """What must hold for each roll call of a snapshot, by name. Rows have chamber, source_label, generated_at, key_by,
+    roll_id, roll_date (text), title, bill, outcome, kind, source_url, votes (array of choices), summary, summary_source."""
+    from ..functions.text import is_official_source
+
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    host = F.coalesce(F.try_parse_url(F.col("source_url"), F.lit("HOST")), F.lit(""))
+    federal = F.startswith(F.lower("source_url"), F.lit("https://")) & F.lower(host).rlike(OFFICIAL_HOST)
+    return {
+        "snapshot metadata": said("chamber") & said("source_label") & F.col("generated_at").try_cast("timestamp").isNotNull(),
+        "roll-call id": said("roll_id"),
+        "real date": F.col("roll_date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("roll_date").try_cast("date").isNotNull(),
+        "date not in the future": F.col("roll_date") <= F.substring("generated_at", 1, 10),
+        "title, bill and outcome": said("title") & said("bill") & said("outcome"),
+        "kind": F.col("kind").isin(ROLL_KINDS),
+        "official source": F.when(F.col("key_by").eqNullSafe("openstates"), is_official_source(F.col("source_url"))).otherwise(federal),
+        "legal positions": (F.size("votes") > 0) & F.forall("votes", lambda v: F.coalesce(v.isin(CHOICES), F.lit(False))),
+        "summary provenance": (F.coalesce("summary", F.lit("")) == "") | F.col("summary_source").isin(PROVENANCE),
+    }
+
+
+REPEATED, EMPTY = "unique id", "not empty"
+
+
+def snapshot_violations(rolls: DataFrame) -> DataFrame:
+    """rule, file, roll_id of each broken rule; a repeated id of a file is one row, whatever the number of its rolls.
+
+    Null fields break the rules that ask for them; null votes are none; ids that are missing are not repeated ones; an
+    empty table breaks no rule here, but can't be published; further columns are not used.
+    """
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in snapshot_rules().items()]))
+    each = rolls.select(F.explode(broken).alias("rule"), "file", "roll_id")
+    again = rolls.where("coalesce(roll_id, '') <> ''").groupBy("file", "roll_id").count().where("count > 1")
+    return each.unionByName(again.select(F.lit(REPEATED).alias("rule"), "file", "roll_id"))
+
+
+def publish_checked(rolls: DataFrame, path: str) -> str:
+    """Publish a snapshot only if it breaks no rule: rules are counted by the write itself, repeated ids from the ids that
+    it wrote, and the pointer moves only if all counts are zero; else the version goes and ``Refused`` tells the counts.
+
+    One pass over the rows and one shuffle of their ids. A retried task may count a broken row twice, never a right one.
+    """
+    from pyspark.sql import Observation
+
+    spark, watch = rolls.sparkSession, Observation()
+    counted = [F.count(F.when(~F.coalesce(test, F.lit(False)), 1)).alias(name) for name, test in snapshot_rules().items()]
+    version = _write_version(rolls.observe(watch, F.count(F.lit(1)).alias(EMPTY), *counted), path)
+    counts = dict(watch.get)
+    ids = spark.read.parquet(f"{path.rstrip('/')}/{version}").select("file", "roll_id").where("coalesce(roll_id, '') <> ''")
+    counts[REPEATED] = ids.groupBy("file", "roll_id").count().where("count > 1").count()
+    counts[EMPTY] = int(counts[EMPTY] == 0)
+    if any(counts.values()):
+        at, fs = _files(spark, path)
+        fs.delete(at(version), True)
+        raise Refused({rule: n for rule, n in counts.items() if n})
+    _point(spark, path, version)
     return f"{path.rstrip('/')}/{version}"
 
 

@@ -135,3 +135,41 @@ def test_pairs_sitemap_and_positions(spark, tmp_path):
     folder.mkdir()
     (folder / "r.json").write_text(json.dumps(race))
     assert [(r.race_id, r.cand_id, r.issue) for r in content.positions(content.races(spark, str(folder))).collect()] == [("r", "c", "rent")]
+
+
+ROLL = "file string, chamber string, source_label string, generated_at string, key_by string, roll_id string, roll_date string, title string, bill string, outcome string, kind string, source_url string, votes array<string>, summary string, summary_source string"
+GOOD = dict(file="f", chamber="C", source_label="L", generated_at="2026-10-01T00:00:00Z", key_by=None, roll_id="1", roll_date="2026-09-30", title="T", bill="B", outcome="Passed", kind="procedural", source_url="https://clerk.house.gov/1", votes=["yes", "present"], summary=None, summary_source=None)
+FAULTS = [
+    (dict(source_label=""), "snapshot metadata"), (dict(generated_at="soon", roll_date="2026-01-01"), "snapshot metadata"), (dict(roll_id=None), "roll-call id"), (dict(roll_date="2026-02-30"), "real date"), (dict(roll_date="1 May"), "real date"),
+    (dict(roll_date="2026-10-02"), "date not in the future"), (dict(bill=""), "title, bill and outcome"), (dict(kind=None), "kind"), (dict(source_url="http://clerk.house.gov/1"), "official source"), (dict(source_url="https://house.gov.example.com/"), "official source"),
+    (dict(key_by="openstates", source_url="https://news.example.com/"), "official source"), (dict(source_url="not a url"), "official source"), (dict(votes=[]), "legal positions"), (dict(votes=["yes", None]), "legal positions"), (dict(summary="S"), "summary provenance"),
+]
+
+
+def rolls_of(spark, changes):
+    return spark.createDataFrame([tuple({**GOOD, "roll_id": str(i), **c}.values()) for i, c in enumerate(changes)], ROLL).withColumn("count", F.lit("x"))
+
+
+def test_each_snapshot_rule_alone(spark):
+    right = [{}, dict(key_by="openstates", source_url="https://legis.x.gov/2"), dict(summary="S", summary_source="ai")]
+    got = {(r.rule, r.roll_id) for r in snapshots.snapshot_violations(rolls_of(spark, [c for c, _ in FAULTS] + right)).collect()}
+    want = {(rule, c.get("roll_id", str(i))) for i, (c, rule) in enumerate(FAULTS)}
+    assert got - {("real date", "4"), ("date not in the future", "4")} | {("real date", "4")} == want
+    twice = rolls_of(spark, [dict(roll_id="a"), dict(roll_id="a"), dict(roll_id="a", file="g"), {}])
+    assert [tuple(r) for r in snapshots.snapshot_violations(twice).collect()] == [("unique id", "f", "a")]
+    assert snapshots.snapshot_violations(rolls_of(spark, [{}]).limit(0)).collect() == []
+
+
+def test_a_snapshot_with_a_broken_rule_is_not_published(spark, tmp_path):
+    path = str(tmp_path / "s")
+    version = snapshots.publish_checked(rolls_of(spark, [{}, {}, {}]).repartition(2), path)
+    assert snapshots.published(spark, path).count() == 3
+    bad = [([{}, dict(kind="x"), dict(kind="y", votes=None)], {"kind": 2, "legal positions": 1}), ([dict(roll_id="a"), dict(roll_id="a")], {"unique id": 1}), ([], {"not empty": 1})]
+    for rows, counts in bad:
+        with pytest.raises(snapshots.Refused) as refused:
+            snapshots.publish_checked(rolls_of(spark, rows) if rows else rolls_of(spark, [{}]).limit(0), path)
+        assert refused.value.counts == counts
+        assert snapshots.published(spark, path).count() == 3  # the old version stays
+    assert [str(p) for p in (tmp_path / "s").glob("v-*") if p.is_dir()] == [version]
+    snapshots.publish_checked(rolls_of(spark, [{}]), path)
+    assert snapshots.published(spark, path).count() == 1
