@@ -150,11 +150,18 @@ def street_tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(w, ordinal_suffix(number(w)))).otherwise(F.coalesce(F.try_element_at(named, w), w)))
 
 
-def title_fit(title: Column, caption: Column, stop: tuple[str, ...] = ("the", "and", "for", "act", "resolve")) -> Column:
+STOP = ("the", "and", "for", "act", "resolve")
+
+
+def title_words(title: Column, stop: tuple[str, ...] = STOP) -> Column:
+    """The words of three letters and more of a title or caption, without the commonest."""
+    return F.filter(F.split(F.lower(fold(title)), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(list(stop)))
+
+
+def title_fit(title: Column, caption: Column, stop: tuple[str, ...] = STOP) -> Column:
     """Share of the caption's words of three letters and more that the title has, whole or (beyond four letters) as a
     start; captions with fewer than two such words fit."""
-    words = lambda c: F.filter(F.split(F.lower(fold(c)), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(list(stop)))
-    cw, tw = words(caption), words(title)
+    cw, tw = title_words(caption, stop), title_words(title, stop)
     hit = F.filter(cw, lambda w: F.exists(tw, lambda x: (x == w) | ((F.length(w) > 4) & F.startswith(x, w))))
     return F.when(F.size(cw) < 2, F.lit(1.0)).otherwise(F.size(hit) / F.size(cw))
 

@@ -1,11 +1,13 @@
 """As-of, interval and neighbour operators on ordered records.
 
-All of them are an equi-join or a window on a subject key (a bill, a person, a chamber) with a bound residual, so rows
-meet only their own subject's. The side that repeats is reduced by aggregation, not by a window over the product.
+They are equi-joins or windows on a subject key (a bill, a person, a chamber), so rows meet only their own subject's; nearest
+rows come from one ordered merge of both tables, never from the product of a key's rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +34,37 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, valu
     return both.withColumn(value, found).where("__side = 1").select("__row.*", value)
 
 
-def first_after(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, value: str, until: str | None = None) -> DataFrame:
-    """``left`` with the first ``value`` at or after ``at``, before ``until`` (exclusive) if that is set."""
-    r = right.select(F.col(key), F.col(stamp).alias("__s"), F.col(value).alias("__v"))
-    inside = (F.col("__s") >= F.col(at)) & ((F.col("__s") < F.col(until)) | F.col(until).isNull() if until else F.lit(True))
-    named = left.withColumn("__row", F.struct(*left.columns))
-    hit = named.join(r, key).where(inside).groupBy("__row").agg(F.min(F.struct("__s", "__v")).alias("m"))
-    return left.withColumn("__row", F.struct(*left.columns)).join(hit, "__row", "left").select(*left.columns, F.col("m.__v").alias(value))
+def neighbours(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``left`` with ``prev`` and ``next``: structs (s, v) of the nearest row of ``right`` at or before and at or after ``at``.
+
+    One ordered merge of both tables in each direction; nothing is multiplied. ``bucket`` maps a stamp to the piece of its
+    key's axis that one task sorts (a month, a thousand units), in ascending order of stamps; the nearest values of the
+    pieces beside it come from a table of a row a piece. Without it a key is one piece. Of equal stamps the smaller value
+    counts; rows with a null key or ``at`` find nothing; columns of ``left`` may have any names but prev and next.
+    """
+    piece = bucket or (lambda c: F.lit(0))
+    best = right.where(F.col(key).isNotNull() & F.col(stamp).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(stamp).alias("__t")).agg(F.min(value).alias("__m"))
+    pair = F.struct(F.col("__t").alias("s"), F.col("__m").alias("v"))
+    r = best.select("__k", "__t", piece(F.col("__t")).cast("long").alias("__b"), F.lit(None).cast(left.schema).alias("__row"), pair.alias("__v"))
+    l = left.select(F.col(key).alias("__k"), F.col(at).cast(right.schema[stamp].dataType).alias("__t"), piece(F.col(at)).cast("long").alias("__b"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__row"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"))
+    both = l.unionByName(r)
+    up, down = W.partitionBy("__k", "__b").orderBy("__t", F.col("__row").isNotNull()), W.partitionBy("__k", "__b").orderBy(F.desc("__t"), F.col("__row").isNotNull())
+    seen = lambda w: F.last("__v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    each = both.withColumns({"prev": seen(up), "next": seen(down)}).where("__row is not null")
+    if bucket:
+        edges = both.groupBy("__k", "__b").agg(F.min("__v").alias("low"), F.max("__v").alias("high"))
+        over = lambda order: W.partitionBy("__k").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        beside = edges.select("__k", "__b", F.last("high", ignorenulls=True).over(over(F.asc("__b"))).alias("__p"), F.last("low", ignorenulls=True).over(over(F.desc("__b"))).alias("__n"))
+        each = each.join(beside, ["__k", "__b"], "left").withColumns({"prev": F.coalesce("prev", "__p"), "next": F.coalesce("next", "__n")})
+    known = F.col("__k").isNotNull() & F.col("__t").isNotNull()
+    return each.select("__row.*", F.when(known, F.col("prev")).alias("prev"), F.when(known, F.col("next")).alias("next"))
+
+
+def first_after(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, value: str, until: str | None = None, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``left`` with the first ``value`` at or after ``at``, before ``until`` (exclusive) if that is set and not null."""
+    inside = F.col("next.s") < F.col(until) if until else F.lit(True)
+    hit = F.when(inside | F.col(until).isNull() if until else inside, F.col("next.v"))
+    return neighbours(left, right, key, at, stamp, value, bucket).withColumn(value, hit).drop("prev", "next")
 
 
 def members_at(votes: DataFrame, roles: DataFrame, name: str = "name_key") -> DataFrame:

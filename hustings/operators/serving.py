@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_name, surname, title_fit
+from ..functions.text import norm_name, surname, title_fit, title_words
+from .asof import neighbours
 from .explorer import paginate
 
 
@@ -117,14 +118,41 @@ def en_bloc(rolls: DataFrame) -> DataFrame:
     return rolls.withColumn("bill", F.explode("bills")).withColumn("roll_id", F.concat_ws("-", F.col("vote_id").cast("string"), "bill")).drop("bills")
 
 
+def _terms(title: Column) -> Column:
+    """What a caption's word may be to hit a title: each of its words, and their starts of five letters and more."""
+    starts = lambda w: F.when(F.length(w) > 5, F.transform(F.sequence(F.lit(5), F.length(w) - 1), lambda k: F.substring(w, 1, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(title_words(title), lambda w: F.concat(F.array(w), starts(w)))))
+
+
+def fitting_titles(asked: DataFrame, titles: DataFrame, share: float = 0.5) -> DataFrame:
+    """bill, caption and the first title (priority, then text) of its bill that has ``share`` of the caption's words.
+
+    An index of (bill, term) stands for the product of captions and titles. A caption that needs one word takes the first
+    title of each of its words, a table of a row a term. One that needs k of n words must have one among its n - k + 1
+    rarest: only those are looked up, and what they find is checked in full. Equal captions and titles of a bill count once.
+    """
+    offered = titles.groupBy("bill", "alternative").agg(F.min("priority").alias("priority"))
+    index = offered.select("bill", F.explode(_terms(F.col("alternative"))).alias("term"), F.struct("priority", "alternative").alias("t"))
+    best = index.groupBy("bill", "term").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("df"))
+    words = asked.select("bill", "caption").distinct().withColumn("w", title_words(F.col("caption"))).withColumn("need", F.ceil(F.size("w") * share))
+    each = words.select("bill", "caption", "need", F.size("w").alias("n"), F.explode("w").alias("term"))
+    one = each.where("need <= 1").join(best, ["bill", "term"]).groupBy("bill", "caption").agg(F.min("t").alias("t"))
+    rare = F.row_number().over(W.partitionBy("bill", "caption").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    several = each.where("need > 1").join(best.select("bill", "term", "df"), ["bill", "term"], "left").withColumn("rare", rare).where("rare <= n - need + 1 and df is not null")
+    pairs = several.join(index, ["bill", "term"]).select("bill", "caption", "t").distinct()
+    checked = pairs.where(title_fit(F.col("t.alternative"), F.col("caption")) >= share).groupBy("bill", "caption").agg(F.min("t").alias("t"))
+    return one.unionByName(checked).select("bill", "caption", F.col("t.alternative").alias("found"))
+
+
 def repaired_titles(rolls: DataFrame, titles: DataFrame) -> DataFrame:
     """The listed title if it fits the caption; else the first other title of the bill that does; else the listed one,
-    flagged. rolls: roll_id, bill, title, caption; titles: bill, priority, alternative."""
-    own = rolls.withColumn("__fit", title_fit(F.col("title"), F.col("caption")) >= 0.5)
-    other = own.where("not __fit").join(titles, "bill").where(title_fit(F.col("alternative"), F.col("caption")) >= 0.5)
-    first = other.groupBy("roll_id").agg(F.min_by("alternative", "priority").alias("__t"))
-    both = own.join(first, "roll_id", "left")
-    return both.select("roll_id", "bill", F.when(F.col("__fit"), F.col("title")).otherwise(F.coalesce("__t", "title")).alias("title"), (~F.col("__fit") & F.col("__t").isNull()).alias("doubtful"))
+    flagged. rolls: roll_id, bill, title, caption; titles: bill, priority, alternative. Null captions and titles have no
+    words: such captions fit, such titles don't."""
+    own = rolls.select("roll_id", "bill", "title", "caption", F.coalesce(title_fit(F.coalesce("title", F.lit("")), F.coalesce("caption", F.lit(""))) >= 0.5, F.lit(False)).alias("fits"))
+    asked = own.where("not fits")
+    found = asked.join(fitting_titles(asked, titles.where("alternative is not null")), ["bill", "caption"], "left")
+    both = own.where("fits").select("roll_id", "bill", "title", F.lit(False).alias("doubtful"))
+    return both.unionByName(found.select("roll_id", "bill", F.coalesce("found", "title").alias("title"), F.col("found").isNull().alias("doubtful")))
 
 
 def phase_titles(rolls: DataFrame, before: str, after: str, enacted: str) -> DataFrame:
@@ -141,10 +169,14 @@ def relink_by_items(rolls: DataFrame, history: DataFrame) -> DataFrame:
     return rolls.withColumn("__k", items(F.col("items"))).join(one, ["chamber", "day", "__k"], "left").withColumn("bill", F.coalesce("bill", "__b")).drop("__k", "__b")
 
 
-def nearest_column(marks: DataFrame, headers: DataFrame) -> DataFrame:
-    """Each mark (page, mark_id, x) belongs to the header (page, column, hx) with the least horizontal distance."""
-    near = marks.join(headers, "page").groupBy("page", "mark_id").agg(F.min(F.struct(F.abs(F.col("x") - F.col("hx")).alias("d"), "column")).alias("m"))
-    return near.select("page", "mark_id", F.col("m.column").alias("column"))
+def nearest_column(marks: DataFrame, headers: DataFrame, width: float | None = None) -> DataFrame:
+    """Each mark (page, mark_id, x) belongs to the header (page, column, hx) with the least horizontal distance; of two as
+    near the smaller column. ``width`` cuts pages into strips, so that several tasks can share one page. Marks without a
+    place or a header on their page are left out."""
+    near = neighbours(marks.select("page", "mark_id", "x"), headers, "page", "x", "hx", "column", (lambda x: F.floor(x / width)) if width else None)
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("x") - F.col(f"{side}.s")).alias("d"), F.col(f"{side}.v").alias("v")))
+    best = F.array_min(F.array_compact(F.array(far("prev"), far("next"))))
+    return near.select("page", "mark_id", best["v"].alias("column")).where("column is not null")
 
 
 def roster_transform(people: DataFrame, default_url: str) -> DataFrame:

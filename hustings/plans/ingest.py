@@ -92,7 +92,7 @@ def forward_asof_bounded(spark: SparkSession, d: str) -> DataFrame:
     r = T.rolls(spark, d)
     left = r.select("roll_id", "bill", "roll_date", F.lead("roll_date").over(W.partitionBy("bill").orderBy("roll_date", "roll_id")).alias("until"))
     right = r.select("bill", F.date_add("roll_date", (F.col("roll_id") % 5).cast("int")).alias("stamp"), F.concat(F.lit("S"), (F.col("roll_id") % 4).cast("string")).alias("status"))
-    return asof.first_after(left, right, "bill", "roll_date", "stamp", "status", "until")
+    return asof.first_after(left, right, "bill", "roll_date", "stamp", "status", "until", lambda day: F.unix_date(F.last_day(day)))
 
 
 @query(

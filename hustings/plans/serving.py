@@ -136,7 +136,7 @@ def set_equality_relink(spark: SparkSession, d: str) -> DataFrame:
 def nearest_column(spark: SparkSession, d: str) -> DataFrame:
     marks = T.read(spark, d, "customer").select(F.col("c_nationkey").alias("page"), F.col("c_custkey").alias("mark_id"), F.col("c_acctbal").alias("x"))
     headers = T.read(spark, d, "supplier").select(F.col("s_nationkey").alias("page"), F.col("s_suppkey").alias("column"), F.col("s_acctbal").alias("hx"))
-    return V.nearest_column(marks, headers).withColumnRenamed("column", "col")
+    return V.nearest_column(marks, headers, 500.0).withColumnRenamed("column", "col")
 
 
 @query(f"WITH {VIEWS}, r AS (SELECT roll_id, chamber, row_number() OVER (PARTITION BY chamber ORDER BY roll_date DESC, roll_id) AS rank FROM rolls) SELECT roll_id, chamber, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 300")
