@@ -101,7 +101,7 @@ def rebuilt(turns: DataFrame, family: int = 20, most: int = 4) -> tuple[DataFram
 def blocks_of(steps: DataFrame) -> DataFrame:
     """Dictionary-encoded sequences: conv_id, block, ids and words of up to ``BLOCK`` steps."""
     dictionary = durable(steps.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    coded = weighed_lookup(steps, dictionary, ["digest"], "uses", F.col("conv_id"))
+    coded = weighed_lookup(steps, dictionary, ["digest"], "uses", F.struct("conv_id", "depth"))
     own = F.array_sort(F.collect_list(F.struct("depth", "id", "words")))
     grouped = coded.groupBy("conv_id", F.floor((F.col("depth") - 1) / BLOCK).alias("block")).agg(own.alias("own"))
     return durable(grouped.select("conv_id", "block", F.col("own.id").alias("ids"), F.col("own.words").alias("words")), "blocks")
