@@ -211,10 +211,6 @@ def chamber_rolls(spark: SparkSession, d: str) -> DataFrame:
 COUNTED = "SELECT roll_id, count(*) AS positions, count(*) FILTER (imputed) AS imputed FROM ({0}) GROUP BY roll_id"
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("roll_id").agg(F.count(F.lit(1)).alias("positions"), F.count(F.when(F.col("imputed"), 1)).alias("imputed"))
-
-
 @query(
     CAST
     + ", s AS (SELECT chamber, member_key, min(roll_date) AS a, max(roll_date) AS b FROM v GROUP BY 1, 2) "
@@ -222,7 +218,7 @@ def counted(rows: DataFrame) -> DataFrame:
 )
 def absence_impute(spark: SparkSession, d: str) -> DataFrame:
     v = chamber_votes(spark, d)
-    return counted(impute.complete(chamber_rolls(spark, d), impute.spans(v), v))
+    return impute.imputed_counts(chamber_rolls(spark, d), impute.spans(v), v)
 
 
 @query(
@@ -233,7 +229,7 @@ s AS (SELECT chamber, member_key, CASE WHEN a <= lo + 14 THEN DATE '0001-01-01'
 )
 def absence_impute_open_ended(spark: SparkSession, d: str) -> DataFrame:
     v = chamber_votes(spark, d)
-    return counted(impute.complete(chamber_rolls(spark, d), impute.spans(v, 14), v))
+    return impute.imputed_counts(chamber_rolls(spark, d), impute.spans(v, 14), v)
 
 
 ROSTER = "SELECT 'CHAMBER ' || s_suppkey % 5 AS chamber, s_suppkey AS member_key, DATE '1996-01-01' AS a, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1998-12-31' END AS b FROM supplier"
@@ -250,7 +246,7 @@ def roster(spark: SparkSession, d: str) -> DataFrame:
     + COUNTED.format("SELECT roll_id, false AS imputed FROM v UNION ALL SELECT r.roll_id, true FROM rolls r JOIN s ON s.chamber = r.chamber AND r.roll_date >= a AND (b IS NULL OR r.roll_date <= b) ANTI JOIN v ON v.roll_id = r.roll_id AND v.member_key = s.member_key")
 )
 def absence_seated_roster(spark: SparkSession, d: str) -> DataFrame:
-    return counted(impute.complete(chamber_rolls(spark, d), roster(spark, d), chamber_votes(spark, d)))
+    return impute.imputed_counts(chamber_rolls(spark, d), roster(spark, d), chamber_votes(spark, d))
 
 
 @query(
@@ -265,16 +261,16 @@ good AS (SELECT roll_id FROM filled JOIN silent USING (roll_id) GROUP BY roll_id
 def complement_inference(spark: SparkSession, d: str) -> DataFrame:
     """Odd rolls here print no yes list; their printed count is that of the seated members less one."""
     votes = chamber_votes(spark, d).where("choice = 'no' or roll_id % 2 = 0")
-    seats = impute.seated(chamber_rolls(spark, d), roster(spark, d)).groupBy("roll_id").agg(F.count(F.lit(1)).alias("n"))
-    printed = F.when(F.col("roll_id") % 3 == 0, 0).otherwise(F.coalesce("n", F.lit(0)) - 1)
-    rolls = chamber_rolls(spark, d).join(seats, "roll_id", "left").select("chamber", "roll_id", "roll_date", printed.alias("printed_yes"))
-    return counted(impute.complement(rolls, roster(spark, d), votes))
+    seats = impute.covering(chamber_rolls(spark, d), roster(spark, d), ["chamber"])
+    printed = F.when(F.col("roll_id") % 3 == 0, 0).otherwise(F.col("seats") - 1)
+    rolls = chamber_rolls(spark, d).join(seats, ["chamber", "roll_date"]).select("chamber", "roll_id", "roll_date", printed.alias("printed_yes"))
+    return impute.complement_counts(rolls, roster(spark, d), votes)
 
 
 @query(CAST + ", y AS (SELECT DISTINCT chamber, member_key, roll_date FROM v) " + COUNTED.format("SELECT roll_id, false AS imputed FROM v UNION ALL SELECT r.roll_id, true FROM rolls r JOIN y ON y.chamber = r.chamber AND y.roll_date = r.roll_date ANTI JOIN v ON v.roll_id = r.roll_id AND v.member_key = y.member_key"))
 def absence_same_day(spark: SparkSession, d: str) -> DataFrame:
     v = chamber_votes(spark, d)
-    return counted(impute.complete(chamber_rolls(spark, d), impute.same_day_roster(v), v))
+    return impute.imputed_counts(chamber_rolls(spark, d), impute.same_day_roster(v), v)
 
 
 @query(
