@@ -16,10 +16,33 @@ V = T.VIEWS
 DAY = "CAST('{0}' AS DATE)"
 
 
+def ballot_files(spark: SparkSession, d: str) -> DataFrame:
+    """Ballots in files of a hundred rolls, so that files and rosters stay as small as a session's, whatever the table's size."""
+    return T.ballots(spark, d).select(F.floor(F.col("roll_id") / 100).alias("file"), "roll_id", "member_key", "choice")
+
+
 @query(f"WITH {V} SELECT roll_id, CAST(member_key AS VARCHAR) AS member_key, choice FROM ballots")
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Positions in the compact form and back."""
-    return S.decode(S.encode(T.ballots(spark, d).select("roll_id", "member_key", "choice")))
+    return S.decode_files(*S.encode_files(ballot_files(spark, d))).select("roll_id", "member_key", "choice")
+
+
+@query(f"WITH {V} SELECT roll_id, CAST(member_key AS VARCHAR) AS member_key, choice FROM ballots")
+def codec_runs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Positions in run lengths and back."""
+    return S.decode_files(*S.encode_files(ballot_files(spark, d)), form="runs").select("roll_id", "member_key", "choice")
+
+
+@query(
+    f"""WITH {V}, b AS (SELECT roll_id // 100 AS file, * FROM ballots), m AS (SELECT file, member_key, row_number() OVER (PARTITION BY file ORDER BY member_key) AS place FROM (SELECT DISTINCT file, member_key FROM b)),
+r AS (SELECT DISTINCT file, roll_id FROM b), x AS (SELECT r.file, r.roll_id, m.place, CASE b.choice WHEN 'yes' THEN 'Y' WHEN 'no' THEN 'N' WHEN 'absent' THEN 'A' ELSE '-' END AS letter FROM r JOIN m USING (file) LEFT JOIN b ON b.roll_id = r.roll_id AND b.member_key = m.member_key),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY roll_id, letter ORDER BY place) AS island FROM x),
+n AS (SELECT file, roll_id, letter, min(place) AS place, count(*) AS n FROM g GROUP BY file, roll_id, letter, island)
+SELECT file, roll_id, string_agg(repeat(letter, CAST(n AS INTEGER)), '' ORDER BY place) AS codes, string_agg(n || letter, '' ORDER BY place) AS runs FROM n GROUP BY file, roll_id"""
+)
+def codec_files(spark: SparkSession, d: str) -> DataFrame:
+    """The compact forms themselves."""
+    return S.encode_files(ballot_files(spark, d))[1]
 
 
 @query(

@@ -70,6 +70,54 @@ def encode(votes: DataFrame, group: list[str] | tuple[str, ...] = ()) -> DataFra
     return cast.join(index, names).select(*group, "roll_id", "member_index", codes.alias("codes"))
 
 
+def roster_of(votes: DataFrame, file: str = "file") -> DataFrame:
+    """file, member_key, place and size: the members of each file in numeric, then text order, counted from 0.
+
+    A file's roster is its own members' only, so it is bounded by what one file holds, never by all files together.
+    """
+    names = votes.select(file, F.col("member_key").cast("string").alias("member_key")).where("member_key is not null").distinct()
+    order = W.partitionBy(file).orderBy(F.coalesce(F.col("member_key").try_cast("bigint"), F.lit(2**62)), "member_key")
+    return names.select(file, "member_key", (F.row_number().over(order) - 1).alias("place"), F.count(F.lit(1)).over(W.partitionBy(file)).cast("int").alias("size"))
+
+
+def encode_files(votes: DataFrame, file: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Two tables for positions (file, roll_id, member_key, choice): the rosters of ``roster_of``, and for each roll its
+    ``codes`` (a letter for each member of its file, - for none) and ``runs`` (the same with lengths, as in 3Y12-1N).
+
+    Positions look their place up in the roster of their own file; a roll's letters are laid out from its own positions,
+    so rolls never meet the whole roster. A repeated position of a member counts once, the first by choice; null members
+    and unknown choices are no position; a roll without any has only dashes.
+    """
+    roster = roster_of(votes, file)
+    letter = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (v, k)])
+    first = votes.groupBy(file, "roll_id", F.col("member_key").cast("string").alias("member_key")).agg(F.min("choice").alias("choice"))
+    sizes = roster.where("place = 0").select(file, "size")
+    placed = first.join(roster.drop("size"), [file, "member_key"], "left")
+    spot = F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce(F.try_element_at(letter, F.col("choice")), F.lit("-")).alias("letter")))
+    rolls = placed.groupBy(file, "roll_id").agg(F.array_sort(F.collect_list(spot)).alias("spots")).join(sizes, file, "left")
+    laid = F.aggregate("spots", F.lit(""), lambda out, s: F.concat(out, F.repeat(F.lit("-"), s["place"] - F.length(out)), s["letter"]))
+    codes = F.rpad(laid, F.coalesce("size", F.lit(0)), F.lit("-"))
+    coded = rolls.select(file, "roll_id", codes.alias("codes"))
+    runs = F.transform(F.regexp_extract_all("codes", F.lit(r"(.)\1*"), F.lit(0)), lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1)))
+    return roster, coded.withColumn("runs", F.array_join(runs, ""))
+
+
+def decode_files(roster: DataFrame, rolls: DataFrame, form: str = "codes", file: str = "file") -> DataFrame:
+    """file, roll_id, member_key, choice of rolls in the form ``codes`` or ``runs``, with the rosters of their files."""
+    letter = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
+    if form == "codes":
+        each = rolls.select(file, "roll_id", F.posexplode(F.split("codes", "")).alias("place", "letter"))
+    else:
+        n = lambda r: F.regexp_extract(r, "^[0-9]+", 0).cast("int")
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int,letter:string>>").alias("out"))
+        step = lambda acc, r: F.struct((acc["at"] + n(r)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), n(r).alias("n"), F.right(r, F.lit(1)).alias("letter"))).alias("out"))
+        spans = F.aggregate(F.regexp_extract_all("runs", F.lit("[0-9]+[^0-9]"), F.lit(0)), begin, step, lambda acc: acc["out"])
+        run = rolls.select(file, "roll_id", F.explode(F.filter(spans, lambda x: x["letter"] != "-")).alias("s"))
+        each = run.select(file, "roll_id", F.explode(F.sequence(F.col("s.at"), F.col("s.at") + F.col("s.n") - 1)).alias("place"), F.col("s.letter").alias("letter"))
+    known = each.select(file, "roll_id", "place", F.try_element_at(letter, F.col("letter")).alias("choice")).where("choice is not null")
+    return known.join(roster.select(file, "place", "member_key"), [file, "place"]).select(file, "roll_id", "member_key", "choice")
+
+
 def add_summaries(rolls: DataFrame, notes: DataFrame) -> DataFrame:
     """Fill summaries that are missing or repeat the title from ``notes`` (note_key, note_title, note, as_of).
 

@@ -173,3 +173,15 @@ def test_a_snapshot_with_a_broken_rule_is_not_published(spark, tmp_path):
     assert [str(p) for p in (tmp_path / "s").glob("v-*") if p.is_dir()] == [version]
     snapshots.publish_checked(rolls_of(spark, [{}]), path)
     assert snapshots.published(spark, path).count() == 1
+
+
+def test_files_have_their_own_rosters_in_both_forms(spark):
+    rows = [("f", "1", "10", "yes"), ("f", "1", "9", "no"), ("f", "2", "x", "present"), ("f", "2", "x", "absent"), ("f", "3", "9", "maybe"), ("f", "4", None, "yes"), ("g", "1", "5", "absent"), ("g", "2", "5", "absent"), ("g", "2", "6", "absent")]
+    votes = spark.createDataFrame(rows, "file string, roll_id string, member_key string, choice string").withColumns({c: F.lit("z") for c in ("place", "size", "letter", "spots")})
+    roster, rolls = snapshots.encode_files(votes)
+    assert sorted((r.file, r.place, r.member_key, r["size"]) for r in roster.collect()) == [("f", 0, "9", 3), ("f", 1, "10", 3), ("f", 2, "x", 3), ("g", 0, "5", 2), ("g", 1, "6", 2)]
+    assert {(r.file, r.roll_id): (r.codes, r.runs) for r in rolls.collect()} == {("f", "1"): ("NY-", "1N1Y1-"), ("f", "2"): ("--A", "2-1A"), ("f", "3"): ("---", "3-"), ("f", "4"): ("---", "3-"), ("g", "1"): ("A-", "1A1-"), ("g", "2"): ("AA", "2A")}
+    want = {("f", "1", "10", "yes"), ("f", "1", "9", "no"), ("f", "2", "x", "absent"), ("g", "1", "5", "absent"), ("g", "2", "5", "absent"), ("g", "2", "6", "absent")}
+    for form in ("codes", "runs"):
+        assert {tuple(r) for r in snapshots.decode_files(roster, rolls, form).collect()} == want
+    assert snapshots.encode_files(votes.limit(0))[1].collect() == []
