@@ -17,7 +17,8 @@ def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roll_id, member_key, choice (yes / no / absent), vote_date: one row for each roll and member.
 
     A member's first line item decides, by day, order, line and flag. These are packed into one long (16, 42, 3 and 2
-    bits), whose minimum is aggregated by hashing; a minimum of structs would sort every partition.
+    bits), whose minimum is aggregated by hashing; a minimum of structs would sort every partition. Ship dates are whole
+    days, and no two items share member, roll, day, order and line.
     """
     line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_returnflag")
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
