@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import pick, slices
 
 #: Most labelled rows the model is fitted on; their features are all that reaches the driver (about 3 MB).
 MAX_TRAIN = 20_000
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, **optio
         .groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = pick(docs, ("doc_id", "text")).join(F.broadcast(chosen.select("doc_id")), "doc_id")
     known = feature_rows(rows).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "doc_id")
     got = known.orderBy("doc_id").toPandas()
     x = np.array(got["x"].tolist(), float) if len(got) else np.zeros((0, len(FEATURES)))
