@@ -11,7 +11,7 @@ the cosine), so no match is lost. Each distinct text is scored once.
 A licence file is a file a quarter of whose words are in one matching passage. It sets that passage's licence for its
 directory (the whole file's before a part's, then the most similar one's); where several do, the most similar one does. A file without a licence of its own takes that of its nearest ancestor.
 
-Cases: null and empty texts have no licence of their own; null paths lie in the root directory; ties go to the
+Cases: null and empty texts have no licence of their own; very long texts and lines are scored whole, from counts of terms; null paths lie in the root directory; ties go to the
 template first by name, then to the whole file and the first line; rows that repeat give repeated results; an empty
 table gives no rows; further columns are ignored.
 """
@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, salted_lookup
+from .common import durable, salted_lookup, weighed_lookup
 
 THRESHOLD = 0.7
 #: Share of a file's words that its best passage must have for a licence file.
@@ -95,23 +95,46 @@ def cues(vectors: list[tuple[int, str, str, float]], idf: dict[str, float], thre
     return sorted(found)
 
 
-def _runs(lines: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
-    """The passages (digest, k, more, part) of several of ``lines`` (digest, k, part) that hold a cue: from each line on,
-    as many more lines as it takes to have each of ``lengths`` terms."""
+def _weighed(counted: DataFrame, idf: dict[str, float]) -> DataFrame:
+    """Rows of (term, tf) with the weight ``w``. The table of idf has a row a term of the templates."""
+    weights = F.broadcast(counted.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {x!r}D)" for t, x in idf.items()) + " AS t(term, idf)"))
+    return counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0))).drop("idf")
+
+
+def _units(spark: SparkSession, vectors: list[tuple[int, str, str, float]]) -> DataFrame:
+    return F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', '{t}', {u!r}D)" for k, name, t, u in vectors) + " AS t(n, licence, term, u)"))
+
+
+def _runs(lines: DataFrame, cue: str, lengths: list[int], idf: dict[str, float], vectors: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """Term counts (digest, k, more, term, tf) of passages of several of ``lines`` (digest, k, part) that hold a cue: from
+    each line on, as many more lines as it takes to have each of ``lengths`` terms.
+
+    A run is a pair of line numbers; its counts are sums of its lines' counts, so no text is copied. Runs that can't
+    reach the threshold are left out before: a run's cosine is at most the sum of its lines' best products with a
+    template over the root of the sum of their squared norms. A very long line, which ends every run that reaches it,
+    takes part only if it resembles a template itself.
+    """
     order, far = Window.partitionBy("digest").orderBy("k"), max(lengths) - 1
-    told = lines.withColumn("n", F.size(terms(F.col("part")))).where("n > 0").withColumn("cued", F.col("part").rlike(cue))
-    near = told.withColumn("near", F.max("cued").over(order.rowsBetween(-far, far))).where("near")
-    ahead = near.withColumn("ahead", F.collect_list(F.struct("n", "cued", "part")).over(order.rowsBetween(0, far))).where(F.exists("ahead", lambda x: x["cued"]))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+    told = lines.select("digest", "k", F.size(terms(F.col("part"))).alias("n"), F.col("part").rlike(cue).alias("cued")).where("n > 0")
+    near = durable(told.withColumn("near", F.max("cued").over(order.rowsBetween(-far, far))).where("near").select("digest", "k", "n", "cued", F.row_number().over(order).alias("p")), "near")
+    words = near.select("digest", "k", "p").join(lines, ["digest", "k"]).select("digest", "p", F.explode(terms(F.col("part"))).alias("term"))
+    counted = durable(_weighed(words.groupBy("digest", "p", "term").agg(F.count(F.lit(1)).alias("tf")), idf), "line_terms")
+    norms = counted.groupBy("digest", "p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counted.join(_units(lines.sparkSession, vectors), "term").groupBy("digest", "p", "n").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).groupBy("digest", "p").agg(F.max("dot").alias("dot"))
+    told = near.join(norms, ["digest", "p"]).join(dots, ["digest", "p"], "left")
+    ahead = told.withColumn("ahead", F.collect_list(F.struct("n", "cued", "norm", F.coalesce("dot", F.lit(0.0)).alias("dot"))).over(Window.partitionBy("digest").orderBy("p").rowsBetween(0, far))).where(F.exists("ahead", lambda x: x["cued"]))
+    ends = F.array().cast("array<struct<more: int, cued: boolean, bound: double>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("cued"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("squares"), ends.alias("ends"))
 
     def step(state: Column, x: Column) -> Column:
-        n = state["n"] + x["n"]
-        ends = F.exists(F.array(*map(F.lit, lengths)), lambda l: (state["n"] < l) & (n >= l))
-        return F.struct((state["i"] + 1).alias("i"), n.alias("n"), F.when(ends & (state["i"] > 0), F.array_append(state["ends"], state["i"])).otherwise(state["ends"]).alias("ends"))
+        n, cued, dot, squares = state["n"] + x["n"], state["cued"] | x["cued"], state["dot"] + x["dot"], state["squares"] + x["norm"] * x["norm"]
+        full = F.exists(F.array(*map(F.lit, lengths)), lambda l: (state["n"] < l) & (n >= l)) & (state["i"] > 0)
+        end = F.struct(state["i"].alias("more"), cued.alias("cued"), (dot / F.sqrt(squares)).alias("bound"))
+        return F.struct((state["i"] + 1).alias("i"), n.alias("n"), cued.alias("cued"), dot.alias("dot"), squares.alias("squares"), F.when(full, F.array_append(state["ends"], end)).otherwise(state["ends"]).alias("ends"))
 
-    runs = ahead.select("digest", "k", "ahead", F.explode(F.aggregate("ahead", start, step)["ends"]).alias("more"))
-    run = runs.select("digest", "k", "more", F.slice("ahead", F.lit(1), F.col("more") + 1).alias("run"))
-    return run.where(F.exists("run", lambda x: x["cued"])).select("digest", "k", "more", F.array_join("run.part", "\n").alias("part"))
+    runs = ahead.select("digest", "k", "p", F.explode(F.aggregate("ahead", start, step)["ends"]).alias("e")).where(F.col("e.cued") & (F.col("e.bound") >= threshold - 1e-5))
+    each = runs.select("digest", "k", "e.more", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("e.more"))).alias("p"))
+    return each.join(counted.drop("w"), ["digest", "p"]).groupBy("digest", "k", "more", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _candidates(files: DataFrame, found: list[str]) -> DataFrame:
@@ -136,14 +159,12 @@ def _matches(files: DataFrame, templates: list[tuple[str, str]], threshold: floa
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("text").alias("part")))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("k"), x.alias("part")))
     parts = texts.select("digest", F.explode(F.concat(whole, F.filter(lines, lambda x: x["part"].rlike(cue)))).alias("p")).select("digest", "p.k", F.lit(0).alias("more"), "p.part")
-    parts = parts.unionByName(_runs(texts.select("digest", F.explode(lines).alias("p")).select("digest", "p.k", "p.part"), cue, lengths))
     passage = ["digest", "k", "more"]
     counted = parts.select(*passage, F.explode(terms(F.col("part"))).alias("term")).groupBy(*passage, "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {x!r}D)" for t, x in idf.items()) + " AS t(term, idf)"))
-    counted = durable(counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0))).drop("idf"), "terms")
+    runs = _runs(texts.select("digest", F.explode(lines).alias("p")).select("digest", "p.k", "p.part"), cue, lengths, idf, vectors, threshold)
+    counted = durable(_weighed(counted.unionByName(runs), idf), "terms")
     norms = counted.groupBy(*passage).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
-    units = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', '{t}', {u!r}D)" for k, name, t, u in vectors) + " AS t(n, licence, term, u)"))
-    dots = counted.join(units, "term").groupBy(*passage, "n", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    dots = counted.join(_units(spark, vectors), "term").groupBy(*passage, "n", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     scored = dots.join(norms, passage).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
     all_words = norms.where("k = -1").select("digest", F.col("words").alias("all_words"))
     order = [(-F.col("similarity")).alias("s"), "licence", "k", "more"]
@@ -167,17 +188,23 @@ def nearest_licences(files: DataFrame) -> DataFrame:
     return found.groupBy("dir").agg(F.max(F.struct("depth", "from_dir", "dir_licence")).alias("m")).select("dir", "m.from_dir", "m.dir_licence")
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, limit: int = 200_000) -> DataFrame:
     """One row for each row of ``files`` (doc_id, path, text): doc_id, path, licence (its own), similarity,
-    licence_file, effective_licence (its own or the nearest directory's), from_dir (null: its own or none)."""
+    licence_file, effective_licence (its own or the nearest directory's), from_dir (null: its own or none). Up to ``limit``
+    matches and directories are broadcast; beyond it matches are looked up with hot digests dealt out."""
     matches, rows = _matches(files, templates or TEMPLATES, threshold, file_share)
-    found = broadcast_if_small(durable(matches, "licences"), 200_000)  # rows of up to 200 bytes
+    found, cued = durable(matches, "licences"), rows.where("digest is not null")
+    if found.count() <= limit:  # rows of up to 200 bytes
+        met = cued.join(F.broadcast(found), "digest", "left")
+    else:
+        uses = cued.groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
+        met = weighed_lookup(cued, durable(found.join(uses, "digest"), "uses"), ["digest"], "uses", F.struct("path", "doc_id"), "left").drop("uses")
     # Files without a cue have no digest: they pass by the join, in which they would be one hot key.
-    scored = rows.where("digest is not null").join(found, "digest", "left").unionByName(rows.where("digest is null"), allowMissingColumns=True)
+    scored = met.unionByName(rows.where("digest is null"), allowMissingColumns=True)
     own = durable(scored.withColumn("licence_file", F.col("file_licence").isNotNull()).drop("digest"), "files")
     near = durable(nearest_licences(own), "dirs")
     placed = own.withColumn("dir", parent(F.coalesce("path", F.lit(""))))
-    joined = salted_lookup(placed, near, "dir", "path")
+    joined = placed.join(F.broadcast(near), "dir", "left") if near.count() <= limit else salted_lookup(placed, near, "dir", "path")
     return joined.select("doc_id", "path", "licence", "similarity", "licence_file", F.coalesce("licence", "dir_licence").alias("effective_licence"), F.when(F.col("licence").isNull(), F.col("from_dir")).alias("from_dir"))
 
 

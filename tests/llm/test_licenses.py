@@ -124,3 +124,24 @@ def test_any_large_passage_makes_a_licence_file(spark):
     got = {r.doc_id: r for r in scan(spark, rows).collect()}
     assert got[1].licence == "All-Rights-Reserved" and [got[k].licence_file for k in (1, 3, 5)] == [True, True, False]
     assert (got[2].effective_licence, got[2].from_dir) == ("BSD-3-Clause", "b") and (got[4].effective_licence, got[4].from_dir) == ("MIT", "m") and got[6].effective_licence is None
+
+
+def test_long_lines_beside_a_wrapped_notice(spark):
+    """Lines of half a megabyte, each with a cue, end the runs before them and are not copied into them."""
+    import textwrap
+    import time
+
+    long = ["MIT License " + " ".join(f"term{j}x{i}" for i in range(40_000)) for j in range(40)]
+    notice = textwrap.fill(MIT, 72)
+    rows = [(1, "a/x.py", "\n".join([*long[:20], notice, *long[20:]])), (2, "b/x.py", "\n".join(long)), (3, "c/x.py", "\n".join(" ".join([MIT] * 300) for _ in range(10)))]
+    begun = time.time()
+    got = {r.doc_id: r for r in scan(spark, rows).collect()}
+    assert got[1].licence == "MIT" and got[1].similarity > 0.9 and not got[1].licence_file
+    assert got[2].licence is None and got[3].licence == "MIT" and got[3].licence_file
+    assert time.time() - begun < 120
+
+
+def test_hot_digests_beyond_the_broadcast(spark):
+    rows = [(k, f"d{k % 3}/{k}.py", "Released under the MIT License.") for k in range(200)] + [(500 + k, f"e/{k}.py", f"All rights reserved.\n{k}") for k in range(5)] + [(900, None, None)]
+    some = lambda limit: sorted((tuple(r) for r in licenses.scan(files(spark, rows), limit=limit).collect()), key=str)
+    assert some(0) == some(1000) and len(some(0)) == len(rows)
