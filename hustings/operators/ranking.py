@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import DIRECTIONS, STREET_TYPES, street_tokens
+from ..session import settled
 
 LIMIT = 6
 # What a source adds to a score.
@@ -93,18 +93,57 @@ def score(candidates: DataFrame, q: Typed) -> DataFrame:
     return rows.withColumns({"score": points, "coverage": coverage, "house_match": match, "keep": keep}).drop("__s", "__c")
 
 
+def distinct_by_any(rows: DataFrame, order: Column, keys: list[str], most: int | None = None) -> DataFrame:
+    """The rows that stay if they are taken in ``order`` and each is left out that shares a key with one taken before; a
+    row left out blocks nothing. Null keys are shared with none. ``order`` must tell any two rows apart.
+
+    Rounds of joins stand for the sequential pass: a row that comes first under all its keys is taken, all that share a
+    key with it go, and what is left plays again. Rows that agree in all keys are reduced to their first beforehand. With
+    ``most``, only the first so many are asked for, and rounds end once no open row can come before them. The number of
+    rounds is the length of the longest chain of rows that block each other in turn, not the number of rows.
+    """
+    one = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    at = [f"__k{i}" for i in range(len(keys))]
+    named = rows.select(order.alias("__o"), one.alias("__row"), *[F.col(f"`{k}`").cast("string").alias(a) for k, a in zip(keys, at)])
+    alone = named.where(F.coalesce(*at).isNull())
+    shared = named.where(F.coalesce(*at).isNotNull()).groupBy(*at).agg(F.min_by("__row", "__o").alias("__row"), F.min("__o").alias("__o"))
+    left, taken = settled(shared), [alone.select("__o", "__row")]
+    while not left.isEmpty():
+        open_, firsts = left, F.lit(True)
+        for a in at:
+            first = left.where(F.col(a).isNotNull()).groupBy(a).agg(F.min("__o").alias(f"__f{a}"))
+            open_ = open_.join(first, a, "left")
+            firsts = firsts & (F.col(a).isNull() | (F.col("__o") == F.col(f"__f{a}")))
+        won = settled(open_.where(firsts).select("__o", "__row", *at))
+        taken.append(won.select("__o", "__row"))
+        for a in at:
+            left = left.join(won.select(a).where(F.col(a).isNotNull()), a, "left_anti")
+        left = settled(left.select("__o", "__row", *at))
+        if most is not None:
+            best = _all(taken).orderBy("__o").limit(most).agg(F.count(F.lit(1)), F.max("__o")).first()
+            first_open = left.agg(F.min("__o")).first()[0]
+            if best[0] == most and (first_open is None or first_open > best[1]):
+                break
+    out = _all(taken)
+    return (out if most is None else out.orderBy("__o").limit(most)).select("__row.*")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def rank(candidates: DataFrame, q: Typed, most: int = LIMIT) -> DataFrame:
     """The best ``most`` candidates (with ``position``, the order given): once a house number fits exactly, those that
-    only start with it go; the best of equal addresses, then the best of each point, stays."""
+    only start with it go; of those that share an address or a point with a better one that stays, none does."""
     kept = score(candidates, q).where("keep")
-    exact = kept.agg(F.coalesce(F.max((F.col("house_match") == "exact").cast("int")), F.lit(0)).alias("__exact"))
-    kept = kept.join(F.broadcast(exact)).where("not (__exact = 1 and house_match = 'prefix')").drop("__exact")
+    exact = kept.agg(F.coalesce(F.max((F.col("house_match") == "exact").cast("int")), F.lit(0)).alias("__exact")).first()[0]
+    kept = kept.where("house_match <> 'prefix'") if exact else kept
     same = F.concat_ws("|", F.regexp_replace(F.lower("house"), r"\s+", ""), F.array_join(street_tokens(F.col("street")), " "), F.array_join(street_tokens(F.col("city")), " "))
-    order = [F.desc("score"), "position"]
-    first = kept.withColumn("__k", same).withColumn("__r", F.row_number().over(W.partitionBy("__k").orderBy(*order))).where("__r = 1")
-    point = F.coalesce(F.col("point_key"), F.col("__k"))
-    best = first.withColumn("__p", point).withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order))).where("__r = 1")
-    return best.orderBy(*order).limit(most).drop("__k", "__p", "__r")
+    best = distinct_by_any(kept.withColumn("__address", same), F.struct((-F.col("score")).alias("s"), "position"), ["__address", "point_key"], most)
+    return best.drop("__address").orderBy(F.desc("score"), "position")
 
 
 def name_score(first: Column, middle: Column, last: Column, other_first: Column, other_middle: Column, other_last: Column) -> Column:

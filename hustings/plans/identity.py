@@ -148,6 +148,22 @@ def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranking.score(rows, ranking.Typed("12", ("12th", "st", "alb"), "", "NY")).select("position", "score", "coverage", "house_match", "keep")
 
 
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey, 'a' || (c_custkey * 7 + c_nationkey) % (SELECT count(*) // 2 + 1 FROM customer) AS address, CASE WHEN c_custkey % 4 > 0 THEN 'p' || (c_custkey * 13) % (SELECT count(*) // 2 + 1 FROM customer) END AS point, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer),
+f AS (SELECT 0 AS n, CAST(NULL AS BIGINT) AS custkey, CAST([] AS VARCHAR[]) AS seen
+  UNION ALL SELECT c.n, CASE WHEN NOT list_has_any(f.seen, [address, coalesce(point, address)]) THEN c_custkey END, CASE WHEN list_has_any(f.seen, [address, coalesce(point, address)]) THEN f.seen ELSE f.seen || [address, coalesce(point, address)] END
+  FROM f JOIN c ON c.n = f.n + 1)
+SELECT custkey FROM f WHERE custkey IS NOT NULL"""
+)
+def distinct_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by balance, without those who share an address or a point with one before who stays."""
+    c, k = T.read(spark, d, "customer"), F.col("c_custkey")
+    n = c.count() // 2 + 1
+    address, point = F.concat(F.lit("a"), ((k * 7 + F.col("c_nationkey")) % n).cast("string")), F.when(k % 4 > 0, F.concat(F.lit("p"), (k * 13 % n).cast("string")))
+    rows = c.select(k.alias("custkey"), F.col("c_acctbal").alias("balance"), address.alias("address"), point.alias("point"))
+    return ranking.distinct_by_any(rows, F.struct((-F.col("balance")).alias("b"), "custkey"), ["address", "point"]).select("custkey")
+
+
 @query("SELECT file, member_key, arg_min(party, (ordinal, party)) AS party FROM (SELECT s_suppkey % 4 AS file, s_suppkey AS member_key, s_nationkey % 3 AS ordinal, CASE WHEN s_nationkey % 2 = 0 THEN 'D' ELSE 'R' END AS party FROM supplier UNION ALL SELECT s_suppkey % 4, s_suppkey, 4 - s_nationkey % 2 * 2, 'I' FROM supplier) JOIN (SELECT DISTINCT l_suppkey AS member_key FROM lineitem WHERE l_suppkey % 5 <> 0) USING (member_key) GROUP BY ALL")
 def party_roster(spark: SparkSession, d: str) -> DataFrame:
     s = T.read(spark, d, "supplier")

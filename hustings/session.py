@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "hustings", cores: int | str = "*", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -23,3 +24,16 @@ def build_session(app: str = "hustings", cores: int | str = "*", shuffle_partiti
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint: its lineage ends in files below ``spark.checkpoint.dir``, which all executors share. Only a
+    local master may fall back to a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-hustings-"))
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
