@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_at_large, name_words, norm_district, norm_name, slugify, surname
+from ..functions.text import fold, is_at_large, name_words, norm_district, norm_name, slugify, surname
 
 
 def _only(pairs: DataFrame, by: list[str], tier: str) -> DataFrame:
@@ -149,24 +149,157 @@ def segment_names(text: Column, known: Column, longest: int = 4) -> Column:
     return F.aggregate(places, start, step, lambda a: F.when(a["ok"], a["out"]))
 
 
+def cut_names(spans: list[tuple[int, int, object]], words: int, count: int) -> list | None:
+    """The members of the first way to cut ``words`` words into exactly ``count`` names of different members, trying longer
+    names first; None if there is none. ``spans``: place, length in words, member.
+
+    A table of the numbers of names that each rest can be cut into (a bit each) leaves out dead ends; among the rest only
+    members that fit in several places can collide, so states that failed are known by place, names left and those.
+    """
+    at: dict[int, list[tuple[int, object]]] = {}
+    for place, length, member in sorted(spans, key=lambda s: (s[0], -s[1])):
+        at.setdefault(place, []).append((length, member))
+    able = [0] * words + [1]
+    for i in range(words - 1, -1, -1):
+        for length, _ in at.get(i, ()):
+            able[i] |= able[i + length] << 1 if i + length <= words else 0
+    seen: dict[object, int] = {}
+    for _, _, member in spans:
+        seen[member] = seen.get(member, 0) + 1
+    path: list[tuple[int, object]] = []
+    used: set = set()
+    failed: set = set()
+    stack = [(0, count, iter(at.get(0, ())))]
+    if not able[0] >> count & 1:
+        return None
+    while stack:
+        place, left, options = stack[-1]
+        if place == words:
+            return [member for _, member in path]
+        for length, member in options:
+            to = place + length
+            if to > words or left < 1 or member in used or not able[to] >> (left - 1) & 1:
+                continue
+            again = {member} if seen[member] > 1 else set()
+            if (to, left - 1, frozenset(used | again)) in failed:
+                continue
+            path.append((place, member))
+            used |= again
+            stack.append((to, left - 1, iter(at.get(to, ()))))
+            break
+        else:
+            failed.add((place, left, frozenset(used)))
+            stack.pop()
+            if path:
+                used.discard(path.pop()[1])
+    return None
+
+
 def partition_names(text: str, known: list[str], count: int, longest: int = 4) -> list[str] | None:
-    """Cut a block into exactly ``count`` distinct known names, each of at most ``longest`` words; None if impossible.
-    The first cut in the order of shorter names wins."""
+    """Cut one block into exactly ``count`` distinct known names, each of at most ``longest`` words; None if impossible."""
     words, names = text.lower().split(), set(known)
+    runs = [(i, k, " ".join(words[i : i + k])) for i in range(len(words)) for k in range(1, min(longest, len(words) - i) + 1)]
+    return cut_names([r for r in runs if r[2] in names], len(words), count)
 
-    def search(at: int, left: int, used: tuple[str, ...]) -> tuple[str, ...] | None:
-        if at == len(words) or left == 0:
-            return used if at == len(words) and left == 0 else None
-        if len(words) - at > left * longest:
-            return None
-        for k in range(1, longest + 1):
-            name = " ".join(words[at : at + k])
-            if at + k <= len(words) and name in names and name not in used and (got := search(at + k, left - 1, (*used, name))) is not None:
-                return got
-        return None
 
-    found = search(0, count, ())
-    return None if found is None else list(found)
+def name_key(name: Column) -> Column:
+    """Letters of a name in lower case, without accents."""
+    return F.regexp_replace(F.lower(fold(name)), "[^a-z]", "")
+
+
+def partition_blocks(blocks: DataFrame, roster: DataFrame, longest: int = 4) -> DataFrame:
+    """block_id and ``members``: each block of names without separators cut into exactly ``count`` different members; null
+    if impossible. Of several cuts the first counts that takes a longer name at the first place where they differ.
+
+    ``blocks``: block_id, chamber, text, count; ``roster``: chamber, name, member_key; a name that several members of a
+    chamber share names none. Glued words ("WilsonStivers") are cut at capitals. All runs of up to ``longest`` words meet
+    the roster in one join, so a task that cuts a block sees only the spans found in it.
+
+    Cases: null and empty texts can be cut into no names (count 0: an empty list); null counts and chambers give null; very
+    long texts take time in proportion to words times names; repeated block ids must not occur; empty tables give no rows.
+    """
+    import pyarrow as pa
+
+    spaced = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z])(?=[A-Z])", "$1 ")
+    cut = blocks.select("block_id", "chamber", F.col("count").cast("int").alias("count"), F.filter(F.split(spaced, r"\s+"), lambda w: w != "").alias("w"))
+    spans = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda k: F.struct(i.alias("place"), k.alias("length"), name_key(F.array_join(F.slice("w", i + 1, k), " ")).alias("name")))
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    each = cut.select("block_id", "chamber", F.explode(F.flatten(F.transform(places, spans))).alias("s")).select("block_id", "chamber", "s.*").where("name <> ''")
+    known = roster.select("chamber", name_key(F.col("name")).alias("name"), "member_key").groupBy("chamber", "name").agg(F.min("member_key").alias("m"), F.max("member_key").alias("other")).where("m = other").drop("other")
+    found = each.join(known, ["chamber", "name"]).groupBy("block_id").agg(F.collect_list(F.struct("place", "length", "m")).alias("spans"))
+    asked = cut.select("block_id", F.when(F.col("chamber").isNotNull(), F.col("count")).alias("count"), F.size("w").alias("words")).join(found, "block_id", "left")
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("count", "words", "spans")))
+            out = [None if n is None or n < 0 else cut_names([(s["place"], s["length"], s["m"]) for s in spans or ()], words, n) for n, words, spans in rows]
+            yield pa.RecordBatch.from_arrays([b.column("block_id"), pa.array(out, pa.list_(b.schema.field("spans").type.value_type.field("m").type))], names=["block_id", "members"])
+
+    kind, of = blocks.schema["block_id"].dataType.simpleString(), roster.schema["member_key"].dataType.simpleString()
+    return asked.mapInArrow(run, f"block_id {kind}, members array<{of}>")
+
+
+# The given name that a nickname stands for.
+NICKNAMES = {
+    "tom": "thomas", "mike": "michael", "jim": "james", "bill": "william", "bob": "robert", "dan": "daniel", "joe": "joseph", "chris": "christopher", "tim": "timothy", "ben": "benjamin", "ed": "edward", "dave": "david", "steve": "steven",
+    "rick": "richard", "andy": "andrew", "tony": "anthony", "ron": "ronald", "don": "donald", "ken": "kenneth", "pat": "patrick", "greg": "gregory", "jack": "john", "liz": "elizabeth", "kate": "katherine", "sam": "samuel", "nick": "nicholas",
+}
+
+
+def formal_name(given: Column) -> Column:
+    """One name for all that stand for each other: the formal one."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv]), given), given)
+
+
+def printed_parts(printed: Column) -> Column:
+    """Struct of surname, given and initial of a printed name: 'Nelson, D.', 'D. Nelson', 'Ann M. Nelson' or 'Nelson'.
+
+    Suffixes, quoted nicknames and parentheses go. A given name of one letter is an initial. Null names have nulls.
+    """
+    bare = F.regexp_replace(F.regexp_replace(fold(printed), r"\([^)]*\)|[\"“][^\"”]*[\"”]|'[^']*'", " "), r"(?i),?\s+(jr|sr|ii|iii|iv)\.?\s*$", "")
+    after, before = F.split_part(bare, F.lit(","), F.lit(1)), F.split_part(bare, F.lit(","), F.lit(2))
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z ]", ""), " +"), lambda w: w != "")
+    turned = F.contains(bare, F.lit(","))
+    whole = words(bare)
+    first = F.when(turned, F.get(words(before), F.lit(0))).when(F.size(whole) > 1, F.get(whole, F.lit(0)))
+    surname = F.when(turned, F.array_join(words(after), "")).otherwise(F.element_at(F.when(F.size(whole) > 0, whole), -1))
+    return F.struct(surname.alias("surname"), F.when(F.length(first) > 1, first).alias("given"), F.substring(first, 1, 1).alias("initial"))
+
+
+def resolve_names(names: DataFrame, members: DataFrame) -> DataFrame:
+    """name_id, member_key, stage, status: printed names to members, by tiers of the name within stages of the chamber.
+
+    ``names``: name_id, chamber, printed, party (may be null); ``members``: member_key, given, family, party, chamber (null:
+    departed). A member fits whose family name, or its last word, is the surname, and whose given name agrees with the
+    printed one: equal or a start of it, equal as nicknames, or of the same initial if only that is printed. If a given
+    name fits nobody, the one member of the chamber with that surname does. Members of the chamber come before departed
+    ones, those before members elsewhere; the first stage with a hit decides: one member is found; several are told apart
+    by party, and else are ambiguous.
+
+    Cases: null and empty names are unknown; repeated rows of a member are one; repeated names are resolved alike; empty
+    tables give no or only unknown rows; further columns are not used.
+    """
+    key = lambda c: F.regexp_replace(F.lower(fold(F.col(c))), "[^a-z ]", "")
+    words = F.filter(F.split(key("family"), " +"), lambda w: w != "")
+    surnames = F.array_distinct(F.array(F.array_join(words, ""), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))))
+    known = members.select("member_key", F.col("party").alias("of_party"), F.col("chamber").alias("of"), F.regexp_replace(key("given"), " .*", "").alias("known"), F.explode(surnames).alias("surname")).where("surname <> ''")
+    asked = names.select("name_id", "chamber", "party", printed_parts(F.col("printed")).alias("p")).select("name_id", "chamber", "party", "p.*").distinct()
+    met = asked.join(known, "surname")
+    start = F.startswith("known", F.col("given")) | F.startswith("given", F.col("known"))
+    given = (F.length("known") > 0) & (start | (formal_name(F.col("given")) == formal_name(F.col("known"))))
+    by_initial = (F.col("initial") == F.substring("known", 1, 1)) | (F.col("initial") == F.substring(formal_name(F.col("known")), 1, 1))
+    fits = F.when(F.col("given").isNotNull(), given).when(F.col("initial").isNotNull(), by_initial).otherwise(F.lit(True))
+    stage = F.when(F.col("of") == F.col("chamber"), 1).when(F.col("of").isNull(), 2).otherwise(3)
+    of_party = F.coalesce(F.col("party") == F.col("of_party"), F.col("of_party").isNull() & F.col("party").isNotNull())
+    hits = met.select("name_id", stage.alias("stage"), F.coalesce(fits, F.lit(False)).alias("fits"), F.col("given").isNotNull().alias("full"), "member_key", of_party.alias("of_party")).where("fits or (full and stage = 1)")
+    one = hits.groupBy("name_id", "fits", "stage", "member_key").agg(F.max("of_party").alias("of_party"))
+    mine = F.when(F.col("of_party"), F.col("member_key"))
+    tiers = one.groupBy("name_id", "fits", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("member_key").alias("m"), F.count(mine).alias("own"), F.min(mine).alias("own_m"))
+    pick = F.struct((~F.col("fits")).alias("late"), "stage", "n", "m", "own", "own_m")
+    first = tiers.groupBy("name_id").agg(F.min(pick).alias("f"))
+    member = F.when(F.col("f.n") == 1, F.col("f.m")).when(~F.col("f.late") & (F.col("f.own") == 1), F.col("f.own_m"))
+    gone = F.col("f").isNull() | (F.col("f.late") & (F.col("f.n") > 1))
+    return names.select("name_id").join(first, "name_id", "left").select("name_id", member.alias("member_key"), F.when(~gone, F.col("f.stage")).alias("stage"), F.when(gone, "unknown").when(member.isNotNull(), "found").otherwise("ambiguous").alias("status"))
 
 
 def resolve_truncated(names: DataFrame, roster: DataFrame, width: int = 15) -> DataFrame:

@@ -180,3 +180,67 @@ def name_segmentation(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(k == 0, "Ann Lee King  Van der Berg").when(k == 1, "KING King").otherwise("King Nobody")
     known = F.array(*map(F.lit, ("ann lee", "ann", "king", "van der berg")))
     return T.read(spark, d, "documents").select("doc_id", I.segment_names(text, known).alias("names"))
+
+
+_LETTERS = "translate(CAST({0} AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+def _letters(key):
+    return F.translate(key.cast("string"), "0123456789", "abcdefghij")
+
+
+def _capital(c):
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 99))
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT s_suppkey AS member_key, CASE WHEN s_suppkey % 4 = 0 THEN {_LETTERS.format("s_suppkey")} || ' ' || {_LETTERS.format("s_suppkey // 4")} ELSE {_LETTERS.format("s_suppkey")} END AS raw FROM supplier),
+m AS (SELECT member_key, array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM n),
+k AS (SELECT regexp_replace(lower(name), '[^a-z]', '', 'g') AS k, min(member_key) AS member_key FROM m GROUP BY 1 HAVING count(DISTINCT member_key) = 1),
+b AS (SELECT l_orderkey AS block_id, replace(string_agg(name, '|' ORDER BY l_suppkey), '|', CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE ' ' END) AS text, CAST(count(*) AS INTEGER) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS n
+  FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN m ON member_key = l_suppkey GROUP BY l_orderkey),
+w AS (SELECT block_id, n, string_split(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), ' ') AS w FROM b),
+c AS (SELECT block_id, n, w, 0 AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS INTEGER[]) AS cut FROM w
+  UNION ALL SELECT c.block_id, n, w, i + j, used || [k.member_key], cut || [j] FROM c CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS j)
+  JOIN k ON k.k = regexp_replace(lower(array_to_string(w[i + 1:i + j], '')), '[^a-z]', '', 'g') WHERE i + j <= len(w) AND len(used) < n AND NOT list_contains(used, k.member_key)),
+d AS (SELECT block_id, arg_max(used, cut) AS members FROM c WHERE i = len(w) AND len(used) = n GROUP BY block_id)
+SELECT block_id, members FROM w LEFT JOIN d USING (block_id)"""
+)
+def name_partition(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers of each order, printed one after the other, at times without spaces, and cut apart again."""
+    s = F.col("s_suppkey")
+    name = F.when(s % 4 == 0, F.concat(_capital(_letters(s)), F.lit(" "), _capital(_letters(F.floor(s / 4))))).otherwise(_capital(_letters(s)))
+    roster = T.read(spark, d, "supplier").select(F.lit("c").alias("chamber"), name.alias("name"), s.alias("member_key"))
+    cast = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_suppkey").alias("member_key")).distinct().join(roster, "member_key")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("member_key", "name"))), lambda x: x["name"])
+    text = F.when(F.col("block_id") % 3 == 0, F.array_join("names", "")).otherwise(F.array_join("names", " "))
+    blocks = cast.groupBy("block_id").agg(names.alias("names")).select("block_id", F.lit("c").alias("chamber"), text.alias("text"), (F.size("names") + (F.col("block_id") % 10 == 0).cast("int")).alias("count"))
+    return I.partition_blocks(blocks, roster)
+
+
+GIVEN = ["Tom", "Ann", "William", "Bo", "Mike", "Elizabeth", "Kate", "Thomas"]
+_FORMAL = "CASE {0} WHEN 'tom' THEN 'thomas' WHEN 'bill' THEN 'william' WHEN 'mike' THEN 'michael' WHEN 'kate' THEN 'katherine' ELSE {0} END"
+
+
+@query(
+    f"""WITH m AS (SELECT s_suppkey AS member_key, lower({GIVEN!r}[s_suppkey % 8 + 1]) AS known, {_LETTERS.format("s_suppkey % 50")} AS last, CASE WHEN s_suppkey % 7 = 0 THEN 'van' ELSE '' END AS van,
+  CASE WHEN s_nationkey % 2 = 0 THEN 'D' WHEN s_nationkey % 5 > 0 THEN 'R' END AS of_party, CASE WHEN s_suppkey % 3 < 2 THEN 'C' || s_suppkey % 3 END AS c FROM supplier),
+k AS (SELECT member_key, known, of_party, c, unnest(list_distinct([van || last, last])) AS surname FROM m),
+a AS (SELECT c_custkey AS name_id, 'C' || c_custkey % 2 AS chamber, CASE WHEN c_nationkey % 2 = 0 THEN 'D' ELSE 'R' END AS party, {_LETTERS.format("c_custkey % 60")} AS surname,
+  CASE c_custkey % 5 WHEN 2 THEN 'bill' WHEN 4 THEN 'zed' END AS given, CASE c_custkey % 5 WHEN 1 THEN 't' WHEN 3 THEN 'w' WHEN 2 THEN 'b' WHEN 4 THEN 'z' END AS initial FROM customer),
+h AS (SELECT name_id, member_key, given IS NOT NULL AS is_full, CASE WHEN c = chamber THEN 1 WHEN c IS NULL THEN 2 ELSE 3 END AS stage, coalesce(party = of_party, of_party IS NULL) AS own,
+  CASE WHEN given IS NOT NULL THEN starts_with(known, given) OR starts_with(given, known) OR {_FORMAL.format("given")} = {_FORMAL.format("known")} WHEN initial IS NOT NULL THEN initial IN (known[1], ({_FORMAL.format("known")})[1]) ELSE true END AS fits FROM a JOIN k USING (surname)),
+t AS (SELECT name_id, fits, stage, count(DISTINCT member_key) AS n, min(member_key) AS m, count(DISTINCT member_key) FILTER (own) AS own_n, min(member_key) FILTER (own) AS own_m FROM h WHERE fits OR (is_full AND stage = 1) GROUP BY ALL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY fits DESC, stage) AS o FROM t) WHERE o = 1),
+r AS (SELECT a.name_id, f.stage, f.n IS NULL OR (NOT f.fits AND f.n > 1) AS gone, CASE WHEN f.n = 1 THEN f.m WHEN f.fits AND f.own_n = 1 THEN f.own_m END AS member_key FROM a LEFT JOIN f USING (name_id))
+SELECT name_id, member_key, CASE WHEN NOT gone THEN stage END AS stage, CASE WHEN gone THEN 'unknown' WHEN member_key IS NOT NULL THEN 'found' ELSE 'ambiguous' END AS status FROM r"""
+)
+def name_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as names printed in five ways, suppliers as members."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    family = F.concat(F.when(s % 7 == 0, "Van ").otherwise(F.lit("")), _capital(_letters(s % 50)))
+    members = T.read(spark, d, "supplier").select(s.alias("member_key"), F.get(F.array(*map(F.lit, GIVEN)), (s % 8).cast("int")).alias("given"), family.alias("family"), F.when(F.col("s_nationkey") % 2 == 0, "D").when(F.col("s_nationkey") % 5 > 0, "R").alias("party"), F.when(s % 3 < 2, F.concat(F.lit("C"), (s % 3).cast("string"))).alias("chamber"))
+    last, k = _capital(_letters(c % 60)), c % 5
+    printed = F.when(k == 0, last).when(k == 1, F.concat(last, F.lit(", T."))).when(k == 2, F.concat(F.lit('Bill "Buddy" '), last)).when(k == 3, F.concat(F.lit("W. "), last, F.lit(", Jr."))).otherwise(F.concat(F.lit("Zed Q. "), last))
+    names = T.read(spark, d, "customer").select(c.alias("name_id"), F.concat(F.lit("C"), (c % 2).cast("string")).alias("chamber"), printed.alias("printed"), F.when(F.col("c_nationkey") % 2 == 0, "D").otherwise(F.lit("R")).alias("party"))
+    return I.resolve_names(names, members)
