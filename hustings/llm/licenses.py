@@ -105,36 +105,54 @@ def _units(spark: SparkSession, vectors: list[tuple[int, str, str, float]]) -> D
     return F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', '{t}', {u!r}D)" for k, name, t, u in vectors) + " AS t(n, licence, term, u)"))
 
 
+#: Terms of a line, as a multiple of the longest template's, from which it is not carried beside its neighbours.
+GIANT = 16
+
+
 def _runs(lines: DataFrame, cue: str, lengths: list[int], idf: dict[str, float], vectors: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
     """Term counts (digest, k, more, term, tf) of passages of several of ``lines`` (digest, k, part) that hold a cue: from
     each line on, as many more lines as it takes to have each of ``lengths`` terms.
 
-    A run is a pair of line numbers; its counts are sums of its lines' counts, so no text is copied. Runs that can't
-    reach the threshold are left out before: a run's cosine is at most the sum of its lines' best products with a
-    template over the root of the sum of their squared norms. A very long line, which ends every run that reaches it,
-    takes part only if it resembles a template itself.
+    Windows carry the terms of lines, clipped to a bounded length, not their texts; everything here is by digest, so
+    nothing but term counts is shuffled again. A giant line ends every run that reaches it and is not carried at all: its
+    counts are made once, and its runs are counted only if the norm of the lines before it and its own best product
+    with a template, over its norm, can reach the threshold.
     """
     order, far = Window.partitionBy("digest").orderBy("k"), max(lengths) - 1
-    told = lines.select("digest", "k", F.size(terms(F.col("part"))).alias("n"), F.col("part").rlike(cue).alias("cued")).where("n > 0")
-    near = durable(told.withColumn("near", F.max("cued").over(order.rowsBetween(-far, far))).where("near").select("digest", "k", "n", "cued", F.row_number().over(order).alias("p")), "near")
-    words = near.select("digest", "k", "p").join(lines, ["digest", "k"]).select("digest", "p", F.explode(terms(F.col("part"))).alias("term"))
-    counted = durable(_weighed(words.groupBy("digest", "p", "term").agg(F.count(F.lit(1)).alias("tf")), idf), "line_terms")
-    norms = counted.groupBy("digest", "p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counted.join(_units(lines.sparkSession, vectors), "term").groupBy("digest", "p", "n").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).groupBy("digest", "p").agg(F.max("dot").alias("dot"))
-    told = near.join(norms, ["digest", "p"]).join(dots, ["digest", "p"], "left")
-    ahead = told.withColumn("ahead", F.collect_list(F.struct("n", "cued", "norm", F.coalesce("dot", F.lit(0.0)).alias("dot"))).over(Window.partitionBy("digest").orderBy("p").rowsBetween(0, far))).where(F.exists("ahead", lambda x: x["cued"]))
-    ends = F.array().cast("array<struct<more: int, cued: boolean, bound: double>>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("cued"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("squares"), ends.alias("ends"))
+    most = GIANT * max(lengths)
+    own = terms(F.col("part"))
+    clipped = F.transform(own, lambda t: F.when(F.length(t) > 40, F.concat(F.lit("#"), F.md5(t))).otherwise(t))
+    told = lines.withColumn("n", F.size(own)).where("n > 0").select("digest", "k", "n", F.col("part").rlike(cue).alias("cued"), F.when(F.col("n") <= most, clipped).alias("terms"))
+    near = told.withColumn("near", F.max("cued").over(order.rowsBetween(-far, far))).where("near")
+    ahead = near.withColumn("ahead", F.collect_list(F.struct("k", "n", "cued", "terms")).over(order.rowsBetween(0, far))).where(F.exists("ahead", lambda x: x["cued"]))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
 
     def step(state: Column, x: Column) -> Column:
-        n, cued, dot, squares = state["n"] + x["n"], state["cued"] | x["cued"], state["dot"] + x["dot"], state["squares"] + x["norm"] * x["norm"]
-        full = F.exists(F.array(*map(F.lit, lengths)), lambda l: (state["n"] < l) & (n >= l)) & (state["i"] > 0)
-        end = F.struct(state["i"].alias("more"), cued.alias("cued"), (dot / F.sqrt(squares)).alias("bound"))
-        return F.struct((state["i"] + 1).alias("i"), n.alias("n"), cued.alias("cued"), dot.alias("dot"), squares.alias("squares"), F.when(full, F.array_append(state["ends"], end)).otherwise(state["ends"]).alias("ends"))
-
-    runs = ahead.select("digest", "k", "p", F.explode(F.aggregate("ahead", start, step)["ends"]).alias("e")).where(F.col("e.cued") & (F.col("e.bound") >= threshold - 1e-5))
-    each = runs.select("digest", "k", "e.more", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("e.more"))).alias("p"))
-    return each.join(counted.drop("w"), ["digest", "p"]).groupBy("digest", "k", "more", "term").agg(F.sum("tf").alias("tf"))
+        n = state["n"] + x["n"]
+        ends = F.exists(F.array(*map(F.lit, lengths)), lambda l: (state["n"] < l) & (n >= l))
+        return F.struct((state["i"] + 1).alias("i"), n.alias("n"), F.when(ends & (state["i"] > 0), F.array_append(state["ends"], state["i"])).otherwise(state["ends"]).alias("ends"))
+
+    runs = ahead.select("digest", "k", "ahead", F.explode(F.aggregate("ahead", start, step)["ends"]).alias("more"))
+    run = runs.select("digest", "k", "more", F.slice("ahead", F.lit(1), F.col("more") + 1).alias("run")).where(F.exists("run", lambda x: x["cued"]))
+    last = F.element_at("run", -1)
+    told = run.select("digest", "k", "more", F.when(last["n"] > most, last["k"]).alias("giant"), F.flatten(F.filter(F.col("run")["terms"], lambda t: t.isNotNull())).alias("terms"))
+    passage = ["digest", "k", "more", "giant"]
+    counted = told.select(*passage, F.explode("terms").alias("term")).groupBy(*passage, "term").agg(F.count(F.lit(1)).alias("tf"))
+    before = durable(counted, "runs")
+    short = before.where("giant is null").drop("giant")
+    ending = _weighed(before.where("giant is not null"), idf)
+    if ending.isEmpty():
+        return short
+    giants = ending.select("digest", F.col("giant").alias("k")).distinct()
+    words = lines.join(giants, ["digest", "k"]).select("digest", F.col("k").alias("giant"), F.explode(terms(F.col("part"))).alias("term"))
+    line = durable(_weighed(words.groupBy("digest", "giant", "term").agg(F.count(F.lit(1)).alias("tf")), idf), "giants")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    best = line.join(_units(lines.sparkSession, vectors), "term").groupBy("digest", "giant", "n").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).groupBy("digest", "giant").agg(F.max("dot").alias("dot"))
+    able = line.groupBy("digest", "giant").agg(norm).join(best, ["digest", "giant"], "left").withColumnRenamed("norm", "own_norm")
+    sums = ending.groupBy(*passage).agg(norm).join(able, ["digest", "giant"])
+    kept = sums.where((F.col("norm") + F.coalesce("dot", F.lit(0.0))) / F.col("own_norm") >= threshold - 1e-5).select(*passage)
+    parts = ending.drop("w").join(kept, passage).select("digest", "k", "more", "term", "tf").unionByName(kept.join(line.drop("w"), ["digest", "giant"]).select("digest", "k", "more", "term", "tf"))
+    return short.unionByName(parts.groupBy("digest", "k", "more", "term").agg(F.sum("tf").alias("tf")))
 
 
 def _candidates(files: DataFrame, found: list[str]) -> DataFrame:
