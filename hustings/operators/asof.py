@@ -135,18 +135,50 @@ def reused_ids(rolls: DataFrame) -> DataFrame:
 def link_versions(versions: DataFrame, history: DataFrame) -> DataFrame:
     """Tie each bill version, in order, to the first history row of its action at or after the previous version's row.
 
-    Order within a bill decides step by step, so a bill's rows are folded in one pass; the data of a bill is small and
-    bills spread over tasks. versions: bill, version, action; history: bill, position, action. Adds linked_position.
-    """
-    both = versions.groupBy("bill").agg(F.array_sort(F.collect_list(F.struct("version", "action"))).alias("v")).join(history.groupBy("bill").agg(F.array_sort(F.collect_list(F.struct("position", "action"))).alias("h")), "bill", "left")
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<struct<version: long, linked_position: long>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        hit = F.array_min(F.transform(F.filter(F.coalesce(F.col("h"), F.array().cast("array<struct<position: long, action: string>>")), lambda x: (x["action"] == v["action"]) & (x["position"] >= acc["at"])), lambda x: x["position"].cast("long")))
-        return F.struct(F.coalesce(hit, acc["at"]).alias("at"), F.array_append(acc["out"], F.struct(v["version"].cast("long").alias("version"), hit.alias("linked_position"))).alias("out"))
+    Order within a bill decides step by step, so both tables are sorted by bill, history first, and streamed: a task keeps
+    the positions of one bill by action (eight bytes each) and a pointer, versions pass by. versions: bill, version,
+    action; history: bill, position, action. Returns bill, version, linked_position (null where no row is left).
 
-    folded = both.select("bill", F.aggregate("v", start, step, lambda a: a["out"]).alias("o"))
-    return folded.select("bill", F.explode("o").alias("x")).select("bill", "x.version", "x.linked_position")
+    Versions of equal number go by action; repeated rows stay; null bills and null actions match nothing and link to
+    nothing; rows without a version or position are left out; empty tables give no or only unlinked rows.
+    """
+    from array import array
+    from bisect import bisect_left
+    from itertools import groupby
+
+    import pyarrow as pa
+
+    side = lambda rows, at, n: rows.where(F.col(at).isNotNull()).select(F.col("bill"), F.lit(n).alias("side"), F.col(at).cast("long").alias("at"), F.col("action").cast("string").alias("action"))
+    dealt = side(history, "position", 0).where("bill is not null and action is not null").unionByName(side(versions, "version", 1))
+    ordered = dealt.repartition("bill").sortWithinPartitions("bill", "side", "at", "action")
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bill", "side", "at", "action"))))
+        out: list[tuple] = []
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kind), *[pa.array([r[i] for r in out], pa.int64()) for i in (1, 2)]], names=["bill", "version", "linked_position"])
+        for bill, of in groupby(rows, key=lambda r: r[0]):
+            places: dict[str, array] = {}
+            pointer = None
+            for _, is_version, at, action in of:
+                if not is_version:
+                    places.setdefault(action, array("q")).append(at)
+                    continue
+                held = places.get(action, ())
+                k = bisect_left(held, pointer) if pointer is not None else 0
+                hit = held[k] if k < len(held) else None
+                pointer = pointer if hit is None else hit
+                out.append((bill, at, hit))
+                if len(out) == 10_000:
+                    yield emit()
+                    out = []
+        if out:
+            yield emit()
+
+    of = versions.schema["bill"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(of)
+    return ordered.mapInArrow(run, f"bill {of.simpleString()}, version long, linked_position long")
 
 
 def pair_once(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:

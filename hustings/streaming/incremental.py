@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def refresh_window(rows: DataFrame, generated: str, overlap_days: int = 14, day: str = "roll_date") -> DataFrame:
@@ -43,28 +42,91 @@ def fresh(cached: DataFrame, now: str, seconds: int, stamp: str = "loaded_at") -
     return cached.where((F.col(stamp) > at - F.make_interval(secs=F.lit(seconds))) & (F.col(stamp) <= at))
 
 
-def upsert_stream(stream: DataFrame, path: str, key: list[str], stamp: str, checkpoint: str):
-    """Keep a table at ``path`` up to date from a stream. Each batch writes a new version beside the last one and then
-    names it in ``_current``, so a batch that is run again after a failure replaces its own version only."""
+#: Buckets of keys in a table kept by ``upsert_stream``.
+BUCKETS = 64
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's Path and the file system of ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose manifest was written whole, in order."""
+    p, fs = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    numbers = sorted(int(n.removeprefix("_current")) for n in names if n.startswith("_current"))
+    return [n for n in numbers if fs.exists(_folder(spark, f"{path}/_current{n}/_SUCCESS")[0])]
+
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = current(spark, path)
-        rows = newest(batch, key, stamp)
-        if now is not None:
-            rows = newest(now.unionByName(rows), key, stamp)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(1).select(F.lit(f"v{number}").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/_current{number}")
+def _places(spark: SparkSession, path: str, number: int) -> dict[int, str]:
+    """The version that holds each bucket after a batch: at most ``BUCKETS`` entries."""
+    return {int(k): v for k, v in (r[0].split("=") for r in spark.read.text(f"{path}/_current{number}").collect())}
 
+
+def _rows_of(spark: SparkSession, path: str, places: dict[int, str], schema: StructType) -> DataFrame:
+    found = sorted({f"{path}/{v}/bucket={b}" for b, v in places.items()})
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def merge_batch(batch: DataFrame, number: int, path: str, key: list[str], stamp: str, buckets: int = BUCKETS, keep: int = 2) -> list[int]:
+    """Merge a batch into the table at ``path``: the newest row of each key stays. Returns the buckets it rewrote.
+
+    Keys are hashed to buckets, and only buckets that the batch touches are read and written, as version ``number``; a
+    manifest then names the version of every bucket. A batch that is run again starts from the manifest before it, so it
+    replaces only its own version. Versions that none of the last ``keep`` manifests names are deleted, so readers of the
+    last one are safe while the next is made. Ties of ``stamp`` keep one of the rows; null keys are a key; an empty batch
+    changes nothing; the table has the columns of its first batch.
+    """
+    spark = batch.sparkSession
+    before = [n for n in _manifests(spark, path) if n < number]
+    places = _places(spark, path, before[-1]) if before else {}
+    at = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    rows = newest(batch, key, stamp).select(*batch.columns)
+    touched = sorted(r[0] for r in rows.select(at.alias("b")).distinct().collect())
+    if not touched:
+        return []
+    old = _rows_of(spark, path, {b: places[b] for b in touched if b in places}, batch.schema)
+    merged = newest(old.unionByName(rows), key, stamp).select(*batch.columns)
+    merged.withColumn("bucket", at).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+    places |= dict.fromkeys(touched, f"v{number}")
+    lines = spark.createDataFrame([(f"{b}={v}",) for b, v in sorted(places.items())], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/_current{number}")
+    _expire(spark, path, keep)
+    return touched
+
+
+def _expire(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete versions, and buckets of versions, that only older manifests name, and those manifests."""
+    known = _manifests(spark, path)
+    live = {(v, b) for n in known[-keep:] for b, v in _places(spark, path, n).items()}
+    p, fs = _folder(spark, path)
+    for n in known[:-keep]:
+        fs.delete(_folder(spark, f"{path}/_current{n}")[0], True)
+    for status in fs.listStatus(p):
+        version = status.getPath().getName()
+        if not version.startswith("v") or int(version[1:]) > known[-1]:
+            continue
+        held = [s.getPath() for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("bucket=")]
+        dead = [h for h in held if (version, int(h.getName().removeprefix("bucket="))) not in live]
+        for h in [status.getPath()] if len(dead) == len(held) else dead:
+            fs.delete(h, True)
+
+
+def upsert_stream(stream: DataFrame, path: str, key: list[str], stamp: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keep a table at ``path`` up to date from a stream, batch by batch as ``merge_batch`` does."""
+    apply = lambda batch, number: merge_batch(batch, number, path, key, stamp, buckets) and None
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of a table kept by ``upsert_stream``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    """The table kept by ``upsert_stream`` as its newest whole manifest names it; None before the first batch."""
+    done = _manifests(spark, path)
+    if not done:
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = sorted(int(n.removeprefix("_current")) for n in names if n.startswith("_current"))
-    return spark.read.parquet(os.path.join(path, f"v{done[-1]}")) if done else None
+    places = _places(spark, path, done[-1])
+    schema = spark.read.parquet(f"{path}/{max(places.values(), key=lambda v: int(v[1:]))}").drop("bucket").schema
+    return _rows_of(spark, path, places, schema)

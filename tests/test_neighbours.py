@@ -67,3 +67,18 @@ def test_titles_from_the_index_agree_with_the_product(spark):
             best = min(((p, t) for b, p, t in titles if bill and b == bill and t is not None and fit(t, caption) >= 0.5), default=None)
             want = (best[1] if best else title, best is None)
         assert got[i] == want, (i, bill, title, caption)
+
+
+def test_versions_link_as_a_loop_links_them(spark):
+    rng = random.Random(9)
+    versions = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), rng.choice(["x", "y", None])) for _ in range(60)]
+    history = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(30)]), rng.choice(["x", "y", None])) for _ in range(60)]
+    got = asof.link_versions(spark.createDataFrame(versions, "bill string, version long, action string").withColumn("side", F.lit("x")), spark.createDataFrame(history, "bill string, position long, action string"))
+    want = []
+    for bill in ("a", "b", None):
+        at = -1
+        for v, action in sorted(((v, x) for b, v, x in versions if b == bill and v is not None), key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+            hit = min((p for b, p, x in history if bill is not None and b == bill and action is not None and x == action and p is not None and p >= at), default=None)
+            want.append((bill, v, hit))
+            at = at if hit is None else hit
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
