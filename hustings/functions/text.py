@@ -258,3 +258,21 @@ def chamber_state(chamber: Column) -> Column:
     """'us' for Congress, else the postal code in lower case; a city's council counts as its state."""
     first = F.substring_index(chamber, " ", 1)
     return F.when(first == "U.S.", "us").when(first == "NYC", "ny").otherwise(F.lower(first))
+
+
+def encoded(part: Column) -> Column:
+    """A part of a path with everything but letters, digits and -_.!~*'() as percent signs and hexadecimal bytes."""
+    out = F.replace(F.url_encode(part), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def roll_call_href(file: Column, roll_id: Column) -> Column:
+    """The address of a roll call's page; null for a null file or id."""
+    return F.concat(F.lit("/vote/"), file, F.lit("/"), encoded(roll_id))
+
+
+def cite_numbers(cited: Column, sources: Column) -> Column:
+    """The numbers (from 1) of cited ids among an array of source ids, in the order cited; unknown and null ids have none."""
+    return F.filter(F.transform(F.coalesce(cited, F.array().cast("array<string>")), lambda c: F.coalesce(F.array_position(sources, c), F.lit(0))), lambda n: n > 0)

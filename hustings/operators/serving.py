@@ -263,3 +263,11 @@ PINNED = ["U.S. HOUSE", "U.S. SENATE", "NY SENATE", "NY ASSEMBLY", "NYC COUNCIL"
 def option_order(label: str) -> list[Column]:
     at = F.array_position(F.array(*map(F.lit, PINNED)), F.col(label))
     return [F.when(at > 0, at).otherwise(len(PINNED) + 1), F.col(label)]
+
+
+def person_hrefs(officials: DataFrame, people: DataFrame) -> DataFrame:
+    """official_id and href: the permanent page of the person that holds an office, or the office's own page where none is
+    known (a vacant seat, a stub). ``people``: official_id, slug; the first slug of an official counts. Null ids have none."""
+    known = people.where("official_id is not null and slug is not null").groupBy("official_id").agg(F.min("slug").alias("__slug"))
+    page = F.coalesce(F.concat(F.lit("/people/"), F.col("__slug")), F.concat(F.lit("/official/"), F.col("official_id")))
+    return officials.select("official_id").join(known, "official_id", "left").select("official_id", page.alias("href"))

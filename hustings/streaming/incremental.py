@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,26 @@ def within_budget(sources: DataFrame, budget: int, pages: int) -> DataFrame:
     return sources.orderBy(F.col("last_run").asc_nulls_first(), "source").limit(budget // pages)
 
 
+def work_queue(sources: DataFrame, budget: int, most: int, since: str | None = None) -> DataFrame:
+    """Sources to fetch in this run with ``place`` and ``spent``, the requests made before each: never fetched ones first,
+    then the stalest. ``sources``: source, last_run, pages.
+
+    A source takes as many requests as it has pages, one at least and ``most`` at most, and is begun only while ``most``
+    more fit in the budget; the first that doesn't fit ends the run. With ``since``, sources fetched from then on are
+    done, so a run that was cut short goes on where it stopped. As each costs a request, no more than ``budget`` of them
+    can be reached: those are a top-k, and only they are summed in order. Null pages count as one; null sources are none.
+    """
+    if budget < most:
+        return sources.limit(0).withColumns({"place": F.lit(0), "spent": F.lit(0).cast("long")})
+    due = sources.where("source is not null")
+    due = due if since is None else due.where(F.col("last_run").isNull() | (F.col("last_run") < since))
+    first = due.orderBy(F.col("last_run").asc_nulls_first(), "source").limit(budget)
+    cost = F.least(F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)), F.lit(most))
+    order = Window.orderBy(F.col("last_run").asc_nulls_first(), "source")
+    told = first.withColumns({"place": F.row_number().over(order), "spent": F.coalesce(F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    return told.where(F.col("spent") + most <= budget)
+
+
 def fresh(cached: DataFrame, now: str, seconds: int, stamp: str = "loaded_at") -> DataFrame:
     at = F.lit(now).cast("timestamp")
     return cached.where((F.col(stamp) > at - F.make_interval(secs=F.lit(seconds))) & (F.col(stamp) <= at))
