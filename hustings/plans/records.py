@@ -74,19 +74,20 @@ SURNAMES = ["Longsurnamefieldsmith", "Longsurnamefieldstone", "Adams", "Baker",
 
 
 @query(
-    f"""WITH r AS (SELECT s_suppkey AS member_key, 'C' || s_suppkey % 4 AS chamber, {SURNAMES}[s_suppkey % 6 + 1] AS last, ['Ann', 'Bob'][s_suppkey // 6 % 2 + 1] AS first FROM supplier WHERE s_suppkey < 40),
-n AS (SELECT DISTINCT c_custkey % 50 AS roll_id, 'C' || c_custkey % 4 AS chamber, substr({SURNAMES}[c_custkey % 6 + 1], 1, 15) || CASE WHEN c_custkey % 3 = 0 THEN ', A.' ELSE '' END AS printed, substr({SURNAMES}[c_custkey % 6 + 1], 1, 15) AS l, CASE WHEN c_custkey % 3 = 0 THEN 'a' END AS i FROM customer),
+    f"""WITH r AS (SELECT s_suppkey AS member_key, 'C' || s_suppkey // 10 AS chamber, {SURNAMES}[s_suppkey % 6 + 1] AS last, ['Ann', 'Bob'][s_suppkey // 6 % 2 + 1] AS first FROM supplier),
+n AS (SELECT DISTINCT c_custkey % 50 AS roll_id, 'C' || c_custkey % (SELECT max(s_suppkey) // 10 + 1 FROM supplier) AS chamber, substr({SURNAMES}[c_custkey % 6 + 1], 1, 15) || CASE WHEN c_custkey % 3 = 0 THEN ', A.' ELSE '' END AS printed, substr({SURNAMES}[c_custkey % 6 + 1], 1, 15) AS l, CASE WHEN c_custkey % 3 = 0 THEN 'a' END AS i FROM customer),
 h AS (SELECT roll_id, n.chamber, printed, list_sort(list(DISTINCT member_key)) AS hits FROM n JOIN r ON r.chamber = n.chamber AND lower(substr(r.last, 1, 15)) = lower(n.l) AND (i IS NULL OR starts_with(lower(r.first), i)) GROUP BY ALL),
 s AS (SELECT roll_id, list(DISTINCT hits[1]) AS found FROM h WHERE len(hits) = 1 GROUP BY 1),
 k AS (SELECT roll_id, chamber, printed, CASE WHEN len(hits) = 1 THEN hits[1] WHEN len(list_filter(hits, lambda x: NOT list_contains(coalesce(found, []), x))) = 1 THEN list_filter(hits, lambda x: NOT list_contains(coalesce(found, []), x))[1] END AS member_key FROM h LEFT JOIN s USING (roll_id))
 SELECT n.roll_id, n.chamber, n.printed, member_key FROM n LEFT JOIN k USING (roll_id, chamber, printed)"""
 )
 def truncated_names(spark: SparkSession, d: str) -> DataFrame:
-    """Printed surnames of fifteen letters, resolved by initials and elimination."""
+    """Printed surnames of fifteen letters, resolved by initials and elimination; a chamber for every ten members."""
     s, c = F.col("s_suppkey"), F.col("c_custkey")
-    roster = T.read(spark, d, "supplier").where("s_suppkey < 40").select(s.alias("member_key"), _text("C", s % 4).alias("chamber"), _pick(SURNAMES, s % 6).alias("last"), _pick(["Ann", "Bob"], F.floor(s / 6) % 2).alias("first"))
+    chambers = T.read(spark, d, "supplier").agg(F.max(F.floor(s / 10)) + 1).first()[0]
+    roster = T.read(spark, d, "supplier").select(s.alias("member_key"), _text("C", F.floor(s / 10)).alias("chamber"), _pick(SURNAMES, s % 6).alias("last"), _pick(["Ann", "Bob"], F.floor(s / 6) % 2).alias("first"))
     printed = F.concat(F.substring(_pick(SURNAMES, c % 6), 1, 15), F.when(c % 3 == 0, ", A.").otherwise(""))
-    names = T.read(spark, d, "customer").select((c % 50).alias("roll_id"), _text("C", c % 4).alias("chamber"), printed.alias("printed")).distinct()
+    names = T.read(spark, d, "customer").select((c % 50).alias("roll_id"), _text("C", c % chambers).alias("chamber"), printed.alias("printed")).distinct()
     return I.resolve_truncated(names, roster).select("roll_id", "chamber", "printed", "member_key")
 
 
@@ -109,12 +110,12 @@ def nomination_repair(spark: SparkSession, d: str) -> DataFrame:
     return I.fix_subjects(rows, registry)
 
 
-@query("SELECT c_custkey AS cand_key, 'seat-' || c_custkey % 70 AS seat FROM customer WHERE c_custkey % 70 NOT IN (SELECT s_suppkey % 90 FROM supplier)")
+@query("SELECT c_custkey AS cand_key, 'seat-' || c_custkey % 70 AS seat FROM customer WHERE c_custkey % 70 NOT IN (SELECT s_suppkey * 2 % 90 FROM supplier)")
 def slate_precedence(spark: SparkSession, d: str) -> DataFrame:
     """Slate seats that no race of the guide covers."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     slates = T.read(spark, d, "customer").select(c.alias("cand_key"), _text("seat-", c % 70).alias("seat"))
-    return G.uncovered(slates, T.read(spark, d, "supplier").select(_text("seat-", s % 90).alias("seat"))).select("cand_key", "seat")
+    return G.uncovered(slates, T.read(spark, d, "supplier").select(_text("seat-", s * 2 % 90).alias("seat"))).select("cand_key", "seat")
 
 
 @query("WITH s AS (SELECT l_orderkey AS bill, l_suppkey AS member_key, CASE WHEN l_linenumber = 1 THEN 'sponsor' ELSE 'cosponsor' END AS role FROM lineitem WHERE l_returnflag <> 'R') SELECT bill, member_key, max(role) AS role FROM s GROUP BY 1, 2")

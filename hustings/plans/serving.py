@@ -52,13 +52,14 @@ def roll_call_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT s_suppkey AS seat, s_suppkey % 40 AS member_key, CASE WHEN s_suppkey % 3 = 0 THEN 2027 + s_suppkey % 4 END AS term_end FROM supplier),
-i AS (SELECT c_custkey AS member_key, min(2026 + c_custkey % 2) AS y FROM customer WHERE c_custkey < 15 GROUP BY 1), l AS (SELECT s_suppkey AS seat, 2026 AS y FROM supplier WHERE s_suppkey % 2 = 0)
+i AS (SELECT c_custkey // 3 AS member_key, min(CASE WHEN c_custkey % 9 < 6 THEN 2026 + c_custkey % 2 END) AS y FROM customer GROUP BY 1), l AS (SELECT s_suppkey AS seat, 2026 AS y FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT seat, coalesce(i.y, term_end - 1, l.y, 2029) AS election_year, CASE WHEN i.y IS NOT NULL THEN 'incumbent' WHEN term_end IS NOT NULL THEN 'term' WHEN l.y IS NOT NULL THEN 'slate' ELSE 'default' END AS rule FROM s LEFT JOIN i USING (member_key) LEFT JOIN l USING (seat)"""
 )
 def next_election(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     seats = T.read(spark, d, "supplier").select(k.alias("seat"), (k % 40).alias("member_key"), F.when(k % 3 == 0, 2027 + k % 4).alias("term_end"))
-    inc = T.read(spark, d, "customer").where("c_custkey < 15").select(F.col("c_custkey").alias("member_key"), (2026 + F.col("c_custkey") % 2).alias("year"))
+    c = F.col("c_custkey")
+    inc = T.read(spark, d, "customer").select(F.floor(c / 3).alias("member_key"), F.when(c % 9 < 6, 2026 + c % 2).alias("year"))
     return V.next_election(seats, inc, seats.where("seat % 2 = 0").select("seat", F.lit(2026).alias("year")), 2029)
 
 
