@@ -2,7 +2,8 @@
 
 A value that follows a credential word (``pwd = ...``, ``"auth": "..."``) is cut into words, dates, repeats,
 keyboard walks and brute-force characters so that the sum of log10 guesses is least over all ways to cut it. A value
-that costs at least ``MIN_LOG10`` is a secret even where no fixed pattern names it, or one names only a part of it.
+that costs at least ``MIN_LOG10`` is a secret even where no fixed pattern names it, or one names only a part of it,
+unless it only refers to a secret kept elsewhere (a variable, a call). Every value is costed, and its cost reported.
 Words are those of a ranked vocabulary, whose path is a parameter. The time is in proportion to the value: words and
 dates are bounded in length, and of the starts of a run only those are kept that can still win.
 
@@ -66,6 +67,8 @@ LINES = [x for row in ROWS for x in (row, row[::-1])]
 _YEAR, _MONTH, _DAY, _GAP = "(?:19|20)[0-9][0-9]", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "[-/._]?"
 #: Patterns of dates with their guesses: year first, year last in both orders of day and month, and a year alone.
 DATES = [(re.compile(p), n) for p, n in ((_YEAR + _GAP + _MONTH + _GAP + _DAY, 366 * 150), (_DAY + _GAP + _MONTH + _GAP + _YEAR, 366 * 150), (_MONTH + _GAP + _DAY + _GAP + _YEAR, 366 * 150), (_YEAR, 150))]
+#: Signs that brute force tries for a letter without case.
+CASELESS = 3000
 #: log10 of the places where a repeat or a walk may start.
 RUN = log10(40)
 #: Each further segment doubles the guesses: the attacker must also guess where it starts.
@@ -142,8 +145,10 @@ class _Runs:
 
 
 def alphabet(v: str) -> float:
-    """log10 of the number of characters that brute force must try at each place."""
+    """log10 of the number of characters that brute force must try at each place. Letters without case are those of
+    scripts with thousands of common signs."""
     n = 26 * any(c.islower() for c in v) + 26 * any(c.isupper() for c in v) + 10 * any(c.isdigit() for c in v) + 33 * any(not c.isalnum() for c in v)
+    n += CASELESS * any(c.isalpha() and not (c.islower() or c.isupper()) for c in v)
     return log10(16 if all(c in "0123456789abcdef" for c in v) else max(n, 10))
 
 
@@ -209,51 +214,90 @@ def guess_cost(value: str, words: Dictionary | None = None) -> tuple[float, list
     return best[n], out[::-1]
 
 
-def find_spans(text: str, min_log10: float = MIN_LOG10, words: Dictionary | None = None) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, kind, start and end of the value), by start, then by the order of ``KINDS``."""
+# What stands for a value that is elsewhere: a variable of a shell, a template's or a host's, or a place to fill in.
+TEMPLATE = re.compile(r"\$\{?[A-Za-z_]|\$\(|%[A-Za-z_][A-Za-z0-9_]*%$|\{\{|\{%|<[A-Za-z_ -]+>$", re.A)
+# Code that fetches it: a call or an index, complete or cut off at a quote.
+FETCH = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?:\(|\[)", re.A)
+_PARTS = re.compile(r"[_.]|(?<=[a-z])(?=[A-Z])")
+
+
+def is_reference(value: str, quoted: bool, words: Dictionary) -> bool:
+    """Whether a value names where the secret is and isn't one: a template, or unquoted a call, an index, or a name that
+    joins words of the dictionary with points, underscores or changes of case."""
+    if TEMPLATE.match(value):
+        return True
+    if quoted or FETCH.match(value):
+        return not quoted
+    parts = _PARTS.split(value.rstrip(";,)"))
+    return len(parts) > 1 and all(len(p) < SHORTEST and p.isalpha() or p.lower() in words.ranks for p in parts)
+
+
+def context_values(text: str, words: Dictionary | None = None) -> list[tuple[int, int, bool, float, list[tuple[int, int, str]]]]:
+    """Every value in a credential context: start, end, whether it is a reference, its least log10 guesses and the
+    segments that give them."""
+    if not any(w in text.lower() for w in CONTEXT_WORDS):
+        return []
+    words, found = words or dictionary(), []
+    for m in CONTEXT.finditer(text):
+        s, e = m.span(m.lastindex)
+        found.append((s, e, is_reference(text[s:e], m.lastindex < 3, words), *guess_cost(text[s:e], words)))
+    return found
+
+
+def _scanned(text: str, min_log10: float, words: Dictionary | None) -> tuple[list[tuple[int, int, str, int, int]], list[tuple]]:
+    """The spans of a text, and its costed values."""
     low = text.lower()
     found = [(m.start(), m.end(), "hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     if any(w in low for w in ASSIGN_WORDS):
         found += [(m.start(), m.end(), "assign", m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-    if any(w in low for w in CONTEXT_WORDS):
-        # The furthest end of the base values that start at or before a place tells whether one of them covers a value.
-        covered = sorted((s, e) for *_, s, e in found)
-        starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
-        for m in CONTEXT.finditer(text):
-            s, e = m.span(m.lastindex)
-            k = bisect_right(starts, s)
-            if not (k and ends[k - 1] >= e) and guess_cost(text[s:e], words)[0] >= min_log10:
-                found.append((s, e, "guess", s, e))
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    values = context_values(text, words)
+    # The furthest end of the base values that start at or before a place tells whether one of them covers a value.
+    covered = sorted((s, e) for *_, s, e in found)
+    starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
+    for s, e, reference, cost, _ in values:
+        k = bisect_right(starts, s)
+        if not reference and cost >= min_log10 and not (k and ends[k - 1] >= e):
+            found.append((s, e, "guess", s, e))
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), values
+
+
+def find_spans(text: str, min_log10: float = MIN_LOG10, words: Dictionary | None = None) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, kind, start and end of the value), by start, then by the order of ``KINDS``. A value that costs enough,
+    refers to no other place and isn't wholly inside a base span is a span of kind guess."""
+    return _scanned(text, min_log10, words)[0]
 
 
 def join_spans(spans: list[tuple]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind, *_ in spans)
 
 
-SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+def join_costs(values: list[tuple]) -> str:
+    """start:end:log10 guesses:kinds of the segments, for each costed value."""
+    return ",".join(f"{s}:{e}:{cost:.2f}:{'+'.join(k for *_, k in parts)}" for s, e, _, cost, parts in values)
+
+
+SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, n_costed long, costs string"
 
 
 def scan(docs: DataFrame, min_log10: float = MIN_LOG10, vocabulary: str | None = None) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): counts, digest of the base spans, all spans. ``vocabulary`` is
-    the path of a ranked vocabulary; its words go to the tasks as a broadcast as large as that file."""
+    """One row for each row of ``docs`` (doc_id, text): counts, digest of the base spans, all spans, and the least cost
+    and segmentation of every value in a credential context, those inside base spans included. ``vocabulary`` is the path of a ranked vocabulary; its words go to the tasks as a broadcast as large as that file."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                spans = find_spans(text or "", min_log10, shared.value)
+                spans, values = _scanned(text or "", min_log10, shared.value)
                 base = [x for x in spans if x[2] != "guess"]
                 n = [sum(x[2] == k for x in spans) for k in KINDS]
-                rows.append((*n[:3], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans), n[3]))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"]
-            )
+                rows.append((*n[:3], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans), n[3], len(values), join_costs(values)))
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "n_costed", "costs"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=names)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCAN_SCHEMA)
 

@@ -15,7 +15,7 @@ def documents(spark: SparkSession, rows: list[tuple], extra: bool = False) -> Da
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("hash", "size", "score", "node", "key", "bucket", "ids", "path", "digest", "n", "__row", "copies", "Label", "x", "held_out", "predicted", "quality", "row", "position", "part", "deal", "failed", "shard", "slot", "range", "record", "word", "words", "spans", "item", "edge", "taken", "weight", "salt", "block"):
+        for name in ("hash", "size", "score", "node", "key", "bucket", "ids", "path", "digest", "n", "__row", "Label", "x", "held_out", "predicted", "quality", "row", "position", "part", "deal", "failed", "shard", "slot", "range", "record", "word", "words", "spans", "item", "edge", "taken", "weight", "salt", "block", "copies"):
             df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -142,3 +142,43 @@ def test_a_value_beyond_its_base_span_is_costed_whole():
     assert [(k, text[s:e]) for *_, k, s, e in secrets.find_spans(text)] == [("assign", "Tr0ub4dor"), ("guess", "Tr0ub4dor&3-horse;"), ("assign", "abcdefgh1234")]
     assert secrets.redact_text(text) == "password = [SECRET] token=[SECRET]"
     assert secrets.redact_text('"password": "Tr0ub4dor&3 horse", x') == '"password": "[SECRET]", x'
+
+
+REFERENCES = ["${DB_PASSWORD}", "$SECRET_TOKEN", "$(pass show db)", "%DB_PASSWORD%", "{{ vault.password }}", "<your-password>", "os.environ['DB_PASSWORD']", "getToken(user.session)", "process.env.API_KEY", "config.get(\"password\")", "the_user_password_from_config", "settings.database.password;", "secrets[name]", "requestTokenFromServer"]
+
+
+def test_references_are_no_secrets():
+    for value in REFERENCES:
+        for name in ("pwd", "auth", "db_pass"):
+            assert [k for _, _, k, *_ in secrets.find_spans(f"{name} = {value}")] == [], value
+    assert secrets.redact_text("pwd = x9$Lq2!vT(8#z") == "pwd = [SECRET]" and secrets.redact_text('pwd = "getToken_but_in_quotes"') == 'pwd = "[SECRET]"'
+
+
+def test_letters_without_case_are_priced_as_many():
+    assert secrets.guess_cost("密码口令安全")[0] > 6 * 3 and secrets.guess_cost("qzkvwm")[0] == 6 * math.log10(26)
+
+
+def test_precision_and_recall_on_planted_values():
+    """Four hundred values in contexts that no base pattern reads: random ones and passphrases against words, dates, walks
+    and references."""
+    import random
+    import string
+
+    rng = random.Random(7)
+    common = [w for w in secrets.dictionary().ranks if w.isalpha() and len(w) > 3][:3000]
+    pool = string.ascii_letters + string.digits + "!$%&*+-/"
+    good = ["".join(rng.choice(pool) for _ in range(rng.randrange(10, 40))) for _ in range(120)] + ['"' + " ".join(rng.choice(common) for _ in range(5)) + '"' for _ in range(80)]
+    weak = lambda: rng.choice([rng.choice(common[:200]) + str(rng.randrange(1950, 2026)), rng.choice(["qwertyuiop", "asdfghjkl", "1234567890", "zxcvbnm1"]), f"{rng.randrange(1950, 2026)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}", rng.choice("abcxyz1") * rng.randrange(8, 30), rng.choice(common[:500])])
+    bad = [weak() for _ in range(150)] + [rng.choice(REFERENCES) for _ in range(50)]
+    found = lambda v: bool(secrets.find_spans(f"Some text, then\nauth: {v}\nand more"))
+    hits, false = sum(map(found, good)), sum(map(found, bad))
+    assert hits / len(good) >= 0.97 and hits / (hits + false) >= 0.97
+
+
+def test_every_context_value_is_costed(spark):
+    rows = [(1, "password=dragon1999 and token: x9$Lq2!vT8#z"), (2, "nothing"), (3, None)]
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, rows)).collect()}
+    assert got[1].n_costed == 2 and got[1].n_assign == 1 and [c.split(":")[3] for c in got[1].costs.split(",")] == ["word+date", "brute"]
+    start, end, cost, _ = got[1].costs.split(",")[0].split(":")
+    assert rows[0][1][int(start) : int(end)] == "dragon1999" and abs(float(cost) - secrets.guess_cost("dragon1999")[0]) < 0.01
+    assert (got[2].n_costed, got[2].costs, got[3].n_costed) == (0, "", 0)
