@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, slices
+from .common import broadcast_if_small, durable, slices, weighed_lookup
 from .ngram_join import lists
 from .setjoin import class_table, distinct_sets, link_sets
 from .shingles import chained, set_digest, word_hashes
@@ -185,7 +185,7 @@ def join(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFra
     rows = durable(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, items array<long>"), "spots")
     held = distinct_sets(rows)
     each = held.select("node", "n", F.explode("items").alias("item"))
-    counted = each.join(each.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "item")
+    counted = weighed_lookup(each, durable(each.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "items"), ["item"], "f", F.col("node"))
     ranked = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "item"))).alias("r"))
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + F.lit(1e-9))
     prefix = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"))

@@ -200,7 +200,19 @@ class Transducer:
         self.normaliser = Machine((k, 0.0, n) for n, k in enumerate(self.rules)) if self.rules else None
 
     def _rewritten(self, codes: np.ndarray) -> np.ndarray:
-        """The normaliser's rules, leftmost and longest first, composed with the chain ``codes``."""
+        """The normaliser's rules, leftmost and longest first, composed with the chain ``codes`` window by window: a window
+        sees as many codes beyond its end as the longest rule has, and ends where no rule's match goes on."""
+        ahead = max(map(len, self.rules))
+        size = max(WINDOW, ahead)  # so that a window holds one match at least
+        out, at = [], 0
+        while at < len(codes):
+            done, part = self._rewritten_window(codes[at : at + size + ahead], size)
+            out.append(part)
+            at += done
+        return np.concatenate(out) if out else codes
+
+    def _rewritten_window(self, codes: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+        """How many of the first ``most`` codes are rewritten, all but those of a match that goes on beyond, and to what."""
         length, rule = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int32)
         for n, at, state in self.normaliser.paths(codes):
             length[at], rule[at] = n, self.normaliser.output[state]
@@ -209,6 +221,10 @@ class Transducer:
             if p >= free:
                 free = p + int(length[p])
                 inside[p + 1 : free] = True
+        done = len(codes)
+        if done > most:
+            done = int(np.flatnonzero(~inside[: most + 1])[-1])
+            codes, length, rule, inside = codes[:done], length[:done], rule[:done], inside[:done]
         at = np.flatnonzero((length > 0) & ~inside)
         size = np.ones(len(codes), np.int64)
         size[inside] = 0
@@ -219,7 +235,7 @@ class Transducer:
         if len(long):
             places = np.concatenate([np.arange(ends[p] - size[p], ends[p]) for p in long.tolist()])
             out[places] = np.concatenate([self.rewrites[r] for r in rule[long].tolist()])
-        return out
+        return done, out
 
     def normalised(self, texts: list[str]) -> np.ndarray:
         """The code points of the normalised texts, ``END`` after each. Rules first, then the machine of two states for

@@ -154,3 +154,18 @@ def test_tables(spark):
     assert {r.doc_id: r.text for r in back.collect() if r.doc_id != 6} == {d: t or "" for d, t in texts if d != 6}
     assert wfst.encode(documents(spark, [])).count() == 0
     assert {r.doc_id: r.ids for r in rows}[4] == _public().encode(texts[4][1]) and min(i for r in rows for i in r.ids) > 2
+
+
+def test_normaliser_windows_agree_with_whole_texts(monkeypatch):
+    """Rules whose matches start before, at and after every end of a window."""
+    import random
+
+    rules = {"a": "1", "ab": "22", "abc": "", "bcd": "long one", "  ": " ", "é": "e", "cdab": "X"}
+    machine = wfst.Transducer([("x", -1.0, wfst.NORMAL)], rules)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.randrange(60))) for _ in range(60)] + ["abcd" * 50, "", "é"]
+    whole = [machine.normalise(t) for t in texts]
+    for window in (1, 2, 3, 7):
+        monkeypatch.setattr(wfst, "WINDOW", window)
+        assert [machine.normalise(t) for t in texts] == whole
+        assert machine.normalised(texts).tolist() == [c for t in texts for c in machine.normalised([t]).tolist()]
