@@ -243,8 +243,9 @@ def format_bill(bill: Column) -> Column:
 
 
 def condense(text: Column, enough: int = 180, most: int = 320) -> Column:
-    """Sentences until more than ``enough`` characters are taken; one that would pass ``most`` is left out."""
-    sentences = F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    """Sentences until more than ``enough`` characters are taken; one that would pass ``most`` is left out. The pattern takes
+    a last part without an end too (it goes after), so a long text without any end is read once and not from each place."""
+    sentences = F.filter(F.regexp_extract_all(text, F.lit("[^.!?]+(?:[.!?]+|$)"), F.lit(0)), lambda s: s.rlike("[.!?]$"))
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("done"))
 
     def step(a: Column, s: Column) -> Column:

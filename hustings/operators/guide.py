@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.labels import result_headline
 from .ranking import name_score
 
 CAND = ["race_id", "cand_id"]
@@ -63,9 +64,37 @@ def party_line(votes: DataFrame, majorities: DataFrame) -> DataFrame:
 
 
 def party_line_summary(verdicts: DataFrame, most: int = 4) -> DataFrame:
-    """Counts with and against, and the newest votes against."""
-    newest = F.slice(F.sort_array(F.collect_list(F.when(F.col("verdict") == "against", F.struct("roll_date", "roll_id"))), asc=False), 1, most)
-    return verdicts.groupBy("member_key").agg(_count(F.col("verdict") == "with").alias("with_party"), _count(F.col("verdict") == "against").alias("against_party"), F.transform(newest, lambda s: s["roll_id"]).alias("latest_against"))
+    """Counts with and against, and the newest ``most`` votes against, of equal days the larger id. They are ranked by a window
+    that Spark cuts in each partition before the shuffle, so no member's votes are gathered in one row."""
+    counts = verdicts.groupBy("member_key").agg(_count(F.col("verdict") == "with").alias("with_party"), _count(F.col("verdict") == "against").alias("against_party"))
+    against = verdicts.where("verdict = 'against'").select("member_key", "roll_id", F.row_number().over(W.partitionBy("member_key").orderBy(F.desc("roll_date"), F.desc("roll_id"))).alias("rank")).where(F.col("rank") <= most)
+    newest = against.groupBy("member_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "roll_id"))), lambda s: s["roll_id"]).alias("latest_against"))
+    return counts.join(newest, "member_key", "left").withColumn("latest_against", F.coalesce("latest_against", F.array().cast(newest.schema["latest_against"].dataType)))
+
+
+def said_vs_did(said: DataFrame, votes: DataFrame) -> DataFrame:
+    """CAND, issue, stance, comparable, same: each documented statement beside the recorded votes on its issue.
+
+    ``said``: CAND, issue, stance (one a candidate and issue); ``votes``: CAND, issue, vote, yes_means. Only yes and no votes
+    whose meaning is known can be compared, and only with a statement that supports or opposes; others count 0. Votes are
+    counted before they meet the statements: those that point to support agree with support, the rest of them with opposition.
+    Null stances and issues stay and count 0; repeated votes count each time; votes without a statement are left out.
+    """
+    known = votes.where(F.col("vote").isin("yes", "no") & F.col("yes_means").isin("supports", "opposes"))
+    points = known.groupBy(*CAND, "issue").agg(F.count(F.lit(1)).alias("n"), _count((F.col("vote") == "yes") == (F.col("yes_means") == "supports")).alias("support"))
+    both = said.select(*CAND, "issue", "stance").join(points, [*CAND, "issue"], "left")
+    n, support = F.coalesce("n", F.lit(0)), F.coalesce("support", F.lit(0))
+    same = F.when(F.col("stance") == "supports", support).when(F.col("stance") == "opposes", n - support).otherwise(0)
+    return both.select(*CAND, "issue", "stance", F.when(F.col("stance").isin("supports", "opposes"), n).otherwise(0).alias("comparable"), same.alias("same"))
+
+
+def result_lines(races: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """race_id and headline of each race with a result. ``races``: race_id; ``candidates``: race_id, cand_id, name; ``results``:
+    race_id, status, unconfirmed, outcome, winner (a cand_id of the race). A winner who is not listed has no name; results of
+    other races and null race ids are left out; a repeated result has a line each time."""
+    named = candidates.groupBy("race_id", F.col("cand_id").alias("winner")).agg(F.min("name").alias("winner_name"))
+    own = results.select("race_id", "status", "unconfirmed", "outcome", "winner").join(races.select("race_id").distinct(), "race_id", "left_semi")
+    return own.join(named, ["race_id", "winner"], "left").select("race_id", result_headline(F.col("status"), F.col("unconfirmed"), F.col("outcome"), F.col("winner_name")).alias("headline"))
 
 
 def top_donors(gifts: DataFrame, most: int = 10) -> DataFrame:

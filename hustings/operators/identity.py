@@ -97,15 +97,16 @@ def staged(names: DataFrame, members: DataFrame) -> DataFrame:
     return names.join(first, "name_id", "left").select("name_id", F.when(F.col("f.n") == 1, F.col("f.m")).alias("member_key"), F.col("f.stage").alias("stage"), F.when(F.col("f").isNull(), "unknown").when(F.col("f.n") == 1, "found").otherwise("ambiguous").alias("status"))
 
 
-def match_districts(census: DataFrame, labels: DataFrame) -> DataFrame:
+def match_districts(census: DataFrame, labels: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """census_id, label: labels equal to a district's base name or name once normalised; failing that, for a bare
-    number, labels of that number and one letter. ``census``: census_id, basename, name; ``labels``: label."""
-    known = labels.select("label").distinct().withColumn("k", norm_district(F.col("label")))
-    keys = census.select("census_id", F.explode(F.array_distinct(F.array(norm_district(F.col("basename")), F.coalesce(norm_district(F.col("name")), F.lit(""))))).alias("k")).where("k <> ''")
-    exact = keys.join(known, "k").select("census_id", "label").distinct()
-    rest = census.join(exact.select("census_id").distinct(), "census_id", "left_anti").select("census_id", norm_district(F.col("basename")).alias("k")).where(F.col("k").rlike("^[0-9]+$"))
-    lettered = known.where(F.col("k").rlike("^[0-9]+[a-z]$")).select("label", F.regexp_replace("k", "[a-z]$", "").alias("k"))
-    return exact.unionByName(rest.join(lettered, "k").select("census_id", "label"))
+    number, labels of that number and one letter. ``census``: census_id, basename, name; ``labels``: label. ``scope`` names
+    columns of both (a state, a chamber) within which labels count."""
+    known = labels.select(*scope, "label").distinct().withColumn("k", norm_district(F.col("label")))
+    keys = census.select(*scope, "census_id", F.explode(F.array_distinct(F.array(norm_district(F.col("basename")), F.coalesce(norm_district(F.col("name")), F.lit(""))))).alias("k")).where("k <> ''")
+    exact = keys.join(known, [*scope, "k"]).select(*scope, "census_id", "label").distinct()
+    rest = census.join(exact.select(*scope, "census_id").distinct(), [*scope, "census_id"], "left_anti").select(*scope, "census_id", norm_district(F.col("basename")).alias("k")).where(F.col("k").rlike("^[0-9]+$"))
+    lettered = known.where(F.col("k").rlike("^[0-9]+[a-z]$")).select(*scope, "label", F.regexp_replace("k", "[a-z]$", "").alias("k"))
+    return exact.unionByName(rest.join(lettered, [*scope, "k"]).select(*scope, "census_id", "label"))
 
 
 def match_chamber(census: DataFrame, labels: DataFrame) -> DataFrame:

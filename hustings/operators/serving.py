@@ -21,6 +21,21 @@ def vote_list(record: DataFrame, member, kind: str = "", hide_unanimous: bool =
     return paginate(rows, [F.desc("roll_date"), "roll_id"], page, size)
 
 
+def member_pages(votes: DataFrame, members: DataFrame, rolls: DataFrame, size: int = 10) -> DataFrame:
+    """The response of every member's page: name, party, tallies and the titles of the newest ``size`` votes, '|' between them.
+
+    ``votes``: roll_id, member_key, choice; ``members``: member_key, name, party; ``rolls``: roll_id, title, roll_date. The
+    newest are ranked by a window that Spark cuts in each partition before the shuffle; of one day the smaller id comes first,
+    null days last. Null titles are left out of the page, not of the tallies. Votes of unknown members or rolls don't count.
+    """
+    each = votes.select("roll_id", "member_key", "choice").join(rolls.select("roll_id", "title", "roll_date"), "roll_id")
+    count = lambda c: F.count(F.when(F.col("choice") == c, 1)).alias(c)
+    tallies = each.groupBy("member_key").agg(F.count(F.lit(1)).alias("total"), count("yes"), count("no"), count("absent"))
+    newest = each.select("member_key", "title", F.row_number().over(W.partitionBy("member_key").orderBy(F.desc_nulls_last("roll_date"), "roll_id")).alias("rank")).where(F.col("rank") <= size)
+    page = newest.groupBy("member_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), "|").alias("first_page"))
+    return members.select("member_key", "name", "party").join(tallies, "member_key").join(page, "member_key")
+
+
 def named_titles(rolls: DataFrame, today: str, days: int = 90) -> DataFrame:
     """Recent rolls whose title names its subject: titles that start with 'On ' need a meaning."""
     return rolls.where((F.col("roll_date") >= F.date_sub(F.lit(today).cast("date"), days)) & (~F.startswith("title", F.lit("On ")) | F.col("meaning").isNotNull()))

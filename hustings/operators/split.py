@@ -81,3 +81,9 @@ def breakdown() -> Column:
     """'Democrats 210-2, Republicans 3-215' for the parties that voted."""
     part = lambda name, p: F.when(F.col(f"{p}_yes") + F.col(f"{p}_no") > 0, F.format_string(name + " %d-%d", f"{p}_yes", f"{p}_no"))
     return F.concat_ws(", ", part("Democrats", "d"), part("Republicans", "r"))
+
+
+def sides_sentence() -> Column:
+    """'Most Democrats voted no; most Republicans voted yes' for the parties with a clear side; empty if neither has one."""
+    part = lambda name, p: F.concat(F.lit(f"most {name} voted "), side(F.col(f"{p}_yes"), F.col(f"{p}_no")))
+    return F.regexp_replace(F.concat_ws("; ", part("Democrats", "d"), part("Republicans", "r")), "^most", "Most")

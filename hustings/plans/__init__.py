@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import explorer, guide, identity, ingest, journals, layouts, outcomes, publishing, races, records, serving, streams, text, votes  # noqa: F401
+    from . import explorer, guide, identity, ingest, journals, labels, layouts, outcomes, publishing, races, records, serving, slates, streams, text, votes  # noqa: F401
 
     return QUERIES, ORACLES

@@ -260,11 +260,12 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, role, text FROM conversations), p AS (SELECT a.conv_id, a.turn, length(coalesce(a.text, '')) AS said, length(coalesce(b.text, '')) AS did FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
-SELECT conv_id, count(*) AS comparable, count(*) FILTER (did >= said) AS same FROM p GROUP BY 1"""
+    KEYED
+    + """, v AS (SELECT race_id, cand_id, issue, count(*) FILTER (yes_means IS NOT NULL) AS n, count(*) FILTER (yes_means IS NOT NULL AND (vote = 'yes') = (yes_means = 'supports')) AS s FROM kv JOIN cw USING (vote_id) WHERE vote IN ('yes', 'no') GROUP BY ALL)
+SELECT race_id, cand_id, issue, stance, CASE WHEN stance IN ('supports', 'opposes') THEN coalesce(n, 0) ELSE 0 END AS comparable, CASE stance WHEN 'supports' THEN coalesce(s, 0) WHEN 'opposes' THEN coalesce(n - s, 0) ELSE 0 END AS same
+FROM st LEFT JOIN v USING (race_id, cand_id, issue)"""
 )
 def said_vs_did(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a statement and what followed, and how many agree (here: an answer at least as long as the question)."""
-    t = T.read(spark, d, "conversations").select("conv_id", "turn", "role", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    after = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("did"))
-    return t.where("role = 'user'").join(after, ["conv_id", "turn"]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("comparable"), F.count(F.when(F.col("did") >= F.col("n"), 1)).alias("same"))
+    """What candidates said beside how they voted, by issue."""
+    votes = key_votes(spark, d).join(crosswalk(spark, d), "vote_id")
+    return G.said_vs_did(statements(spark, d), votes)

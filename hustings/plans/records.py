@@ -255,11 +255,7 @@ def added_meanings(spark: SparkSession, d: str) -> DataFrame:
 )
 def member_response(spark: SparkSession, d: str) -> DataFrame:
     """The whole response of a member's page, for every member: name, tallies and the first page of votes, newest first."""
-    each = T.ballots(spark, d).join(T.members(spark, d).select("member_key", "name", "party"), "member_key").join(T.rolls(spark, d).select("roll_id", "title", "roll_date"), "roll_id")
-    count = lambda c: F.count(F.when(F.col("choice") == c, 1)).alias(c)
-    days = F.datediff(F.lit("9999-12-31").cast("date"), "roll_date")
-    newest = F.slice(F.array_sort(F.collect_list(F.struct(days.alias("d"), "roll_id", "title"))), 1, 10)
-    return each.groupBy("member_key", "name", "party").agg(F.count(F.lit(1)).alias("total"), count("yes"), count("no"), count("absent"), F.array_join(F.transform(newest, lambda x: x["title"]), "|").alias("first_page"))
+    return V.member_pages(T.ballots(spark, d), T.members(spark, d), T.rolls(spark, d))
 
 
 @query("SELECT c_custkey, c_custkey % 60 <> 7 AND c_custkey % 3 <> 1 AS complete FROM customer")

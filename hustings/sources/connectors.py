@@ -110,6 +110,39 @@ def ingest(rolls: DataFrame, printed: DataFrame, roster: DataFrame, source: str)
     return checked, votes.join(checked.select("roll_id"), "roll_id", "left_semi").select("roll_id", "member_key", "choice")
 
 
+def rule_table(spark) -> DataFrame:
+    """source, policy, other, strict, whole for all sources."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(x.policy).alias("policy"), F.lit(x.other).cast("string").alias("other"), F.lit(x.strict and not x.prefixes).alias("strict"), F.lit(x.whole).alias("whole")) for s, x in SOURCES.items()])))
+
+
+def ingest_all(rolls: DataFrame, printed: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Roll calls and positions of any number of sources, coded and checked in one pass: sources are rows, not branches.
+
+    ``rolls``: source, roll_id, printed_yes, printed_no; ``printed``: source, roll_id, name, raw; ``roster``: source, name,
+    member_key (one row a source and name; a repeated one repeats positions). Codes and policies are tables of fixed size
+    (``SOURCES``), so they are broadcast; positions meet them in place and are counted before they are shuffled.
+
+    Each source keeps its policy as in ``ingest``: under ``drop`` rolls whose recount differs go, ``agrees`` is null without a
+    printed tally, an unknown word fails a strict source, drops the roll of a whole one, and is no position elsewhere. Null
+    words and names, positions of unlisted sources and of rolls that are not in ``rolls`` have no code, member or roll: they
+    are left out (names: a null member). Rolls without positions count 0; further columns are not returned.
+    """
+    spark = rolls.sparkSession
+    words, rules = code_table(spark).distinct(), rule_table(spark)
+    marked = printed.select("source", "roll_id", "name", "raw").join(F.broadcast(rules), "source").join(F.broadcast(words), ["source", "raw"], "left")
+    starts = [F.when((F.col("source") == s) & F.startswith("raw", F.lit(p)), F.lit(c)) for s, x in SOURCES.items() for p, c in x.prefixes.items()]
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("unknown vote:"), "source", F.coalesce("raw", F.lit("null")))).cast("string")
+    choice = F.coalesce("choice", *starts, "other", F.when(F.col("strict"), unknown))
+    marked = marked.select("source", "roll_id", "name", "whole", choice.alias("choice"))
+    count = lambda test: F.count(F.when(test, 1))
+    n = marked.groupBy("source", "roll_id").agg(count(F.col("choice") == "yes").alias("yes"), count(F.col("choice") == "no").alias("no"), count(F.col("whole") & F.col("choice").isNull()).alias("broken"))
+    both = rolls.select("source", "roll_id", "printed_yes", "printed_no").join(F.broadcast(rules.select("source", "policy")), "source").join(n, ["source", "roll_id"], "left").fillna(0, ["yes", "no", "broken"])
+    agrees = F.when(F.col("policy") != "none", F.col("yes").eqNullSafe(F.col("printed_yes")) & F.col("no").eqNullSafe(F.col("printed_no")))
+    kept = both.withColumn("agrees", agrees).where((F.col("broken") == 0) & (F.col("agrees") | F.col("agrees").isNull() | (F.col("policy") != "drop"))).drop("policy", "broken")
+    votes = marked.where("choice is not null").drop("whole").join(kept.select("source", "roll_id"), ["source", "roll_id"], "left_semi")
+    return kept, votes.join(roster.select("source", "name", "member_key"), ["source", "name"], "left").select("source", "roll_id", "member_key", "choice")
+
+
 def printed_positions(bodies: DataFrame, kind: str, name: str = "name", vote: str = "vote", row: str = "member") -> DataFrame:
     """roll_id, name, raw of the positions in official files (roll_id, body), by kind.
 
