@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, slices, weighed_lookup
@@ -33,8 +33,8 @@ ANCHORS = """the a is was that with for this der die ist und das ein le la les e
 STOP = """of and to in it as be by on not he his are at have from or an they which nicht mit von zu den eine im auf für
 als auch sich dem des et un que pour qui sur par pas au aux en du y con para del se lo como su al de""".split()
 CHAIN = 2
-#: Rows of a bucket of the document order at most, and buckets for each shuffle partition at least.
-BUCKET_ROWS, BUCKETS_A_PARTITION = 1 << 15, 3
+#: Rows of a partition of the document order, about, and such partitions for each shuffle partition at least.
+PARTITION_ROWS, PARTITIONS_A_SHUFFLE = 1 << 18, 3
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -89,83 +89,65 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _constant(values: list, ddl: str) -> Column:
-    """A Python list as one constant of a plan, whatever its length."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), ddl)
-
-
-def _place(cuts: list[int], value: Column) -> Column:
-    """How many of the sorted ``cuts`` are less than ``value``: equal cells over their range tell how many lie before a
-    cell and which few lie inside, so the work for a row doesn't grow with their number."""
-    if not cuts:
-        return F.lit(0)
-    low = cuts[0] >> 1  # halves, so that no difference overflows
-    width = ((cuts[-1] >> 1) - low) // len(cuts) + 1
-    cells: list[dict] = [{"n": 0, "c": []} for _ in range(((cuts[-1] >> 1) - low) // width + 1)]
-    for c in cuts:
-        cells[((c >> 1) - low) // width]["c"].append(c)
-    for a, b in zip(cells, cells[1:]):
-        b["n"] = a["n"] + len(a["c"])
-    # The cell of a value below or above the cuts is the first or the last.
-    clamped = F.least(F.greatest(value, F.lit(cuts[0])), F.lit(cuts[-1]))
-    at = F.shiftright(clamped, 1) - F.lit(low)
-    cell = F.get(_constant(cells, "array<struct<n: int, c: array<bigint>>>"), F.round((at - at % F.lit(width)) / F.lit(width)).cast("int"))
-    return cell["n"] + F.size(F.filter(cell["c"], lambda c: c < value))
-
-
-def in_order(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) by descending id within buckets of an equal number of rows. The first document of the
-    bucket that follows comes last in each bucket with ``own`` false, so every document meets its next one.
-
-    The number of buckets grows with the rows. What reaches the driver is a cut and a first id for each bucket, one in
-    ``BUCKET_ROWS`` documents."""
-    rows = docs.agg(F.count("doc_id")).first()[0]
-    n = max(-(-rows // BUCKET_ROWS), BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = _constant([k / n for k in range(1, n)], "array<double>")
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(max(10_000, 10 * n)))).first()[0] if n > 1 else []
-    bucket = _place(sorted(set(cuts or [])), F.col("doc_id").cast("long"))
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket), F.lit(-1)).alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy(F.desc("bucket")).collect()  # one row a bucket
-    if not heads:
-        return placed.select(F.lit(True).alias("own"), "doc_id", "text", "bucket")
-    # The head of each bucket is shown to the one before it, that of the first to the last. Bucket -1 has place 0.
-    first, to = [[None] * (heads[0]["bucket"] + 2) for _ in range(2)]
-    for k, h in enumerate(heads):
-        first[h["bucket"] + 1], to[h["bucket"] + 1] = h["head"], heads[k - 1]["bucket"]
-    mine = lambda values: F.get(_constant(values, "array<bigint>"), F.col("bucket") + 1)
-    stay = F.struct(F.lit(True).alias("own"), F.col("bucket").alias("at"))
-    shown = F.when(F.col("doc_id").eqNullSafe(mine(first)), F.array(stay, F.struct(F.lit(False).alias("own"), mine(to).cast("int").alias("at")))).otherwise(F.array(stay))
-    spread = placed.withColumn("__s", F.explode(shown))
-    dealt = spread.select("__s.own", "doc_id", "text", F.col("__s.at").alias("bucket")).repartition(max(1, len(heads)), "bucket")
-    return dealt.sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+_REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_NAMES = [x.split()[0] for x in _REPORT.split(", ")]
 
 
-_REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _report(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
+    edited = edited_text(text, following)
+    changed = own if edited == text else spots(edited)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, after)
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and how like the text is to that and to the next document."""
+    """Fingerprints of each text and of its edited text, and how like the text is to that and to the next document.
 
-    def report(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
-        edited = edited_text(text, following)
-        changed = own if edited == text else spots(edited)
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, after)
+    Documents are range-partitioned by descending id (then by the start of the text, so that null and repeated ids are dealt
+    out too) and sorted within. A task meets each next document but that of its last one; it writes its first and last text
+    beside its results, and these ends, two a partition, are joined from partition to partition. The number of partitions
+    grows with the rows; nothing but Spark's own sample of the keys reaches the driver.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = max(-(-docs.count() // PARTITION_ROWS), PARTITIONS_A_SHUFFLE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = [x.split()[0] for x in _REPORT.split(", ")]
+        def made(out: list[tuple], at: int, head: str | None = None, tail: str | None = None) -> pa.RecordBatch:
+            further = [pa.array([v] * len(out), t) for v, t in ((at, pa.int32()), (head, pa.string()), (tail, pa.string()))]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), _TYPES)), *further], names=[*_NAMES, "at", "head", "tail"])
+
+        none = (None,) * (len(_NAMES) - 1)
         last: tuple | None = None
+        at = 0
         for batch in slices(batches):
             out = []
-            for own, doc_id, text, bucket in zip(*(batch.column(c).to_pylist() for c in ("own", "doc_id", "text", "bucket"))):
+            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
                 found = spots(text)
-                if last is not None and last[0] == bucket:
-                    out.append(report(*last[1:], text, found))
-                last = (bucket, doc_id, text, found) if own else None
+                if last is None:
+                    yield made([(doc_id, *none)], at, head=text)
+                else:
+                    out.append(_report(*last, text, found))
+                last = (doc_id, text, found)
+            if out:
+                yield made(out, at)
+        if last is not None:
+            yield made([(last[0], *none)], at, tail=last[1])
+
+    parts = durable(dealt.withColumn("at", F.spark_partition_id()).mapInArrow(run, _REPORT + ", at int, head string, tail string"), "edits")
+    heads, tails = parts.where("head is not null").select("at", "head"), parts.where("tail is not null").select("doc_id", "at", "tail")
+    # One row a partition that has documents: the next one of each, the first after the last.
+    every = W.orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    following = heads.select("at").select("at", F.coalesce(F.lead("at").over(W.orderBy("at")), F.first("at").over(every)).alias("to"))
+    ends = tails.join(following, "at").join(heads.withColumnRenamed("at", "to"), "to").select("doc_id", "tail", "head")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            out = [_report(i, t, spots(t), h, spots(h)) for i, t, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "head")))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
-    return in_order(docs).mapInArrow(run, _REPORT)
+    return parts.where("head is null and tail is null").select(*_NAMES).unionByName(ends.mapInArrow(close, _REPORT))
 
 
 def join(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:

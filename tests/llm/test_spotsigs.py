@@ -9,7 +9,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pyspark.sql import functions as F
 
 from hustings.llm import spotsigs as S
 
@@ -62,18 +61,18 @@ def test_report_over_buckets(spark):
     assert sorted(report(spark, rows)) == sorted(brute_report(rows)) == sorted(report(spark, rows, extra=True))
 
 
-def test_places_among_cuts(spark):
-    for cuts in ([], [5], [1, 2, 3, 500], [-(2**62), 0, 7, 8, 2**62], list(range(0, 3000, 3))):
-        values = sorted({x + d for x in cuts[:50] + cuts[-50:] for d in (-1, 0, 1)} | {0, 10**6})
-        df = spark.createDataFrame([(v,) for v in values], "v long")
-        assert [(r.v, r.p) for r in df.select("v", S._place(cuts, F.col("v")).alias("p")).orderBy("v").collect()] == [(v, sum(c < v for c in cuts)) for v in values]
+def test_null_and_repeated_ids_are_dealt_out(spark):
+    """Many rows without an id and of one id follow one another by their texts, in partitions that share neither."""
+    start = "a common start of sixty-four characters and more, so that it fills the key "
+    rows = [(None, f"{w} the {w} is a thing") for w in map(str, range(120))] + [(7, f"{w} the {w} is a thing") for w in map(str, range(120))] + [(7, start + str(k)) for k in range(30)] + [(7, None), (7, ""), (None, None), (9, "x"), (9, "x")]
+    assert sorted(report(spark, rows), key=str) == sorted(brute_report(rows), key=str)
 
 
 def test_more_buckets_change_nothing(spark, monkeypatch):
     rows = [(i * 7 % 1009, f"the {words(i % 11, i)} is a {words(3, i % 4)}") for i in range(300)] + [(None, "no id"), (5, "again")]
     want = sorted(brute_report(rows), key=str)
     for size in (1, 40, 10**6):
-        monkeypatch.setattr(S, "BUCKET_ROWS", size)
+        monkeypatch.setattr(S, "PARTITION_ROWS", size)
         assert sorted(report(spark, rows), key=str) == want
 
 
