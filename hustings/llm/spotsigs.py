@@ -67,8 +67,12 @@ def spots(text: str, chain: int = CHAIN) -> np.ndarray:
     return np.unique((found >> np.uint64(32)).astype(np.uint32))
 
 
+def packed(found: np.ndarray) -> bytes:
+    return found.astype("<u4").tobytes()
+
+
 def fingerprint(found: np.ndarray) -> str:
-    return base64.b64encode(found.astype("<u4").tobytes()).decode()
+    return base64.b64encode(packed(found)).decode()
 
 
 def spots_of(written: str) -> np.ndarray:
@@ -89,15 +93,15 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 _NAMES = [x.split()[0] for x in _REPORT.split(", ")]
 
 
 def _report(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     changed = own if edited == text else spots(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, after)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), packed(own), packed(changed), likeness(own, changed), likeness(own, after)
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -147,7 +151,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
-    return parts.where("head is null and tail is null").select(*_NAMES).unionByName(ends.mapInArrow(close, _REPORT))
+    every_row = parts.where("head is null and tail is null").select(*_NAMES).unionByName(ends.mapInArrow(close, _REPORT))
+    return every_row.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def join(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
