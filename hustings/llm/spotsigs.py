@@ -114,7 +114,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(-(-docs.count() // PARTITION_ROWS), PARTITIONS_A_SHUFFLE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(out: list[tuple], at: int, head: str | None = None, tail: str | None = None) -> pa.RecordBatch:
