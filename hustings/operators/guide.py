@@ -176,11 +176,20 @@ def results_by_office(races: DataFrame, winners: DataFrame) -> DataFrame:
 
 def match_results(listed: DataFrame, feed: DataFrame) -> DataFrame:
     """The listed candidate of each feed row (race_id, position, first, middle, last): the best name score within race
-    and surname; a candidate is matched once, by the first row."""
-    pairs = feed.join(listed.select("race_id", "cand_id", F.col("first").alias("f2"), F.col("middle").alias("m2"), F.col("last").alias("last")), ["race_id", "last"])
+    and surname; a candidate is matched once, by the first row.
+
+    Scores depend on names only, so each different name of a race is compared once, with the first of the candidates who
+    share one, and rows look their name's result up: pairs grow with the different names of a surname, not with rows.
+    """
+    names = listed.groupBy("race_id", "last", F.col("first").alias("f2"), F.col("middle").alias("m2")).agg(F.min("cand_id").alias("cand_id"))
+    asked = feed.select("race_id", "last", "first", "middle").where("race_id is not null and last is not null").distinct()
+    pairs = asked.join(names, ["race_id", "last"])
     s = name_score(F.col("first"), F.col("middle"), F.col("last"), F.col("f2"), F.col("m2"), F.col("last"))
-    best = pairs.groupBy("race_id", "position").agg(F.max(F.struct(s.alias("s"), (-F.col("cand_id")).alias("c"))).alias("b")).select("race_id", "position", (-F.col("b.c")).alias("cand_id"))
-    once = best.groupBy("race_id", "cand_id").agg(F.min("position").alias("position"))
+    best = pairs.groupBy("race_id", "last", "first", "middle").agg(F.max(F.struct(s.alias("s"), (-F.col("cand_id")).alias("c"))).alias("b"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("first", "middle")]
+    rows = feed.alias("r").join(best.alias("n"), [F.col("r.race_id") == F.col("n.race_id"), F.col("r.last") == F.col("n.last"), *same]).select("r.race_id", "r.position", "n.b")
+    each = rows.groupBy("race_id", "position").agg(F.max("b").alias("b")).select("race_id", "position", (-F.col("b.c")).alias("cand_id"))
+    once = each.groupBy("race_id", "cand_id").agg(F.min("position").alias("position"))
     return feed.join(once, ["race_id", "position"], "left")
 
 
