@@ -89,12 +89,15 @@ def staged(names: DataFrame, members: DataFrame) -> DataFrame:
     """Resolve printed surnames (name_id, chamber, surname) in stages: current members of the chamber, departed ones,
     current members of the other chamber. The first stage with a hit decides: one is found, several are ambiguous.
     ``members``: member_key, surname, chamber, current."""
-    hits = names.join(members.withColumnRenamed("chamber", "__c"), "surname", "inner")
+    # Members of one surname, chamber and standing are one row, the least and largest of them: one member is both.
+    kept = members.groupBy("surname", F.col("chamber").alias("__c"), "current").agg(F.min("member_key").alias("m"), F.max("member_key").alias("most"))
     same = F.col("chamber") == F.col("__c")
     stage = F.when(same & F.col("current"), 1).when(same, 2).when(F.col("current"), 3)
-    by = hits.withColumn("stage", stage).where("stage is not null").groupBy("name_id", "stage").agg(F.count_distinct("member_key").alias("n"), F.min("member_key").alias("m"))
-    first = by.groupBy("name_id").agg(F.min(F.struct("stage", "n", "m")).alias("f"))
-    return names.join(first, "name_id", "left").select("name_id", F.when(F.col("f.n") == 1, F.col("f.m")).alias("member_key"), F.col("f.stage").alias("stage"), F.when(F.col("f").isNull(), "unknown").when(F.col("f.n") == 1, "found").otherwise("ambiguous").alias("status"))
+    hits = names.join(kept, "surname").withColumn("stage", stage).where("stage is not null")
+    by = hits.groupBy("name_id", "stage").agg(F.min("m").alias("m"), F.max("most").alias("most"))
+    first = by.groupBy("name_id").agg(F.min(F.struct("stage", "m", "most")).alias("f"))
+    one = F.col("f.m") == F.col("f.most")
+    return names.join(first, "name_id", "left").select("name_id", F.when(one, F.col("f.m")).alias("member_key"), F.col("f.stage").alias("stage"), F.when(F.col("f").isNull(), "unknown").when(one, "found").otherwise("ambiguous").alias("status"))
 
 
 def match_districts(census: DataFrame, labels: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:

@@ -18,3 +18,15 @@ def test_results_of_one_race_with_many_namesakes(spark):
     got = {r.position: r.cand_id for r in guide.match_results(listed, feed).where("cand_id is not null").collect()}
     assert time.time() - begun < 20
     assert got == {0: 3, 1: 0}
+
+
+def test_printed_surnames_with_many_members(spark):
+    k = F.col("id")
+    text = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    members = spark.range(40000).select(k.alias("member_key"), text(F.when(k < 2, k).otherwise(9)).alias("surname"), F.lit("A").alias("chamber"), (k % 2 == 0).alias("current"))
+    members = members.unionByName(members.where("member_key = 0"))
+    names = spark.range(40000).select(k.alias("name_id"), text(F.when(k < 3, k).otherwise(9)).alias("surname"), F.when(k < 40, "A").otherwise(F.lit("B")).alias("chamber"))
+    begun = time.time()
+    got = {r.name_id: (r.member_key, r.stage, r.status) for r in identity.staged(names, members).collect()}
+    assert time.time() - begun < 20
+    assert [got[i] for i in (0, 1, 2, 3, 50)] == [(0, 1, "found"), (1, 2, "found"), (None, None, "unknown"), (None, 1, "ambiguous"), (None, 3, "ambiguous")]
