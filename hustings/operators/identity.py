@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, is_at_large, name_words, norm_district, norm_name, slugify, surname
 
 
+def _range(officials: DataFrame, by: list[str]) -> DataFrame:
+    """The least and the largest official of each ``by``: one official is both."""
+    return officials.groupBy(*by).agg(F.min("official_key").alias("least"), F.max("official_key").alias("most"))
+
+
 def _only(pairs: DataFrame, by: list[str], tier: str) -> DataFrame:
-    """The one official of each ``by``; ``n`` tells how many there were."""
-    return pairs.groupBy(*by).agg(F.count_distinct("official_key").alias(f"n_{tier}"), F.min("official_key").alias(tier))
+    """The least official of each ``by``; ``n`` is 1 if there was no other, else 2."""
+    least, most = F.min("least"), F.max("most")
+    return pairs.groupBy(*by).agg(F.when(least == most, 1).when(least < most, 2).alias(f"n_{tier}"), least.alias(tier))
 
 
 def first_and_rest(name: Column) -> tuple[Column, Column]:
@@ -30,17 +36,19 @@ def match_officials(candidates: DataFrame, officials: DataFrame) -> DataFrame:
     Tiers: the same biographical id; an incumbent's seat and surname if one official has both (the first such seat);
     state and full name if one official has them (several end the search); state, surname, other names and a first
     name of three letters or more that starts the other's, if one official fits.
+
+    Officials who agree in a tier's keys are one row, so a candidate meets first names, never all officials of a name.
     """
     c = candidates.withColumns({"n_name": norm_name(F.col("name")), "n_last": surname(F.col("name"))})
     o = officials.withColumns({"n_name": norm_name(F.col("name")), "n_last": surname(F.col("name"))})
     by_id = c.where("bioguide is not null").join(o.where("bioguide is not null").groupBy("bioguide").agg(F.max("official_key").alias("official_key")), "bioguide").select("cand_key", F.col("official_key").alias("by_id"))
     seats = c.where("incumbent").select("cand_key", "n_last", F.posexplode("seats").alias("at", "seat"))
     held = o.select("official_key", "n_last", F.explode("seats").alias("seat"))
-    seat = _only(seats.join(held, ["seat", "n_last"]), ["cand_key", "at"], "by_seat").where("n_by_seat = 1").groupBy("cand_key").agg(F.min_by("by_seat", "at").alias("by_seat"))
-    name = _only(c.select("cand_key", "state", "n_name").join(o.select("official_key", "state", "n_name"), ["state", "n_name"]), ["cand_key"], "by_name")
+    seat = _only(seats.join(_range(held, ["seat", "n_last"]), ["seat", "n_last"]), ["cand_key", "at"], "by_seat").where("n_by_seat = 1").groupBy("cand_key").agg(F.min_by("by_seat", "at").alias("by_seat"))
+    name = _only(c.select("cand_key", "state", "n_name").join(_range(o, ["state", "n_name"]), ["state", "n_name"]), ["cand_key"], "by_name")
     cf, cr = first_and_rest(F.col("name"))
-    short = lambda df, key, p: df.select(key, "state", "n_last", cf.alias(f"{p}_first"), cr.alias(f"{p}_rest"))
-    near = short(c, "cand_key", "c").join(short(o, "official_key", "o"), ["state", "n_last"]).where("c_rest = o_rest")
+    short = lambda df, key, first: df.select(key, "state", "n_last", cr.alias("rest"), cf.alias(first))
+    near = short(c, "cand_key", "c_first").join(_range(short(o, "official_key", "o_first"), ["state", "n_last", "rest", "o_first"]), ["state", "n_last", "rest"])
     less, more = F.when(F.length("o_first") < F.length("c_first"), F.col("o_first")).otherwise(F.col("c_first")), F.when(F.length("o_first") < F.length("c_first"), F.col("c_first")).otherwise(F.col("o_first"))
     nick = _only(near.where((F.length(less) >= 3) & F.startswith(more, less)), ["cand_key"], "by_short")
     out = candidates.select("cand_key")

@@ -30,3 +30,14 @@ def test_printed_surnames_with_many_members(spark):
     got = {r.name_id: (r.member_key, r.stage, r.status) for r in identity.staged(names, members).collect()}
     assert time.time() - begun < 20
     assert [got[i] for i in (0, 1, 2, 3, 50)] == [(0, 1, "found"), (1, 2, "found"), (None, None, "unknown"), (None, 1, "ambiguous"), (None, 3, "ambiguous")]
+
+
+def test_candidates_and_officials_of_one_name(spark):
+    k = F.col("id")
+    officials = spark.range(40000).select(k.alias("official_key"), F.when(k == 7, "Alexander Roe").otherwise(F.lit("Ann Lee")).alias("name"), F.lit("ny").alias("state"), F.lit(None).cast("string").alias("bioguide"), F.array(F.lit("s1")).alias("seats"))
+    officials = officials.unionByName(officials.where("official_key = 7"))
+    candidates = spark.range(40000).select(k.alias("cand_key"), F.when(k == 1, "Alexander Roe").when(k == 2, "Alex Roe").otherwise(F.lit("Ann Lee")).alias("name"), F.lit("ny").alias("state"), F.lit(None).cast("string").alias("bioguide"), (k % 2 == 0).alias("incumbent"), F.array(F.lit("s1")).alias("seats"))
+    begun = time.time()
+    got = {r.cand_key: (r.official_key, r.tier) for r in identity.match_officials(candidates, officials).collect()}
+    assert time.time() - begun < 25
+    assert [got[i] for i in (1, 2, 3, 4)] == [(7, "name"), (7, "seat"), (None, "ambiguous"), (None, "ambiguous")]
