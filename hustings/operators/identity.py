@@ -61,7 +61,9 @@ def match_officials(candidates: DataFrame, officials: DataFrame) -> DataFrame:
 
 def one_per_race(matches: DataFrame, races: DataFrame) -> DataFrame:
     """Two candidates of a race are two people: of those that match one official the first by key keeps the match."""
-    w = W.partitionBy("official_key", "race_id").orderBy("cand_key")
+    # Candidates without an official or a race keep what they have, so they are dealt out by their own keys.
+    alone = F.when(F.col("official_key").isNull() | F.col("race_id").isNull(), F.col("cand_key"))
+    w = W.partitionBy("official_key", "race_id", alone).orderBy("cand_key")
     ranked = matches.join(races, "cand_key", "left").withColumn("__r", F.row_number().over(w))
     return ranked.withColumn("official_key", F.when((F.col("__r") == 1) | F.col("race_id").isNull(), F.col("official_key"))).drop("__r")
 

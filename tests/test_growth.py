@@ -41,3 +41,17 @@ def test_candidates_and_officials_of_one_name(spark):
     got = {r.cand_key: (r.official_key, r.tier) for r in identity.match_officials(candidates, officials).collect()}
     assert time.time() - begun < 25
     assert [got[i] for i in (1, 2, 3, 4)] == [(7, "name"), (7, "seat"), (None, "ambiguous"), (None, "ambiguous")]
+
+
+def test_unmatched_candidates_are_dealt_out(spark):
+    k = F.col("id")
+    matches = spark.range(4000).select(k.alias("cand_key"), F.when(k < 4, k % 2).alias("official_key"), F.lit("none").alias("tier"))
+    races = spark.range(4000).select(k.alias("cand_key"), F.when(k % 100 != 0, 1).alias("race_id"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = identity.one_per_race(matches, races).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {r.cand_key: r.official_key for r in got if r.cand_key < 5} == {0: 0, 1: 1, 2: 0, 3: None, 4: None}
+    assert len({r.at for r in got}) == 4
