@@ -297,22 +297,29 @@ def resolve_names(names: DataFrame, members: DataFrame) -> DataFrame:
     words = F.filter(F.split(key("family"), " +"), lambda w: w != "")
     surnames = F.array_distinct(F.array(F.array_join(words, ""), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))))
     known = members.select("member_key", F.col("party").alias("of_party"), F.col("chamber").alias("of"), F.regexp_replace(key("given"), " .*", "").alias("known"), F.explode(surnames).alias("surname")).where("surname <> ''")
-    asked = names.select("name_id", "chamber", "party", printed_parts(F.col("printed")).alias("p")).select("name_id", "chamber", "party", "p.*").distinct()
-    met = asked.join(known, "surname")
+    # Members alike in all that a name is held against are one row, the least and largest of them; so are names.
+    known = known.groupBy("surname", "known", "of", "of_party").agg(F.min("member_key").alias("m"), F.max("member_key").alias("most"))
+    as_said = ["chamber", "party", "surname", "given", "initial"]
+    asked = names.select("name_id", "chamber", "party", printed_parts(F.col("printed")).alias("p")).select("name_id", "chamber", "party", "p.*").where("surname is not null")
+    met = asked.select(*as_said).distinct().join(known, "surname")
     start = F.startswith("known", F.col("given")) | F.startswith("given", F.col("known"))
     given = (F.length("known") > 0) & (start | (formal_name(F.col("given")) == formal_name(F.col("known"))))
     by_initial = (F.col("initial") == F.substring("known", 1, 1)) | (F.col("initial") == F.substring(formal_name(F.col("known")), 1, 1))
     fits = F.when(F.col("given").isNotNull(), given).when(F.col("initial").isNotNull(), by_initial).otherwise(F.lit(True))
     stage = F.when(F.col("of") == F.col("chamber"), 1).when(F.col("of").isNull(), 2).otherwise(3)
     of_party = F.coalesce(F.col("party") == F.col("of_party"), F.col("of_party").isNull() & F.col("party").isNotNull())
-    hits = met.select("name_id", stage.alias("stage"), F.coalesce(fits, F.lit(False)).alias("fits"), F.col("given").isNotNull().alias("full"), "member_key", of_party.alias("of_party")).where("fits or (full and stage = 1)")
-    one = hits.groupBy("name_id", "fits", "stage", "member_key").agg(F.max("of_party").alias("of_party"))
-    mine = F.when(F.col("of_party"), F.col("member_key"))
-    tiers = one.groupBy("name_id", "fits", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("member_key").alias("m"), F.count(mine).alias("own"), F.min(mine).alias("own_m"))
-    pick = F.struct((~F.col("fits")).alias("late"), "stage", "n", "m", "own", "own_m")
+    mine = lambda c: F.when(of_party, F.col(c))
+    hits = met.select(*as_said, stage.alias("stage"), F.coalesce(fits, F.lit(False)).alias("fits"), F.col("given").isNotNull().alias("full"), "m", "most", mine("m").alias("own_m"), mine("most").alias("own_most")).where("fits or (full and stage = 1)")
+    ends = [F.min("m").alias("m"), F.max("most").alias("most"), F.min("own_m").alias("own_m"), F.max("own_most").alias("own_most")]
+    said = hits.groupBy(*as_said, "fits", "stage").agg(*ends)
+    alike = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in as_said if c != "surname"]
+    each = asked.alias("a").join(said.alias("s"), [F.col("a.surname") == F.col("s.surname"), *alike]).select("a.name_id", "s.fits", "s.stage", "s.m", "s.most", "s.own_m", "s.own_most")
+    tiers = each.groupBy("name_id", "fits", "stage").agg(*ends)
+    pick = F.struct((~F.col("fits")).alias("late"), "stage", "m", "most", "own_m", "own_most")
     first = tiers.groupBy("name_id").agg(F.min(pick).alias("f"))
-    member = F.when(F.col("f.n") == 1, F.col("f.m")).when(~F.col("f.late") & (F.col("f.own") == 1), F.col("f.own_m"))
-    gone = F.col("f").isNull() | (F.col("f.late") & (F.col("f.n") > 1))
+    one, own = F.col("f.m") == F.col("f.most"), F.col("f.own_m") == F.col("f.own_most")
+    member = F.when(one, F.col("f.m")).when(~F.col("f.late") & own, F.col("f.own_m"))
+    gone = F.col("f").isNull() | (F.col("f.late") & ~one)
     return names.select("name_id").join(first, "name_id", "left").select("name_id", member.alias("member_key"), F.when(~gone, F.col("f.stage")).alias("stage"), F.when(gone, "unknown").when(member.isNotNull(), "found").otherwise("ambiguous").alias("status"))
 
 

@@ -55,3 +55,14 @@ def test_unmatched_candidates_are_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert {r.cand_key: r.official_key for r in got if r.cand_key < 5} == {0: 0, 1: 1, 2: 0, 3: None, 4: None}
     assert len({r.at for r in got}) == 4
+
+
+def test_printed_names_with_many_namesakes(spark):
+    k = F.col("id")
+    members = spark.range(40000).select(k.alias("member_key"), F.when(k == 5, "Zoe").otherwise(F.lit("Ann")).alias("given"), F.lit("Lee").alias("family"), F.when(k == 6, "D").otherwise(F.lit("R")).alias("party"), F.lit("A").alias("chamber"))
+    members = members.unionByName(members.where("member_key in (5, 6)"))
+    names = spark.range(40000).select(k.alias("name_id"), F.lit("A").alias("chamber"), F.when(k == 1, "Zoe Lee").when(k == 2, "Bo Lee").otherwise(F.lit("Ann Lee")).alias("printed"), F.when(k == 3, "D").otherwise(F.lit("R")).alias("party"))
+    begun = time.time()
+    got = {r.name_id: (r.member_key, r.stage, r.status) for r in identity.resolve_names(names, members).collect()}
+    assert time.time() - begun < 25
+    assert [got[i] for i in (1, 2, 3, 4)] == [(5, 1, "found"), (None, None, "unknown"), (6, 1, "found"), (None, 1, "ambiguous")]
