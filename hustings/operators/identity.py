@@ -141,8 +141,16 @@ def seat_coverage(census: DataFrame, roster: DataFrame, key: str) -> DataFrame:
 
 
 def set_differences(expected: DataFrame, got: DataFrame, key: list[str]) -> DataFrame:
-    missing = expected.select(*key).distinct().join(got, key, "left_anti").withColumn("status", F.lit("missing"))
-    return missing.unionByName(got.select(*key).distinct().join(expected, key, "left_anti").withColumn("status", F.lit("extra")))
+    """key and status: keys that are only expected are missing, keys that are only got are extra; a key with a null equals no
+    other. Both sides are marked and counted by key in one shuffle, repeats before it, so no side is held whole."""
+    side = lambda df, here: df.select(*key, F.lit(here).alias("__e"), F.lit(not here).alias("__g"))
+    both = side(expected, True).unionByName(side(got, False)).groupBy(*key).agg(F.max("__e").alias("__e"), F.max("__g").alias("__g"))
+    alone = F.lit(False)
+    for k in key:
+        alone = alone | F.col(k).isNull()
+    missing = F.when(F.col("__e") & (~F.col("__g") | alone), "missing")
+    extra = F.when(F.col("__g") & (~F.col("__e") | alone), "extra")
+    return both.select(*key, F.explode(F.array_compact(F.array(missing, extra))).alias("status"))
 
 
 def segment_names(text: Column, known: Column, longest: int = 4) -> Column:

@@ -66,3 +66,11 @@ def test_printed_names_with_many_namesakes(spark):
     got = {r.name_id: (r.member_key, r.stage, r.status) for r in identity.resolve_names(names, members).collect()}
     assert time.time() - begun < 25
     assert [got[i] for i in (1, 2, 3, 4)] == [(5, 1, "found"), (None, None, "unknown"), (6, 1, "found"), (None, 1, "ambiguous")]
+
+
+def test_differences_of_keys_that_repeat(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (None, "x")], "k long, l string")
+    b = spark.createDataFrame([(2, "x"), (3, "x"), (3, "x"), (None, "x")], "k long, l string")
+    found = identity.set_differences(a, b, ["k", "l"])
+    assert sorted(((r.k or 0), r.l, r.status) for r in found.collect()) == [(0, "x", "extra"), (0, "x", "missing"), (1, "x", "missing"), (3, "x", "extra")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
