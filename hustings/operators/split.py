@@ -62,11 +62,18 @@ def broke_with_party(votes: DataFrame, keys: list[str] | tuple[str, ...] = ("rol
 
 
 def roll_tally(votes: DataFrame, keys: list[str] | tuple[str, ...] = ("roll_id",)) -> DataFrame:
-    """D, R, other and total rows with the count of each choice."""
-    bucket = F.when(F.col("party").isin("D", "R"), F.col("party")).otherwise("other")
-    counts = [_count(F.col("choice") == c).alias(f"n_{c}") for c in ("yes", "no", "present", "absent")]
-    sets = [[*map(F.col, keys), F.col("bucket")], [*map(F.col, keys)]]
-    return votes.withColumn("bucket", bucket).groupingSets(sets, *keys, "bucket").agg(*counts).withColumn("bucket", F.coalesce("bucket", F.lit("total")))
+    """D, R, other and total rows with the count of each choice.
+
+    Positions are dealt by roll call before they are counted, and each roll call is one row of counters until its rows
+    are written: a task holds its roll calls, not its positions, and none is counted twice.
+    """
+    p = F.col("party")
+    parts = {"D": F.coalesce(p == "D", F.lit(False)), "R": F.coalesce(p == "R", F.lit(False)), "other": ~F.coalesce(p.isin("D", "R"), F.lit(False)), "total": F.lit(True)}
+    choices = ("yes", "no", "present", "absent")
+    counts = [c for b, t in parts.items() for c in (_count(t).alias(f"{b}_all"), *[_count(t & (F.col("choice") == c)).alias(f"{b}_{c}") for c in choices])]
+    wide = votes.select(*keys, "party", "choice").repartition(*keys).groupBy(*keys).agg(*counts)
+    row = lambda b: F.when(F.col(f"{b}_all") > 0, F.struct(F.lit(b).alias("bucket"), *[F.col(f"{b}_{c}").alias(f"n_{c}") for c in choices]))
+    return wide.select(*keys, F.inline(F.array_compact(F.array(*map(row, parts)))))
 
 
 def caucus_tally(votes: DataFrame, caucus: dict[str, str], keys: list[str] | tuple[str, ...] = ("roll_id",)) -> DataFrame:

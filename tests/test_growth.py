@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from hustings.operators import guide, identity
+from hustings.operators import guide, identity, split
 
 
 def test_results_of_one_race_with_many_namesakes(spark):
@@ -74,3 +74,11 @@ def test_differences_of_keys_that_repeat(spark):
     found = identity.set_differences(a, b, ["k", "l"])
     assert sorted(((r.k or 0), r.l, r.status) for r in found.collect()) == [(0, "x", "extra"), (0, "x", "missing"), (1, "x", "missing"), (3, "x", "extra")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tally_counts_each_position_once(spark):
+    rows = [(1, "D", "yes"), (1, "D", None), (1, None, "no"), (1, "I", "present"), (2, "R", "absent")]
+    found = split.roll_tally(spark.createDataFrame(rows, "roll_id long, party string, choice string"))
+    want = {(1, "D", 1, 0, 0, 0), (1, "other", 0, 1, 1, 0), (1, "total", 1, 1, 1, 0), (2, "R", 0, 0, 0, 1), (2, "total", 0, 0, 0, 1)}
+    assert {tuple(r[c] for c in ("roll_id", "bucket", "n_yes", "n_no", "n_present", "n_absent")) for r in found.collect()} == want
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
