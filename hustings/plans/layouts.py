@@ -60,8 +60,7 @@ def house_files(spark: SparkSession, d: str) -> DataFrame:
         "</vote-type><vote-result>Passed</vote-result><action-date>24-Jun-2026</action-date><vote-desc>To amend &lt;all&gt;</vote-desc><vote-totals><totals-by-party><party>R</party><yea-total>7</yea-total><nay-total>7</nay-total></totals-by-party><totals-by-vote><yea-total>",
         (k % 400).cast("string"), "</yea-total><nay-total>0</nay-total></totals-by-vote></vote-totals></vote-metadata><vote-data>",
     )
-    rolls, votes = markup.us_house(_files(spark, d, line, head, "</vote-data></rollcall-vote>"))
-    return votes.join(rolls.select("roll_id", "bill", "printed_yes"), "roll_id")
+    return markup.us_house_lines(_files(spark, d, line, head, "</vote-data></rollcall-vote>")).select("roll_id", "name", "raw", "bill", "printed_yes")
 
 
 @query(f"WITH {V} SELECT roll_id, 'S. ' || roll_id AS bill, DATE '2026-06-01' + CAST(roll_id % 28 AS INTEGER) AS roll_date, roll_id % 100 AS printed_yes, 'S' || member_key AS name, {WORDS} AS raw FROM ballots WHERE roll_id % 7 > 0")
@@ -71,8 +70,7 @@ def senate_files(spark: SparkSession, d: str) -> DataFrame:
     line = _t("<member><member_full>A (R-NY)</member_full><vote_cast>", _raw(), "</vote_cast><lis_member_id>S", F.col("member_key").cast("string"), "</lis_member_id></member>")
     day = F.when(k % 7 > 0, _t("June ", (k % 28 + 1).cast("string"), ", 2026, 05:31 PM")).otherwise(F.lit("24-Jun"))
     head = _t("<roll_call_vote><vote_number>", k.cast("string"), "</vote_number><vote_date>", day, "</vote_date><vote_question_text>On the Bill</vote_question_text><document><document_name>S. ", k.cast("string"), "</document_name></document><vote_result>Passed</vote_result><count><yeas>", (k % 100).cast("string"), "</yeas><nays>0</nays></count><members>")
-    rolls, votes = markup.us_senate(_files(spark, d, line, head, "</members></roll_call_vote>"))
-    return votes.join(rolls.select("roll_id", "bill", "roll_date", "printed_yes"), "roll_id")
+    return markup.us_senate_lines(_files(spark, d, line, head, "</members></roll_call_vote>")).select("roll_id", "name", "raw", "bill", "roll_date", "printed_yes")
 
 
 @query(
