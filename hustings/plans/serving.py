@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import serving as V
+from ..session import settled
 from ..sources import connectors
 from ..sources import driver_tables as T
 from . import query
@@ -209,29 +210,24 @@ def connector_formats(spark: SparkSession, d: str) -> DataFrame:
     dozen prints a wrong tally."""
     b = T.ballots(spark, d)
     roster = T.members(spark, d).select(F.concat(F.lit("Lee & Fox, "), F.col("member_key").cast("string")).alias("name"), "member_key")
-    named = b.join(roster, "member_key")
+    of = F.col("roll_id") % 12
+    by_source = lambda values: F.get(F.array(*map(F.lit, values)), of.cast("int"))
+    says = [{c: w for w, c in reversed(connectors.SOURCES[s].codes.items()) if w} for s in FORMATS]
+    word = F.when(F.col("choice") == "yes", by_source([x["yes"] for x in says])).when(F.col("choice") == "no", by_source([x["no"] for x in says])).otherwise(by_source([x.get("absent", "no position") for x in says]))
+    named = b.join(roster, "member_key").select("roll_id", F.col("name").alias("n"), word.alias("w"), by_source([connectors.SOURCES[s].kind for s in FORMATS]).alias("kind"))
+    safe, is_ = F.replace("n", F.lit("&"), F.lit("&amp;")), lambda k: F.col("kind") == k
+    line = F.when(is_("JSON"), F.to_json(F.struct(F.col("n").alias("name"), F.col("w").alias("vote")))).when(is_("CSV"), F.concat(F.lit('"'), "n", F.lit('",'), "w"))
+    line = line.when(is_("XML"), F.concat(F.lit("<member><name>"), safe, F.lit("</name><vote>"), "w", F.lit("</vote></member>"))).otherwise(F.concat(F.lit("<tr><td>"), safe, F.lit("</td><td><b>"), "w", F.lit("</b></td></tr>")))
+    lines = named.groupBy("roll_id", "kind").agg(F.collect_list(line).alias("lines"))
+    frame = {"JSON": ("[", ",", "]"), "CSV": ("name,vote\r\n", "\r\n", "\r\n"), "XML": ("<roll>", "", "</roll>"), "HTML": ("<table>", "\n", "</table>")}
+    body = F.coalesce(*[F.when(is_(k), F.concat(F.lit(start), F.array_join("lines", between), F.lit(end))) for k, (start, between, end) in frame.items()])
+    source = by_source(FORMATS).alias("source")
+    printed = settled(connectors.printed_positions(lines.select(source, "roll_id", "kind", body.alias("body")), F.col("kind"), keys=("source", "roll_id")))
     count = lambda c: F.count(F.when(F.col("choice") == c, 1))
-    tally = b.groupBy("roll_id").agg((count("yes") + F.when(F.col("roll_id") % 24 < 12, 1).otherwise(0)).alias("printed_yes"), count("no").alias("printed_no"))
-    out = None
-    for i, source in enumerate(FORMATS):
-        s = connectors.SOURCES[source]
-        say = {c: w for w, c in reversed(s.codes.items()) if w}
-        word = F.when(F.col("choice") == "yes", say["yes"]).when(F.col("choice") == "no", say["no"]).otherwise(say.get("absent", "no position"))
-        mine = named.where(F.col("roll_id") % 12 == i).select("roll_id", F.col("name").alias("n"), word.alias("w"))
-        safe = F.replace("n", F.lit("&"), F.lit("&amp;"))
-        line = {
-            "JSON": F.to_json(F.struct(F.col("n").alias("name"), F.col("w").alias("vote"))),
-            "CSV": F.concat(F.lit('"'), "n", F.lit('",'), "w"),
-            "XML": F.concat(F.lit("<member><name>"), safe, F.lit("</name><vote>"), "w", F.lit("</vote></member>")),
-            "HTML": F.concat(F.lit("<tr><td>"), safe, F.lit("</td><td><b>"), "w", F.lit("</b></td></tr>")),
-        }[s.kind]
-        start, between, end = {"JSON": ("[", ",", "]"), "CSV": ("name,vote\r\n", "\r\n", "\r\n"), "XML": ("<roll>", "", "</roll>"), "HTML": ("<table>", "\n", "</table>")}[s.kind]
-        bodies = mine.groupBy("roll_id").agg(F.concat(F.lit(start), F.array_join(F.collect_list(line), between), F.lit(end)).alias("body"))
-        rolls, votes = connectors.ingest(tally.where(F.col("roll_id") % 12 == i), connectors.printed_positions(bodies, s.kind), roster, source)
-        counts = votes.groupBy("roll_id").agg(count("yes").alias("yes"), count("no").alias("no"), count("absent").alias("absent"))
-        got = rolls.select("roll_id", "agrees").join(counts, "roll_id").select(F.lit(source).alias("source"), "roll_id", "yes", "no", "absent", "agrees")
-        out = got if out is None else out.unionByName(got)
-    return out
+    tally = b.groupBy("roll_id").agg((count("yes") + F.when(F.col("roll_id") % 24 < 12, 1).otherwise(0)).alias("printed_yes"), count("no").alias("printed_no")).select(source, "*")
+    rolls, votes = connectors.ingest_all(tally, printed, roster.crossJoin(F.broadcast(spark.range(1).select(F.explode(F.array(*map(F.lit, FORMATS))).alias("source")))))
+    counts = votes.groupBy("source", "roll_id").agg(count("yes").alias("yes"), count("no").alias("no"), count("absent").alias("absent"))
+    return rolls.select("source", "roll_id", "agrees").join(counts, ["source", "roll_id"]).select("source", "roll_id", "yes", "no", "absent", "agrees")
 
 
 @query(

@@ -143,13 +143,26 @@ def ingest_all(rolls: DataFrame, printed: DataFrame, roster: DataFrame) -> tuple
     return kept, votes.join(roster.select("source", "name", "member_key"), ["source", "name"], "left").select("source", "roll_id", "member_key", "choice")
 
 
-def printed_positions(bodies: DataFrame, kind: str, name: str = "name", vote: str = "vote", row: str = "member") -> DataFrame:
-    """roll_id, name, raw of the positions in official files (roll_id, body), by kind.
+def printed_positions(bodies: DataFrame, kind: str | Column, name: str = "name", vote: str = "vote", row: str = "member", keys: tuple[str, ...] = ("roll_id",)) -> DataFrame:
+    """``keys``, name, raw of the positions in official files (keys, body), by kind; a column tells each file's own kind, so
+    files of all kinds are read in one pass.
 
     JSON: an array of objects, or one below ``row``; CSV: a header, then a line a member; XML: elements ``row`` with
     elements ``name`` and ``vote``; HTML: table rows of two cells. One row a position leaves the parser, so a large file
     is read by one task but never grows into one.
     """
+    if isinstance(kind, str):
+        found = _found(kind, name, vote, row)
+    else:
+        found = F.when(kind == "JSON", _found("JSON", name, vote, row))
+        for k in ("CSV", "HTML"):
+            found = found.when(kind == k, _found(k, name, vote, row))
+        found = found.otherwise(_found("XML", name, vote, row))
+    return bodies.select(*keys, F.explode(found).alias("p")).select(*keys, F.trim("p.name").alias("name"), F.trim("p.raw").alias("raw"))
+
+
+def _found(kind: str, name: str, vote: str, row: str) -> Column:
+    """The positions of a body as an array of name and raw."""
     if kind == "JSON":
         each = F.from_json("body", f"array<struct<`{name}`: string, `{vote}`: string>>")
         found = F.transform(each, lambda x: F.struct(x[name].alias("name"), x[vote].alias("raw")))
@@ -169,7 +182,7 @@ def printed_positions(bodies: DataFrame, kind: str, name: str = "name", vote: st
             field = lambda x, f: F.regexp_extract(x, rf"(?is)<{f}(?:\s[^>]*)?>(.*?)</{f}>", 1)
             found = F.transform(blocks, lambda x: F.struct(field(x, name).alias("name"), field(x, vote).alias("raw")))
         found = F.transform(found, lambda p: F.struct(plain_text(p["name"]).alias("name"), plain_text(p["raw"]).alias("raw")))
-    return bodies.select("roll_id", F.explode(found).alias("p")).select("roll_id", F.trim("p.name").alias("name"), F.trim("p.raw").alias("raw"))
+    return found
 
 
 def plain_text(markup: Column) -> Column:

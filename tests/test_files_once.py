@@ -13,3 +13,8 @@ SF = "/root/testdata/sf0.001"
 def test_files_are_parsed_once(spark, name):
     plan = load()[0][name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml(") == 1
+
+
+def test_positions_of_all_formats_are_made_once(spark):
+    plan = load()[0]["connector_formats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 2
