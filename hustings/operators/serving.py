@@ -99,11 +99,19 @@ def next_election(seats: DataFrame, incumbents: DataFrame, slates: DataFrame, de
 
 def incumbent_members(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """cand_key, member_key: the same biographical id, or an incumbent without one of the member's seat and surname.
-    Two equi-joins in place of one with an or."""
-    by_id = candidates.where("bioguide is not null").join(members.where("bioguide is not null").select("member_key", "bioguide"), "bioguide")
-    last = candidates.where("incumbent and bioguide is null").withColumn("__l", surname(F.col("name")))
-    by_name = last.join(members.select("member_key", "seat", surname(F.col("name")).alias("__l")), ["seat", "__l"])
-    return by_id.select("cand_key", "member_key").unionByName(by_name.select("cand_key", "member_key")).distinct()
+    One equi-join in place of one with an or.
+
+    Pairs can repeat only for candidates with several keys, so both sides drop repeats before they meet and only those
+    candidates' pairs are compared after it; all other pairs are written as they are found, without a shuffle.
+    """
+    last = surname(F.col("name"))
+    by_id = lambda df, k: df.where("bioguide is not null").select(k, F.lit("id").alias("by"), F.col("bioguide").alias("a"), F.lit("").alias("b"))
+    by_seat = lambda df, k: df.where("seat is not null").select(k, F.lit("seat").alias("by"), F.col("seat").alias("a"), last.alias("b"))
+    asked = by_id(candidates, "cand_key").unionByName(by_seat(candidates.where("incumbent and bioguide is null"), "cand_key")).distinct()
+    known = by_id(members, "member_key").unionByName(by_seat(members, "member_key")).distinct()
+    counted = asked.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("cand_key")))
+    pairs = lambda rows: rows.join(known, ["by", "a", "b"]).select("cand_key", "member_key")
+    return pairs(counted.where("n = 1")).unionByName(pairs(counted.where("n > 1")).distinct())
 
 
 def best_by(left: DataFrame, right: DataFrame, on: list[str], key: str, value: str, size: str) -> DataFrame:
