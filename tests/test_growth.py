@@ -82,3 +82,19 @@ def test_tally_counts_each_position_once(spark):
     want = {(1, "D", 1, 0, 0, 0), (1, "other", 0, 1, 1, 0), (1, "total", 1, 1, 1, 0), (2, "R", 0, 0, 0, 1), (2, "total", 0, 0, 0, 1)}
     assert {tuple(r[c] for c in ("roll_id", "bucket", "n_yes", "n_no", "n_present", "n_absent")) for r in found.collect()} == want
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statewide_races_of_one_state_are_dealt_out(spark):
+    k = F.col("id")
+    addresses = spark.range(300).select(k.alias("address_id"), F.substring(F.concat(F.lit("NY"), k.cast("string")), 1, 2).alias("state"), F.lit("3").alias("cd"), F.lit(None).cast("string").alias("sd"), F.lit(None).cast("string").alias("ad"), (k == 5).alias("in_city"))
+    races = spark.range(400).select(F.when(k == 0, "nyc-prop-1").otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("race_id"), F.substring(F.concat(F.lit("ny"), k.cast("string")), 1, 2).alias("state"), F.when(k == 0, "ballot-measure").otherwise(F.lit("governor")).alias("office"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = guide.races_for(addresses, races).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert len(got) == len({(r.address_id, r.race_id) for r in got}) == 300 * 399 + 1
+    assert len({r.at for r in got}) > 1
