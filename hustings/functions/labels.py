@@ -103,33 +103,45 @@ def federal_subject(display: Column) -> Column:
 SHORT_FORMS = ["fy", "mn", "lu", "nyc"]
 
 
+def _made_once(value: Column, use) -> Column:
+    """``use(value)``, for which ``value`` is made once however often it is named there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+
+
 def unshout(text: Column) -> Column:
     """White space collapsed; a text of more than 20 letters, over four fifths of them capitals, in sentence case."""
-    t = F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
-    letters, capitals = (F.length(F.regexp_replace(t, p, "")) for p in ("[^a-zA-Z]+", "[^A-Z]+"))
-    folded = F.regexp_replace(F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, F.lit(2), F.length(t)))), r"\bnew york\b", "New York")
-    for s in SHORT_FORMS:
-        folded = F.regexp_replace(folded, rf"\b{s}\b", s.upper())
-    return F.when((letters > 20) & (5 * capitals > 4 * letters), folded).otherwise(t)
+
+    def of(t):
+        letters, capitals = (F.length(F.regexp_replace(t, p, "")) for p in ("[^a-zA-Z]+", "[^A-Z]+"))
+        folded = F.regexp_replace(F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, F.lit(2), F.length(t)))), r"\bnew york\b", "New York")
+        for s in SHORT_FORMS:
+            folded = F.regexp_replace(folded, rf"\b{s}\b", s.upper())
+        shouted = _made_once(letters, lambda n: (n > 20) & (5 * capitals > 4 * n))
+        return F.when(shouted, folded).otherwise(t)
+
+    return _made_once(_spaced(text), of)
 
 
 def card_title(text: Column, most: int = 120) -> Column:
     """The unshouted text; beyond ``most`` characters cut before its last word, with an ellipsis."""
-    t = unshout(text)
-    return F.when(F.length(t) > most, F.concat(F.regexp_replace(F.substring(t, 1, most), "[,;: ]+[^ ]*$", ""), F.lit("…"))).otherwise(t)
+    cut = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, most), "[,;: ]+[^ ]*$", ""), F.lit("…"))
+    return _made_once(unshout(text), lambda t: F.when(F.length(t) > most, cut(t)).otherwise(t))
 
 
 def _first_sentence(t: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)^(.*?[.!?])( |$)", 1), F.lit("")), t)
+    return _made_once(F.regexp_extract(t, r"(?s)^(.*?[.!?])( |$)", 1), lambda f: F.when(f != "", f).otherwise(t))
 
 
 def summary_sentence(summary: Column, title: Column, most: int = 240) -> Column:
     """The first sentence of a summary, or of the title where that is missing or its first sentence passes ``most``
     characters; unshouted, with a full stop. A null title counts as empty."""
-    clean = F.trim(F.regexp_replace(F.coalesce(summary, F.lit("")), r"[ \t\r\n\f]+", " "))
-    source = F.when((clean == "") | (F.length(_first_sentence(clean)) > most), F.coalesce(title, F.lit(""))).otherwise(clean)
-    first = _first_sentence(unshout(source))
-    return F.when(first.rlike("[.!?]$"), first).otherwise(F.concat(first, F.lit(".")))
+    source = lambda clean: F.when((clean == "") | (F.length(_first_sentence(clean)) > most), F.coalesce(title, F.lit(""))).otherwise(clean)
+    first = _made_once(unshout(_made_once(_spaced(F.coalesce(summary, F.lit(""))), source)), _first_sentence)
+    return _made_once(first, lambda f: F.when(f.rlike("[.!?]$"), f).otherwise(F.concat(f, F.lit("."))))
 
 
 # Words of a committee's name that stay in capitals, and those in lower case within it.

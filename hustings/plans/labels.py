@@ -131,7 +131,8 @@ def agenda_titles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     plain = F.coalesce("text", F.lit(""))
     t = F.when(k % 2 == 0, F.upper(F.regexp_replace(plain, "[^a-zA-Z.!? ]", " "))).otherwise(plain)
-    return T.read(spark, d, "documents").select(k, L.card_title(t).alias("card"), L.summary_sentence(t, text("Title ", k)).alias("sentence"))
+    rows = T.read(spark, d, "documents").select(k, t.alias("t"))
+    return rows.select(k, L.card_title(F.col("t")).alias("card"), L.summary_sentence(F.col("t"), text("Title ", k)).alias("sentence"))
 
 
 @query(

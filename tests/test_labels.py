@@ -78,3 +78,16 @@ def test_said_vs_did(spark):
     got = {(r.cand_id, r.issue): (r.comparable, r.same) for r in guide.said_vs_did(said, votes).collect()}
     assert got == {(1, "tax"): (4, 3), (1, "war"): (2, 1), (1, "law"): (0, 0), (1, None): (0, 0), (2, "tax"): (0, 0)}
     assert guide.said_vs_did(said.limit(0), votes).collect() == [] and guide.said_vs_did(said, votes.limit(0)).count() == 5
+
+
+def test_titles_are_made_once(spark):
+    """Each step over a text is in the plan once, not once for each use of its result."""
+    from hustings.plans import load
+
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = load()[0]["agenda_titles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert plan.count("regexp_replace(") < 30
