@@ -29,7 +29,8 @@ def _of(values: list[str], at):
 
 def race_files(spark: SparkSession, d: str) -> DataFrame:
     """A nested race for each order; a race has at most seven candidates, as an order has lines."""
-    line = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # Lines are dealt by order as keys; candidates are made after it in a projection, as an aggregate makes its arguments without code.
+    line = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
     p, s, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("long")
     cite = F.array(F.concat(F.lit("s"), F.when(p % 9 == 0, F.lit(99)).otherwise(k).cast("string")))
     some = F.when(p % 8 == 0, F.array().cast("array<string>")).otherwise(cite)
@@ -47,7 +48,8 @@ def race_files(spark: SparkSession, d: str) -> DataFrame:
         F.array(position, position).alias("positions"), F.array(F.struct(_of(_RECORDS, p).alias("kind"), said.alias("text"), cite.alias("sources"))).alias("record"),
     )
     source = F.struct(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(s % 14 == 0, "gopher://x").otherwise(F.lit("https://x")).alias("url"), F.when(s % 15 > 0, "A page").alias("title"), F.lit("P").alias("publisher"), _of(_KINDS, p).alias("kind"))
-    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", candidate.alias("candidate"), source.alias("source")))).alias("lines"))
+    made = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", candidate.alias("candidate"), source.alias("source")).alias("line"))
+    lines = made.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     o = F.col("o_orderkey")
     joined = T.read(spark, d, "orders").select("o_orderkey").join(lines, o == F.col("l_orderkey"), "left")
     yes = F.struct(F.lit("Shall it pass?").alias("text"), F.array(F.lit("s1")).alias("sources"))
@@ -59,7 +61,7 @@ def race_files(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(
         F.concat(F.lit("races/r"), (o + (o % 20 == 0).cast("int")).cast("string"), F.lit(".json")).alias("file"), F.concat(F.lit("r"), o.cast("string")).alias("id"), F.when(o % 16 > 0, "NY").alias("state"), _of(_OFFICES, o).alias("officeType"),
         F.lit("Office").alias("office"), F.lit("Title").alias("title"), F.when(o % 18 > 0, "Area").otherwise(F.lit("")).alias("area"), F.lit("2026-11-03").alias("electionDate"), F.when(o % 5 > 0, o % 2 == 0).alias("inNYC"), F.lit("2026-10-01").alias("researchedAt"),
-        F.when(o % 22 > 0, F.array(yes)).alias("context"), F.transform("lines", lambda x: x["source"]).alias("sources"), F.transform("lines", lambda x: x["candidate"]).alias("candidates"), F.when(o % 3 == 0, measure).alias("measure"),
+        F.when(o % 22 > 0, F.array(yes)).alias("context"), F.col("lines.source").alias("sources"), F.col("lines.candidate").alias("candidates"), F.when(o % 3 == 0, measure).alias("measure"),
     )
 
 
