@@ -95,7 +95,9 @@ def encode_files(votes: DataFrame, file: str = "file") -> tuple[DataFrame, DataF
     placed = first.join(roster.drop("size"), [file, "member_key"], "left")
     spot = F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce(F.try_element_at(letter, F.col("choice")), F.lit("-")).alias("letter")))
     rolls = placed.groupBy(file, "roll_id").agg(F.array_sort(F.collect_list(spot)).alias("spots")).join(sizes, file, "left")
-    laid = F.aggregate("spots", F.lit(""), lambda out, s: F.concat(out, F.repeat(F.lit("-"), s["place"] - F.length(out)), s["letter"]))
+    # Each letter with the dashes before it, joined once: the string isn't copied for every position.
+    before = lambda i: F.coalesce(F.get("spots", i - 1)["place"], F.lit(-1))
+    laid = F.array_join(F.transform("spots", lambda s, i: F.concat(F.repeat(F.lit("-"), s["place"] - before(i) - 1), s["letter"])), "")
     codes = F.rpad(laid, F.coalesce("size", F.lit(0)), F.lit("-"))
     coded = rolls.select(file, "roll_id", codes.alias("codes"))
     runs = F.transform(F.regexp_extract_all("codes", F.lit(r"(.)\1*"), F.lit(0)), lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1)))
@@ -112,7 +114,8 @@ def decode_files(roster: DataFrame, rolls: DataFrame, form: str = "codes", file:
         begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int,letter:string>>").alias("out"))
         step = lambda acc, r: F.struct((acc["at"] + n(r)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), n(r).alias("n"), F.right(r, F.lit(1)).alias("letter"))).alias("out"))
         spans = F.aggregate(F.regexp_extract_all("runs", F.lit("[0-9]+[^0-9]"), F.lit(0)), begin, step, lambda acc: acc["out"])
-        run = rolls.select(file, "roll_id", F.explode(F.filter(spans, lambda x: x["letter"] != "-")).alias("s"))
+        # Spans are a column before they are dealt out, by an outer explode: Spark puts a filter below an inner one that makes them again.
+        run = rolls.select(file, "roll_id", spans.alias("spans")).select(file, "roll_id", F.explode_outer("spans").alias("s")).where("s.letter <> '-'")
         each = run.select(file, "roll_id", F.explode(F.sequence(F.col("s.at"), F.col("s.at") + F.col("s.n") - 1)).alias("place"), F.col("s.letter").alias("letter"))
     known = each.select(file, "roll_id", "place", F.try_element_at(letter, F.col("letter")).alias("choice")).where("choice is not null")
     return known.join(roster.select(file, "place", "member_key"), [file, "place"]).select(file, "roll_id", "member_key", "choice")
