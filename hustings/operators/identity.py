@@ -229,13 +229,80 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(fold(name)), "[^a-z]", "")
 
 
+#: Rosters of up to so many names are sent to all executors (some 100 bytes a name); larger ones are shuffled.
+MAX_SENT = 500_000
+
+
+def cut_blocks(counts, words, starts, place, length, members, longest: int = 4):
+    """``cut_names`` for many blocks at once: an Arrow array of lists of members. ``starts`` are the bounds of each block's
+    spans in ``place``, ``length`` and ``members``; a count below 0 stands for none.
+
+    The table of the numbers of names that each rest can be cut into, and the walk along it that takes the longest name
+    first, are made for all blocks together, place by place. If all members of that walk differ, it is the first way.
+    Blocks in which a member would come twice, and those of more than 60 words, are searched one by one.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    counts, words, place, length = (np.asarray(x, dtype="int64") for x in (counts, words, place, length))
+    starts, n = np.asarray(starts, dtype="int64"), len(counts)
+    of = np.repeat(np.arange(n), np.diff(starts))
+    together = (words <= 60) & (counts <= words) & (counts >= 0)
+    alone = (words > 60) & (counts <= words) & (counts >= 0)
+    most = int(words[together].max(initial=0))
+    fits = together[of] & (place + length <= words[of])
+    span = np.full((n, most + longest + 1, longest + 1), -1, dtype="int64")
+    span[of[fits], place[fits], length[fits]] = np.flatnonzero(fits)
+    able = np.zeros((n, most + longest + 1), dtype="int64")
+    able[np.flatnonzero(together), words[together]] = 1
+    for i in range(most - 1, -1, -1):
+        for k in range(1, longest + 1):
+            able[:, i] |= np.where(span[:, i, k] >= 0, able[:, i + k] << 1, 0)
+    live = together & (able[:, 0] >> np.clip(counts, 0, 62) & 1 > 0)
+    rows, at, left, steps = np.flatnonzero(live), np.zeros(n, dtype="int64"), counts.copy(), []
+    while len(rows := rows[left[rows] > 0]):
+        taken = np.full(len(rows), -1, dtype="int64")
+        for k in range(longest, 0, -1):
+            hit = span[rows, at[rows], k]
+            ok = (taken < 0) & (hit >= 0) & (able[rows, at[rows] + k] >> (left[rows] - 1) & 1 > 0)
+            taken[ok] = hit[ok]
+        steps.append((rows, taken))
+        at[rows] += length[taken]
+        left[rows] -= 1
+    row = np.concatenate([r for r, _ in steps] or [np.zeros(0, dtype="int64")])
+    order = np.argsort(row, kind="stable")
+    row, picked = row[order], np.concatenate([t for _, t in steps] or [row])[order]
+    code = members.dictionary_encode().indices.to_numpy(zero_copy_only=False)[picked]
+    by = np.lexsort((code, row))
+    twice = np.zeros(n, dtype=bool)
+    twice[row[by][1:][(row[by][1:] == row[by][:-1]) & (code[by][1:] == code[by][:-1])]] = True
+    searched = {}
+    for i in np.flatnonzero(twice & live | alone):
+        spans = range(starts[i], starts[i + 1])
+        ids = members[starts[i] : starts[i + 1]].dictionary_encode().indices.to_pylist()
+        first = {m: j for m, j in zip(reversed(ids), reversed(spans))}
+        got = cut_names([(int(place[j]), int(length[j]), m) for j, m in zip(spans, ids)], int(words[i]), int(counts[i]))
+        searched[int(i)] = None if got is None else [first[m] for m in got]
+    found = live & ~twice
+    sizes = np.where(found, counts, 0)
+    for i, got in searched.items():
+        found[i], sizes[i] = got is not None, len(got or ())
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.empty(ends[-1], dtype="int64")
+    values[np.repeat(found & ~np.isin(np.arange(n), list(searched)), sizes)] = picked[~(twice | alone)[row]]
+    for i, got in searched.items():
+        values[ends[i] : ends[i + 1]] = got or []
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members.take(pa.array(values)), mask=pa.array(~found))
+
+
 def partition_blocks(blocks: DataFrame, roster: DataFrame, longest: int = 4) -> DataFrame:
     """block_id and ``members``: each block of names without separators cut into exactly ``count`` different members; null
     if impossible. Of several cuts the first counts that takes a longer name at the first place where they differ.
 
     ``blocks``: block_id, chamber, text, count; ``roster``: chamber, name, member_key; a name that several members of a
     chamber share names none. Glued words ("WilsonStivers") are cut at capitals. All runs of up to ``longest`` words meet
-    the roster in one join, so a task that cuts a block sees only the spans found in it.
+    the roster in one join, so a task that cuts a block sees only the spans found in it. Letters are found once a text;
+    rows go on from the join with their block's count, so blocks that are dealt by their ids are not shuffled again.
 
     Cases: null and empty texts can be cut into no names (count 0: an empty list); null counts and chambers give null; very
     long texts take time in proportion to words times names; repeated block ids must not occur; empty tables give no rows.
@@ -243,22 +310,29 @@ def partition_blocks(blocks: DataFrame, roster: DataFrame, longest: int = 4) ->
     import pyarrow as pa
 
     spaced = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z])(?=[A-Z])", "$1 ")
-    cut = blocks.select("block_id", "chamber", F.col("count").cast("int").alias("count"), F.filter(F.split(spaced, r"\s+"), lambda w: w != "").alias("w"))
-    spans = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda k: F.struct(i.alias("place"), k.alias("length"), name_key(F.array_join(F.slice("w", i + 1, k), " ")).alias("name")))
-    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    each = cut.select("block_id", "chamber", F.explode(F.flatten(F.transform(places, spans))).alias("s")).select("block_id", "chamber", "s.*").where("name <> ''")
-    known = roster.select("chamber", name_key(F.col("name")).alias("name"), "member_key").groupBy("chamber", "name").agg(F.min("member_key").alias("m"), F.max("member_key").alias("other")).where("m = other").drop("other")
-    found = each.join(known, ["chamber", "name"]).groupBy("block_id").agg(F.collect_list(F.struct("place", "length", "m")).alias("spans"))
-    asked = cut.select("block_id", F.when(F.col("chamber").isNotNull(), F.col("count")).alias("count"), F.size("w").alias("words")).join(found, "block_id", "left")
+    line = F.trim(F.regexp_replace(spaced, r"\s+", " "))
+    asked = F.when(F.col("chamber").isNotNull(), F.col("count").cast("int"))
+    lines = blocks.select("block_id", "chamber", asked.alias("count"), line.alias("line"))
+    letters = F.split(F.regexp_replace(F.lower(fold(F.col("line"))), "[^a-z ]", ""), " ", -1)
+    cut = lines.select("block_id", "chamber", "count", letters.alias("w"), F.when(F.col("line") != "", F.size(letters)).otherwise(0).alias("words"))
+    runs = F.when(F.col("words") > 0, F.sequence(F.lit(0), F.col("words") * longest - 1))
+    spans = cut.select("*", F.explode_outer(runs).alias("run")).withColumns({"place": F.floor(F.col("run") / longest).cast("int"), "length": (F.col("run") % longest + 1).cast("int")})
+    each = spans.where("run IS NULL OR place + length <= words").select("block_id", "chamber", "count", "words", "place", "length", "run", F.array_join(F.slice("w", F.col("place") + 1, F.col("length")), "").alias("name"))
+    known = roster.select("chamber", name_key(F.col("name")).alias("name"), "member_key").where("name <> ''").groupBy("chamber", "name").agg(F.min("member_key").alias("m"), F.max("member_key").alias("other")).where("m = other").drop("other")
+    if known.count() <= MAX_SENT:
+        known = F.broadcast(known)
+    met = each.join(known, ["chamber", "name"], "left").where("m IS NOT NULL OR coalesce(run, 0) = 0")
+    found = met.groupBy("block_id", "count", "words").agg(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("place", "length", "m"))).alias("spans"))
 
     def run(batches):
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("count", "words", "spans")))
-            out = [None if n is None or n < 0 else cut_names([(s["place"], s["length"], s["m"]) for s in spans or ()], words, n) for n, words, spans in rows]
-            yield pa.RecordBatch.from_arrays([b.column("block_id"), pa.array(out, pa.list_(b.schema.field("spans").type.value_type.field("m").type))], names=["block_id", "members"])
+            spans = b.column("spans")
+            place, length, members = spans.flatten().flatten()
+            starts = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([b.column("block_id"), cut_blocks(b.column("count").fill_null(-1), b.column("words"), starts, place, length, members, longest)], names=["block_id", "members"])
 
     kind, of = blocks.schema["block_id"].dataType.simpleString(), roster.schema["member_key"].dataType.simpleString()
-    return asked.mapInArrow(run, f"block_id {kind}, members array<{of}>")
+    return found.mapInArrow(run, f"block_id {kind}, members array<{of}>")
 
 
 # The given name that a nickname stands for.

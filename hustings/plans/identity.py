@@ -211,8 +211,8 @@ def name_partition(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
     name = F.when(s % 4 == 0, F.concat(_capital(_letters(s)), F.lit(" "), _capital(_letters(F.floor(s / 4))))).otherwise(_capital(_letters(s)))
     roster = T.read(spark, d, "supplier").select(F.lit("c").alias("chamber"), name.alias("name"), s.alias("member_key"))
-    cast = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_suppkey").alias("member_key")).distinct().join(roster, "member_key")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("member_key", "name"))), lambda x: x["name"])
+    cast = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_suppkey").alias("member_key")).join(roster, "member_key")
+    names = F.sort_array(F.collect_set(F.struct("member_key", "name"))).getField("name")
     text = F.when(F.col("block_id") % 3 == 0, F.array_join("names", "")).otherwise(F.array_join("names", " "))
     blocks = cast.groupBy("block_id").agg(names.alias("names")).select("block_id", F.lit("c").alias("chamber"), text.alias("text"), (F.size("names") + (F.col("block_id") % 10 == 0).cast("int")).alias("count"))
     return I.partition_blocks(blocks, roster)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hustings.operators import identity
@@ -43,6 +45,36 @@ def test_long_blocks_take_no_exponential_time():
     assert identity.cut_names(spans, words, words + 1) is None and time.time() - begun < 20
 
 
+def test_blocks_together_agree_with_each_alone():
+    rng = random.Random(7)
+    blocks = []
+    for _ in range(2000):
+        words = rng.choice([0, 5, 61, 63]) if rng.random() < 0.05 else rng.randrange(9)
+        spans = [(p, n, f"m{rng.randrange(rng.choice([3, 6, 60]))}") for p in range(words) for n in range(1, min(4, words - p) + 1) if rng.random() < 0.5]
+        rng.shuffle(spans)
+        blocks.append((spans, words, rng.randrange(-1, words + 2) if words < 10 else rng.choice([words, words // 2, 30])))
+    starts = [0, *itertools.accumulate(len(s) for s, _, _ in blocks)]
+    place, length, members = zip(*[s for spans, _, _ in blocks for s in spans])
+    got = identity.cut_blocks([c for _, _, c in blocks], [w for _, w, _ in blocks], starts, place, length, pa.array(members)).to_pylist()
+    want = [None if c < 0 else identity.cut_names(s, w, c) for s, w, c in blocks]
+    assert got == want and sum(w is not None for w in want) > 200
+
+
+def test_blocks_are_made_once_and_not_shuffled_again(spark):
+    roster = spark.createDataFrame([("c", "King", 3), ("c", "Lee", 4)], "chamber string, name string, member_key long")
+    said = spark.createDataFrame([(i, w) for i in range(50) for w in ("King", "Lee")], "block_id long, w string")
+    blocks = said.groupBy("block_id").agg(F.array_join(F.sort_array(F.collect_list("w")), "").alias("text")).withColumns({"chamber": F.lit("c"), "count": F.lit(2)})
+    got = identity.partition_blocks(blocks, roster)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block_id") == 1 and "SortMergeJoin" not in plan
+    assert {tuple(r.members) for r in got.collect()} == {(3, 4)}
+
+
+def test_large_rosters_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(identity, "MAX_SENT", 0)
+    test_blocks(spark)
+
+
 def test_blocks(spark):
     roster = [("c", "Van der Berg", 1), ("c", "Van", 2), ("c", "King", 3), ("c", "Lee", 4), ("c", "Lee", 5), ("c", "Ünal", 6), ("d", "King", 7)]
     blocks = [(1, "c", "Van der Berg King", 2), (2, "c", "VanKing", 2), (3, "c", "King Lee", 2), (4, "c", "King King", 2), (5, "c", "Unal King Van", 3), (6, "c", "Unal King Van", 2), (7, "d", "King", 1), (8, "c", None, 0), (9, "c", "", 1), (10, None, "King", 1), (11, "c", "King", None)]
