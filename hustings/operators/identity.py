@@ -313,15 +313,16 @@ def partition_blocks(blocks: DataFrame, roster: DataFrame, longest: int = 4) ->
     line = F.trim(F.regexp_replace(spaced, r"\s+", " "))
     asked = F.when(F.col("chamber").isNotNull(), F.col("count").cast("int"))
     lines = blocks.select("block_id", "chamber", asked.alias("count"), line.alias("line"))
-    letters = F.split(F.regexp_replace(F.lower(fold(F.col("line"))), "[^a-z ]", ""), " ", -1)
+    folded = F.when(F.col("line").rlike(r"[^\x00-\x7F]"), fold(F.col("line"))).otherwise(F.col("line"))
+    letters = F.split(F.regexp_replace(F.lower(folded), "[^a-z ]", ""), " ", -1)
     cut = lines.select("block_id", "chamber", "count", letters.alias("w"), F.when(F.col("line") != "", F.size(letters)).otherwise(0).alias("words"))
-    runs = F.when(F.col("words") > 0, F.sequence(F.lit(0), F.col("words") * longest - 1))
-    spans = cut.select("*", F.explode_outer(runs).alias("run")).withColumns({"place": F.floor(F.col("run") / longest).cast("int"), "length": (F.col("run") % longest + 1).cast("int")})
-    each = spans.where("run IS NULL OR place + length <= words").select("block_id", "chamber", "count", "words", "place", "length", "run", F.array_join(F.slice("w", F.col("place") + 1, F.col("length")), "").alias("name"))
+    places = cut.select("*", F.explode_outer(F.when(F.col("words") > 0, F.sequence(F.lit(0), F.col("words") - 1))).alias("place"))
+    spans = places.select("*", F.explode_outer(F.when(F.col("words") > 0, F.sequence(F.lit(1), F.least(F.lit(longest), F.col("words") - F.col("place"))))).alias("length"))
+    each = spans.select("block_id", "chamber", "count", "words", "place", "length", F.array_join(F.slice("w", F.col("place") + 1, F.col("length")), "").alias("name"))
     known = roster.select("chamber", name_key(F.col("name")).alias("name"), "member_key").where("name <> ''").groupBy("chamber", "name").agg(F.min("member_key").alias("m"), F.max("member_key").alias("other")).where("m = other").drop("other")
     if known.count() <= MAX_SENT:
         known = F.broadcast(known)
-    met = each.join(known, ["chamber", "name"], "left").where("m IS NOT NULL OR coalesce(run, 0) = 0")
+    met = each.join(known, ["chamber", "name"], "left").where("m IS NOT NULL OR coalesce(place, 0) = 0 AND coalesce(length, 1) = 1")
     found = met.groupBy("block_id", "count", "words").agg(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("place", "length", "m"))).alias("spans"))
 
     def run(batches):
