@@ -20,15 +20,14 @@ MARKS = {
 
 def journal(rows: DataFrame, key: str, text: str, cut: str, state: str) -> DataFrame:
     """key and a journal: the text's pieces, each followed by its mark."""
-    number = lambda i: (F.col(key) % 90 + i).cast("string")
+    said = [MARKS[state].get(k, "").partition("{n}") for k in range(12)]
+    heads, tails = F.array(*[F.lit(f" {h}" if n else f" {h} " if h else " ") for h, n, _ in said]), F.array(*[F.lit(f"{t} " if n else "") for _, n, t in said])
+    numbered = [k for k, (_, n, _) in enumerate(said) if n]
 
     def mark(i):
         slot = (31 * F.col(key) + 17 * i + i * i) % 12
-        out = F.lit(" ")
-        for k, said in MARKS[state].items():
-            head, n, tail = said.partition("{n}")
-            out = F.when(slot == k, F.concat(F.lit(f" {head}"), number(i), F.lit(f"{tail} ")) if n else F.lit(f" {said} ")).otherwise(out)
-        return out
+        number = F.when(slot.isin(numbered), (F.col(key) % 90 + i).cast("string")).otherwise("")
+        return F.coalesce(F.concat(F.get(heads, slot.cast("int")), number, F.get(tails, slot.cast("int"))), F.lit(" "))
 
     pieces = F.split(F.coalesce(text, F.lit("")), cut, -1)
     return rows.select(key, F.array_join(F.transform(pieces, lambda p, i: F.concat(p, mark(i))), "").alias("journal"))

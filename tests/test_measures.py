@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 import pytest
@@ -67,6 +68,30 @@ def test_odd_rows(spark):
     assert measures.measure_under_vote(texts.limit(0), "id", "text", measures.JOURNALS["mi"]).collect() == []
 
 
+@pytest.mark.parametrize("state,cases", [("mi", MI), ("mo", MO), ("tx", TX)])
+def test_leads_lose_no_mark(spark, state, cases):
+    """The search by first letters finds what all patterns find at each place, whatever the case."""
+    text = " ".join(cases.values()) + "\nVacancies. VACANCIES on Motion of. read a second time, Concurring, xconference report, HJRs No. 5, entitled: SCR 3 of x was taken up by Senator Z. INITIATIVE PETITIONAn initiation of legislation\nCONFERENCE COMMITTEE ON HOUSE BILL 4\nYeas 1, Nays 2"
+    rows = [(1, text), (2, text.upper()), (3, text.lower()), (4, text.swapcase())]
+    got = [
+        sorted((r.key, r.k, r.kind, r.said, r.position) for r in measures.marks(spark.createDataFrame(rows, "id long, text string"), "id", "text", j).collect())
+        for j in (measures.JOURNALS[state], dataclasses.replace(measures.JOURNALS[state], leads=()))
+    ]
+    assert got[0] == got[1] and len({kind for _, _, kind, _, _ in got[0]}) == len(measures.JOURNALS[state].kinds())
+
+
+def test_texts_may_hold_the_bounds_of_marks(spark):
+    text = f"{measures.BOUND}{MI['HB 4001']}{measures.BOUND * 2} Roll Call No. 6{measures.BOUND}"
+    got = measures.measure_under_vote(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", measures.JOURNALS["mi"])
+    assert sorted((r.nth, r.position, r.bill) for r in got.collect()) == [(i, m.start(), "HB 4001") for i, m in enumerate(re.finditer(r"Roll Call No\. \d+", text), 1)]
+
+
+def test_marks_are_searched_and_sorted_once(spark):
+    got = measures.measure_under_vote(spark.createDataFrame([(1, MI["HB 7"])], "id long, text string"), "id", "text", measures.JOURNALS["mi"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("INITIATIVE PETITION\\s*An initiation of legislation)|") == 1
+
+
 def test_blocks_by_tally(spark):
     actions = spark.createDataFrame([(1, 7, "HCR 24", 20, 0), (2, 7, "SB 282", 20, 0), (3, 7, "HB 1", 9, 9)], "action long, page long, bill string, yes long, no long")
     blocks = spark.createDataFrame([(1, 7, "CSSB  282(FIN) final passage", 20, 0), (2, 7, "HCR 24 third reading", 20, 0), (3, 8, None, 9, 9)], "block long, page long, heading string, yes long, no long")
