@@ -72,7 +72,12 @@ def test_blocks_are_made_once_and_not_shuffled_again(spark):
 
 def test_large_rosters_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(identity, "MAX_SENT", 0)
-    test_blocks(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_blocks(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_blocks(spark):
