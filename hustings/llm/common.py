@@ -62,12 +62,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16, how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` (one row a key) so that one hot key of ``left`` is dealt to ``salts`` tasks.
 
-    ``spread`` is a column of ``left`` whose hash deals a key's rows out. ``right`` is repeated ``salts`` times.
+    ``spread`` is a column of ``left`` whose hash deals a key's rows out. ``right`` is repeated ``salts`` times, which Spark's
+    estimate of its size leaves out; so it is merged, as a broadcast chosen by that estimate may exceed the driver's memory.
     """
     salt = fresh("salt", left, right)
     l = left.withColumn(salt, F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
     r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, salt], how).drop(salt)
+    return l.join(r.hint("merge"), [key, salt], how).drop(salt)
 
 
 def weighed_lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, spread: Column, how: str = "inner") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, durable, pick, salted_lookup, slices, weighed_lookup
+from .common import durable, pick, salted_lookup, slices, weighed_lookup
 
 LETTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(LETTERS)]
@@ -44,6 +44,8 @@ SPACE = b" \t\n\v\f\r"
 WINDOW = 1 << 20
 #: Parts whose arrays a task holds before it emits them (a part takes about 25 KB).
 HELD_PARTS = 256
+#: Rows of a table of digests or labelled ids that is broadcast: both grow with the input, and the driver holds such a table several times, at 187 bytes a digest.
+LOOKUP_ROWS = 100_000
 
 
 def word_counts(data: bytes) -> tuple[int, int]:
@@ -86,7 +88,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(failed, pa.int32()), pa.array(digest, pa.binary()), pa.array(deal, pa.int32())], schema=_FLAGS)
 
 
-def flagged(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def flagged(docs: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     """A narrow row for each document: doc_id, part, ``failed`` (the set of all five filters) and ``deal``, a number
     that deals rows out. Texts are read once and not shuffled; only SHA-256 digests are. Up to ``limit`` repeated texts
     are broadcast, more are looked up with hot ones dealt out."""
@@ -102,12 +104,12 @@ def flagged(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return seen.select("doc_id", "part", F.col("failed").bitwiseOR(F.shiftleft(late, 4)).alias("failed"), "deal")
 
 
-def labelled(rows: DataFrame, labels: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` with ``label``: 1 for quality 1, 2 for toxic 1, 3 for both, else 0."""
+def labelled(rows: DataFrame, labels: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """``rows`` with ``label``: 1 for quality 1, 2 for toxic 1, 3 for both, else 0. Up to ``limit`` labelled ids are broadcast."""
     any_is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int"))
     marks = pick(labels, ("doc_id", "quality", "toxic")).where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((any_is_one("quality") + 2 * any_is_one("toxic")).alias("label"))
     marks = durable(marks.where("label > 0"), "marks")
-    joined = rows.join(broadcast_if_small(marks, limit), "doc_id", "left") if marks.count() <= limit else salted_lookup(rows, marks, "doc_id", "deal")
+    joined = rows.join(F.broadcast(marks), "doc_id", "left") if marks.count() <= limit else salted_lookup(rows, marks, "doc_id", "deal")
     return joined.withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -154,7 +156,7 @@ def tally(rows: DataFrame) -> DataFrame:
     return partial.groupBy("part", "filter_order").agg(F.array(*[F.sum(F.col("cells")[k]) for k in range(_CELLS)]).alias("cells"))
 
 
-def audit(docs: DataFrame, labels: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     """A row for each part, order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley
     (the removals of the step's filter in all orders of the part)."""
     sums = tally(labelled(flagged(docs, limit), labels, limit))

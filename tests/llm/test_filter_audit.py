@@ -6,6 +6,7 @@ from itertools import permutations
 
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hustings.llm import filter_audit
 from hustings.llm.queries import ORACLES, QUERIES
@@ -79,5 +80,22 @@ def test_empty_tables(spark):
     check(spark, [(1, "a", "s")], [])
 
 
+def test_large_tables_are_not_broadcast(spark):
+    k = F.col("id")
+    rows = spark.range(4000).select(k.alias("doc_id"), F.lit("a").alias("part"), F.lit(0).alias("failed"), k.cast("int").alias("deal"))
+    got = filter_audit.labelled(rows, spark.range(120_000).select(k.alias("doc_id"), (k % 2).cast("int").alias("quality"), F.lit(1).alias("toxic")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r["count"]) for r in got.groupBy("label").count().collect()} == {(2, 2000), (3, 2000)}
+    docs = spark.range(240_000).select(k.alias("doc_id"), (k % 120_000).cast("string").alias("text"), F.lit("a").alias("source"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = filter_audit.flagged(docs)
+        assert "SortMergeJoin" in seen._jdf.queryExecution().executedPlan().toString()
+        assert {(r.failed, r["count"]) for r in seen.groupBy("failed").count().collect()} == {(1, 120_000), (17, 120_000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_query_agrees_with_sql(spark):
     same(QUERIES["op12_filter_audit"](spark, SF), ORACLES["op12_filter_audit"], SF)
