@@ -98,3 +98,18 @@ def test_statewide_races_of_one_state_are_dealt_out(spark):
             spark.conf.set(c, v)
     assert len(got) == len({(r.address_id, r.race_id) for r in got}) == 300 * 399 + 1
     assert len({r.at for r in got}) > 1
+
+
+def test_rows_of_ballots_are_stored_briefly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(guide, "DEALT", 4)
+    k = F.col("id")
+    none = F.lit(None).cast("string")
+    addresses = spark.range(0, 20000, numPartitions=2).select(F.when(k != 7, k).alias("address_id"), F.lit("NY").alias("state"), none.alias("cd"), none.alias("sd"), none.alias("ad"), (k % 3 == 0).alias("in_city"))
+    races = spark.range(200).select(F.concat(F.when(k == 0, "nyc-prop-").otherwise(F.lit("r")), k.cast("string")).alias("race_id"), F.lit("ny").alias("state"), F.when(k == 0, "ballot-measure").otherwise(F.lit("governor")).alias("office"))
+    guide.races_for(addresses, races).write.parquet(str(tmp_path / "rows"))
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    rows, nulls, city, pairs = got.agg(F.count(F.lit(1)), F.count_if(F.col("address_id").isNull()), F.count_if(F.startswith("race_id", F.lit("nyc-"))), F.sum(F.xxhash64("address_id", "race_id").cast("decimal(38,0)"))).first()
+    assert (rows, nulls, city) == (20000 * 199 + 6667, 199, 6667)
+    asked = addresses.select("address_id", "in_city").join(races.select("race_id")).where("in_city or race_id <> 'nyc-prop-0'")
+    assert pairs == asked.agg(F.sum(F.xxhash64("address_id", "race_id").cast("decimal(38,0)"))).first()[0]
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < rows / 2
